@@ -52,6 +52,23 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, "[ \\t-\\r]+"), "")
 
 
+def shingle_hashes(text: Column, size: int, out: str, docs: DataFrame) -> DataFrame:
+    """``docs`` with ``out``: array of XXH64 (seed 42) of each word shingle of ``text``, repeats included."""
+    rest = ", ".join(f"get(__w, i + {k})" for k in range(1, size))
+    return (
+        docs.withColumn("__t", lower_az(text))
+        .withColumn("__w", words_of(F.col("__t")))
+        .withColumn(
+            out,
+            F.expr(
+                f"case when size(__w) >= {size} then transform(slice(__w, 1, size(__w) - {size - 1}), (x, i) -> xxhash64(concat_ws(' ', x, {rest})))"
+                " when size(__w) > 0 then array(xxhash64(array_join(__w, ' '))) else cast(array() as array<bigint>) end"
+            ),
+        )
+        .drop("__t", "__w")
+    )
+
+
 def range_index(value: str, bounds: list[int]) -> Column:
     """How many of the sorted ``bounds`` are <= value: a binary search folded over a literal array."""
     if not bounds:

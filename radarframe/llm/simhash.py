@@ -30,30 +30,13 @@ OFFSETS = tuple(sum(WIDTHS[:k]) for k in range(len(WIDTHS)))
 BLOCK = 1024
 
 
-def shingle_hashes(text: Column, size: int, out: str, docs: DataFrame) -> DataFrame:
-    """``docs`` with ``out``: array of XXH64 (seed 42) of each word shingle of ``text``, repeats included."""
-    rest = ", ".join(f"get(__w, i + {k})" for k in range(1, size))
-    return (
-        docs.withColumn("__t", common.lower_az(text))
-        .withColumn("__w", common.words_of(F.col("__t")))
-        .withColumn(
-            out,
-            F.expr(
-                f"case when size(__w) >= {size} then transform(slice(__w, 1, size(__w) - {size - 1}), (x, i) -> xxhash64(concat_ws(' ', x, {rest})))"
-                " when size(__w) > 0 then array(xxhash64(array_join(__w, ' '))) else cast(array() as array<bigint>) end"
-            ),
-        )
-        .drop("__t", "__w")
-    )
-
-
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """doc_id and fp (long) for each row of ``docs`` (doc_id, text).
 
     Bits are counted two to a long, in 32 sums, over the exploded hashes; a row's sums are complete before they are shuffled.
     """
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("__row"))
-    hashed = shingle_hashes(common.text_of(), size, "h", rows).select("__row", "doc_id", F.explode_outer("h").alias("h"))
+    hashed = common.shingle_hashes(common.text_of(), size, "h", rows).select("__row", "doc_id", F.explode_outer("h").alias("h"))
     lanes = 0x1_0000_0001
     sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(lanes))).alias(f"s{k}") for k in range(32)]
     counted = hashed.groupBy("__row", "doc_id").agg(F.count("h").alias("n"), *sums)
