@@ -30,6 +30,8 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
+# Rows are exploded with explode_outer: for explode, the optimizer would push a size filter below the
+# projections and so split the text again for every gram.
 def _grams(words: str) -> Column:
     rest = ", ".join(f"get({words}, i + {k})" for k in range(1, N))
     return F.expr(f"case when size({words}) >= {N} then transform(slice({words}, 1, size({words}) - {N - 1}), (x, i) -> xxhash64(x, {rest})) else cast(array() as array<bigint>) end")
@@ -38,7 +40,7 @@ def _grams(words: str) -> Column:
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_hash, item_id, score (of an exact copy's), matched, start for each document and item that align."""
     items = benchmark.select("item_id", common.text_of().alias("text")).withColumn("words", tokens(F.col("text"))).withColumn("grams", _grams("words"))
-    items = items.select("item_id", "words", F.posexplode("grams").alias("q", "gram"))
+    items = items.select("item_id", "words", F.posexplode_outer("grams").alias("q", "gram")).where("gram is not null")
     n = items.count()
     blocks = max(1, -(-n // BLOCK_GRAMS))
     found = None
@@ -52,7 +54,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _block_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64(common.text_of()).alias("text_hash"), tokens(common.text_of()).alias("words")).withColumn("grams", _grams("words"))
     known = items.select("gram").distinct()
-    seen = rows.select(F.explode("grams").alias("gram")).join(F.broadcast(known), "gram").groupBy("gram").agg(F.count("*").alias("df"))
+    seen = rows.select(F.explode_outer("grams").alias("gram")).join(F.broadcast(known), "gram").groupBy("gram").agg(F.count("*").alias("df"))
     seen = common.staged(seen, "benchmark-grams")
 
     ranked = items.join(F.broadcast(seen), "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
@@ -61,7 +63,7 @@ def _block_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     seeds = rarest.select("item_id", F.col("words").alias("item"), F.col("best.q").alias("q"), F.col("best.gram").alias("gram")).distinct()
 
     # the words around a meeting are cut out right behind the join, before anything is shuffled
-    met = rows.select("doc_id", "text_hash", "words", F.posexplode("grams").alias("p", "gram")).join(F.broadcast(seeds), "gram")
+    met = rows.select("doc_id", "text_hash", "words", F.posexplode_outer("grams").alias("p", "gram")).join(F.broadcast(seeds), "gram")
     met = met.withColumn("slack", F.greatest(F.lit(8), F.expr("size(item) div 2"))).withColumn("at", F.expr("p - q"))
     met = met.select(
         "doc_id", "text_hash", "item_id", "item", F.expr("floor(at / slack)").alias("stretch"),

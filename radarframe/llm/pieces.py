@@ -113,7 +113,7 @@ def words_of(text: Column) -> Column:
 def frequent_words(docs: DataFrame, text: str = "text", most: int = HEAD_WORDS) -> DataFrame:
     """The words of at most HEAD_CHARS whose counts over all rows are so high that at most ``most`` have them."""
     counts = common.staged(
-        docs.select(F.explode(words_of(common.text_of(text))).alias("word")).where(F.length("word") <= HEAD_CHARS).groupBy("word").agg(F.count("*").alias("n")).where("n > 1"), "word-counts"
+        docs.select(F.explode_outer(words_of(common.text_of(text))).alias("word")).where(F.length("word") <= HEAD_CHARS).groupBy("word").agg(F.count("*").alias("n")).where("n > 1"), "word-counts"
     )
     # words by the power of 1.25 that their count reaches: some hundred rows
     level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)))
