@@ -22,6 +22,7 @@ from . import common, urlfilter
 
 #: A subtree is a template of its host on this many pages, and on this share of the host's pages.
 LEAST_PAGES, LEAST_SHARE = 5, 0.1
+HOT = 1000
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++)))?+")
@@ -222,8 +223,9 @@ def main_text(source: str, templates: set[int] = frozenset()) -> str:
     return "\n".join(blocks)
 
 
-def site_templates(pages: DataFrame) -> DataFrame:
+def site_templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """host and templates: the hashes of the subtrees recurring across its pages, at most some tens for each subtree of a page.
+    And host and salts of the hosts with over a ``HOT``-th of all pages, so fewer than ``HOT``: how many parts theirs are dealt to.
 
     Hashes are distinct within a page and counted before they are shuffled by host and hash.
     """
@@ -243,7 +245,9 @@ def site_templates(pages: DataFrame) -> DataFrame:
     counts = common.staged(pages.select("url", "html").mapInArrow(emit, "host string, digest long").groupBy("host", "digest").agg(F.count("*").alias("n")), "subtrees")
     sites = counts.where("digest is null").select("host", F.col("n").alias("pages"))
     many = counts.where(f"digest is not null and n >= {LEAST_PAGES}").join(sites, "host").where(f"n >= {LEAST_SHARE} * pages")
-    return many.groupBy("host").agg(F.collect_set("digest").alias("templates"))
+    total = sites.agg(F.sum("pages")).first()[0] or 0
+    hot = sites.where(F.col("pages") * HOT > total).select("host", F.expr(f"cast(pages * {HOT} div {max(1, total)} as int) + 1").alias("salts"))
+    return many.groupBy("host").agg(F.collect_set("digest").alias("templates")), hot
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -251,8 +255,11 @@ def extract_text(pages: DataFrame) -> DataFrame:
     common.small_batches(pages.sparkSession)
     kind = dict(pages.dtypes)["page_id"]
     host = F.when(F.instr("url", "://") > 0, common.lower_az(F.regexp_extract("url", "://([^/?#]*)", 1))).otherwise("")
-    sites = site_templates(pages).withColumnRenamed("host", "site")
-    rows = pages.select("page_id", "url", "html", F.coalesce(host, F.lit("")).alias("host")).join(sites, F.col("host") == F.col("site"), "left")
+    sites, hot = site_templates(pages)
+    sites = sites.join(F.broadcast(hot), "host", "left").select(F.col("host").alias("site"), "templates", F.explode(F.expr("sequence(0, coalesce(salts, 1) - 1)")).alias("part"))
+    rows = pages.select("page_id", "url", "html", F.coalesce(host, F.lit("")).alias("host")).join(F.broadcast(hot), "host", "left")
+    rows = rows.withColumn("salt", F.expr("cast(pmod(xxhash64(page_id, url), coalesce(salts, 1)) as int)"))
+    rows = rows.join(sites, (F.col("host") == F.col("site")) & (F.col("salt") == F.col("part")), "left")
 
     def extract(batches):
         import pyarrow as pa
