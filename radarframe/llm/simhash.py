@@ -162,9 +162,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for each row of ``docs`` (doc_id, text): component_id is the smallest doc_id reachable."""
     prints = common.staged(fingerprints(docs), "simhash")
     found = common.staged(common.components(links(prints)), "simhash-roots")
-    rooted = prints.join(found, F.col("fp") == F.col("node"), "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
-    first = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(first, "root").select("doc_id", "fp", "component_id")
+    # copies are folded into their fingerprint's smallest doc_id before anything is dealt by component
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(found, F.col("fp") == F.col("node"), "left")
+    least = least.select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    first = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = common.staged(least.join(first, "root").select(F.col("fp").alias("own"), "component_id"), "simhash-named")
+    return prints.join(named, F.col("fp") == F.col("own")).select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: str = "fp") -> Column:
