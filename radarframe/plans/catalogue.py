@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +12,26 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
 
+def positive_zero(sql: str) -> str:
+    """``sql`` with 0.0 added to each rounded value: Spark rounds small negative numbers to 0.0, DuckDB to -0.0."""
+    at = 0
+    while (m := re.compile(r"\bround\(").search(sql, at)) is not None:
+        depth, end = 1, m.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        sql = f"{sql[: m.start()]}({sql[m.start() : end]} + 0.0){sql[end:]}"
+        at = m.end() + 1
+    return sql
+
+
 def query(sql: str | None = None):
     """Registers a function (spark, sf_dir) under its name, with the SQL that gives the same rows."""
 
     def add(f):
         _QUERIES[f.__name__] = f
         if sql:
-            _ORACLES[f.__name__] = sql
+            _ORACLES[f.__name__] = positive_zero(sql)
         return f
 
     return add

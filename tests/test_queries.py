@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from radarframe.plans import catalogue, pixels, series  # noqa: F401  the latter register queries
@@ -23,7 +24,11 @@ def db():
 
 def rows(frame):
     cols = sorted(frame.columns)
-    return sorted(tuple("-" if v is None or v != v else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) for r in frame[cols].astype(object).values.tolist())
+
+    def shown(v):
+        return "-" if pd.isna(v) else f"{float(v):.9g}" if isinstance(v, (int, float)) else str(v).removesuffix(" 00:00:00")
+
+    return sorted(tuple(map(shown, r)) for r in frame[cols].astype(object).values.tolist())
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
