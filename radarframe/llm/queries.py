@@ -58,5 +58,30 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+def _url_sql() -> str:
+    rest = "url, '(?s)^.*?://([^/?#]*)([^?#]*)'"
+    order = [(h, p, h + p, v) for h, p, v in urlfilter.RULES]
+    order.sort(key=lambda r: (-len(r[2]), r[2]))
+    fit = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{r}'" for h, p, r, _ in order)
+    verdict = " ".join(f"WHEN '{r}' THEN '{v}'" for _, _, r, v in order)
+
+    def hits(terms) -> str:
+        one = [f"CAST(regexp_matches(low, '(^|[^\\p{{L}}\\p{{N}}]){t}($|[^\\p{{L}}\\p{{N}}])') AS INTEGER)" for t in terms]
+        return f"({' + '.join(one)})"
+
+    low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""WITH u AS (SELECT page_id, url, translate(coalesce(regexp_extract({rest}, 1), ''), '{low}', '{low.lower()}') AS host, coalesce(regexp_extract({rest}, 2), '') AS path FROM pages),
+      r AS (SELECT *, CASE {fit} END AS rule, CASE WHEN host = '' AND path = '' THEN '' ELSE lower(url) END AS low FROM u),
+      n AS (SELECT *, {hits(urlfilter.STRICT)} AS n_strict, {hits(urlfilter.SOFT)} AS n_soft FROM r)
+      SELECT page_id, host, path, rule, CASE rule {verdict} ELSE CASE WHEN n_strict >= 1 OR n_soft >= {urlfilter.SOFT_HITS} THEN 'block' ELSE 'allow' END END AS verdict, n_strict, n_soft FROM n"""
+
+
+def _warc_sql() -> str:
+    return f"""WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+      f AS (SELECT *, CASE WHEN payload_bytes >= {warc.LEAST_BYTES} THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+      SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The queries that SQL can express; tests hold the others against brute force."""
+    return {"op8_warc": _warc_sql(), "op10_url_filter": _url_sql()}
