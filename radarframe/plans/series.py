@@ -53,8 +53,8 @@ def orbit_segments(spark, sf_dir):
 
 
 _FILES = """f AS (SELECT l_orderkey * 10 + l_linenumber AS fid, epoch(l_shipdate) / 86400 - 1 - l_linenumber % 2 AS f_start, epoch(l_shipdate) / 86400 + 1 + l_linenumber % 3 AS f_end,
-  CASE WHEN l_linenumber % 2 = 0 THEN 'POEORB' ELSE 'RESORB' END AS quality FROM lineitem WHERE l_suppkey % 10 = 1),
-  s AS (SELECT o_orderkey AS seg, epoch(o_orderdate) / 86400 AS s_start, epoch(o_orderdate) / 86400 + 0.001 AS s_end FROM orders WHERE o_orderstatus = 'F')"""
+  CASE WHEN l_linenumber % 2 = 0 THEN 'POEORB' ELSE 'RESORB' END AS quality FROM lineitem),
+  s AS (SELECT o_orderkey AS seg, epoch(o_orderdate) / 86400 AS s_start, epoch(o_orderdate) / 86400 + 0.001 AS s_end FROM orders)"""
 
 
 @query(
@@ -65,10 +65,10 @@ def orbit_file_select(spark, sf_dir):
     """The best orbit file that strictly contains each segment: quality first, then the last name."""
     day = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6 / 86400
     n = F.col("l_linenumber")
-    f = table(spark, sf_dir, "lineitem").where("l_suppkey % 10 = 1").select(
+    f = table(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") * 10 + n).alias("fid"), (day("l_shipdate") - 1 - n % 2).alias("f_start"), (day("l_shipdate") + 1 + n % 3).alias("f_end"), F.when(n % 2 == 0, "POEORB").otherwise("RESORB").alias("quality")
     )
-    s = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("seg"), day("o_orderdate").alias("s_start"), (day("o_orderdate") + 0.001).alias("s_end"))
+    s = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seg"), day("o_orderdate").alias("s_start"), (day("o_orderdate") + 0.001).alias("s_end"))
     rank = F.struct(F.when(F.col("quality") == "POEORB", 0).otherwise(1).alias("q"), (-F.col("fid")).alias("back"), "fid", "quality")
     return joins.containment_join(s, f).groupBy("seg").agg(F.min(rank).alias("b")).select("seg", "b.fid", "b.quality")
 
