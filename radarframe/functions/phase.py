@@ -104,3 +104,95 @@ def clip_roi(a: Column, b: Column) -> Column:
     r1 = F.least(a["row"] + a["h"], b["row"] + b["h"])
     hit = (c1 > c0) & (r1 > r0)
     return F.struct(*(F.when(hit, v).otherwise(0).cast("int").alias(k) for k, v in (("col", c0), ("row", r0), ("w", c1 - c0), ("h", r1 - r0))))
+
+
+#: Metres a second.
+LIGHT_SPEED = 299792458.0
+
+
+def unit(a: list[Column]) -> list[Column]:
+    """``a`` over its length; a zero vector stays."""
+    n = norm(a)
+    return [F.when(n == 0, 0.0).otherwise(x / n) for x in a]
+
+
+def baselines(primary: list[Column], secondary: list[Column], point: list[Column], speed: list[Column]) -> dict[str, Column]:
+    """Parallel, perpendicular and along-track parts of the vector between two sensors; perpendicular counts away from the earth."""
+    b = [s - p for s, p in zip(secondary, primary, strict=True)]
+    los, along = unit([q - p for q, p in zip(point, primary, strict=True)]), unit(speed)
+    up = unit(cross(los, along))
+    return {"par": dot(b, los), "perp": dot(b, up) * F.signum(dot(primary, up)), "depth": dot(b, along)}
+
+
+def bistatic(rng: Column, slant_time: float, samples: int, frequency: float) -> Column:
+    """Shift of the azimuth time for the pulse's travel, relative to mid swath."""
+    return -0.5 * (2 * rng / LIGHT_SPEED - slant_time - 0.5 * samples / frequency)
+
+
+def bistatic_full(rng: Column, mid_slant_time: float, mid_samples: int, mid_frequency: float, rank: float, pri: float) -> Column:
+    return -((mid_slant_time + 0.5 * mid_samples / mid_frequency) / 2 - rank * pri + rng / LIGHT_SPEED)
+
+
+def intra_pulse(doppler: Column, chirp_rate: float) -> Column:
+    """Range shift of a frequency that the chirp meets early or late."""
+    return -doppler / chirp_rate * LIGHT_SPEED / 2
+
+
+def fm_mismatch(doppler: Column, k_geometry: Column, k_range: Column) -> Column:
+    return doppler * (1 / k_geometry - 1 / k_range)
+
+
+def enu(east_of: Column, north_of: Column, v: list[Column]) -> list[Column]:
+    """An earth-centred vector in the east, north and up axes at (longitude, latitude)."""
+    lo, la = F.radians(east_of), F.radians(north_of)
+    x, y, z = v
+    flat = F.cos(lo) * x + F.sin(lo) * y
+    return [-F.sin(lo) * x + F.cos(lo) * y, -F.sin(la) * flat + F.cos(la) * z, F.cos(la) * flat + F.sin(la) * z]
+
+
+def geodetic(x: Column, y: Column, z: Column, rounds: int = 5) -> dict[str, Column]:
+    """Longitude, latitude, altitude of an earth-centred point, by fixed-point rounds on the latitude; not for the poles themselves."""
+    flat = F.sqrt(x * x + y * y)
+    lat = F.atan2(z, flat * (1 - WGS84_E2))
+    for _ in range(rounds):
+        lat = F.atan2(z + WGS84_E2 * WGS84_A / F.sqrt(1 - WGS84_E2 * F.sin(lat) * F.sin(lat)) * F.sin(lat), flat)
+    n = WGS84_A / F.sqrt(1 - WGS84_E2 * F.sin(lat) * F.sin(lat))
+    return {"lon": F.degrees(F.atan2(y, x)), "lat": F.degrees(lat), "alt": flat / F.cos(lat) - n}
+
+
+def series_of(kind: str, coefficients: list[float], x: Column) -> Column:
+    """Standard, Chebyshev or Legendre series with ascending coefficients."""
+    if kind == "standard":
+        return horner(coefficients, x)
+    terms = [F.lit(1.0), x]
+    for n in range(1, len(coefficients) - 1):
+        following = {"chebyshev": lambda: 2 * x * terms[-1] - terms[-2], "legendre": lambda: ((2 * n + 1) * x * terms[-1] - n * terms[-2]) / (n + 1)}[kind]()  # noqa: B023
+        terms.append(following)
+    return reduce(lambda a, b: a + b, [c * t for c, t in zip(coefficients, terms, strict=False)])
+
+
+def inside_polygon(x: Column, y: Column, corners: list[tuple[float, float]]) -> Column:
+    """Even-odd rule over the edges of a closed polygon."""
+    crossings = F.lit(0)
+    for (xa, ya), (xb, yb) in zip(corners, [*corners[1:], corners[0]], strict=True):
+        if ya != yb:
+            spans = (y < max(ya, yb)) & (y >= min(ya, yb))
+            crossings = crossings + F.when(spans & (x < (xb - xa) * (y - ya) / (yb - ya) + xa), 1).otherwise(0)
+    return crossings % 2 == 1
+
+
+def rgb(hue: Column, value: Column) -> dict[str, Column]:
+    """Fully saturated colour of a hue (0 to 1) and a value (0 to 1)."""
+
+    def channel(shift: float) -> Column:
+        k = F.pmod(F.lit(shift) + hue * 6, F.lit(6.0))
+        return value * (1 - F.greatest(F.lit(0.0), F.least(k, 4 - k, F.lit(1.0))))
+
+    return {"r": channel(5.0), "g": channel(3.0), "b": channel(1.0)}
+
+
+def burst_numbers(sensing: Column, anx: Column, relative_orbit: Column, absolute_orbit: Column, orbit_s: float, cycle_s: float, preamble: float, beam: float, per_cycle: int) -> tuple[Column, Column]:
+    """Relative and absolute burst number of a mid-burst sensing time."""
+    since = sensing - anx + (relative_orbit - 1) * orbit_s
+    whole = since + (absolute_orbit - relative_orbit) * cycle_s
+    return (1 + F.pmod(F.floor((since - preamble) / beam), F.lit(per_cycle))).cast("long"), (1 + F.floor((whole - preamble) / beam)).cast("long")

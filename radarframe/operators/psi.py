@@ -49,3 +49,16 @@ def daily_phase(events: DataFrame) -> DataFrame:
 def latest_first(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
     """The last ``n`` rows of each key."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(F.col("rank") <= n)
+
+
+def planar(series: DataFrame, axes: DataFrame, key: str = "t") -> DataFrame:
+    """For each ``key`` (a date) the plane (sx, sy) of largest coherence over samples (x, y, phi), first on ties.
+
+    A date has as many samples as there are scatterers, so each sample adds to the sums of every grid node in
+    partial aggregates; what is shuffled is one row a date and node from each task.
+    """
+    turned = F.col("phi") - (F.col("sx") * F.col("x") + F.col("sy") * F.col("y"))
+    sums = series.crossJoin(F.broadcast(axes)).groupBy(key, "idx", "sx", "sy").agg(F.count("*").alias("n"), F.sum(F.cos(turned)).alias("c"), F.sum(F.sin(turned)).alias("s"))
+    gamma = F.round(F.sqrt(F.col("c") * F.col("c") + F.col("s") * F.col("s")) / F.col("n"), 6)
+    best = sums.groupBy(key).agg(F.max(F.struct(gamma.alias("gamma"), (-F.col("idx")).alias("back"), "n", "idx", "sx", "sy")).alias("b"))
+    return best.select(key, "b.n", "b.gamma", "b.idx", "b.sx", "b.sy")

@@ -6,7 +6,9 @@ Windows run along one axis at a time, so a task holds one row or column of a ras
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -77,3 +79,36 @@ def bilinear(df: DataFrame, points: DataFrame, value: str) -> DataFrame:
     return met.groupBy("id", "y", "x").agg(F.sum(F.col("w") * F.col(value)).alias("value"), F.count("*").alias("corners"))
 
 
+
+
+def interpolated(table: DataFrame, points: DataFrame) -> DataFrame:
+    """``points`` (id, t) with the value of the piecewise linear ``table`` (x, v), constant beyond its ends. Zeros of the table are left out.
+
+    A lookup table is an axis of an image, some thousand nodes, and is folded into one row.
+    """
+    nodes = table.where("v <> 0").agg(F.sort_array(F.collect_list(F.struct("x", "v"))).alias("nodes"))
+    met = points.crossJoin(F.broadcast(nodes)).withColumn("k", F.expr("size(filter(nodes, n -> n.x <= t))"))
+    a, b = F.get("nodes", F.col("k") - 1), F.get("nodes", F.col("k"))
+    value = F.when(F.col("k") == 0, b["v"]).when(F.col("k") >= F.size("nodes"), a["v"]).otherwise(a["v"] + (F.col("t") - a["x"]) / (b["x"] - a["x"]) * (b["v"] - a["v"]))
+    return met.select("id", "t", value.alias("value"))
+
+
+def weighted(df: DataFrame, value: str, weights: list[float], by: list[str] = ()) -> DataFrame:
+    """``smooth``: a separable filter of odd length along both axes; an edge pixel stands for those beyond it."""
+    half = len(weights) // 2
+
+    def one(source: str, w: Window) -> Column:
+        ends = F.first(source).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.last(source).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+        terms = [F.coalesce(F.lag(source, -k).over(w), ends[k > 0]) if k else F.col(source) for k in range(-half, half + 1)]
+        return sum((x * t for x, t in zip(weights, terms, strict=True)), F.lit(0.0))
+
+    df = df.withColumn("__h", one(value, along("col", "row", by)))
+    return df.withColumn("smooth", one("__h", along("row", "col", by))).drop("__h")
+
+
+def gaussian_weights(size: int) -> list[float]:
+    """Of deviation size / 3, cut at four deviations."""
+    sigma = size / 3
+    half = int(4 * sigma + 0.5)
+    raw = [math.exp(-k * k / (2 * sigma * sigma)) for k in range(-half, half + 1)]
+    return [r / sum(raw) for r in raw]
