@@ -141,6 +141,11 @@ def _batched(df: DataFrame, names: list[str], solve: Callable[..., list[np.ndarr
     return df.select("id", *(df[n].cast("double") for n in names)).mapInArrow(run, f"id {kind}, {schema}")
 
 
+def positions(times: DataFrame, orbit: Orbit, order: int = 0) -> DataFrame:
+    """id, x, y, z of the orbit, or of its derivative, at times (id, t)."""
+    return _batched(times, ["t"], lambda t: [np.ascontiguousarray(v) for v in orbit.at(t, order).T], "x double, y double, z double")
+
+
 def project(points: DataFrame, orbit: Orbit, half_wave_doppler: float = 0.0) -> DataFrame:
     """id, azt, rng, incidence, converged of ground points (id, x, y, z)."""
     return _batched(points, ["x", "y", "z"], lambda x, y, z: list(closest_approach(orbit, np.stack([x, y, z], 1), half_wave_doppler)), "azt double, rng double, incidence double, converged boolean")

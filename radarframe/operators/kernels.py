@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 def tiled(df: DataFrame, values: list[str], size: int, halo: int, kernel: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], out: list[str], by: list[str] = ()) -> DataFrame:
     """``kernel`` on each tile of df (row, col, values): arrays of size + 2 halo, NaN where there is no pixel; results lose the halo.
+    The kernel also gets the indices of the array's first pixel, as ``__row`` and ``__col``.
 
     Returned are the pixels that df has, with the columns ``out``; NaN results are null.
     """
@@ -32,7 +33,7 @@ def tiled(df: DataFrame, values: list[str], size: int, halo: int, kernel: Callab
         r0, c0 = int(pdf["__r"].iloc[0]) * size - halo, int(pdf["__c"].iloc[0]) * size - halo
         side = size + 2 * halo
         at = (pdf["row"].to_numpy() - r0, pdf["col"].to_numpy() - c0)
-        arrays = {}
+        arrays = {"__row": r0, "__col": c0}
         for v in values:
             arrays[v] = np.full((side, side), np.nan)
             arrays[v][at] = pdf[v].to_numpy()
@@ -45,6 +46,43 @@ def tiled(df: DataFrame, values: list[str], size: int, halo: int, kernel: Callab
     return cut.groupBy(*by, "__r", "__c").applyInPandas(run, schema)
 
 
+def on_images(df: DataFrame, shape: tuple[int, int], kernel: Callable[[np.ndarray], list], schema: str) -> DataFrame:
+    """id and the values of ``kernel`` for each row of df (id, pixels): an array of ``shape`` in row order. Rows stay where they are; a null image gives nulls."""
+    kind = dict(df.dtypes)["id"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        fields = [pa.field(n, {"double": pa.float64(), "int": pa.int32(), "array<double>": pa.list_(pa.float64())}[t]) for n, t in (x.split() for x in schema.split(", "))]
+        for batch in batches:
+            made = [[None] * len(fields) if v is None else kernel(np.asarray(v, float).reshape(shape)) for v in batch.column(1).to_pylist()]
+            columns = [pa.array([m[k] for m in made], f.type) for k, f in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", *(f.name for f in fields)])
+
+    return df.select("id", "pixels").mapInArrow(run, f"id {kind}, {schema}")
+
+
+def warped(df: DataFrame, value: str, matrix, tile: int = 256, lobes: int = 4, by: list[str] = ()) -> DataFrame:
+    """row, col, value of df (row, col, value) moved by a near-identity affine ``matrix`` (2 x 3, from destination to source).
+
+    The halo covers how far the map moves a tile's pixels within the extent of df, which is two aggregates; null where the support leaves the image.
+    """
+    m = np.asarray(matrix, float)
+    ends = df.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
+    if ends[0] is None:
+        return df.select(*by, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col(value).cast("double").alias(value))
+    corners = np.array([[r, c, 1.0] for r in ends[:2] for c in ends[2:]])
+    halo = int(np.ceil(np.abs(corners @ m.T - corners[:, :2]).max())) + lobes + 1
+
+    def kernel(a):
+        r, c = np.mgrid[0 : tile + 2 * halo, 0 : tile + 2 * halo].astype(float)
+        r0, c0 = a["__row"], a["__col"]
+        y, x = (m[k, 0] * (r + r0) + m[k, 1] * (c + c0) + m[k, 2] for k in (0, 1))
+        return {value: lanczos(a[value], y - r0, x - c0, lobes)}
+
+    return tiled(df, [value], tile, halo, kernel, [value], by)
+
+
 def zoomed(image: np.ndarray, z: int) -> np.ndarray:
     """``image`` on a grid ``z`` times as fine, by zeros around its spectrum; every z-th sample is the image's own."""
     if z < 1:

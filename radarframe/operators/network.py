@@ -37,3 +37,48 @@ def components(vertices: DataFrame, edges: DataFrame, checkpoint) -> DataFrame:
         if moved.where("component <> was").isEmpty():
             return moved.select("id", "component")
         labels = moved.select("id", "component")
+
+
+def selected(pairs: DataFrame, time_weight: float = 1.0, base_weight: float = 1.0, max_dt: float | None = None, max_db: float | None = None, max_degree: int | None = None, max_pairs: int | None = None, connect: bool = True, by: str = "stack") -> DataFrame:
+    """by, id1, id2, cost, bridge: of each stack's pairs (by, id1, id2, dt, db) those a greedy choice keeps.
+
+    The cheapest pair that breaks no limit is added until none is left; costs add up and limits only
+    tighten, so one pass in order of cost does that. With ``connect``, the cheapest pairs between components
+    follow as bridges, whatever the limits. Equal costs go by id1, then id2. Filters by pair run in Spark; a
+    stack's pairs are one group, bounded by the square of its acquisitions.
+    """
+    cost = time_weight * F.col("dt") + base_weight * F.col("db")
+    fits = F.lit(True)
+    for c, top in (("dt", max_dt), ("db", max_db)):
+        fits = fits if top is None else fits & (F.col(c) <= top)
+    rows = pairs.select(by, "id1", "id2", cost.cast("double").alias("cost"), fits.alias("fits"))
+    kinds = dict(rows.dtypes)
+
+    def choose(pdf):
+        pdf = pdf.sort_values(["cost", "id1", "id2"], kind="stable")
+        degree: dict = {}
+        parent: dict = {}
+        keep, bridge = [], []
+
+        def find(k):
+            while parent.setdefault(k, k) != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        rows = list(pdf[["id1", "id2", "fits"]].itertuples(index=False))
+        for n, (a, b, ok) in enumerate(rows):
+            if ok and (max_pairs is None or len(keep) < max_pairs) and (max_degree is None or max(degree.get(a, 0), degree.get(b, 0)) < max_degree):
+                keep.append(n)
+                degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+                parent[find(a)] = find(b)
+        if connect:
+            for n, (a, b, _) in enumerate(rows):
+                if find(a) != find(b):
+                    bridge.append(n)
+                    parent[find(a)] = find(b)
+        out = pdf.iloc[[*keep, *bridge]][[by, "id1", "id2", "cost"]].copy()
+        out["bridge"] = [False] * len(keep) + [True] * len(bridge)
+        return out
+
+    return rows.groupBy(by).applyInPandas(choose, f"{by} {kinds[by]}, id1 {kinds['id1']}, id2 {kinds['id2']}, cost double, bridge boolean")

@@ -60,5 +60,88 @@ def planar(series: DataFrame, axes: DataFrame, key: str = "t") -> DataFrame:
     turned = F.col("phi") - (F.col("sx") * F.col("x") + F.col("sy") * F.col("y"))
     sums = series.crossJoin(F.broadcast(axes)).groupBy(key, "idx", "sx", "sy").agg(F.count("*").alias("n"), F.sum(F.cos(turned)).alias("c"), F.sum(F.sin(turned)).alias("s"))
     gamma = F.round(F.sqrt(F.col("c") * F.col("c") + F.col("s") * F.col("s")) / F.col("n"), 6)
-    best = sums.groupBy(key).agg(F.max(F.struct(gamma.alias("gamma"), (-F.col("idx")).alias("back"), "n", "idx", "sx", "sy")).alias("b"))
-    return best.select(key, "b.n", "b.gamma", "b.idx", "b.sx", "b.sy")
+    best = sums.groupBy(key).agg(F.max(F.struct(gamma.alias("gamma"), (-F.col("idx")).alias("back"), "n", "idx", "sx", "sy", F.atan2("s", "c").alias("bias"))).alias("b"))
+    return best.select(key, "b.n", "b.gamma", "b.idx", "b.sx", "b.sy", "b.bias")
+
+
+def refined(series: DataFrame, coarse: DataFrame, features: dict[str, str], steps: dict[str, float], key: str = "ps") -> DataFrame:
+    """``coarse`` (key, parameters) climbed from its grid node to the peak of coherence, at most one grid step away.
+
+    Newton steps, halved until coherence grows; a key's samples are its acquisitions, so one group is small.
+    """
+    names, kinds = list(features), dict(series.dtypes)
+    met = series.select(key, "phi", *features.values()).join(coarse.select(key, *(F.col(n).alias(f"__{n}") for n in names)), key)
+
+    def climb(pdf):
+        import numpy as np
+        import pandas as pd
+
+        f, phi = pdf[list(features.values())].to_numpy(float), pdf["phi"].to_numpy(float)
+        f, phi = f[~np.isnan(phi)], phi[~np.isnan(phi)]
+        start = pdf[[f"__{n}" for n in names]].iloc[0].to_numpy(float)
+        reach = np.array([steps[n] for n in names])
+
+        def power(x):
+            z = np.exp(1j * (phi - f @ x))
+            return abs(z.sum()) ** 2, z
+
+        x, (best, z) = start, power(start)
+        for _ in range(50):
+            s, d = z.sum(), -1j * (f.T @ z)
+            slope = 2 * (np.conj(s) * d).real
+            bend = 2 * (np.conj(d)[:, None] * d[None, :] - np.conj(s) * ((f * z[:, None]).T @ f)).real
+            scale = np.abs(np.linalg.eigvalsh(bend)).max() or 1.0
+            move = np.linalg.solve(-bend, slope) if np.linalg.eigvalsh(-bend).min() > 1e-9 * scale else slope / scale
+            for _ in range(30):
+                there = np.clip(x + move, start - reach, start + reach)
+                value, turned = power(there)
+                if value > best:
+                    break
+                move = move / 2
+            else:
+                break
+            gain, x, best, z = value - best, there, value, turned
+            if gain < 1e-13 * best:
+                break
+        return pd.DataFrame([[pdf[key].iloc[0], *x, np.sqrt(best) / max(1, len(phi))]], columns=[key, *names, "gamma"])
+
+    return met.groupBy(key).applyInPandas(climb, f"{key} {kinds[key]}, " + ", ".join(f"{n} double" for n in names) + ", gamma double")
+
+
+def alternated(series: DataFrame, places: DataFrame, features: dict[str, str], ps_grid: DataFrame, plane_grid: DataFrame, limits: dict[str, float], checkpoint, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Planes of each date and rates of each scatterer, estimated in turn until rates change less than ``limits`` or rounds end.
+
+    ``series`` is (ps, t, phi, features), ``places`` (ps, x, y); ``checkpoint`` cuts a table's lineage. One scalar row
+    a round reaches the driver. Returned are (t, sx, sy, bias, ...) and (ps, parameters, gamma).
+    """
+    own = list(features)
+    data = checkpoint(series.join(places, "ps"))
+    rates, planes = None, None
+    for _ in range(rounds):
+        if rates is None:
+            left = data
+        else:
+            model = sum((F.col(p) * F.col(f) for p, f in features.items()), F.lit(0.0))
+            left = data.join(rates.select("ps", *own), "ps").withColumn("phi", F.col("phi") - model)
+        planes = checkpoint(planar(left.select("t", "x", "y", "phi"), plane_grid))
+        flat = data.join(F.broadcast(planes.select("t", "sx", "sy", "bias")), "t")  # a row a date
+        flat = flat.withColumn("phi", F.col("phi") - F.col("sx") * F.col("x") - F.col("sy") * F.col("y") - F.col("bias"))
+        now = checkpoint(periodogram(flat, features, ps_grid))
+        if rates is not None:
+            moved = rates.select("ps", *(F.col(p).alias(f"__{p}") for p in own)).join(now, "ps").agg(*(F.max(F.abs(F.col(p) - F.col(f"__{p}"))).alias(p) for p in own)).first()
+            if all(moved[p] is None or moved[p] < limits[p] for p in own):
+                return planes, now
+        rates = now
+    return planes, rates
+
+
+def full(series: DataFrame, places: DataFrame, features: dict[str, str], ps_grid: DataFrame, plane_grid: DataFrame, limits: dict[str, float], steps: dict[str, float], checkpoint, dispersion_below: float = 0.25, gamma_above: float = 0.9) -> DataFrame:
+    """Persistent scatterers of ``series`` (ps, t, phi, amp, features): stable amplitudes, planes removed, rates refined, coherent ones kept.
+
+    ps, parameters, gamma of those whose coherence exceeds ``gamma_above``.
+    """
+    chosen = checkpoint(series.join(dispersion(series).where(F.col("da") < dispersion_below).select("ps"), "ps", "left_semi"))
+    planes, rates = alternated(chosen.drop("amp"), places, features, ps_grid, plane_grid, limits, checkpoint)
+    flat = chosen.join(places, "ps").join(F.broadcast(planes.select("t", "sx", "sy", "bias")), "t")
+    flat = flat.withColumn("phi", F.col("phi") - F.col("sx") * F.col("x") - F.col("sy") * F.col("y") - F.col("bias"))
+    return refined(flat, rates, features, steps).where(F.col("gamma") > gamma_above)

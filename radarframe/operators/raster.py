@@ -112,3 +112,24 @@ def gaussian_weights(size: int) -> list[float]:
     half = int(4 * sigma + 0.5)
     raw = [math.exp(-k * k / (2 * sigma * sigma)) for k in range(-half, half + 1)]
     return [r / sum(raw) for r in raw]
+
+
+def quadric_peaks(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
+    """row, col, y, x of pixels that are the first largest of their 3 x 3 neighbourhood, with the top of the least-squares quadric.
+
+    Border pixels have no whole neighbourhood; where the quadric has no maximum there is no row.
+    """
+    w = along("col", "row", by)
+    df = df.select(*by, "row", "col", F.struct(F.lag(value).over(w).alias("l"), F.col(value).alias("m"), F.lead(value).over(w).alias("r")).alias("mid"))
+    w = along("row", "col", by)
+    df = df.withColumn("top", F.lag("mid").over(w)).withColumn("low", F.lead("mid").over(w))
+    z = [F.col(f"{r}.{k}") for r in ("top", "mid", "low") for k in "lmr"]
+    for n, x in enumerate(z):
+        df = df.withColumn(f"z{n}", x)
+    z = [F.col(f"z{n}") for n in range(9)]
+    whole = df.where(" and ".join(f"z{n} is not null" for n in range(9))).where((z[4] > F.greatest(*z[:4])) & (z[4] >= F.greatest(*z[5:])))
+    left, right, up, down = z[0] + z[3] + z[6], z[2] + z[5] + z[8], z[0] + z[1] + z[2], z[6] + z[7] + z[8]
+    gx, gy = (right - left) / 6, (down - up) / 6
+    a, b, k = (right + left - 2 * (z[1] + z[4] + z[7])) / 6, (down + up - 2 * (z[3] + z[4] + z[5])) / 6, (z[8] + z[0] - z[2] - z[6]) / 4
+    det = 4 * a * b - k * k
+    return whole.where((a < 0) & (det > 1e-6)).select(*by, "row", "col", (F.col("row") + (k * gx - 2 * a * gy) / det).alias("y"), (F.col("col") + (k * gy - 2 * b * gx) / det).alias("x"))

@@ -243,7 +243,7 @@ def planar_periodogram_grid(spark, sf_dir):
 
     u = c("user_id")
     o = table(spark, sf_dir, "events").select((u % 4).alias("t"), (u % 17).cast("double").alias("x"), (u % 13).cast("double").alias("y"), c("value").alias("phi"))
-    return psi.planar(o, psi.grid(spark, {"sx": _PLANE, "sy": _PLANE}))
+    return psi.planar(o, psi.grid(spark, {"sx": _PLANE, "sy": _PLANE})).drop("bias")
 
 
 @query(
