@@ -191,8 +191,12 @@ def rgb(hue: Column, value: Column) -> dict[str, Column]:
     return {"r": channel(5.0), "g": channel(3.0), "b": channel(1.0)}
 
 
-def burst_numbers(sensing: Column, anx: Column, relative_orbit: Column, absolute_orbit: Column, orbit_s: float, cycle_s: float, preamble: float, beam: float, per_cycle: int) -> tuple[Column, Column]:
-    """Relative and absolute burst number of a mid-burst sensing time."""
-    since = sensing - anx + (relative_orbit - 1) * orbit_s
-    whole = since + (absolute_orbit - relative_orbit) * cycle_s
-    return (1 + F.pmod(F.floor((since - preamble) / beam), F.lit(per_cycle))).cast("long"), (1 + F.floor((whole - preamble) / beam)).cast("long")
+#: Seconds of a beam cycle and of the preamble; bursts and orbits of a cycle of twelve days. Fixed values.
+T_BEAM, T_PREAMBLE, CYCLE_BURSTS, CYCLE_ORBITS = 2.758273, 2.299849, 375887, 175
+
+
+def burst_numbers(sensing: Column, anx: Column, relative_orbit: Column, absolute_orbit: Column) -> tuple[Column, Column]:
+    """Relative and absolute burst number of a mid-burst sensing time; for the absolute one, an orbit lasts a whole number of bursts a cycle."""
+    since = sensing - anx + (relative_orbit - 1) * (12 * 86400 / CYCLE_ORBITS)
+    whole = since + (absolute_orbit - relative_orbit) * (T_BEAM * CYCLE_BURSTS / CYCLE_ORBITS)
+    return (1 + F.pmod(F.floor((since - T_PREAMBLE) / T_BEAM), F.lit(CYCLE_BURSTS))).cast("long"), (1 + F.floor((whole - T_PREAMBLE) / T_BEAM)).cast("long")

@@ -151,6 +151,20 @@ def project(points: DataFrame, orbit: Orbit, half_wave_doppler: float = 0.0) ->
     return _batched(points, ["x", "y", "z"], lambda x, y, z: list(closest_approach(orbit, np.stack([x, y, z], 1), half_wave_doppler)), "azt double, rng double, incidence double, converged boolean")
 
 
+def project_with_look(points: DataFrame, orbit: Orbit, half_wave_doppler: float = 0.0) -> DataFrame:
+    """What :func:`project` gives, with the unit vector lx, ly, lz from the sensor to the point and the angle ``off`` from the sensor's nadir in radians."""
+
+    def solve(x, y, z):
+        ground = np.stack([x, y, z], 1)
+        t, r, incidence, done = closest_approach(orbit, ground, half_wave_doppler)
+        s = orbit.at(t)
+        look = (ground - s) / r[:, None]
+        off = np.arccos(np.clip(-(look * s).sum(1) / np.linalg.norm(s, axis=1), -1, 1))
+        return [t, r, incidence, done, *(np.ascontiguousarray(look[:, k]) for k in range(3)), off]
+
+    return _batched(points, ["x", "y", "z"], solve, "azt double, rng double, incidence double, converged boolean, lx double, ly double, lz double, off double")
+
+
 def localize(points: DataFrame, orbit: Orbit, right: bool = True) -> DataFrame:
     """id, x, y, z, converged of image points (id, azt, rng, alt)."""
 

@@ -247,12 +247,12 @@ def planar_periodogram_grid(spark, sf_dir):
 
 
 @query(
-    f"""WITH {POINTS}, t AS (SELECT id, 1.5e9 + id * 1.375 AS t0, 1.5e9 + (id % 5) * 10 AS anx, id % 175 + 1 AS rel, id % 175 + 1 + 175 * (id % 4) AS ab FROM pt)
-    SELECT id, CAST(1 + floor((t0 - anx + (rel - 1) * 5924.571428 - 2.299849) / 2.758273) - 375887 * floor(floor((t0 - anx + (rel - 1) * 5924.571428 - 2.299849) / 2.758273) / 375887) AS BIGINT) AS rel_id,
-    CAST(1 + floor((t0 - anx + (rel - 1) * 5924.571428 + (ab - rel) * 5924.571429 - 2.299849) / 2.758273) AS BIGINT) AS abs_id FROM t"""
+    f"""WITH {POINTS}, t AS (SELECT id, CAST(1.5e9 AS DOUBLE) + id * 1.375 AS t0, CAST(1.5e9 AS DOUBLE) + (id % 5) * 10 AS anx, id % 175 + 1 AS rel, id % 175 + 1 + 175 * (id % 4) AS ab FROM pt)
+    SELECT id, CAST(1 + floor((t0 - anx + (rel - 1) * (1036800 / 175.0) - 2.299849) / 2.758273) - 375887 * floor(floor((t0 - anx + (rel - 1) * (1036800 / 175.0) - 2.299849) / 2.758273) / 375887) AS BIGINT) AS rel_id,
+    CAST(1 + floor((t0 - anx + (rel - 1) * (1036800 / 175.0) + (ab - rel) * (2.758273 * 375887 / 175) - 2.299849) / 2.758273) AS BIGINT) AS abs_id FROM t"""
 )
 def burst_ids(spark, sf_dir):
     i = c("id")
     rel = i % 175 + 1
-    r, a = phase.burst_numbers(1.5e9 + i * 1.375, 1.5e9 + (i % 5) * 10, rel, rel + 175 * (i % 4), 5924.571428, 5924.571429, 2.299849, 2.758273, 375887)
+    r, a = phase.burst_numbers(1.5e9 + i * 1.375, 1.5e9 + (i % 5) * 10, rel, rel + 175 * (i % 4))
     return points(spark, sf_dir).select("id", r.alias("rel_id"), a.alias("abs_id"))
