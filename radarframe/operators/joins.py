@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,19 @@ def nearest_records(points: DataFrame, records: DataFrame, key: str, n: int = 1)
     lists = records.groupBy(key).agg(F.collect_list(F.struct(*own)).alias("recs"))
     ranked = F.expr(f"slice(array_sort(transform(recs, r -> named_struct('d', abs(r.rt - t), 'i', r.idx, 'r', r))), 1, {n})")
     return points.join(lists, key).withColumn("near", ranked).drop("recs")
+
+
+def best_containing(segments: DataFrame, files: DataFrame, rank: Column, longest: float, bin_width: float) -> DataFrame:
+    """seg and the smallest ``rank`` (a struct over the file's columns) of the files that strictly contain each segment of at most ``longest``.
+
+    Files that hold a whole time bin, and the longest segment beyond it, are reduced to the bin's best by partial
+    aggregates; only files that begin or end in a bin meet its segments one by one. Segments without a file are left out.
+    """
+    f = files.withColumn("__r", rank)
+    f = f.withColumn("__b", F.explode(F.sequence(F.floor(F.col("f_start") / bin_width), F.floor(F.col("f_end") / bin_width))))
+    holds = (F.col("f_start") < F.col("__b") * bin_width) & (F.col("f_end") > (F.col("__b") + 1) * bin_width + longest)
+    s = segments.withColumn("__b", F.floor(F.col("s_start") / bin_width))
+    whole = f.where(holds).groupBy("__b").agg(F.min("__r").alias("__r"))
+    part = f.where(~holds).select("__b", "__r", "f_start", "f_end")
+    met = s.join(whole, "__b").select("seg", "__r").unionByName(s.join(part, "__b").where("f_start < s_start and f_end > s_end").select("seg", "__r"))
+    return met.groupBy("seg").agg(F.min("__r").alias("best"))

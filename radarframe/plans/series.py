@@ -70,7 +70,7 @@ def orbit_file_select(spark, sf_dir):
     )
     s = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seg"), day("o_orderdate").alias("s_start"), (day("o_orderdate") + 0.001).alias("s_end"))
     rank = F.struct(F.when(F.col("quality") == "POEORB", 0).otherwise(1).alias("q"), (-F.col("fid")).alias("back"), "fid", "quality")
-    return joins.containment_join(s, f).groupBy("seg").agg(F.min(rank).alias("b")).select("seg", "b.fid", "b.quality")
+    return joins.best_containing(s, f, rank, longest=0.002, bin_width=0.125).select("seg", "best.fid", "best.quality")
 
 
 @query(f"WITH {PRODUCT} SELECT platform, id // 4 AS block FROM product GROUP BY 1, 2 HAVING count(*) = count(DISTINCT substr(pid, 18, 15)) AND NOT bool_or(status = 'P')")

@@ -43,6 +43,17 @@ def test_containment_is_strict(spark):
     assert [r.fid for r in joins.containment_join(s, f).collect()] == [3]
 
 
+def test_best_containing_file_equals_brute_force(spark):
+    segs = [(k, k * 0.37, k * 0.37 + 0.05 * (k % 3)) for k in range(60)]
+    files = [(k, (k * 0.731) % 23 - 1, (k * 0.731) % 23 - 1 + 0.4 + (k * 0.17) % 3) for k in range(80)]
+    files += [(80, 2 * 0.37, 9.0), (81, 1.0, 10 * 0.37 + 0.05)]  # touch a segment's start and end
+    s, f = spark.createDataFrame(segs, "seg long, s_start double, s_end double"), spark.createDataFrame(files, "fid long, f_start double, f_end double")
+    for width in (0.25, 1.0, 7.0):
+        got = {r.seg: r.best.k for r in joins.best_containing(s, f, F.struct((-F.col("fid")).alias("k")), 0.1, width).collect()}
+        want = {seg: -max(hits) for seg, a, b in segs if (hits := [k for k, x, y in files if x < a and y > b])}
+        assert got == want
+
+
 def test_distance_join_equals_brute_force(spark):
     pts = [(k, (k * 37 % 101) / 3, (k * 53 % 97) / 3) for k in range(150)]
     got = {(r.a, r.b) for r in joins.within_distance(spark.createDataFrame(pts, "id long, x double, y double"), 4.0).collect()}
