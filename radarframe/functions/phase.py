@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column
@@ -200,3 +201,48 @@ def burst_numbers(sensing: Column, anx: Column, relative_orbit: Column, absolute
     since = sensing - anx + (relative_orbit - 1) * (12 * 86400 / CYCLE_ORBITS)
     whole = since + (absolute_orbit - relative_orbit) * (T_BEAM * CYCLE_BURSTS / CYCLE_ORBITS)
     return (1 + F.pmod(F.floor((since - T_PREAMBLE) / T_BEAM), F.lit(CYCLE_BURSTS))).cast("long"), (1 + F.floor((whole - T_PREAMBLE) / T_BEAM)).cast("long")
+
+
+#: UTM: scale on the central meridian, false easting in metres, false northing of the south. Fixed values.
+UTM_SCALE, UTM_EAST, UTM_SOUTH = 0.9996, 500_000.0, 10_000_000.0
+
+
+def _krueger() -> tuple[float, list[float]]:
+    """Rectifying radius and forward coefficients of the transverse Mercator series to the fourth order of the third flattening."""
+    f = 1 - math.sqrt(1 - WGS84_E2)
+    n = f / (2 - f)
+    radius = WGS84_A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    return radius, [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280]
+
+
+def utm(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
+    """Easting and northing in metres of geodetic degrees in a zone's frame; south of the equator with the false northing."""
+    e = math.sqrt(WGS84_E2)
+    phi, lam = F.radians(lat), F.radians(lon - (zone * 6 - 183))
+    radius, alpha = _krueger()
+    t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
+    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+    north = xi + sum((a * F.sin(2 * (k + 1) * xi) * F.cosh(2 * (k + 1) * eta) for k, a in enumerate(alpha)), F.lit(0.0))
+    east = eta + sum((a * F.cos(2 * (k + 1) * xi) * F.sinh(2 * (k + 1) * eta) for k, a in enumerate(alpha)), F.lit(0.0))
+    return UTM_EAST + UTM_SCALE * radius * east, UTM_SCALE * radius * north + F.when(lat < 0, UTM_SOUTH).otherwise(0.0)
+
+
+def from_utm(east: Column, north: Column, zone: Column, south: Column) -> tuple[Column, Column]:
+    """Longitude and latitude in degrees of a place in a zone's frame; ``south`` tells of the false northing."""
+    f = 1 - math.sqrt(1 - WGS84_E2)
+    n = f / (2 - f)
+    radius = _krueger()[0]
+    beta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280]
+    delta = [2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630]
+    xi = (north - F.when(south, UTM_SOUTH).otherwise(0.0)) / (UTM_SCALE * radius)
+    eta = (east - UTM_EAST) / (UTM_SCALE * radius)
+    x = xi - sum((b * F.sin(2 * (k + 1) * xi) * F.cosh(2 * (k + 1) * eta) for k, b in enumerate(beta)), F.lit(0.0))
+    y = eta - sum((b * F.cos(2 * (k + 1) * xi) * F.sinh(2 * (k + 1) * eta) for k, b in enumerate(beta)), F.lit(0.0))
+    chi = F.asin(F.sin(x) / F.cosh(y))
+    lat = chi + sum((d * F.sin(2 * (k + 1) * chi) for k, d in enumerate(delta)), F.lit(0.0))
+    return F.degrees(F.atan2(F.sinh(y), F.cos(x))) + zone * 6 - 183, F.degrees(lat)
+
+
+def surface(coefficients: list[list[float]], x: Column, y: Column) -> Column:
+    """Sum of coefficients[i][j] x^i y^j, in nested Horner form."""
+    return horner([horner(list(map(float, row)), y) for row in coefficients], x)
