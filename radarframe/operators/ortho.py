@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 WHOLE = 1 - 1e-9
 
 
-def sampled(raster: DataFrame, at: DataFrame, values: list[str], keep: list[str]) -> DataFrame:
+def sampled(raster: DataFrame, at: DataFrame, values: list[str], keep: list[str], by: list[str] = ()) -> DataFrame:
     """``at`` (keep..., y, x) with the values of raster (row, col, values...) interpolated bilinearly; null where a corner that counts is missing.
 
+    ``by`` names those of the kept columns that tell several rasters apart.
+
     Corners without weight aren't looked up, so that places on the last row or column have a value. One equi-join on the pixel,
     one aggregation by place; a place without y or x keeps its row.
     """
     corner = F.explode_outer(F.filter(F.array(*(F.struct((F.floor("y") + i).alias("row"), (F.floor("x") + j).alias("col"), (_part("y", i) * _part("x", j)).alias("w")) for i in (0, 1) for j in (0, 1))), lambda p: p["w"] > 0))
     met = at.select(*keep, "y", "x", corner.alias("__c")).select(*keep, "y", "x", F.col("__c.row").alias("row"), F.col("__c.col").alias("col"), F.col("__c.w").alias("__w"))
-    met = met.join(raster.select("row", "col", *values), ["row", "col"], "left")
+    met = met.join(raster.select(*by, "row", "col", *values), [*by, "row", "col"], "left")
     there = lambda v: F.sum(F.when(F.col(v).isNotNull(), F.col("__w")))
     return met.groupBy(*keep, "y", "x").agg(*(F.when(there(v) > WHOLE, F.sum(F.col("__w") * F.col(v))).alias(v) for v in values))
 
