@@ -277,3 +277,72 @@ def unwrapped(phi: np.ndarray) -> tuple[np.ndarray, int]:
     first = phi[0, 0] + np.concatenate([[0.0], np.cumsum(gy[:, 0])])
     surface = first[:, None] + np.concatenate([np.zeros((h, 1)), np.cumsum(gx, axis=1)], 1)
     return phi + 2 * np.pi * np.rint((surface - phi) / (2 * np.pi)), sum(map(abs, flow.values()))
+
+
+def unwrapped_raster(df: DataFrame, checkpoint: Callable[[DataFrame], DataFrame], size: int = 256, by: list[str] = ()) -> DataFrame:
+    """df (by..., row, col, phi) with ``unwrapped``: each tile by least cost, and tiles moved by whole turns until they agree.
+
+    Across a tile's border each pair of neighbours tells by how many turns the tiles differ; the pair's commonest number counts,
+    and tiles are joined along the tree of the pairs with most votes. Only tiles, pixels by size squared, meet in that one task.
+    Pixels without a phase take the value of none and get none. Tiles are kept by ``checkpoint``, since they are read at their borders and again at the end.
+    """
+    by = list(by)
+    tile = [F.floor(F.col("row") / size).alias("__r"), F.floor(F.col("col") / size).alias("__c")]
+    kinds = dict(df.dtypes)
+    phases = df.select(*by, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("phi").cast("double").alias("phi"))
+
+    def one(a):
+        known = ~np.isnan(a["phi"])
+        out = np.full(a["phi"].shape, np.nan)
+        if known.any():
+            r, c = np.nonzero(known)
+            box = np.s_[r.min() : r.max() + 1, c.min() : c.max() + 1]
+            out[box] = unwrapped(np.where(known, a["phi"], 0.0)[box])[0] if min(out[box].shape) > 1 else np.unwrap(np.where(known, a["phi"], 0.0)[box].ravel()).reshape(out[box].shape)
+            out[~known] = np.nan
+        return {"u": out}
+
+    parts = tiled(phases, ["phi"], size, 0, one, ["u"], by).join(phases, [*by, "row", "col"]).select(*by, "row", "col", "phi", "u", *tile)
+    parts = checkpoint(parts)
+    edge = lambda axis: (F.col(axis) % size == 0)
+    before = [parts.where((F.col(a) + 1) % size == 0).select(*by, (F.col("row") + int(a == "row")).alias("row"), (F.col("col") + int(a == "col")).alias("col"), F.col("phi").alias("__p"), F.col("u").alias("__u"), F.col("__r").alias("__r0"), F.col("__c").alias("__c0")) for a in ("row", "col")]
+    votes = None
+    for a, b in zip(("row", "col"), before, strict=True):
+        met = parts.where(edge(a)).join(b, [*by, "row", "col"]).where("u is not null and __u is not null and not isnan(u) and not isnan(__u)")
+        step = F.pmod(F.col("phi") - F.col("__p") + np.pi, F.lit(2 * np.pi)) - np.pi
+        met = met.groupBy(*by, "__r0", "__c0", "__r", "__c", F.rint((F.col("__u") + step - F.col("u")) / (2 * np.pi)).cast("long").alias("turns")).count()
+        votes = met if votes is None else votes.unionByName(met)
+    votes = votes.groupBy(*by, "__r0", "__c0", "__r", "__c").agg(F.max_by(F.struct("turns", "count"), F.struct("count", "turns")).alias("v"))
+    votes = votes.select(*by, "__r0", "__c0", "__r", "__c", "v.turns", "v.count")
+
+    def join_up(pdf):
+        import pandas as pd
+
+        parent, offset = {}, {}
+
+        def find(k):
+            turns, path = 0, []
+            while parent.setdefault(k, k) != k:
+                path.append(k)
+                k = parent[k]
+            for p in reversed(path):  # offsets become relative to the root
+                turns += offset[p]
+                parent[p], offset[p] = k, turns
+            return k
+
+        for e in pdf.sort_values(["count", "__r0", "__c0", "__r", "__c"], ascending=[False, True, True, True, True]).itertuples(index=False):
+            r0, c0, r, c, turns = (int(e[len(by) + k]) for k in range(5))
+            a, b = find((r0, c0)), find((r, c))
+            if a != b:
+                there = offset.get((r0, c0), 0) + turns - offset.get((r, c), 0)  # of b's root against a's
+                low, high, move = (a, b, there) if a < b else (b, a, -there)
+                parent[high], offset[high] = low, move
+        tiles = list(parent)
+        moved = []
+        for k in tiles:
+            find(k)
+            moved.append(offset.get(k, 0))
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in by}, "__r": [k[0] for k in tiles], "__c": [k[1] for k in tiles], "turns": moved})
+
+    kept = "".join(f"{k} {kinds[k]}, " for k in by)
+    moves = votes.groupBy(*by).applyInPandas(join_up, f"{kept}__r long, __c long, turns long")
+    return parts.join(moves, [*by, "__r", "__c"], "left").select(*by, "row", "col", "phi", (F.col("u") + F.coalesce("turns", F.lit(0)) * (2 * np.pi)).alias("unwrapped"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from radarframe.operators import kernels, ortho
+from radarframe.operators import geometry, kernels, ortho
 
 _AXES = ("col", "row", "to_col", "to_row")
 
@@ -95,3 +97,42 @@ def mosaic(pixels: DataFrame, parts: DataFrame, values: list[str]) -> DataFrame:
     met = pixels.join(parts.select("acquisition", "swath", "burst", "read", "write"), ["acquisition", "swath", "burst"])
     inside = (c("col") >= c("read.col")) & (c("col") < c("read.col") + c("read.w")) & (c("row") >= c("read.row")) & (c("row") < c("read.row") + c("read.h"))
     return met.where(inside).select("acquisition", (c("row") - c("read.row") + c("write.row")).alias("row"), (c("col") - c("read.col") + c("write.col")).alias("col"), *values)
+
+
+def matches(dem: DataFrame, primary: geometry.Orbit, secondaries: dict[str, geometry.Orbit], timings: dict[str, tuple[float, float, float, float]], primary_id: str) -> DataFrame:
+    """(product, col, row, to_col, to_row): places of the height model's points (row, col, x, y, z) in the primary and in each secondary.
+
+    ``timings`` give by product its first time, lines a second, first range and metres a sample. Points are projected where they
+    lie; the primary's places are joined to the others' by point.
+    """
+    points = dem.select(F.struct("row", "col").alias("id"), "x", "y", "z")
+
+    def placed(orbit: geometry.Orbit, product: str, row: str, col: str) -> DataFrame:
+        t0, frequency, r0, step = timings[product]
+        p = geometry.project(points, orbit).where("converged")
+        return p.select("id", ((F.col("azt") - t0) * frequency).alias(row), ((F.col("rng") - r0) / step).alias(col))
+
+    first = placed(primary, primary_id, "row", "col")
+    others = None
+    for product, orbit in secondaries.items():
+        one = placed(orbit, product, "to_row", "to_col").select(F.lit(product).alias("product"), "*")
+        others = one if others is None else others.unionByName(one)
+    return others.join(first, "id").select("product", "col", "row", "to_col", "to_row")
+
+
+def crops(images: DataFrame, maps: DataFrame, primary_id: str, rectangle: tuple[int, int, int, int], checkpoint: Callable[[DataFrame], DataFrame] | None = None, block: int = 2048) -> DataFrame:
+    """Crops (product, row, col, re, im) of a primary and its secondaries in the primary's rectangle.
+
+    ``images`` (product, row, col, re, im) are whole images; ``maps`` (product, matrix) take the primary to each secondary. With a
+    ``checkpoint``, which keeps the first round's crops, the maps are refined by phase correlation on amplitudes, and the images are resampled again.
+    """
+    col, row, w, h = rectangle
+    inside = F.col("row").between(row, row + h - 1) & F.col("col").between(col, col + w - 1)
+    own = images.where((F.col("product") == primary_id) & inside).select("product", (F.col("row") - row).alias("row"), (F.col("col") - col).alias("col"), "re", "im")
+    others = images.where(F.col("product") != primary_id)
+    if checkpoint is not None:
+        amp = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im"))
+        rough = checkpoint(resampled(others, maps, ["product"], ["re", "im"], rectangle))
+        moves = shifts(own.withColumn("amp", amp), rough.withColumn("amp", amp), ["product"], block=block)
+        maps = shifted(maps, moves, ["product"])
+    return own.unionByName(resampled(others, maps, ["product"], ["re", "im"], rectangle))

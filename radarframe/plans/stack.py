@@ -7,10 +7,11 @@ import math
 from pyspark.sql import functions as F
 
 from radarframe.functions import phase
-from radarframe.operators import bursts, correction, ortho, predict, spline
+from radarframe.operators import bursts, correction, kernels, ortho, predict, spline
 from radarframe.plans.catalogue import query, table
 from radarframe.plans.dense import circular_orbit
 from radarframe.plans.pixels import PAIR, POINTS, RASTER, pairs, pixels, points, sql_wrap
+from radarframe.plans.series import _written
 from radarframe.sources import store, tiff
 
 c = F.col
@@ -213,3 +214,15 @@ def coarse_footprint(spark, sf_dir):
     k = c("p_partkey")
     products = table(spark, sf_dir, "part").select(k.alias("id"), one.alias("states"), (k % 90 - 45).alias("first_azt"), F.lit(400.0).alias("azimuth_frequency"), (830_000 + k % 50 * 400).alias("first_rng"), F.lit(2.5).alias("range_step"), F.lit(9000).alias("w"), F.lit(3000).alias("h"))
     return predict.bounds(predict.coarse_footprints(products)).select("id", *(_R(v, 5).alias(v) for v in ("lon_min", "lon_max", "lat_min", "lat_max")))
+
+
+_SURFACE = "0.11 * row + 0.0007 * row * col - 0.4 * col + 3 * sin(row / 40.0)"
+
+
+@query(f"WITH {RASTER}, f AS (SELECT row, col, {_SURFACE} AS f FROM raster), o AS (SELECT f AS f0 FROM f WHERE row = 0 AND col = 0) SELECT row, col, round(f - f0, 4) AS u FROM f, o")
+def unwrap_tiles(spark, sf_dir):
+    """A surface found again from its wrapped phase, tile by tile, up to its first value."""
+    f = 0.11 * c("row") + 0.0007 * c("row") * c("col") - 0.4 * c("col") + 3 * F.sin(c("row") / 40.0)
+    done = kernels.unwrapped_raster(pixels(spark, sf_dir).select("row", "col", phase.wrap(f).alias("phi")), _written, 32)
+    first = done.where("row = 0 and col = 0").select(c("unwrapped").alias("u0"))
+    return done.join(F.broadcast(first), c("u0").isNotNull()).select("row", "col", _R(c("unwrapped") - c("u0"), 4).alias("u"))

@@ -79,3 +79,74 @@ def test_a_crop_of_two_datatakes_fails(spark):
     two = spark.createDataFrame([(1, 0, 0, 3.0, 1.0, 2.0), (2, 0, 1, 3.0, 1.0, 2.0)], schema)
     with pytest.raises(Exception, match="several datatakes"):
         pipelines.ground_range_crop(two, at, nearest=True).collect()
+
+
+def test_tiles_are_unwrapped_and_joined_like_the_whole(spark, tmp_path):
+    y, x = np.mgrid[0:50, 0:61]
+    truth = 0.2 * y + 0.15 * x + 6 * np.exp(-((y - 20) ** 2 + (x - 30) ** 2) / 200)
+    truth += np.random.default_rng(7).normal(0, 0.3, truth.shape)
+    frames = [pd.DataFrame({"id": k, "row": y.ravel(), "col": x.ravel(), "phi": kernels.wrapped(truth * s).ravel()}) for k, s in ((1, 1.0), (2, -1.0))]
+    frames[0].loc[5, "phi"] = np.nan
+    kept = lambda df: df.cache()
+    got = kernels.unwrapped_raster(spark.createDataFrame(pd.concat(frames)), kept, 16, ["id"]).toPandas()
+    assert len(got) == 2 * truth.size
+    for k, s in ((1, 1.0), (2, -1.0)):
+        u = got[(got["id"] == k) & got["unwrapped"].notna()]
+        off = (u["unwrapped"] - s * truth[u["row"], u["col"]]) / (2 * np.pi)
+        assert np.abs(off - np.rint(off)).max() < 1e-9
+        assert (np.rint(off) == np.rint(off).mode()[0]).mean() > 0.99
+    assert got[(got["id"] == 1) & (got["row"] == 0) & (got["col"] == 5)]["unwrapped"].isna().all()
+
+
+def test_crops_are_refined_onto_the_primary(spark):
+    rng = np.random.default_rng(8)
+    z = rng.normal(size=(80, 80)) + 1j * rng.normal(size=(80, 80))
+    r, k = np.mgrid[0:80, 0:80].reshape(2, -1)
+    moved = np.roll(z, (4, 7), (0, 1))  # the map below knows of (2, 7)
+    rows = pd.concat([pd.DataFrame({"product": p, "row": r, "col": k, "re": a.real.ravel(), "im": a.imag.ravel()}) for p, a in (("a", z), ("b", moved))])
+    maps = spark.createDataFrame([("b", [1.0, 0.0, 7.0, 0.0, 1.0, 2.0])], "product string, matrix array<double>")
+    got = registration.crops(spark.createDataFrame(rows), maps, "a", (8, 8, 64, 64), lambda df: df.cache()).toPandas()
+    assert len(got) == 2 * 64 * 64
+    a, b = (got[got["product"] == p].sort_values(["row", "col"])[["re", "im"]].to_numpy() for p in "ab")
+    near = np.abs(a - b).reshape(64, 64, 2)[8:56, 8:56]
+    assert np.nanmean(near) < 0.1
+
+
+def test_time_series_has_whole_dates_only_on_the_primary_grid(spark):
+    from radarframe.operators import bursts
+
+    cuts = bursts.cut(spark.createDataFrame([("p", "iw1", k, 0, k * 8, 6, 10, k * 8.0, k * 8.0 + 10) for k in range(2)], "acquisition string, swath string, burst int, col int, row int, w int, h int, start double, end double"), 1.0)
+    rows = [(d, "iw1", b, r, k, 100.0 * (b * 8 + r - s) + k, float(b)) for d, s in (("d1", 0), ("d2", 1), ("d3", 0)) for b in range(1 if d == "d3" else 2) for r in range(12) for k in range(6)]
+    pixels = spark.createDataFrame(rows, "date string, swath string, burst int, row int, col int, re double, im double")
+    maps = spark.createDataFrame([(d, "iw1", b, [1.0, 0.0, 0.0, 0.0, 1.0, s]) for d, s in (("d2", 1.0), ("d3", 0.0)) for b in range(2)], "date string, swath string, burst int, matrix array<double>")
+    got = pipelines.time_series(pixels, cuts, maps, "d1", (1, 2, 4, 14)).toPandas()
+    assert set(got["date"]) == {"d1", "d2"} and len(got) == 2 * 4 * 14
+    assert (got["re"] == 100.0 * (got["row"] + 2) + got["col"] + 1).all()
+    assert not got.duplicated(["date", "row", "col"]).any()
+
+
+def test_matches_of_an_orbit_with_itself_are_the_same_places(spark):
+    from radarframe.operators import geometry
+    from radarframe.plans.dense import circular_orbit
+
+    orbit = circular_orbit()
+    azt, rng = np.linspace(-5, 5, 40), np.linspace(850_000, 870_000, 40)
+    ground = geometry.on_ellipsoid(orbit, azt, rng, np.zeros(40))[0]
+    dem = spark.createDataFrame(pd.DataFrame({"row": range(40), "col": 0, "x": ground[:, 0], "y": ground[:, 1], "z": ground[:, 2]}))
+    got = registration.matches(dem, orbit, {"b": orbit}, {"a": (-5.0, 100.0, 850_000.0, 10.0), "b": (-6.0, 100.0, 849_000.0, 10.0)}, "a").toPandas()
+    assert len(got) == 40 and np.allclose(got["to_row"] - got["row"], 100, atol=1e-3) and np.allclose(got["to_col"] - got["col"], 100, atol=1e-3)
+
+
+def search_backend(query):
+    return [{"name": f"p{int(t)}", "t": float(t)} for t in range(100) if query["start"] <= t < query["end"]]
+
+
+def test_catalogue_source_asks_by_interval(spark):
+    from radarframe.sources import backend
+
+    backend.register(spark)
+    read = spark.read.format("radar_catalog").option("backend", "tests.test_products:search_backend").option("query", '{"start": 10, "end": 50}').option("parts", "4")
+    names = read.load()
+    assert names.columns == ["name"] and names.count() == 40
+    df = read.schema("name string, t double").load()
+    assert sorted(r["t"] for r in df.collect()) == list(range(10, 50))
