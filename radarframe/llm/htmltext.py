@@ -22,7 +22,8 @@ from . import common, urlfilter
 
 #: A subtree is a template of its host on this many pages, and on this share of the host's pages.
 LEAST_PAGES, LEAST_SHARE = 5, 0.1
-HOT = 1000
+#: Hosts above this share of all html, so fewer than this many, are dealt to parts of about so many characters, or of this share of all where that is less.
+HOT, PART_BYTES, PART_SHARE = 50_000, 32_000_000, 1000
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++)))?+")
@@ -223,9 +224,10 @@ def main_text(source: str, templates: set[int] = frozenset()) -> str:
     return "\n".join(blocks)
 
 
-def site_templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def site_templates(pages: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """host and templates: the hashes of the subtrees recurring across its pages, at most some tens for each subtree of a page.
-    And host and salts of the hosts with over a ``HOT``-th of all pages, so fewer than ``HOT``: how many parts theirs are dealt to.
+    And host and salts of the hosts with over a ``HOT``-th of all html, so fewer than ``HOT``: to how many parts of about ``PART_BYTES``, or a ``PART_SHARE``-th, theirs is dealt.
+    And the html's characters in all.
 
     Hashes are distinct within a page and counted before they are shuffled by host and hash.
     """
@@ -234,20 +236,22 @@ def site_templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         import pyarrow as pa
 
         for batch in batches:
-            hosts, found = [], []
+            hosts, found, sizes = [], [], []
             for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 host = urlfilter.split_url(url)[0]
                 own = [None, *candidates(tree(source or ""))]
                 hosts += [host] * len(own)
                 found += own
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], names=["host", "digest"])
+                sizes += [len(source or ""), *[0] * (len(own) - 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(sizes, pa.int64())], names=["host", "digest", "size"])
 
-    counts = common.staged(pages.select("url", "html").mapInArrow(emit, "host string, digest long").groupBy("host", "digest").agg(F.count("*").alias("n")), "subtrees")
-    sites = counts.where("digest is null").select("host", F.col("n").alias("pages"))
+    counts = common.staged(pages.select("url", "html").mapInArrow(emit, "host string, digest long, size long").groupBy("host", "digest").agg(F.count("*").alias("n"), F.sum("size").alias("size")), "subtrees")
+    sites = counts.where("digest is null").select("host", F.col("n").alias("pages"), "size")
     many = counts.where(f"digest is not null and n >= {LEAST_PAGES}").join(sites, "host").where(f"n >= {LEAST_SHARE} * pages")
-    total = sites.agg(F.sum("pages")).first()[0] or 0
-    hot = sites.where(F.col("pages") * HOT > total).select("host", F.expr(f"cast(pages * {HOT} div {max(1, total)} as int) + 1").alias("salts"))
-    return many.groupBy("host").agg(F.collect_set("digest").alias("templates")), hot
+    total = sites.agg(F.sum("size")).first()[0] or 0
+    part = max(1, min(PART_BYTES, total // PART_SHARE))
+    hot = sites.where((F.col("size") > total / HOT) & (F.col("size") > part)).select("host", F.expr(f"cast(size div {part} as int) + 1").alias("salts"))
+    return many.groupBy("host").agg(F.collect_set("digest").alias("templates")), hot, total
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -255,10 +259,13 @@ def extract_text(pages: DataFrame) -> DataFrame:
     common.small_batches(pages.sparkSession)
     kind = dict(pages.dtypes)["page_id"]
     host = F.when(F.instr("url", "://") > 0, common.lower_az(F.regexp_extract("url", "://([^/?#]*)", 1))).otherwise("")
-    sites, hot = site_templates(pages)
+    sites, hot, total = site_templates(pages)
+    parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PART_BYTES + 1)
     sites = sites.join(F.broadcast(hot), "host", "left").select(F.col("host").alias("site"), "templates", F.explode(F.expr("sequence(0, coalesce(salts, 1) - 1)")).alias("part"))
     rows = pages.select("page_id", "url", "html", F.coalesce(host, F.lit("")).alias("host")).join(F.broadcast(hot), "host", "left")
     rows = rows.withColumn("salt", F.expr("cast(pmod(xxhash64(page_id, url), coalesce(salts, 1)) as int)"))
+    # as many tasks as there are parts of html, however many the session asks for
+    rows, sites = rows.repartition(parts, "host", "salt"), sites.repartition(parts, "site", "part")
     rows = rows.join(sites, (F.col("host") == F.col("site")) & (F.col("salt") == F.col("part")), "left")
 
     def extract(batches):
