@@ -55,7 +55,7 @@ def _bursts(spark, sf_dir):
 @query(f"WITH {_BURSTS} SELECT acquisition, swath, burst, x0, y0, iw, ih FROM cuts")
 def burst_cuts(spark, sf_dir):
     """Inner rectangles of the bursts of each acquisition."""
-    return _bursts(spark, sf_dir).select("acquisition", "swath", "burst", c("inner.col").alias("x0"), c("inner.row").alias("y0"), c("inner.w").alias("iw"), c("inner.h").alias("ih"))
+    return _bursts(spark, sf_dir).select("acquisition", "swath", "burst", c("inner.col").alias("x0"), c("inner.row").cast("long").alias("y0"), c("inner.w").alias("iw"), c("inner.h").cast("long").alias("ih"))
 
 
 @query(
@@ -65,7 +65,7 @@ def burst_cuts(spark, sf_dir):
 def deburst_rectangles(spark, sf_dir):
     """What to read from each burst, and where to write it, for one rectangle of the mosaic."""
     s = bursts.stitched(_bursts(spark, sf_dir), (15000, 2000, 30000, 7000))
-    return s.select("acquisition", "swath", "burst", *(c(f"{k}.{v}").alias(f"{k}_{v}") for k in ("read", "write") for v in ("col", "row")), c("read.w").alias("w"), c("read.h").alias("h"))
+    return s.select("acquisition", "swath", "burst", *(c(f"{k}.{v}").cast("long" if v == "row" else "int").alias(f"{k}_{v}") for k in ("read", "write") for v in ("col", "row")), c("read.w").alias("w"), c("read.h").cast("long").alias("h"))
 
 
 @query(
