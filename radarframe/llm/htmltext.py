@@ -1,14 +1,14 @@
 """Main text of web pages, with site templates removed.
 
 Pages are parsed into element trees; hashes of element subtrees are counted for each host in Spark, and
-subtrees that recur across many pages of a host are deleted, besides elements that their tag, role or class
+subtrees that recur across many distinct pages of a host are deleted, besides elements that their tag, role or class
 name says are menus, notices, adverts and the like. Where a page marks its article or main part, the text
 is taken from there, and only link lists and bare containers recur as templates inside it: an article's own
 paragraphs and headings stay, however often they are repeated.
 
 Defined cases: a null html is empty and has an empty text; a null url has the empty host; unclosed,
 stray and cut tags are read as browsers do, more or less, an open ``<script>`` or comment runs to the end; repeated
-rows keep a row each; an empty table gives an empty table. Other columns are ignored.
+rows keep a row each, and count as one page with all copies of their html on the host; an empty table gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import common, urlfilter
 
-#: A subtree is a template of its host on this many pages, and on this share of the host's pages.
+#: A subtree is a template of its host on this many distinct pages, and on this share of the host's distinct pages.
 LEAST_PAGES, LEAST_SHARE = 5, 0.1
 #: Hosts above this share of all html, so fewer than this many, are dealt to parts of about so many characters, or of this share of all where that is less.
 HOT, PART_BYTES, PART_SHARE = 50_000, 32_000_000, 1000
@@ -229,23 +229,30 @@ def site_templates(pages: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     And host and salts of the hosts with over a ``HOT``-th of all html, so fewer than ``HOT``: to how many parts of about ``PART_BYTES``, or a ``PART_SHARE``-th, theirs is dealt.
     And the html's characters in all.
 
+    A page counts once for each distinct html of a host, so copies and repeated rows make no templates of their own text.
     Hashes are distinct within a page and counted before they are shuffled by host and hash.
     """
 
     def emit(batches):
+        import hashlib
+
         import pyarrow as pa
 
         for batch in batches:
-            hosts, found, sizes = [], [], []
+            hosts, contents, found, sizes = [], [], [], []
             for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                host = urlfilter.split_url(url)[0]
-                own = [None, *candidates(tree(source or ""))]
-                hosts += [host] * len(own)
-                found += own
-                sizes += [len(source or ""), *[0] * (len(own) - 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(sizes, pa.int64())], names=["host", "digest", "size"])
-
-    counts = common.staged(pages.select("url", "html").mapInArrow(emit, "host string, digest long, size long").groupBy("host", "digest").agg(F.count("*").alias("n"), F.sum("size").alias("size")), "subtrees")
+                source = source or ""
+                hosts.append(urlfilter.split_url(url)[0])
+                contents.append(hashlib.blake2b(source.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                found.append(sorted(candidates(tree(source))))
+                sizes.append(len(source))
+            columns = [pa.array(hosts, pa.string()), pa.array(contents, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "content", "digests", "size"])
+
+    own = pages.select("url", "html").mapInArrow(emit, "host string, content binary, digests array<long>, size long")
+    own = own.groupBy("host", "content", "digests").agg(F.sum("size").alias("size"))
+    own = own.select("host", "size", F.explode(F.expr("concat(array(cast(null as bigint)), digests)")).alias("digest"))
+    counts = common.staged(own.groupBy("host", "digest").agg(F.count("*").alias("n"), F.sum("size").alias("size")), "subtrees")
     sites = counts.where("digest is null").select("host", F.col("n").alias("pages"), "size")
     many = counts.where(f"digest is not null and n >= {LEAST_PAGES}").join(sites, "host").where(f"n >= {LEAST_SHARE} * pages")
     total = sites.agg(F.sum("size")).first()[0] or 0

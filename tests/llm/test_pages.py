@@ -54,6 +54,14 @@ def test_repeated_paragraphs_of_articles_stay(spark):
     assert got == {k: f"License line\nNumber {k}" for k in range(12)}
 
 
+def test_copies_on_one_host_keep_their_text(spark, pages):
+    got = [r.text for r in htmltext.extract_text(pages).collect() if r.url and r.url.startswith("http://a.example.org/")]
+    assert len(got) == 26 and set(got) == {" ".join(["same payload"] * 20)}
+    rows = [(k, f"http://t.example.org/{k}", f"<body><div>Our slogan</div><p>Article number {k % 9}</p></body>") for k in range(90)]
+    got = {r.page_id: r.text for r in htmltext.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Article number {k % 9}" for k in range(90)}
+
+
 def test_text_of_odd_pages(pages):
     got = htmltext.extract_text(pages).collect()
     assert len(got) == pages.count() and all(r.n_chars == len(r.text) for r in got)
