@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from . import common, urlfilter
 
-#: A subtree is a template of its host on this many distinct pages, and on this share of the host's distinct pages.
+#: A subtree is a template of its host on this many distinct pages, and on this share of the host's distinct pages or,
+#: where that is less, on as many as their square root, so that the share shrinks as hosts grow.
 LEAST_PAGES, LEAST_SHARE = 5, 0.1
 #: Hosts above this share of all html, so fewer than this many, are dealt to parts of about so many characters, or of this share of all where that is less.
 HOT, PART_BYTES, PART_SHARE = 50_000, 32_000_000, 1000
@@ -225,7 +226,7 @@ def main_text(source: str, templates: set[int] = frozenset()) -> str:
 
 
 def site_templates(pages: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """host and templates: the hashes of the subtrees recurring across its pages, at most some tens for each subtree of a page.
+    """host and templates: the hashes of the subtrees recurring across its pages, for each subtree of a page at most ten or, on hosts of over 100 pages, the root of their number.
     And host and salts of the hosts with over a ``HOT``-th of all html, so fewer than ``HOT``: to how many parts of about ``PART_BYTES``, or a ``PART_SHARE``-th, theirs is dealt.
     And the html's characters in all.
 
@@ -254,7 +255,7 @@ def site_templates(pages: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     own = own.select("host", "size", F.explode(F.expr("concat(array(cast(null as bigint)), digests)")).alias("digest"))
     counts = common.staged(own.groupBy("host", "digest").agg(F.count("*").alias("n"), F.sum("size").alias("size")), "subtrees")
     sites = counts.where("digest is null").select("host", F.col("n").alias("pages"), "size")
-    many = counts.where(f"digest is not null and n >= {LEAST_PAGES}").join(sites, "host").where(f"n >= {LEAST_SHARE} * pages")
+    many = counts.where(f"digest is not null and n >= {LEAST_PAGES}").join(sites, "host").where(f"n >= least({LEAST_SHARE} * pages, sqrt(pages))")
     total = sites.agg(F.sum("size")).first()[0] or 0
     part = max(1, min(PART_BYTES, total // PART_SHARE))
     hot = sites.where((F.col("size") > total / HOT) & (F.col("size") > part)).select("host", F.expr(f"cast(size div {part} as int) + 1").alias("salts"))
@@ -271,16 +272,25 @@ def extract_text(pages: DataFrame) -> DataFrame:
     sites = sites.join(F.broadcast(hot), "host", "left").select(F.col("host").alias("site"), "templates", F.explode(F.expr("sequence(0, coalesce(salts, 1) - 1)")).alias("part"))
     rows = pages.select("page_id", "url", "html", F.coalesce(host, F.lit("")).alias("host")).join(F.broadcast(hot), "host", "left")
     rows = rows.withColumn("salt", F.expr("cast(pmod(xxhash64(page_id, url), coalesce(salts, 1)) as int)"))
-    # as many tasks as there are parts of html, however many the session asks for
-    rows, sites = rows.repartition(parts, "host", "salt"), sites.repartition(parts, "site", "part")
-    rows = rows.join(sites, (F.col("host") == F.col("site")) & (F.col("salt") == F.col("part")), "left")
+    none = {"page_id": kind, "url": "string", "html": "string"}
+    known = sites.select(*(F.lit(None).cast(t).alias(c) for c, t in none.items()), F.col("site").alias("host"), F.col("part").alias("salt"), "templates")
+    rows = rows.select(*none, "host", "salt", F.lit(None).cast("array<long>").alias("templates")).unionByName(known)
+    # as many tasks as there are parts of html, however many the session asks for; a part's templates come once, ahead of its pages
+    rows = rows.repartition(parts, "host", "salt").sortWithinPartitions("host", "salt", F.col("templates").isNull())
 
     def extract(batches):
         import pyarrow as pa
 
+        at, known = None, frozenset()
         for batch in batches:
-            texts = [main_text(source or "", set(known or ())) for source, known in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            sizes = pa.array([len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], names=["page_id", "url", "text", "n_chars"])
-
-    return rows.select("page_id", "url", "html", "templates").mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long")
+            keep, texts = [], []
+            for k, (source, *part, templates) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True)):
+                if templates is not None:
+                    at, known = part, frozenset(templates)
+                    continue
+                keep.append(k)
+                texts.append(main_text(source or "", known if part == at else frozenset()))
+            own = batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return rows.mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long")

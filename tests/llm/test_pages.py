@@ -62,6 +62,13 @@ def test_copies_on_one_host_keep_their_text(spark, pages):
     assert got == {k: f"Article number {k % 9}" for k in range(90)}
 
 
+def test_templates_of_a_section_of_a_large_host(spark):
+    rows = [(k, f"http://t.example.org/{k}", f"<body>{'<div>Section list</div>' if k < 50 else ''}<p>Article number {k}</p></body>") for k in range(600)]
+    rows += [(600 + k, f"http://other.example.org/{k}", f"<body><div>Section list</div><p>Other {k}</p></body>") for k in range(4)]
+    got = {r.page_id: r.text for r in htmltext.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{k: f"Article number {k}" for k in range(600)}, **{600 + k: f"Section list\nOther {k}" for k in range(4)}}
+
+
 def test_text_of_odd_pages(pages):
     got = htmltext.extract_text(pages).collect()
     assert len(got) == pages.count() and all(r.n_chars == len(r.text) for r in got)
