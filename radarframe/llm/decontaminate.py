@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Each test item gives, of every ``WINDOW`` consecutive word trigrams, the one that the whole corpus holds
-least often; so a copy that keeps ``WINDOW`` + 2 words in a row has a seed, and a seed frequent in the corpus is
-only used where nothing rarer stands beside it. Seeds meet the documents in a join; the words around a meeting,
-allowing for insertions, are aligned with the item. The benchmark is taken in blocks of at most
+Every word trigram of a test item that the corpus holds is a seed, so a copy that keeps three words in a row
+anywhere is aligned, whatever its edits broke beside them and however often other copies hold the rest. Seeds
+meet the documents in a join; the words around a meeting, allowing for insertions, are aligned with the item,
+once for each stretch of a document however many seeds meet there. The benchmark is taken in blocks of at most
 ``BLOCK_GRAMS`` trigrams, so what is broadcast has a bound and every item is still tried.
 
 Words are lower-cased runs of letters and digits. Defined cases: null texts are empty; an item of fewer
@@ -14,12 +14,12 @@ side finds nothing. Other columns are ignored by :func:`find_leaks` and kept by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-N, WINDOW = 3, 3
+N = 3
 BLOCK_GRAMS = 500_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Of the score of an exact copy.
@@ -53,14 +53,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def _block_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64(common.text_of()).alias("text_hash"), tokens(common.text_of()).alias("words")).withColumn("grams", _grams("words"))
-    known = items.select("gram").distinct()
-    seen = rows.select(F.explode_outer("grams").alias("gram")).join(F.broadcast(known), "gram").groupBy("gram").agg(F.count("*").alias("df"))
-    seen = common.staged(seen, "benchmark-grams")
-
-    ranked = items.join(F.broadcast(seen), "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    ahead = Window.partitionBy("item_id", "words").orderBy("q").rowsBetween(0, WINDOW - 1)
-    rarest = ranked.withColumn("best", F.min(F.struct("df", "q", "gram")).over(ahead)).where("best.df > 0")
-    seeds = rarest.select("item_id", F.col("words").alias("item"), F.col("best.q").alias("q"), F.col("best.gram").alias("gram")).distinct()
+    seeds = items.select("item_id", F.col("words").alias("item"), "q", "gram")
 
     # the words around a meeting are cut out right behind the join, before anything is shuffled
     met = rows.select("doc_id", "text_hash", "words", F.posexplode_outer("grams").alias("p", "gram")).join(F.broadcast(seeds), "gram")

@@ -127,6 +127,18 @@ def test_leaks_copied_and_edited(spark, docs, none):
     assert decontaminate.find_leaks(none, bench).count() == 0 and decontaminate.find_leaks(docs, bench.where("false")).count() == 0
 
 
+def test_leaks_with_few_words_in_a_row(spark):
+    item = [f"w{k}" for k in range(15)]
+    edited = [f"x{k}" if k in (3, 7, 11, 13) else w for k, w in enumerate(item)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    alone = spark.createDataFrame([(1, "before and " + " ".join(edited) + " after")], "doc_id long, text string")
+    assert [(r.doc_id, r.matched) for r in decontaminate.find_leaks(alone, bench).collect()] == [(1, 11)]
+    # other documents hold the trigrams that the edits broke, and those that survive twice
+    others = [(2 + k, " ".join(item[k : k + 3])) for k in range(13)]
+    rows = spark.createDataFrame([(1, " ".join(edited)), *others], "doc_id long, text string")
+    assert {r.doc_id for r in decontaminate.find_leaks(rows, bench).collect()} == {1}
+
+
 def test_pieces_equal_the_library(docs, none):
     import sentencepiece
 
