@@ -6,6 +6,9 @@ meet the documents in a join; the words around a meeting, allowing for insertion
 once for each stretch of a document however many seeds meet there. The benchmark is taken in blocks of at most
 ``BLOCK_GRAMS`` trigrams, so what is broadcast has a bound and every item is still tried.
 
+A document leaks an item if the alignment scores ``THRESHOLD`` of an exact copy with at least ``LEAST_WORDS`` words
+(or all of a shorter item), or if it scores as ``LONG_RUN`` words in a row do, however long the item.
+
 Words are lower-cased runs of letters and digits. Defined cases: null texts are empty; an item of fewer
 than three words is too little evidence and matches nothing; null ids are ids like others; repeated
 documents give equal rows, of which one is kept for each doc_id, text and item; an empty table on either
@@ -24,6 +27,8 @@ BLOCK_GRAMS = 500_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Of the score of an exact copy.
 THRESHOLD = 0.4
+#: Of items of more words, one trigram isn't enough; and an alignment worth so many words in a row is, however long the item.
+LEAST_WORDS, LONG_RUN = 4, 25
 
 
 def tokens(text: Column) -> Column:
@@ -72,18 +77,24 @@ def _block_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         for batch in batches:
             item, start, passage = (batch.column(k).to_pylist() for k in (3, 4, 5))
             out = [smith_waterman(a, b) for a, b in zip(item, passage, strict=True)]
+            leaks = pa.array([leaked(score, matched, len(a)) for (score, matched, _), a in zip(out, item, strict=True)], pa.bool_())
             columns = [
                 *(batch.column(k) for k in range(3)), pa.array([s / (MATCH * len(a)) for (s, _, _), a in zip(out, item, strict=True)], pa.float64()),
                 pa.array([m for _, m, _ in out], pa.int32()), pa.array([s + b for s, (_, _, b) in zip(start, out, strict=True)], pa.int32()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(leaks)
 
     kinds = dict(near.dtypes)
     scored = near.mapInArrow(align, f"doc_id {kinds['doc_id']}, text_hash long, item_id {kinds['item_id']}, score double, matched int, start int")
-    best = scored.where(F.col("score") >= THRESHOLD).groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("score", "matched", (-F.col("start")).alias("back"))).alias("b"))
+    best = scored.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("score", "matched", (-F.col("start")).alias("back"))).alias("b"))
     return best.select("doc_id", "text_hash", "item_id", "b.score", "b.matched", (-F.col("b.back")).alias("start"))
 
 
+def leaked(score: int, matched: int, words: int) -> bool:
+    """Whether an alignment with an item of so many words is a copy of it or of a long run of it."""
+    return score >= MATCH * LONG_RUN or score >= THRESHOLD * MATCH * words and matched >= min(words, LEAST_WORDS)
+
+
 def smith_waterman(item: list[str], passage: list[str]) -> tuple[int, int, int]:
     """Best local alignment score of two word lists, its matching words, and its first word in ``passage``."""
     width = len(passage) + 1

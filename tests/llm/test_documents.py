@@ -139,6 +139,14 @@ def test_leaks_with_few_words_in_a_row(spark):
     assert {r.doc_id for r in decontaminate.find_leaks(rows, bench).collect()} == {1}
 
 
+def test_long_quotes_leak_and_single_trigrams_do_not(spark):
+    item = [f"w{k}" for k in range(200)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "one of the seven words in all"), (3, "only three words")], "item_id long, text string")
+    texts = {1: "so " + " ".join(item[70:130]) + " it says", 2: "this is one of the other texts", 3: "one of the seven", 4: " ".join(item[70:90]), 5: "has only three words too"}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(rows, bench).collect()} == {(1, 1), (3, 2), (5, 3)}
+
+
 def test_pieces_equal_the_library(docs, none):
     import sentencepiece
 
