@@ -30,23 +30,23 @@ OFFSETS = tuple(sum(WIDTHS[:k]) for k in range(len(WIDTHS)))
 BLOCK = 1024
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id and fp (long) for each row of ``docs`` (doc_id, text).
+def fingerprints(docs: DataFrame, size: int = 3, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the narrow columns ``carried`` and fp (long) for each row of ``docs`` (doc_id, text).
 
     Bits are counted two to a long, in 32 sums, over the exploded hashes; a row's sums are complete before they are shuffled.
     """
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("__row"))
-    hashed = common.shingle_hashes(common.text_of(), size, "h", rows).select("__row", "doc_id", F.explode_outer("h").alias("h"))
+    rows = docs.select("doc_id", *carried, "text", F.monotonically_increasing_id().alias("__row"))
+    hashed = common.shingle_hashes(common.text_of(), size, "h", rows).select("__row", "doc_id", *carried, F.explode_outer("h").alias("h"))
     lanes = 0x1_0000_0001
     sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(lanes))).alias(f"s{k}") for k in range(32)]
-    counted = hashed.groupBy("__row", "doc_id").agg(F.count("h").alias("n"), *sums)
+    counted = hashed.groupBy("__row", "doc_id", *carried).agg(F.count("h").alias("n"), *sums)
 
     def bit(k: int) -> Column:
         s = F.col(f"s{k % 32}")
         ones = F.shiftrightunsigned(s, 32) if k >= 32 else s.bitwiseAND(F.lit(0xFFFF_FFFF))
         return F.when(ones * 2 > F.col("n"), F.lit((1 << k) - (1 << 64 if k == 63 else 0))).otherwise(F.lit(0).cast("long"))
 
-    return counted.select("doc_id", reduce(lambda a, b: a.bitwiseOR(b), map(bit, range(64))).alias("fp"))
+    return counted.select("doc_id", *carried, reduce(lambda a, b: a.bitwiseOR(b), map(bit, range(64))).alias("fp"))
 
 
 def _segment(fp: str, k: int) -> str:
@@ -158,11 +158,16 @@ def links(prints: DataFrame) -> DataFrame:
     return two.unionByName(crowded.where("a <> b")).distinct()
 
 
+def _rooted(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``carried``, fp and root, its component's, for each row of ``docs``."""
+    prints = common.staged(fingerprints(docs, carried=carried), "simhash")
+    found = common.staged(common.components(links(prints)), "simhash-roots")
+    return prints.join(found, F.col("fp") == F.col("node"), "left").select("doc_id", *carried, "fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for each row of ``docs`` (doc_id, text): component_id is the smallest doc_id reachable."""
-    prints = common.staged(fingerprints(docs), "simhash")
-    found = common.staged(common.components(links(prints)), "simhash-roots")
-    rooted = prints.join(found, F.col("fp") == F.col("node"), "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(docs).select("doc_id", "fp", "root")
     first = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(first, "root").select("doc_id", "fp", "component_id")
 
@@ -172,10 +177,14 @@ def hex16(fp: str = "fp") -> Column:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates: that with the smallest doc_id, and of repeated rows the smallest text.
+    """One row of each group of near-duplicates: that with the smallest doc_id, and of repeated rows the smallest hash of the text.
 
-    Rows whose doc_id is null stay.
+    Null doc_ids come last. Rows are told apart by hashes of all their columns but maps; of equal rows one is kept.
     """
-    keep = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    stay = docs.join(keep, F.col("doc_id") == F.col("__id"), "left_semi")
-    return stay.unionByName(docs.where("doc_id is null"))
+    own = [c for c, kind in docs.dtypes if "map<" not in kind]
+    keys = ("__text", "__key", "__check")
+    keyed = docs.withColumns({"__text": F.xxhash64(common.text_of()), "__key": F.xxhash64(*own), "__check": F.hash(*own)})
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *keys)
+    first = _rooted(keyed, keys).groupBy("root").agg(F.min(order).alias("first"))
+    keep = first.select("first.__key", "first.__check")
+    return keyed.join(keep, ["__key", "__check"], "left_semi").dropDuplicates(["__key", "__check"]).select(*docs.columns)

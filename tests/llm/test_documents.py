@@ -68,6 +68,17 @@ def test_dedup_keeps_one_of_each(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_dedup_keeps_one_row_of_each(spark, docs):
+    a, b, c = "the first text of all these", "quite another text about rivers", "some third thing nobody has seen"
+    rows = [(1, a, 1.0), (1, a, 2.0), (1, a, 2.0), (2, a, 1.0), (1, b, 1.0), (0, b, 1.0), (None, c, 1.0), (None, c, 1.0), (None, a, 1.0)]
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, score double").repartition(3)).collect()
+    assert sorted((r.text, r.doc_id) for r in kept) == [(b, 0), (c, None), (a, 1)]
+    whole = simhash.deduplicated(docs)
+    prints = [r.fp for r in simhash.fingerprints(whole).collect()]
+    assert whole.columns == docs.columns and len(prints) == len(set(prints))
+    assert sorted(r.score for r in whole.where("doc_id = 3").collect()) in ([0.5], [1.5])
+
+
 def test_sketch_and_next_document(docs, none):
     rows = sorted((r for r in docs.collect() if r.doc_id is not None and r.doc_id != 3), key=lambda r: -r.doc_id)
     unique = docs.where("doc_id is not null and doc_id <> 3")
