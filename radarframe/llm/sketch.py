@@ -2,8 +2,9 @@
 
 Every shingle hash below a fixed fraction of the hash range is kept, so sketches of any two documents,
 however unequal, are subsets of one sample of shingles: unions merge them, and shared shares estimate
-containment. The least hash is always kept, so a document with words never has an empty sketch; where
-anything is below the threshold it is there already, so unions still merge.
+containment. A text of at most ``FEW`` distinct shingles keeps them all, and says so by ``whole``. Two whole
+sketches are compared exactly; otherwise both are cut to the fraction. A whole sketch may then be empty, and
+its containment is null, unless the other's text is at hand (:func:`contained_in_text`, exact).
 
 Defined cases: a null text is empty; texts without words have the empty sketch, whose likeness is 1 to
 another empty one and else 0; fewer than five words are one shingle, the whole sequence. Rows with equal
@@ -21,39 +22,66 @@ from . import common
 WORDS = 5
 #: One in 2 ** FRACTION_BITS of the shingles is kept.
 FRACTION_BITS = 3
+#: Texts of at most so many distinct shingles keep all.
+FEW = 128
 SEGMENTS, BUCKET_ROWS, MOST_BUCKETS = 64, 2048, 65_536
 LEAST = -(2**63)
 
 
+def _below(hashes: str) -> str:
+    return f"filter({hashes}, h -> h < {1 << (63 - FRACTION_BITS)}L)"
+
+
+def _hashed(docs: DataFrame, text: Column, out: str) -> DataFrame:
+    """``docs`` with ``out``: the distinct 63-bit hashes of ``text``'s shingles."""
+    return common.shingle_hashes(text, WORDS, out, docs).withColumn(out, F.expr(f"array_distinct(transform({out}, h -> h & 9223372036854775807L))"))
+
+
+def _cut(hashes: Column) -> Column:
+    """The sketch of the text with these distinct hashes."""
+    return F.transform(F.array(hashes), lambda x: F.struct((F.size(x) <= FEW).alias("whole"), F.array_sort(F.when(F.size(x) <= FEW, x).otherwise(F.filter(x, lambda h: h < (1 << (63 - FRACTION_BITS))))).alias("hashes")))[0]
+
+
 def sketched(docs: DataFrame, text: Column, out: str) -> DataFrame:
-    """``docs`` with ``out``: the sorted distinct 63-bit hashes kept of ``text``'s shingles."""
-    hashed = common.shingle_hashes(text, WORDS, "__h", docs)
-    return (
-        hashed.withColumn("__h", F.expr("transform(__h, h -> h & 9223372036854775807L)"))
-        .withColumn("__kept", F.expr(f"array_sort(array_distinct(filter(__h, h -> h < {1 << (63 - FRACTION_BITS)}L)))"))
-        .withColumn(out, F.expr("case when size(__kept) > 0 then __kept when size(__h) > 0 then array(array_min(__h)) else __kept end"))
-        .drop("__h", "__kept")
-    )
+    """``docs`` with ``out``: whether ``text``'s sketch is whole, and its sorted distinct hashes."""
+    return _hashed(docs, text, "__h").withColumn(out, _cut(F.col("__h"))).drop("__h")
+
+
+def _common(a: str, b: str) -> tuple[Column, Column]:
+    """The hashes of two sketches under the threshold they have in common."""
+    both = f"{a}.whole and {b}.whole"
+    return tuple(F.expr(f"case when {both} then {x}.hashes else {_below(f'{x}.hashes')} end") for x in (a, b))
 
 
 def likeness(a: str, b: str) -> Column:
     """Jaccard estimate of two sketches."""
-    both = F.size(F.array_union(a, b))
-    return F.when(both == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / both)
+    x, y = _common(a, b)
+    both = F.size(F.array_union(x, y))
+    return F.when(both > 0, F.size(F.array_intersect(x, y)) / both).otherwise(F.when(F.expr(f"size({a}.hashes) = size({b}.hashes)"), 1.0).otherwise(0.0))
 
 
 def containment(a: str, b: str) -> Column:
-    """Estimated share of ``a``'s shingles that ``b`` has too."""
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    """Estimated share of ``a``'s shingles that ``b`` has too; null where nothing of ``a`` is below the common threshold."""
+    x, y = _common(a, b)
+    return F.when(F.size(f"{a}.hashes") == 0, 1.0).when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.size(x))
+
+
+def contained_in_text(docs: DataFrame, a: str, b: str, text: str, out: str) -> DataFrame:
+    """``docs`` with ``out``: :func:`containment`, but from all shingles of ``b``'s ``text`` where only ``a`` is whole."""
+    part = f"{a}.whole and not {b}.whole and size({a}.hashes) > 0"
+    exact = F.size(F.array_intersect(f"{a}.hashes", "__all")) / F.size(f"{a}.hashes")
+    return _hashed(docs, F.expr(f"case when {part} then {text} else '' end"), "__all").withColumn(out, F.when(F.expr(part), exact).otherwise(containment(a, b))).drop("__all")
 
 
 def merged(sketches: Column) -> Column:
     """The sketch of several documents together, from an array of theirs."""
-    return F.array_sort(F.array_distinct(F.flatten(sketches)))
+    union = F.array_sort(F.array_distinct(F.flatten(F.transform(sketches, lambda s: s["hashes"]))))
+    whole = F.forall(sketches, lambda s: s["whole"]) & (F.size(union) <= FEW)
+    return F.struct(whole.alias("whole"), F.when(whole, union).otherwise(F.filter(union, lambda h: h < (1 << (63 - FRACTION_BITS)))).alias("hashes"))
 
 
 def printed(sketch: str) -> Column:
-    return F.lower(F.array_join(F.transform(sketch, lambda h: F.hex(h)), ","))
+    return F.lower(F.array_join(F.transform(f"{sketch}.hashes", lambda h: F.hex(h)), ","))
 
 
 def _bucket(key: str, knots: list[int], per: int) -> Column:
@@ -104,8 +132,10 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     led = with_next(rows, "doc_id", ["text", "sketch"]).withColumn("n_chars", F.char_length("text").cast("long"))
     edited = F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), substring(next_text, 1, cast(n_chars div 2 as int)))")
     led = sketched(led.withColumn("edited", edited), F.col("edited"), "edited_sketch")
+    led = contained_in_text(led, "sketch", "edited_sketch", "edited", "contained_edited")
+    led = contained_in_text(led, "sketch", "next_sketch", "next_text", "contained_next")
     return led.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), printed("sketch").alias("fingerprint"), printed("edited_sketch").alias("edited_fingerprint"),
         likeness("sketch", "edited_sketch").alias("near_edited"), likeness("sketch", "next_sketch").alias("near_next"),
-        containment("sketch", "edited_sketch").alias("contained_edited"), containment("sketch", "next_sketch").alias("contained_next"),
+        "contained_edited", "contained_next",
     )

@@ -97,6 +97,19 @@ def test_sketch_and_next_document(docs, none):
     assert sketch.fingerprint_report(none).count() == 0
 
 
+def test_short_documents_are_contained_and_merge(spark):
+    long = [f"w{k}" for k in range(900)]
+    rows = [(2 * k + 1, " ".join(long[9 * k : 9 * k + 5 + k % 9])) for k in range(40)]
+    rows += [(2 * k, " ".join(long)) for k in range(40)]
+    got = {r.doc_id: r for r in sketch.fingerprint_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * k + 1].contained_next == 1.0 for k in range(40))
+    halves = spark.createDataFrame([(" ".join(long[:9]), " ".join(long), " ".join(long[20:60]))], "a string, b string, c string")
+    for name in "abc":
+        halves = sketch.sketched(halves, F.col(name), f"s{name}")
+    got = halves.select(sketch.merged(F.array("sa", "sb")).alias("ab"), sketch.merged(F.array("sa", "sc")).alias("ac"), "sa", "sb", "sc").first()
+    assert got.ab == got.sb and not got.sb.whole and got.ac.whole and set(got.ac.hashes) == {*got.sa.hashes, *got.sc.hashes}
+
+
 def test_next_across_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(sketch, "BUCKET_ROWS", 2)
     df = spark.createDataFrame([(k * k, f"t{k}") for k in range(500)], "doc_id long, text string").repartition(4)
