@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,19 +17,24 @@ def grid(spark, axes: dict[str, list[float]]) -> DataFrame:
     return df.withColumn("idx", before[0].cast("int")).drop(*(f"__i_{n}" for n in axes))
 
 
+def _valid() -> Column:
+    return F.col("phi").isNotNull() & ~F.isnan("phi")
+
+
 def periodogram(series: DataFrame, features: dict[str, str], axes: DataFrame, key: str = "ps") -> DataFrame:
     """For each ``key`` the grid point of largest coherence of phi against sum(parameter * feature), first on ties.
 
     A key's samples are gathered into one array (its acquisitions, some hundred), so the grid is
-    folded inside the row: the shuffle is one row a key, not one a key and grid point.
+    folded inside the row: the shuffle is one row a key, not one a key and grid point. Null and NaN phases weigh 0
+    and don't count in n; gamma is null where no other is left.
     """
     own = list(features.values())
-    gathered = series.groupBy(key).agg(F.collect_list(F.struct("phi", *own)).alias("obs"))
+    gathered = series.groupBy(key).agg(F.collect_list(F.when(_valid(), F.struct("phi", *own))).alias("obs"))
     nodes = axes.agg(F.sort_array(F.collect_list(F.struct("idx", *features))).alias("nodes"))  # the grid, of given size
     model = " + ".join(f"g.{p} * o.{f}" for p, f in features.items())
     gamma = (
         f"transform(nodes, g -> named_struct('gamma', round(aggregate(obs, named_struct('c', 0.0D, 's', 0.0D), (a, o) -> named_struct('c', a.c + cos(o.phi - ({model})), 's', a.s + sin(o.phi - ({model}))),"
-        f" a -> sqrt(a.c * a.c + a.s * a.s) / size(obs)), 6), 'back', -g.idx, 'node', g))"
+        f" a -> sqrt(a.c * a.c + a.s * a.s) / nullif(size(obs), 0)), 6), 'back', -g.idx, 'node', g))"
     )
     best = gathered.crossJoin(F.broadcast(nodes)).withColumn("best", F.array_max(F.expr(gamma)))
     return best.select(key, F.size("obs").cast("long").alias("n"), F.col("best.gamma").alias("gamma"), F.col("best.node.idx").alias("idx"), *(F.col(f"best.node.{p}").alias(p) for p in features))
@@ -55,11 +60,11 @@ def planar(series: DataFrame, axes: DataFrame, key: str = "t") -> DataFrame:
     """For each ``key`` (a date) the plane (sx, sy) of largest coherence over samples (x, y, phi), first on ties.
 
     A date has as many samples as there are scatterers, so each sample adds to the sums of every grid node in
-    partial aggregates; what is shuffled is one row a date and node from each task.
+    partial aggregates; what is shuffled is one row a date and node from each task. Null and NaN phases weigh 0 and don't count in n.
     """
-    turned = F.col("phi") - (F.col("sx") * F.col("x") + F.col("sy") * F.col("y"))
-    sums = series.crossJoin(F.broadcast(axes)).groupBy(key, "idx", "sx", "sy").agg(F.count("*").alias("n"), F.sum(F.cos(turned)).alias("c"), F.sum(F.sin(turned)).alias("s"))
-    gamma = F.round(F.sqrt(F.col("c") * F.col("c") + F.col("s") * F.col("s")) / F.col("n"), 6)
+    turned = F.when(_valid(), F.col("phi") - (F.col("sx") * F.col("x") + F.col("sy") * F.col("y")))
+    sums = series.crossJoin(F.broadcast(axes)).groupBy(key, "idx", "sx", "sy").agg(F.count(turned).alias("n"), F.sum(F.cos(turned)).alias("c"), F.sum(F.sin(turned)).alias("s"))
+    gamma = F.round(F.sqrt(F.col("c") * F.col("c") + F.col("s") * F.col("s")) / F.nullif("n", F.lit(0)), 6)
     best = sums.groupBy(key).agg(F.max(F.struct(gamma.alias("gamma"), (-F.col("idx")).alias("back"), "n", "idx", "sx", "sy", F.atan2("s", "c").alias("bias"))).alias("b"))
     return best.select(key, "b.n", "b.gamma", "b.idx", "b.sx", "b.sy", "b.bias")
 

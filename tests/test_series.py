@@ -72,3 +72,13 @@ def test_selection_equals_step_by_step_greed(spark):
     assert {(r.id1, r.id2) for r in got if not r.bridge} == set(kept)
     v, e = df.select("id"), spark.createDataFrame([(r.id1, r.id2) for r in got], "a long, b long")
     assert {r.component for r in network.components(v, e, lambda d: spark.createDataFrame(d.collect(), d.schema)).collect()} == {0}
+
+
+def test_missing_phases_weigh_nothing(spark):
+    axes = psi.grid(spark, {"v": [0.0, 0.5, 1.0]})
+    rows = [("a", 0.5 * t, float(t)) for t in range(8)]
+    odd = spark.createDataFrame([*rows, ("a", float("nan"), 8.0), ("a", None, 9.0), ("b", None, 1.0)], "ps string, phi double, x double")
+    got = {r.ps: (r.n, r.gamma, r.v) for r in psi.periodogram(odd, {"v": "x"}, axes).collect()}
+    assert got["a"] == (8, 1.0, 0.5) and got["b"][:2] == (0, None)
+    plane = psi.planar(odd.selectExpr("ps as t", "phi", "x", "0.0D as y"), psi.grid(spark, {"sx": [0.0, 0.5, 1.0], "sy": [0.0]}))
+    assert {r.t: (r.n, r.gamma) for r in plane.collect()} == {"a": (8, 1.0), "b": (0, None)}
