@@ -8,8 +8,8 @@ scores the best path isn't the model's result, so its lattice is folded by mergi
 neighbours, the best-scored leftmost one, until none is left.
 
 Documents are then encoded where they lie, with the frequent words' table (at most ``HEAD_WORDS`` rows of
-``HEAD_CHARS``) broadcast; other words, of any length, go through the same lattice and fold in the
-worker. So no text is shuffled and no word is left out.
+``HEAD_CHARS``) broadcast; other words, of any length, are segmented in the worker without
+a lattice, by the same merges (or Viterbi steps). So no text is shuffled and no word is left out.
 
 Defined cases: a null text is empty and has no pieces; characters outside the model become byte pieces; a
 text that holds the space mark itself decodes to spaces there, as in the model; rows are encoded each on its own;
@@ -128,7 +128,7 @@ def frequent_words(docs: DataFrame, text: str = "text", most: int = HEAD_WORDS)
 
 
 class Encoder:
-    """Encodes words in a worker by the lattice and fold that Spark runs for frequent words."""
+    """Encodes words in a worker by the merges or Viterbi steps of the fold that Spark runs over frequent words, without its lattice."""
 
     def __init__(self, pieces: Pieces, head: dict[str, bytes]):
         self.head, self.memo, self.pieces = head, {}, pieces
