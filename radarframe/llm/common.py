@@ -8,31 +8,82 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Python workers get small Arrow batches, so that a batch of very long texts stays in memory.
-BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512"}
+#: Keys of over a ``MOST_HOT``-th of the rows, but ``LEAST_HOT`` at least, are hot: fewer than ``MOST_HOT`` of them.
+MOST_HOT, LEAST_HOT = 4096, 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
+    """The folder that driver and executors share. Where none is set, a local one in local mode, as in tests, and else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="radarframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/radarframe/{name}-{uuid.uuid4().hex}"
+    files, at = _folder(spark, path)
+    files.mkdirs(at.getParent())
+    files.deleteOnExit(at)
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: lineage ends there,
     and a lost executor costs only its running tasks."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/radarframe/{name}-{uuid.uuid4().hex}"
+    path = temporary(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held.staged_at = path
+    return held
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Removes a table that :func:`staged` wrote and nothing will read again."""
+    files, at = _folder(df.sparkSession, df.staged_at)
+    files.delete(at, True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    for k, v in BATCH_CONF.items():
-        spark.conf.set(k, v)
+def bounded_sample(rows: DataFrame, draw: Column, size: Column, most_rows: int, most_bytes: int) -> list:
+    """The first rows in the order of ``draw``, whole, as many as ``most_rows`` and ``most_bytes`` allow; rows of over an eighth of those bytes are passed over.
+
+    Places and sizes are drawn first, so that no more than that is ever held, however often rows are repeated.
+    """
+    drawn = rows.withColumns({"__draw": draw, "__size": size}).where(F.col("__size") <= most_bytes // 8)
+    first, room = 0, most_bytes
+    few = drawn.select("__draw", "__size").orderBy("__draw").limit(most_rows).collect()
+    for r in few:
+        room -= r["__size"]
+        if room < 0:
+            break
+        first += 1
+    if not first:
+        return []
+    return drawn.where(F.col("__draw") <= few[first - 1]["__draw"]).orderBy("__draw").limit(first).drop("__draw", "__size").collect()
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) with ``keyed``, of few rows a key, on columns that both have; no task gets all rows of a hot key.
+
+    Hot keys, of bounded number, are counted first; their rows are dealt to as many salts as they have shares of ``rows``, and
+    those of ``keyed`` go to each. ``rows`` must be a staged table or one computed from it row by row, so that a task that is run again deals alike.
+    """
+    counts = rows.groupBy(*on).agg(F.count("*").alias("__n"))
+    limit = max(LEAST_HOT, (rows.count() or 0) // MOST_HOT)
+    hot = F.broadcast(counts.where(F.col("__n") > limit).select(*on, F.expr(f"cast(__n div {limit} as int) + 1").alias("__salts")))
+    dealt = rows.join(hot, on, "left").withColumn("__salt", F.expr("cast(pmod(xxhash64(monotonically_increasing_id()), coalesce(__salts, 1)) as int)")).drop("__salts")
+    each = keyed.join(hot, on, "left").withColumn("__salt", F.explode(F.expr("sequence(0, coalesce(__salts, 1) - 1)"))).drop("__salts")
+    return dealt.join(each, [*on, "__salt"], how).drop("__salt")
 
 
 def text_of(column: str = "text") -> Column:
@@ -135,14 +186,18 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        # of the neighbours above a node, each goes to the least one it sees
+        large = spread_join(e.select(F.col("v").alias("u"), F.col("u").alias("v")), low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = staged(large.where("u <> v").distinct(), "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        small = spread_join(large, low, ["u"])
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v"))
         )
-        e = staged(small.where("u <> v").distinct(), "star")
+        done = staged(small.where("u <> v").distinct(), "star")
+        for old in (e, large):
+            drop_staged(old)
+        e = done
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
