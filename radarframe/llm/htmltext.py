@@ -1,14 +1,22 @@
 """Main text of web pages, with site templates removed.
 
-Pages are parsed into element trees; hashes of element subtrees are counted for each host in Spark, and
-subtrees that recur across many distinct pages of a host are deleted, besides elements that their tag, role or class
-name says are menus, notices, adverts and the like. Where a page marks its article or main part, the text
-is taken from there, and only link lists and bare containers recur as templates inside it: an article's own
-paragraphs and headings stay, however often they are repeated.
+Pages are parsed into element trees. For each element subtree two hashes are taken: of its whole content, and of its
+slot, which is its place (tags, classes and ids of the elements around it) with its structure (those of the blocks in it),
+without any words. Both are counted for each host in Spark, once for each distinct page. A subtree whose content recurs is
+a template wherever it stands outside the main part. A slot that recurs is one too, whatever its words, unless it carries
+the pages' text: slots that hold on average ``MAIN`` of a page's own text are main parts, nothing inside the innermost of
+them is deleted for its slot, and slots with over ``MINOR`` of a page's text are never deleted.
+
+Tags, roles and class names that say that an element is a menu, a notice, an advert and the like are a second opinion: such
+elements are deleted too, and where a page marks its article or main part, the text is taken from there. Inside an article
+only link lists and bare containers recur as templates: its own paragraphs and headings stay, however often they are repeated.
+``marks=False`` leaves that opinion out.
 
 Defined cases: a null html is empty and has an empty text; a null url has the empty host; unclosed,
 stray and cut tags are read as browsers do, more or less, an open ``<script>`` or comment runs to the end; repeated
-rows keep a row each, and count as one page with all copies of their html on the host; an empty table gives an empty table. Other columns are ignored.
+rows keep a row each, and count as one page with all copies of their html on the host; templates that tie in their counts are all
+deleted; very long or deeply nested pages take time in proportion to their length; an empty table gives an empty table.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,9 +28,13 @@ from pyspark.sql import functions as F
 
 from . import common, urlfilter
 
-#: A subtree is a template of its host on this many distinct pages, and on this share of the host's distinct pages or,
-#: where that is less, on as many as their square root, so that the share shrinks as hosts grow.
-LEAST_PAGES, LEAST_SHARE = 5, 0.1
+#: A subtree is a template of its host on so many distinct pages, or on this share of the host's distinct pages or their
+#: square root where that is less, but on two and (of few pages) on half of them at least: see :func:`recurs`.
+ENOUGH, LEAST_SHARE = 5, 0.1
+#: Of a page's own text (outside links), on average over the pages with a slot.
+MAIN, MINOR = 0.5, 0.2
+#: Shares are summed in whole thousandths, so that sums don't depend on their order.
+PARTS_OF_ONE = 1000
 #: Hosts above this share of all html, so fewer than this many, are dealt to parts of about so many characters, or of this share of all where that is less.
 HOT, PART_BYTES, PART_SHARE = 50_000, 32_000_000, 1000
 
@@ -44,43 +56,75 @@ CLASSES = frozenset(
     " subscription signup sidebar aside menu nav navbar navigation breadcrumb breadcrumbs header footer masthead comment comments disqus replies related share sharing social"
     " widget login toolbar pagination pager skip recommended recommendations trending".split()
 )
+#: What an open element's end is implied by, and the elements that it can't be ended across.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 PARAGRAPH_ENDS = BLOCKS - {"body", "html", "tbody", "thead", "tfoot", "td", "th", "tr"}
+PARAGRAPH_SCOPE = frozenset("td th div article section main body li blockquote".split())
+#: For each family of elements that end each other: its members and its scope.
+FAMILIES = {"p": (frozenset({"p"}), PARAGRAPH_SCOPE), **{t: (frozenset(CLOSED_BY[t]), frozenset(SCOPES[t])) for t in CLOSED_BY}}
+TOUCHED = frozenset().union(*(m | c for m, c in FAMILIES.values()))
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
+#: Blocks that hold other blocks: what a slot can be deleted as, besides lists of links.
+CONTAINERS = BLOCKS - PROSE - frozenset("html body li dt dd dl tr td th tbody thead tfoot figcaption figure legend hr summary".split())
+#: Their tags alone mark these, so they are plain blocks where marks are left out.
+MARKED = frozenset("nav menu header footer aside".split())
+NO_DIGITS = str.maketrans("", "", "0123456789")
+#: The sets of hashes that a host has, and in how many parts they are gathered first.
+ROLES_OF, DEAL = ("contents", "minor", "main"), 64
 
 
 class Node:
-    __slots__ = ("tag", "dropped", "content", "main", "parent", "digest", "links", "size")
+    __slots__ = ("tag", "label", "dropped", "content", "main", "inside", "parent", "open", "digest", "slot", "links", "size", "prose")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool, main: bool):
-        self.tag, self.parent, self.dropped, self.main = tag, parent, dropped, main
+    def __init__(self, tag: str, label: str, parent: Node | None, dropped: bool, main: bool):
+        self.tag, self.label, self.parent, self.dropped, self.main = tag, label, parent, dropped, main
+        self.inside = parent is not None and (parent.inside or parent.main)
         self.content: list[Node | str] = []
+        # the nearest open element of each family this side of its scope
+        self.open: dict[str, Node] = parent.open if parent is not None else {}
+        if tag in TOUCHED:
+            self.open = {f: n for f, n in self.open.items() if tag not in FAMILIES[f][1]}
+            self.open |= {f: self for f, (members, _) in FAMILIES.items() if tag in members}
 
 
-def boilerplate(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is dropped, and whether it holds the page's main part, by its tag and attributes."""
-    dropped, main = tag in DROPPED, tag in ("article", "main")
+def read_marks(tag: str, attributes: str, marks: bool = True) -> tuple[str, bool, bool]:
+    """An element's label (tag, class and id, without digits), whether it is dropped, and whether it holds the page's main part."""
+    dropped, main, label = tag in DROPPED and (marks or tag not in MARKED), marks and tag in ("article", "main"), tag
     if attributes and attributes.strip(" /"):
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name in ("class", "id") and tag not in ("body", "html"):
-                for token in value.split():
+                tokens = value.split()
+                label += "." + " ".join(sorted({t.translate(NO_DIGITS) for t in tokens}))
+                for token in tokens if marks else ():
                     parts = re.split("[^a-z0-9]+", token)
                     if not CLASSES.isdisjoint(parts) and CLASSES & {parts[0], parts[-1]}:
                         dropped = True
-            elif name == "role":
+            elif name == "role" and marks:
                 dropped |= value in ROLES
                 main |= value == "main"
             elif name == "hidden" or name == "aria-hidden" and value == "true":
                 dropped = True
-    return dropped, main and not dropped
+    return label, dropped, main and not dropped
 
 
-def tree(source: str) -> Node:
+def tree(source: str, marks: bool = True) -> Node:
     """The element tree of a page; texts have their character references decoded."""
+    from collections import Counter
     from html import unescape
 
-    root = here = Node("", None, False, False)
+    root = here = Node("", "", None, False, False)
+    standing: Counter[str] = Counter()  # open elements by tag, so that stray end tags needn't look for theirs
+
+    def ended(node: Node) -> Node:
+        nonlocal here
+        while here is not node:
+            standing[here.tag] -= 1
+            here = here.parent
+        standing[node.tag] -= 1
+        return node.parent
+
     at = 0
     while True:
         m = TOKEN.search(source, at)
@@ -94,97 +138,143 @@ def tree(source: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            node = here
-            while node.parent is not None and node.tag != tag:
-                node = node.parent
-            if node.parent is not None:
-                here = node.parent
+            if standing[tag] > 0:
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                here = ended(node)
             continue
-        if tag in PARAGRAPH_ENDS:
-            here = closed(here, {"p"}, {"td", "th", "div", "article", "section", "main", "body", "li", "blockquote"})
-        if tag in CLOSED_BY:
-            here = closed(here, CLOSED_BY[tag], SCOPES[tag])
-        node = Node(tag, here, *boilerplate(tag, m[3]))
+        if tag in PARAGRAPH_ENDS and "p" in here.open:
+            here = ended(here.open["p"])
+        if tag in CLOSED_BY and tag in here.open:
+            here = ended(here.open[tag])
+        label, dropped, main = read_marks(tag, m[3], marks)
+        node = Node(tag, label, here, dropped, main)
         here.content.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I).search(source, at)
             at = end.end() if end else len(source)
-        elif tag not in VOID and not m[3].endswith("/"):
-            here = node
-        elif m[3].endswith("/") and tag not in VOID and tag in BLOCKS:
+        elif tag not in VOID and (not m[3].endswith("/") or tag in BLOCKS):
             here = node
+            standing[tag] += 1
 
 
-def closed(here: Node, tags: set[str], until: set[str]) -> Node:
-    """Where the parser stands after closing an open element of ``tags`` this side of ``until``."""
-    node = here
-    while node.parent is not None and node.tag not in until:
-        if node.tag in tags:
-            return node.parent
-        node = node.parent
-    return here
+def _number(*parts: bytes) -> int:
+    import hashlib
+
+    return int.from_bytes(hashlib.blake2b(b"\x00".join(parts), digest_size=8).digest(), "little", signed=True)
 
 
 def hashed(root: Node) -> list[Node]:
-    """All elements, children first, with ``digest`` of their subtree, ``size`` and ``links``: letters, and letters in links."""
-    import hashlib
+    """All elements, children first, with ``digest`` of their subtree, ``slot``, ``size`` and ``links``: letters, and letters in links, and
+    ``prose``: whether paragraphs or headings are in it.
 
+    A slot's structure is the set of the structures of the blocks in it, so pages with more or fewer paragraphs share it."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
         stack += [x for x in node.content if isinstance(x, Node)]
-    order.reverse()
-    for node in order:
-        h = hashlib.blake2b(node.tag.encode(), digest_size=8)
-        node.size = node.links = 0
+    shapes: dict[int, tuple[int, ...]] = {}  # by element: the shapes that it gives its block
+    for node in reversed(order):
+        parts, shape = [node.tag.encode()], set()
+        size = links = own = 0
+        prose = node.tag in PROSE
         for x in node.content:
             if isinstance(x, Node):
-                h.update(b"\x01%d" % x.digest)
-                node.size += x.size
-                node.links += x.links
+                parts.append(b"\x01%d" % x.digest)
+                if not x.dropped:
+                    shape.update(shapes.pop(id(x)))
+                    size += x.size
+                    links += x.links
+                    prose |= x.prose
             else:
                 words = " ".join(x.split())
-                h.update(b"\x02" + words.encode("utf-8", "surrogatepass"))
-                node.size += len(words)
-        if node.tag == "a":
-            node.links = node.size
-        node.digest = int.from_bytes(h.digest(), "little", signed=True)
+                parts.append(b"\x02" + words.encode("utf-8", "surrogatepass"))
+                own += len(words)
+        node.size, node.links, node.prose = size + own, size + own if node.tag == "a" else links, prose
+        node.digest = _number(*parts)
+        if node.tag in BLOCKS:
+            node.slot = _number(node.label.encode("utf-8", "surrogatepass"), *(b"%d" % k for k in sorted(shape)))
+            shapes[id(node)] = (node.slot,)
+        else:
+            node.slot = 0
+            shapes[id(node)] = (*shape, 1) if node.tag == "a" else tuple(shape)
+    paths = {id(root): b""}
+    for node in order:  # parents first
+        here = paths[id(node)]
+        inner = b"%d" % _number(here, node.label.encode("utf-8", "surrogatepass")) if node.tag in BLOCKS else here
+        if node.tag in BLOCKS:
+            node.slot = _number(here, b"%d" % node.slot)
+        for x in node.content:
+            if isinstance(x, Node):
+                paths[id(x)] = inner
+    order.reverse()
     return order
 
 
-def inside_main(node: Node | None) -> bool:
-    while node is not None:
-        if node.main:
-            return True
-        node = node.parent
-    return False
+def may_repeat(node: Node) -> bool:
+    """Whether a subtree may be a template for its content: block elements with text outside the main part, and inside it link lists and bare containers."""
+    if node.tag not in BLOCKS or node.tag in ("html", "body") or not node.size or node.main or node.dropped:
+        return False
+    return not node.inside or 2 * node.links >= node.size or not node.prose and node.tag in ("ul", "ol", "div", "section", "table")
 
 
-def has_prose(node: Node) -> bool:
-    stack = [node]
-    while stack:
-        x = stack.pop()
-        if x.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote"):
-            return True
-        stack += [c for c in x.content if isinstance(c, Node)]
-    return False
+def in_slots(node: Node) -> bool:
+    return node.tag in CONTAINERS and node.size > 0 and not node.main and not node.inside and not node.dropped
 
 
-def candidates(root: Node) -> set[int]:
-    """Hashes of the subtrees that may be templates: block elements with text outside the main part, and inside it link lists and bare containers."""
-    found = set()
-    for node in hashed(root):
-        if node.tag in BLOCKS and node.tag not in ("html", "body") and node.size and not node.main and not node.dropped:
-            if not inside_main(node.parent) or 2 * node.links >= node.size or not has_prose(node) and node.tag in ("ul", "ol", "div", "section", "table"):
-                found.add(node.digest)
-    return found
+def candidates(order: list[Node]) -> tuple[set[int], dict[int, int]]:
+    """Hashes of the subtrees that may be templates for their content; and, of those that may be for their slot, or be a main part by
+    it, the slots with the ``PARTS_OF_ONE``-ths of the page's own text that they hold."""
+    found = {node.digest for node in order if may_repeat(node)}
+    own = sum(root.size - root.links for root in order[-1:])
+    slots: dict[int, int] = {}
+    for node in order:
+        if node.tag in CONTAINERS and not node.dropped and node.size:
+            slots[node.slot] = slots.get(node.slot, 0) + (node.size - node.links)
+    return found, {k: min(PARTS_OF_ONE, PARTS_OF_ONE * v // own) if own > 0 else 0 for k, v in slots.items()}
+
+
+def recurs(n: str, pages: str) -> str:
+    """SQL: whether ``n`` of a host's ``pages`` make a template."""
+    return f"{n} >= greatest(2, least({ENOUGH}, {pages} / 2), least({LEAST_SHARE} * {pages}, sqrt({pages})))"
+
+
+def known_templates(order: list[Node], contents: set[int], minor: set[int], main: set[int]) -> set[int]:
+    """ids of the elements to delete, given a host's recurring contents, its recurring slots with little text, and its slots with the pages' text."""
+    gone, holds, leaf = set(), set(), set()
+    for node in order:  # children first: a main slot without another in it is innermost
+        carries = node.slot in main and node.tag in CONTAINERS and not node.dropped
+        if carries and id(node) not in holds:
+            leaf.add(id(node))
+        if node.parent is not None and (carries or id(node) in holds):
+            holds.add(id(node.parent))
+    own = [node for node in order if id(node) in leaf]
+    some_stay = any(node.digest not in contents for node in own)
+    kept: set[int] = set()  # inside an innermost main slot
+    for node in reversed(order):
+        if node.parent is not None and (id(node.parent) in leaf or id(node.parent) in kept):
+            kept.add(id(node))
+        if id(node) in holds:
+            continue
+        if may_repeat(node) and node.digest in contents:
+            # one of several main parts may recur; inside a main slot it is as inside a marked article
+            if id(node) in leaf:
+                repeated = some_stay
+            else:
+                repeated = id(node) not in kept or 2 * node.links >= node.size or not node.prose and node.tag != "p"
+            if repeated:
+                gone.add(id(node))
+        elif in_slots(node) and node.slot in minor and id(node) not in kept:
+            gone.add(id(node))
+    return gone
 
 
-def main_text(source: str, templates: set[int] = frozenset()) -> str:
+def main_text(source: str, contents: set[int] = frozenset(), minor: set[int] = frozenset(), main: set[int] = frozenset(), marks: bool = True) -> str:
     """The blocks of the page's main part, one a line."""
-    root = tree(source)
-    known = candidates(root) & templates if templates else ()
+    root = tree(source, marks)
+    gone = known_templates(hashed(root), contents, minor, main) if contents or minor else ()
     mains, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -211,7 +301,7 @@ def main_text(source: str, templates: set[int] = frozenset()) -> str:
                 cut()
             elif isinstance(x, str):
                 run.append(x)
-            elif x.dropped or known and x.digest in known:
+            elif x.dropped or id(x) in gone:
                 run.append(" ")
             elif x.tag == "br" or x.tag in ("td", "th"):
                 run.append(" ")
@@ -225,13 +315,14 @@ def main_text(source: str, templates: set[int] = frozenset()) -> str:
     return "\n".join(blocks)
 
 
-def site_templates(pages: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """host and templates: the hashes of the subtrees recurring across its pages, for each subtree of a page at most ten or, on hosts of over 100 pages, the root of their number.
+def site_templates(pages: DataFrame, marks: bool = True) -> tuple[DataFrame, DataFrame, int]:
+    """host and contents, minor and main: the hashes of the subtrees that recur across its pages, of the recurring slots with little of their text, and of those with most of it.
     And host and salts of the hosts with over a ``HOT``-th of all html, so fewer than ``HOT``: to how many parts of about ``PART_BYTES``, or a ``PART_SHARE``-th, theirs is dealt.
     And the html's characters in all.
 
     A page counts once for each distinct html of a host, so copies and repeated rows make no templates of their own text.
-    Hashes are distinct within a page and counted before they are shuffled by host and hash.
+    Hashes are distinct within a page and counted before they are shuffled by host and hash; a host's templates are gathered
+    from partial sets, each of one task's hashes.
     """
 
     def emit(batches):
@@ -240,56 +331,69 @@ def site_templates(pages: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         import pyarrow as pa
 
         for batch in batches:
-            hosts, contents, found, sizes = [], [], [], []
+            hosts, contents, found, places, shares, sizes = [], [], [], [], [], []
             for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 source = source or ""
                 hosts.append(urlfilter.split_url(url)[0])
                 contents.append(hashlib.blake2b(source.encode("utf-8", "surrogatepass"), digest_size=16).digest())
-                found.append(sorted(candidates(tree(source))))
+                own, slots = candidates(hashed(tree(source, marks)))
+                found.append(sorted(own))
+                places.append(sorted(slots))
+                shares.append([slots[k] for k in places[-1]])
                 sizes.append(len(source))
-            columns = [pa.array(hosts, pa.string()), pa.array(contents, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["host", "content", "digests", "size"])
-
-    own = pages.select("url", "html").mapInArrow(emit, "host string, content binary, digests array<long>, size long")
-    own = own.groupBy("host", "content", "digests").agg(F.sum("size").alias("size"))
-    own = own.select("host", "size", F.explode(F.expr("concat(array(cast(null as bigint)), digests)")).alias("digest"))
-    counts = common.staged(own.groupBy("host", "digest").agg(F.count("*").alias("n"), F.sum("size").alias("size")), "subtrees")
-    sites = counts.where("digest is null").select("host", F.col("n").alias("pages"), "size")
-    many = counts.where(f"digest is not null and n >= {LEAST_PAGES}").join(sites, "host").where(f"n >= least({LEAST_SHARE} * pages, sqrt(pages))")
+            kinds = [pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((hosts, contents, found, places, shares, sizes), kinds, strict=True)], names=names)
+
+    names = ["host", "content", "digests", "slots", "shares", "size"]
+    own = pages.select("url", "html").mapInArrow(emit, "host string, content binary, digests array<long>, slots array<long>, shares array<long>, size long")
+    own = own.groupBy("host", "content", "digests", "slots", "shares").agg(F.sum("size").alias("size"))
+    # kind 0: the page itself, 1: a content, 2: a slot
+    row = "named_struct('kind', {}, 'digest', {}, 'share', {})".format
+    rows = f"concat(array({row(0, '0L', '0L')}), transform(digests, d -> {row(1, 'd', '0L')}), transform(slots, (d, i) -> {row(2, 'd', 'get(shares, i)')}))"
+    each = own.select("host", "size", F.explode(F.expr(rows)).alias("x")).select("host", "size", "x.*")
+    counts = common.staged(each.groupBy("host", "kind", "digest").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("share").alias("share")), "subtrees")
+    sites = counts.where("kind = 0").select("host", F.col("n").alias("pages"), "size")
     total = sites.agg(F.sum("size")).first()[0] or 0
     part = max(1, min(PART_BYTES, total // PART_SHARE))
     hot = sites.where((F.col("size") > total / HOT) & (F.col("size") > part)).select("host", F.expr(f"cast(size div {part} as int) + 1").alias("salts"))
-    return many.groupBy("host").agg(F.collect_set("digest").alias("templates")), hot, total
+
+    many = common.spread_join(counts.where("kind > 0 and n > 1"), sites.select("host", "pages"), ["host"]).where(recurs("n", "pages"))
+    share = f"share / n / {PARTS_OF_ONE}"
+    role = F.expr(f"case when kind = 1 then 'contents' when {share} < {MINOR} then 'minor' when {share} >= {MAIN} then 'main' end")
+    many = many.select("host", "digest", role.alias("role")).where("role is not null")
+    sets = [F.collect_set(F.when(F.col("role") == r, F.col("digest"))).alias(r) for r in ROLES_OF]
+    # a host's sets are gathered in two steps, so no task meets all the rows of one
+    some = many.withColumn("deal", F.expr(f"pmod(xxhash64(digest), {DEAL})")).groupBy("host", "deal").agg(*sets)
+    return some.groupBy("host").agg(*(F.flatten(F.collect_list(r)).alias(r) for r in ROLES_OF)), hot, total
 
 
-def extract_text(pages: DataFrame) -> DataFrame:
+def extract_text(pages: DataFrame, marks: bool = True) -> DataFrame:
     """page_id, url, text, n_chars for each row of ``pages`` (page_id, url, html)."""
-    common.small_batches(pages.sparkSession)
     kind = dict(pages.dtypes)["page_id"]
     host = F.when(F.instr("url", "://") > 0, common.lower_az(F.regexp_extract("url", "://([^/?#]*)", 1))).otherwise("")
-    sites, hot, total = site_templates(pages)
+    sites, hot, total = site_templates(pages, marks)
     parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PART_BYTES + 1)
-    sites = sites.join(F.broadcast(hot), "host", "left").select(F.col("host").alias("site"), "templates", F.explode(F.expr("sequence(0, coalesce(salts, 1) - 1)")).alias("part"))
+    sites = sites.join(F.broadcast(hot), "host", "left").select(F.col("host").alias("site"), *ROLES_OF, F.explode(F.expr("sequence(0, coalesce(salts, 1) - 1)")).alias("part"))
     rows = pages.select("page_id", "url", "html", F.coalesce(host, F.lit("")).alias("host")).join(F.broadcast(hot), "host", "left")
-    rows = rows.withColumn("salt", F.expr("cast(pmod(xxhash64(page_id, url), coalesce(salts, 1)) as int)"))
+    rows = rows.withColumn("salt", F.expr("cast(pmod(xxhash64(page_id, url, html), coalesce(salts, 1)) as int)"))
     none = {"page_id": kind, "url": "string", "html": "string"}
-    known = sites.select(*(F.lit(None).cast(t).alias(c) for c, t in none.items()), F.col("site").alias("host"), F.col("part").alias("salt"), "templates")
-    rows = rows.select(*none, "host", "salt", F.lit(None).cast("array<long>").alias("templates")).unionByName(known)
+    known = sites.select(*(F.lit(None).cast(t).alias(c) for c, t in none.items()), F.col("site").alias("host"), F.col("part").alias("salt"), *ROLES_OF)
+    rows = rows.select(*none, "host", "salt", *(F.lit(None).cast("array<long>").alias(r) for r in ROLES_OF)).unionByName(known)
     # as many tasks as there are parts of html, however many the session asks for; a part's templates come once, ahead of its pages
-    rows = rows.repartition(parts, "host", "salt").sortWithinPartitions("host", "salt", F.col("templates").isNull())
+    rows = rows.repartition(parts, "host", "salt").sortWithinPartitions("host", "salt", F.col("main").isNull())
 
     def extract(batches):
         import pyarrow as pa
 
-        at, known = None, frozenset()
+        at, known = None, ()
         for batch in batches:
             keep, texts = [], []
-            for k, (source, *part, templates) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True)):
-                if templates is not None:
-                    at, known = part, frozenset(templates)
+            for k, (source, *part, contents, minor, main) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 8)), strict=True)):
+                if main is not None:
+                    at, known = part, (frozenset(contents), frozenset(minor), frozenset(main))
                     continue
                 keep.append(k)
-                texts.append(main_text(source or "", known if part == at else frozenset()))
+                texts.append(main_text(source or "", *(known if part == at else ()), marks=marks))
             own = batch.select([0, 1]).take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
