@@ -1,18 +1,21 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Every word trigram of a test item that the corpus holds is a seed, so a copy that keeps three words in a row
-anywhere is aligned, whatever its edits broke beside them and however often other copies hold the rest. Seeds
-meet the documents in a join; the words around a meeting, allowing for insertions, are aligned with the item,
-once for each stretch of a document however many seeds meet there. The benchmark is taken in blocks of at most
-``BLOCK_GRAMS`` trigrams, so what is broadcast has a bound and every item is still tried.
+Seeds are three words of a test item, in a row or with the third one word further on, that the corpus holds too: so a copy
+is aligned if anywhere in it two neighbouring words and one of the next two are left, whatever its edits broke beside
+them and however often other copies hold the rest. Seeds meet the documents in a join. Of a meeting, the words around it, allowing for
+insertions, can't align better than all words of the item that stand among them; where that is enough, they are aligned with the item, once
+for each stretch of a document however many seeds meet there. The benchmark is taken in blocks of at most
+``BLOCK_GRAMS`` seeds (an item longer than that is a block of its own), so what is broadcast, an item's words once and its seeds, has a
+bound and every item is still tried.
 
 A document leaks an item if the alignment scores ``THRESHOLD`` of an exact copy with at least ``LEAST_WORDS`` words
 (or all of a shorter item), or if it scores as ``LONG_RUN`` words in a row do, however long the item.
 
 Words are lower-cased runs of letters and digits. Defined cases: null texts are empty; an item of fewer
-than three words is too little evidence and matches nothing; null ids are ids like others; repeated
-documents give equal rows, of which one is kept for each doc_id, text and item; an empty table on either
-side finds nothing. Other columns are ignored by :func:`find_leaks` and kept by :func:`decontaminated`.
+than three words has no seed and matches nothing; null ids are ids like others; repeated
+documents give equal rows, of which one is kept for each doc_id, text and item; of repeated item_ids each text is tried, and the best
+kept; of alignments that tie, that which starts first counts. A very long document is cut into windows around its meetings, each aligned by itself; an
+empty table on either side finds nothing. Other columns are ignored by :func:`find_leaks` and kept by :func:`decontaminated`, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,13 +25,16 @@ from pyspark.sql import functions as F
 
 from . import common
 
-N = 3
-BLOCK_GRAMS = 500_000
+#: Where the words of a seed stand.
+SEEDS = ((0, 1, 2), (0, 1, 3))
+BLOCK_GRAMS = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Of the score of an exact copy.
 THRESHOLD = 0.4
 #: Of items of more words, one trigram isn't enough; and an alignment worth so many words in a row is, however long the item.
 LEAST_WORDS, LONG_RUN = 4, 25
+#: Cells of one row of the score tables that are filled together.
+CELLS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -38,37 +44,51 @@ def tokens(text: Column) -> Column:
 # Rows are exploded with explode_outer: for explode, the optimizer would push a size filter below the
 # projections and so split the text again for every gram.
 def _grams(words: str) -> Column:
-    rest = ", ".join(f"get({words}, i + {k})" for k in range(1, N))
-    return F.expr(f"case when size({words}) >= {N} then transform(slice({words}, 1, size({words}) - {N - 1}), (x, i) -> xxhash64(x, {rest})) else cast(array() as array<bigint>) end")
+    """The hashes of a text's seeds, those of the first kind first."""
+    kinds = []
+    for k, places in enumerate(SEEDS):
+        rest = ", ".join(f"get({words}, i + {j})" for j in places[1:])
+        kinds.append(f"case when size({words}) > {places[-1]} then transform(slice({words}, 1, size({words}) - {places[-1]}), (x, i) -> xxhash64({k}, x, {rest})) else cast(array() as array<bigint>) end")
+    return F.expr(f"concat({', '.join(kinds)})")
+
+
+def _place(words: str, at: str) -> Column:
+    """The word at which the ``at``-th of a text's seeds begins."""
+    place, before = at, []
+    for places in SEEDS[:-1]:
+        before.append(f"greatest(size({words}) - {places[-1]}, 0)")
+        place = f"if({at} >= {' + '.join(before)}, {at} - ({' + '.join(before)}), {place})"
+    return F.expr(place)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_hash, item_id, score (of an exact copy's), matched, start for each document and item that align."""
-    items = benchmark.select("item_id", common.text_of().alias("text")).withColumn("words", tokens(F.col("text"))).withColumn("grams", _grams("words"))
-    items = items.select("item_id", "words", F.posexplode_outer("grams").alias("q", "gram")).where("gram is not null")
-    n = items.count()
-    blocks = max(1, -(-n // BLOCK_GRAMS))
-    found = None
+    items = benchmark.select("item_id", tokens(common.text_of()).alias("item")).where(f"size(item) >= {SEEDS[0][-1] + 1}").distinct().withColumn("key", F.xxhash64("item_id", "item"))
+    n = items.agg(F.sum(F.size("item"))).first()[0] or 0
+    blocks = max(1, -(-n * len(SEEDS) // BLOCK_GRAMS))
+    best = None
     for k in range(blocks):
-        block = items if blocks == 1 else items.where(F.expr(f"pmod(xxhash64(item_id), {blocks}) = {k}"))
-        part = _block_leaks(docs, block)
-        found = part if found is None else found.unionByName(part)
-    return found
+        part = _block_leaks(docs, items if blocks == 1 else items.where(F.expr(f"pmod(xxhash64(key), {blocks}) = {k}")))
+        best = part if best is None else best.unionByName(part)
+    best = best.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("score", "matched", (-F.col("start")).alias("back"))).alias("b"))
+    return best.select("doc_id", "text_hash", "item_id", "b.score", "b.matched", (-F.col("b.back")).alias("start"))
 
 
 def _block_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64(common.text_of()).alias("text_hash"), tokens(common.text_of()).alias("words")).withColumn("grams", _grams("words"))
-    seeds = items.select("item_id", F.col("words").alias("item"), "q", "gram")
+    seeds = items.select("key", "item", F.size("item").alias("n"), F.posexplode(_grams("item")).alias("k", "gram")).select("key", "n", _place("item", "k").alias("q"), "gram")
 
-    # the words around a meeting are cut out right behind the join, before anything is shuffled
-    met = rows.select("doc_id", "text_hash", "words", F.posexplode_outer("grams").alias("p", "gram")).join(F.broadcast(seeds), "gram")
-    met = met.withColumn("slack", F.greatest(F.lit(8), F.expr("size(item) div 2"))).withColumn("at", F.expr("p - q"))
+    # the words around a meeting are cut out right behind the joins, before anything is shuffled
+    met = rows.select("doc_id", "text_hash", "words", F.posexplode_outer("grams").alias("k", "gram")).join(F.broadcast(seeds), "gram")
+    met = met.withColumn("at", _place("words", "k") - F.col("q")).withColumn("slack", F.expr("greatest(8, n div 2)"))
     met = met.select(
-        "doc_id", "text_hash", "item_id", "item", F.expr("floor(at / slack)").alias("stretch"),
-        F.struct(F.expr("greatest(0, at - slack)").alias("start"), F.expr("slice(words, greatest(0, at - slack) + 1, size(item) + 3 * slack)").alias("passage")).alias("around"),
-    )
-    near = met.groupBy("doc_id", "text_hash", "item_id", "item", "stretch").agg(F.min("around").alias("around"))
-    near = near.select("doc_id", "text_hash", "item_id", "item", "around.start", "around.passage")
+        "doc_id", "text_hash", "key", "n", F.expr("floor(at / slack)").alias("stretch"), F.expr("greatest(0, at - slack)").alias("start"),
+        F.expr("slice(words, greatest(0, at - slack) + 1, n + 3 * slack)").alias("passage"),
+    ).join(F.broadcast(items), "key")
+    enough = f"greatest(least({LONG_RUN}, {THRESHOLD} * n), least({LEAST_WORDS}, n))"
+    met = met.where(f"size(filter(item, w -> array_contains(passage, w))) >= {enough}")
+    near = met.groupBy("doc_id", "text_hash", "item_id", "key", "stretch").agg(F.min(F.struct("start", "passage", "item")).alias("around"))
+    near = near.select("doc_id", "text_hash", "item_id", "around.item", "around.start", "around.passage")
     names = ["doc_id", "text_hash", "item_id", "score", "matched", "start"]
 
     def align(batches):
@@ -76,18 +96,18 @@ def _block_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         for batch in batches:
             item, start, passage = (batch.column(k).to_pylist() for k in (3, 4, 5))
-            out = [smith_waterman(a, b) for a, b in zip(item, passage, strict=True)]
-            leaks = pa.array([leaked(score, matched, len(a)) for (score, matched, _), a in zip(out, item, strict=True)], pa.bool_())
+            hopeful = [k for k, s in enumerate(best_scores(item, passage)) if leaked(s, LEAST_WORDS, len(item[k]))]
+            out = [(k, *smith_waterman(item[k], passage[k])) for k in hopeful]
+            out = [x for x in out if leaked(x[1], x[2], len(item[x[0]]))]
+            own = batch.select([0, 1, 2]).take(pa.array([x[0] for x in out], pa.int64()))
             columns = [
-                *(batch.column(k) for k in range(3)), pa.array([s / (MATCH * len(a)) for (s, _, _), a in zip(out, item, strict=True)], pa.float64()),
-                pa.array([m for _, m, _ in out], pa.int32()), pa.array([s + b for s, (_, _, b) in zip(start, out, strict=True)], pa.int32()),
+                *own.columns, pa.array([s / (MATCH * len(item[k])) for k, s, _, _ in out], pa.float64()),
+                pa.array([m for _, _, m, _ in out], pa.int32()), pa.array([start[k] + b for k, _, _, b in out], pa.int32()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(leaks)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kinds = dict(near.dtypes)
-    scored = near.mapInArrow(align, f"doc_id {kinds['doc_id']}, text_hash long, item_id {kinds['item_id']}, score double, matched int, start int")
-    best = scored.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("score", "matched", (-F.col("start")).alias("back"))).alias("b"))
-    return best.select("doc_id", "text_hash", "item_id", "b.score", "b.matched", (-F.col("b.back")).alias("start"))
+    return near.mapInArrow(align, f"doc_id {kinds['doc_id']}, text_hash long, item_id {kinds['item_id']}, score double, matched int, start int")
 
 
 def leaked(score: int, matched: int, words: int) -> bool:
@@ -95,6 +115,38 @@ def leaked(score: int, matched: int, words: int) -> bool:
     return score >= MATCH * LONG_RUN or score >= THRESHOLD * MATCH * words and matched >= min(words, LEAST_WORDS)
 
 
+def best_scores(items: list[list[str]], passages: list[list[str]]) -> list[int]:
+    """The best local alignment score of each pair of word lists, many tables at a time: a row of them for a word of the items."""
+    import numpy as np
+
+    out = [0] * len(items)
+    order = sorted(range(len(items)), key=lambda k: (len(passages[k]), len(items[k])))
+    while order:
+        some: list[int] = []
+        while order and (not some or (len(some) + 1) * (len(passages[order[-1]]) + 1) <= CELLS and len(some) * len(passages[some[0]]) <= CELLS):
+            some.append(order.pop())
+        known: dict[str, int] = {}
+        wide, long = max(len(passages[k]) for k in some), max(len(items[k]) for k in some)
+        a, b = np.full((len(some), long), -1), np.full((len(some), wide), -2)
+        for i, k in enumerate(some):
+            a[i, : len(items[k])] = [known.setdefault(w, len(known)) for w in items[k]]
+            b[i, : len(passages[k])] = [known.setdefault(w, len(known)) for w in passages[k]]
+        step = GAP * np.arange(1, wide + 1)
+        above, best = np.zeros((len(some), wide + 1), int), np.zeros(len(some), int)
+        for j in range(long):
+            here = np.zeros_like(above)
+            cell = np.maximum(above[:, :-1] + np.where(a[:, j : j + 1] == b, MATCH, MISMATCH), above[:, 1:] + GAP)
+            np.maximum(cell, 0, out=cell)
+            # gaps along the passage: the best cell to the left, less a gap for each word between
+            here[:, 1:] = np.maximum.accumulate(cell - step, axis=1) + step
+            above = here
+            if wide:
+                best = np.maximum(best, here.max(axis=1))
+        for i, k in enumerate(some):
+            out[k] = int(best[i])
+    return out
+
+
 def smith_waterman(item: list[str], passage: list[str]) -> tuple[int, int, int]:
     """Best local alignment score of two word lists, its matching words, and its first word in ``passage``."""
     width = len(passage) + 1
