@@ -3,12 +3,13 @@
 Keys are hashes of texts, so equal texts have one key. A size-weighted sample of keys gives quantile
 splitters; the ranges between them are counted exactly, and running bytes cut them into shards. A key
 heavier than ``WHOLE`` of a shard is placed by itself, largest first, on the shard with most room; a key
-heavier than a whole shard is an overfull range and is subdivided by row hash before it is cut. What
+heavier than a whole shard is an overfull range and is subdivided row by row before it is cut. What
 reaches the driver is one row a range or heavy key, both of bounded number.
 
 Defined cases: a null text has size 16 and crc32 0 and the empty text's key; null doc_ids come first in
-their group; repeated rows keep a slot each; rows that tie in everything get their slots in any order.
-An empty table gives an empty table. Other columns are dropped by :func:`assign_shards`.
+their group; repeated rows, and rows with equal or null ids, keep a slot each and are subdivided like others; rows that tie in
+everything get their slots in any order. A very long text is one row of its size, which a shard may hold alone.
+An empty table gives an empty table. Other columns are dropped by :func:`assign_shards`, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-RANGES = 512
-SAMPLE = 40 * RANGES
+#: Ranges of keys: one for about ``RANGE_ROWS`` rows, between these numbers, with ``SAMPLES`` sampled keys each.
+RANGES, MOST_RANGES, RANGE_ROWS, SAMPLES = 512, 4096, 1_000_000, 40
 #: Of a shard's bytes: lighter keys are laid out by range.
 WHOLE = 0.01
 PARTS = 400
@@ -34,11 +35,13 @@ def assign_shards(docs: DataFrame, shards: int = 40, overhead: int = 16) -> Data
             (F.octet_length(text) + overhead).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("key"),
-            F.expr("pmod(xxhash64(doc_id, 7), 1048576)").cast("int").alias("mix"),
+            # a row's own number, fixed by the table that is staged here: repeated rows and ids have different ones
+            F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(1 << 20)).cast("int").alias("mix"),
         ),
         "shard-rows",
     )
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    sums = rows.agg(F.sum("size").alias("size"), F.count("*").alias("n")).first()
+    total, ranges = sums["size"] or 0, min(MOST_RANGES, max(RANGES, sums["n"] // RANGE_ROWS))
     room = max(1.0, total / shards)
     # a key of over WHOLE of a shard: at most shards / WHOLE of them
     heavy = [
@@ -47,9 +50,9 @@ def assign_shards(docs: DataFrame, shards: int = 40, overhead: int = 16) -> Data
     ]
     alone, split = [h for h in heavy if h[1] <= room], [h for h in heavy if h[1] > room]
 
-    chance = F.expr("pmod(xxhash64(doc_id, key, 11), 1000000007) / 1000000007.0D")
-    sample = rows.where(chance < F.col("size") * (SAMPLE / max(1, total)))
-    bounds = sample.agg(F.percentile_approx("key", [k / RANGES for k in range(1, RANGES)], 100_000)).first()[0] or []
+    chance = F.expr("pmod(xxhash64(mix, key, 11), 1000000007) / 1000000007.0D")
+    sample = rows.where(chance < F.col("size") * (SAMPLES * ranges / max(1, total)))
+    bounds = sample.agg(F.percentile_approx("key", [k / ranges for k in range(1, ranges)], 100_000)).first()[0] or []
     bounds = sorted(set(bounds))
 
     # ranges: below zero for keys that stay alone, then those of the splitters, then the parts of split keys
