@@ -4,12 +4,12 @@ A text is cut into chunks, each compressed with either dictionary; the normalise
 summed sizes becomes a score by a logistic curve fitted on labelled rows that built neither dictionary.
 The curve also sees how far the text shrinks at all, since endless repetition shrinks alike with both.
 
-The model is fitted on a bounded sample (``SAMPLE`` labelled rows of a class, ``SAMPLE_CHARS`` of each);
-scores read whole texts.
+The model is fitted on a bounded sample: of either class the first ``SAMPLE`` rows in the order of a hash, as far as their texts
+come to ``SAMPLE_BYTES``, each whole. Scores read whole texts.
 
-Defined cases: a null text is empty; an empty text gets the score of a difference of zero; rows are
-scored each on its own, so ties and repeated rows don't matter; without labelled rows of both classes
-every score is 0.5; an empty table gives an empty table. Labels that are null, or whose rows have no
+Defined cases: a null text is empty; an empty text shows no quality and scores 0, where there is a model; rows are
+scored each on its own, so ties and repeated rows don't matter, and of repeated labels the better one counts; without labelled
+rows of both classes every score is 0.5; an empty table gives an empty table. Labels that are null, or whose rows have no
 document, are left out; further columns of the input stay, the added ones replace those of the same name.
 """
 
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE, SAMPLE_CHARS = 2000, 20_000
-DICTIONARY_BYTES, CHUNK, LEVEL = 65_536, 2048, 3
+SAMPLE, SAMPLE_BYTES = 2000, 32_000_000
+DICTIONARY_BYTES, CHUNK, LEVEL = 65_536, 1024, 3
 THRESHOLD = 0.3
 
 
@@ -48,7 +48,7 @@ class Model:
             held = zstandard.ZstdCompressionDict(raw)
             held.precompute_compress(level=LEVEL)
             pair.append(zstandard.ZstdCompressor(dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False))
-        return lambda text: logistic(self.weights, features(text, *pair))
+        return lambda text: logistic(self.weights, features(text, *pair)) if text else 0.0
 
 
 def features(text: str | None, good, bad) -> tuple[float, ...]:
@@ -78,21 +78,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from ``labels`` (doc_id, quality) of rows that aren't held out."""
     import zstandard
 
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sizes = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
-    share = {q: min(1.0, SAMPLE / n) for q, n in sizes.items()}
-    mix = F.expr("pmod(xxhash64(doc_id, 3), 1000003) / 1000003.0D")
-    sample = known.where(F.when(F.col("quality") == 1, mix < share.get(1, 0.0)).otherwise(mix < share.get(0, 0.0)))
-    rows = docs.select("doc_id", F.substring(common.text_of(), 1, SAMPLE_CHARS).alias("text")).join(F.broadcast(sample), "doc_id").collect()
-    rows = sorted({(r["doc_id"], r["quality"], r["text"]) for r in rows if r["text"]})
+    rows = set()
+    for q in (0, 1):  # a class' labels, then their documents' rows
+        ids = known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(SAMPLE)
+        own = docs.select("doc_id", common.text_of().alias("text")).where("text <> ''").join(F.broadcast(ids), "doc_id")
+        rows |= {(r["doc_id"], q, r["text"]) for r in common.bounded_sample(own, F.xxhash64("doc_id", "text"), F.octet_length("text"), SAMPLE, SAMPLE_BYTES)}
+    rows = sorted(rows)
     by = {q: [(i, t) for i, x, t in rows if x == q] for q in (0, 1)}
     if min(len(by[0]), len(by[1])) < 2:
         return Model(b"", b"", ())
 
     def dictionary(texts: list[str]) -> bytes:
-        parts = [t.encode("utf-8", "surrogatepass")[k : k + CHUNK] for t in texts for k in range(0, len(t), CHUNK)]
+        whole = (t.encode("utf-8", "surrogatepass") for t in texts)
+        parts = [t[k : k + CHUNK] for t in whole for k in range(0, len(t), CHUNK)]
         try:
-            return zstandard.train_dictionary(DICTIONARY_BYTES, [p for p in parts if p]).as_bytes()
+            return zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes()
         except zstandard.ZstdError:  # too little text to choose from: its end is the dictionary
             return b"".join(parts)[-DICTIONARY_BYTES:] or b" " * 8
 
@@ -133,7 +135,6 @@ def calibrated(xs: list[tuple[float, ...]], ys: list[int], ws: list[float]) -> t
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score`` (0 to 1)."""
-    common.small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != "score"]
     at = kept.index("text")
 
