@@ -2,15 +2,18 @@
 
 Each file opens with a skippable frame that holds the dictionary, then has one frame a record. Spark's text
 sink writes the frames, so commits, retries and any Hadoop store work as for other tables: a line is a
-frame, and the line separator is an empty skippable frame, which readers of the format pass over. At most
-``FILE_RECORDS`` records share a file, so a reader holds little at once.
+frame, and the line separator is an empty skippable frame, which readers of the format pass over. Records are
+archived by classes of their payload's size, and the fewer share a file the larger they may be (``CLASSES``), so a file has a
+bound in bytes, unless one record alone is larger, and a reader holds little at once.
 
 Of records with equal payloads of at least ``LEAST_BYTES`` bytes, that with the smallest page_id is the
-response and the others are revisits.
+response and the others are revisits. The dictionary is built from a bounded sample of whole records (``SAMPLE`` of them or
+``SAMPLE_BYTES``), which decides only how well the others compress.
 
 Defined cases: a null html is empty; a null url gives no target; null page_ids never come first in their
 group unless all are null, in which case all are responses; repeated rows of the smallest page_id are
-all responses. An empty table writes an archive without records. Other columns are not archived.
+all responses. A very long page is one record of a class of its own. An empty table writes an archive without records. Other
+columns are not archived, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +26,9 @@ from pyspark.sql import functions as F
 from . import common
 
 LEAST_BYTES = 100
-FILE_RECORDS = 2000
-DICTIONARY_BYTES, SAMPLE = 65_536, 1500
+#: Payload bytes below which records are of a class, and how many of that class share a file: half a gigabyte before compression.
+CLASSES = ((1 << 18, 2000), (1 << 24, 32), (1 << 40, 1))
+DICTIONARY_BYTES, SAMPLE, SAMPLE_BYTES = 65_536, 1500, 32_000_000
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
 #: Magic numbers of the format: the frame of a dictionary, and an empty skippable frame (all ASCII).
@@ -97,9 +101,9 @@ def with_types(pages: DataFrame) -> DataFrame:
     Groups are counted on narrow rows; the html is shuffled once, by page_id, so a hot payload doesn't gather.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2(F.col("html"), 256))
-    narrow = rows.where(F.octet_length("html") >= LEAST_BYTES).select("page_id", "digest")
+    narrow = common.staged(rows.where(F.octet_length("html") >= LEAST_BYTES).select("page_id", "digest"), "payloads")
     several = narrow.groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("refers_to")).where("n > 1 and refers_to is not null")
-    revisits = narrow.join(several, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    revisits = common.spread_join(narrow, several, ["digest"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
     revisits = revisits.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "refers_to").distinct()
     return rows.join(revisits, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").drop("p", "d")
 
@@ -108,9 +112,8 @@ def trained(pages: DataFrame) -> bytes:
     """A dictionary from a bounded sample of records, ``SAMPLE`` of them about."""
     import zstandard
 
-    n = pages.count()
-    few = pages.select("page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, 20_000).alias("html"))
-    few = few.where(F.expr("pmod(xxhash64(page_id, 5), 1000003) / 1000003.0D") < SAMPLE / max(1, n)).collect()
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    few = common.bounded_sample(rows, F.xxhash64("page_id", "url", "html"), F.octet_length("html"), SAMPLE, SAMPLE_BYTES)
     texts = [record(r["page_id"], r["url"], r["html"].encode("utf-8", "surrogatepass"), "0" * 64, None, False) for r in few]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
@@ -120,9 +123,18 @@ def trained(pages: DataFrame) -> bytes:
 
 def write_archives(pages: DataFrame, path: str) -> None:
     """Archives of ``pages`` under ``path``."""
-    common.small_batches(pages.sparkSession)
-    raw, separator = trained(pages), SEPARATOR.encode()
-
+    raw = trained(pages)
+    typed = with_types(pages).select("page_id", "url", "html", "digest", "refers_to").withColumn("bytes", F.octet_length("html"))
+    sizes = F.octet_length(F.coalesce("html", F.lit("")))
+    kinds = [F.sum((sizes < most).cast("long")) for most, _ in CLASSES]
+    below = [n or 0 for n in pages.agg(*kinds).first()]
+    for k, (most, records) in enumerate(CLASSES):
+        least = CLASSES[k - 1][0] if k else 0
+        if k == 0 or below[k] > below[k - 1]:
+            _write_class(typed.where((F.col("bytes") >= least) & (F.col("bytes") < most)).drop("bytes"), path, raw, records)
+
+
+def _write_class(typed: DataFrame, path: str, raw: bytes, records: int) -> None:
     def compress(batches):
         import pyarrow as pa
         import zstandard
@@ -133,23 +145,20 @@ def write_archives(pages: DataFrame, path: str) -> None:
         for batch in batches:
             out = []
             for page_id, url, html, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if count % FILE_RECORDS == 0:  # the sink begins a file here
+                if count % (records + 1) == 0:  # the sink begins a file here
                     out.append(opening)
                     count += 1
                 payload = html.encode("utf-8", "surrogatepass")
                 out.append(made.compress(record(page_id, url, payload, digest, refers_to, refers_to is not None)))
                 count += 1
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
-        assert separator[:4] != DICTIONARY_FRAME
 
-    typed = with_types(pages).select("page_id", "url", "html", "digest", "refers_to")
     lines = typed.mapInArrow(compress, "frame binary").select(F.col("frame").cast("string").alias("value"))
-    lines.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "none").text(path)
+    lines.write.mode("append").option("lineSep", SEPARATOR).option("maxRecordsPerFile", records + 1).option("compression", "none").text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each record under ``path``."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
 
     def read(batches):
         import pyarrow as pa
@@ -166,6 +175,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         out.append(parsed(opener.decompress(content)))
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema=schema)
 
+    # a task's files come to spark.sql.files.maxPartitionBytes at most, or are one file
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select("content").mapInArrow(
         read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -174,6 +184,6 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def archived(pages: DataFrame) -> DataFrame:
     """Writes ``pages`` to the shared folder as archives and reads them back."""
-    path = f"{common.shared_dir(pages.sparkSession)}/radarframe/warc-{uuid.uuid4().hex}"
+    path = common.temporary(pages.sparkSession, "warc")
     write_archives(pages, path)
     return read_archives(pages.sparkSession, path)
