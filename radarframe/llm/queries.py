@@ -66,12 +66,12 @@ def _url_sql() -> str:
     verdict = " ".join(f"WHEN '{r}' THEN '{v}'" for _, _, r, v in order)
 
     def hits(terms) -> str:
-        one = [f"CAST(regexp_matches(low, '(^|[^\\p{{L}}\\p{{N}}]){t}($|[^\\p{{L}}\\p{{N}}])') AS INTEGER)" for t in terms]
-        return f"({' + '.join(one)})"
+        # the letters and digits of a url, one space between their runs, so that a term stands alone where spaces do
+        return "(" + " + ".join(f"CAST(contains(low, ' {t} ') AS INTEGER)" for t in terms) + ")"
 
     low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return f"""WITH u AS (SELECT page_id, url, translate(coalesce(regexp_extract({rest}, 1), ''), '{low}', '{low.lower()}') AS host, coalesce(regexp_extract({rest}, 2), '') AS path FROM pages),
-      r AS (SELECT *, CASE {fit} END AS rule, CASE WHEN host = '' AND path = '' THEN '' ELSE lower(url) END AS low FROM u),
+      r AS (SELECT *, CASE {fit} END AS rule, ' ' || regexp_replace(lower(url_decode(coalesce(url, ''))), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' ' AS low FROM u),
       n AS (SELECT *, {hits(urlfilter.STRICT)} AS n_strict, {hits(urlfilter.SOFT)} AS n_soft FROM r)
       SELECT page_id, host, path, rule, CASE rule {verdict} ELSE CASE WHEN n_strict >= 1 OR n_soft >= {urlfilter.SOFT_HITS} THEN 'block' ELSE 'allow' END END AS verdict, n_strict, n_soft FROM n"""
 

@@ -1,16 +1,24 @@
 """URL filters: host and path rules first, then a weighted vocabulary found by an Aho-Corasick automaton.
 
-Defined cases: a null url or one without ``://`` has an empty host and path, no rule and no hit,
-so its verdict is ``allow``. Repeated rows are judged each on its own; an empty table gives an empty
-table; other columns of the input are ignored by :func:`judge_urls`.
+The vocabulary is a table of terms and weights: one strict term rejects, and so do several distinct soft ones. Terms are
+looked for in the whole url, percent-decoded and lower-cased, and count where no letter or digit touches them.
+
+Defined cases: a null url has an empty host and path, no rule and no hit, so its verdict is ``allow``; one without ``://``
+has an empty host and path and no rule, and its verdict is the vocabulary's. A term counts once, however often it stands in a
+url; of rules that fit equally long, the first by host and path wins. Urls are read whole, in time proportional to their length.
+Repeated rows are judged each on its own; an empty table gives an empty table; other columns of the input are ignored by
+:func:`judge_urls` and kept by :func:`keep_allowed`, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
 
 #: (host, path, verdict)
 RULES = (
@@ -21,9 +29,16 @@ RULES = (
     ("com", "/de/", "block"),
 )
 #: One hit rejects.
-STRICT = ("porn", "xxx", "casino", "viagra", "escort", "spam", "malware", "phishing", "warez", "pills")
+STRICT = tuple(
+    "porn porno pornhub xxx hentai milf escort escorts camgirl camgirls casino viagra cialis levitra pills steroids spam malware phishing ransomware"
+    " keylogger warez keygen serialz cracked nulled carding fullz gore".split()
+)
 #: Several distinct hits reject.
-SOFT = ("win", "free", "cheap", "bet", "bets", "sex", "adult", "farm", "loan", "loans", "crack", "lottery", "poker", "replica", "torrent", "deals", "bonus", "click")
+SOFT = tuple(
+    "win winner free freebies cheap cheapest bet bets betting gamble gambling slots jackpot lottery lotto poker roulette bingo sex sexy adult nude nudes"
+    " erotic fetish hookup farm loan loans payday mortgage refinance crack torrent torrents replica replicas deals coupon coupons bonus click clickbait"
+    " affiliate earn cash crypto airdrop forex pharmacy pharma weightloss diet detox miracle cure backlinks hacked exploit".split()
+)
 SOFT_HITS = 2
 
 
@@ -32,14 +47,13 @@ def compile_rules(rules) -> list[tuple[str, str, str, str]]:
     return sorted(((h, p, h + p, v) for h, p, v in rules), key=lambda r: (-len(r[2]), r[2]))
 
 
-def judge_urls(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_hits: int = SOFT_HITS) -> DataFrame:
-    """page_id, host, path, rule, verdict, n_strict, n_soft for each row of ``pages`` (page_id, url)."""
-    common.small_batches(pages.sparkSession)
+def verdict_of(url: Column | str, rules=RULES, strict=STRICT, soft=SOFT, soft_hits: int = SOFT_HITS) -> Column:
+    """struct<host, path, rule, verdict, n_strict, n_soft> of a url column."""
     ranked, strict, soft = compile_rules(rules), tuple(strict), tuple(soft)
 
-    def judge(batches):
+    @F.pandas_udf("host string, path string, rule string, verdict string, n_strict int, n_soft int")
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import ahocorasick
-        import pyarrow as pa
 
         automaton = ahocorasick.Automaton()
         for weight, terms in (("soft", soft), ("strict", strict)):
@@ -49,30 +63,29 @@ def judge_urls(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_hit
 
         def hits(text: str) -> tuple[int, int]:
             found: dict[str, set[str]] = {"soft": set(), "strict": set()}
-            for end, (weight, term) in automaton.iter(text):
+            for end, (weight, term) in automaton.iter(text) if len(automaton) else ():
                 start = end - len(term) + 1
                 before, after = text[start - 1 : start], text[end + 1 : end + 2]
                 if not (before.isalnum() or after.isalnum()):
                     found[weight].add(term)
             return len(found["strict"]), len(found["soft"])
 
-        for batch in batches:
-            out = {k: [] for k in ("host", "path", "rule", "verdict", "n_strict", "n_soft")}
-            for url in batch.column(1).to_pylist():
-                host, path = split_url(url)
-                rule = next((r for r in ranked if fits(r, host, path)), None)
-                n_strict, n_soft = hits((url or "").lower()) if host or path else (0, 0)
-                method = "block" if n_strict >= 1 or n_soft >= soft_hits else "allow"
-                for k, v in zip(out, (host, path, rule and rule[2], rule[3] if rule else method, n_strict, n_soft), strict=True):
-                    out[k].append(v)
-            kinds = [pa.string()] * 4 + [pa.int32()] * 2
-            columns = [batch.column(0), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))]
-            yield pa.RecordBatch.from_arrays(columns, names=["page_id", *out])
-
-    kind = dict(pages.dtypes)["page_id"]
-    return pages.select("page_id", "url").mapInArrow(
-        judge, f"page_id {kind}, host string, path string, rule string, verdict string, n_strict int, n_soft int"
-    )
+        def judge(url: str | None):
+            host, path = split_url(url)
+            rule = next((r for r in ranked if fits(r, host, path)), None)
+            n_strict, n_soft = hits(unquote(url or "").lower())
+            method = "block" if n_strict >= 1 or n_soft >= soft_hits else "allow"
+            return host, path, rule and rule[2], rule[3] if rule else method, n_strict, n_soft
+
+        for urls in batches:
+            yield pd.DataFrame([judge(u) for u in urls], columns=["host", "path", "rule", "verdict", "n_strict", "n_soft"])
+
+    return judged(url)
+
+
+def judge_urls(pages: DataFrame, **how) -> DataFrame:
+    """page_id, host, path, rule, verdict, n_strict, n_soft for each row of ``pages`` (page_id, url)."""
+    return pages.select("page_id", verdict_of("url", **how).alias("found")).select("page_id", "found.*")
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -91,6 +104,5 @@ def fits(rule: tuple[str, str, str, str], host: str, path: str) -> bool:
 
 
 def keep_allowed(pages: DataFrame, **how) -> DataFrame:
-    """The rows of ``pages`` whose url is allowed, with all their columns."""
-    verdict = judge_urls(pages.select("page_id", "url").distinct(), **how).where("verdict = 'allow'").select(F.col("page_id").alias("__id")).distinct()
-    return pages.join(verdict, F.col("page_id").eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of ``pages`` whose own url is allowed, with all their columns."""
+    return pages.where(verdict_of("url", **how)["verdict"] == "allow")
