@@ -4,8 +4,8 @@ Everything is a built-in SQL function. ``split`` gives the text between matches
 ``regexp_extract_all`` the matches, so running lengths give each match's place in code points.
 
 Defined cases: a null text is empty and has no span; rows are independent, so ties, repeated rows and
-other columns don't matter (the added columns replace columns of the same name); an empty table
-gives an empty table. The expressions never backtrack over more than one run, so very long texts
+other columns don't matter (the column that :func:`find_pii` adds replaces one of the same name; :func:`redact` adds none);
+an empty table gives an empty table. The expressions never backtrack over more than one run, so very long texts
 take time in proportion to their length.
 """
 
@@ -51,6 +51,23 @@ def _mod97(m: str) -> str:
     return f"case when length({s}) between 15 and 34 then {rest} = 1 else false end"
 
 
+#: The lengths of IBANs by country.
+_IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21"
+    " HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24"
+    " RS22 SA24 SC31 SD18 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+)
+
+
+def _iban() -> str:
+    """A country's letters, two check digits, and just as many letters and digits as that country's numbers have, so that what follows isn't read along."""
+    by: dict[int, list[str]] = {}
+    for entry in _IBAN_LENGTHS.split():
+        by.setdefault(int(entry[2:]), []).append(entry[:2])
+    kinds = "|".join(f"(?:{'|'.join(names)})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, names in sorted(by.items()))
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{kinds})(?![A-Za-z0-9])"
+
+
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _LOCAL = "[A-Za-z0-9._%+-]"
 _CARD = "(?<![0-9])[0-9](?:[ -]?[0-9])++"
@@ -60,7 +77,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", f"m rlike '^{_PART}([.]{_PART}){{3}}$'", 0.6, "ip|host|server|address|login"),
     Kind("card", _CARD, _luhn("m", 16, 19), 0.8, _CARD_WORDS),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", f"length({_digits('m')}) between 8 and 15", 0.6, "phone|tel|call|mobile|fax|cell", needs="+"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", _mod97("m"), 0.7, "iban|bank|account|konto|compte|cuenta", base=False),
+    Kind("iban", _iban(), _mod97("m"), 0.7, "iban|bank|account|konto|compte|cuenta", base=False),
     Kind("shortcard", _CARD, _luhn("m", 13, 15), 0.35, _CARD_WORDS, base=False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "m rlike '^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$'", 0.35, "ssn|social|security|insured", base=False),
 )
@@ -90,10 +107,10 @@ def _spans(kind: Kind, text: str) -> Column:
     return F.expr(f"case when {some} and {text} rlike '{pattern}' then {whole} else {none} end")
 
 
-def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``pii``: array<struct<kind, start, end, score>> in the order of KINDS, then start."""
+def find_pii(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
+    """``docs`` with ``out``: array<struct<kind, start, end, score>> in the order of KINDS, then start."""
     held = docs.withColumn("__text", common.text_of(text))
-    return held.withColumn("pii", F.concat(*(_spans(k, "__text") for k in KINDS))).drop("__text")
+    return held.withColumn(out, F.concat(*(_spans(k, "__text") for k in KINDS))).drop("__text")
 
 
 def joined(spans: Column) -> Column:
@@ -117,13 +134,13 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A null text stays null. ``n_chars``, where there is one, is brought up to date.
     """
-    at = "array_sort(pii, (a, b) -> case when a.start < b.start then -1 when a.start > b.start then 1 when a.end > b.end then -1 when a.end < b.end then 1 else 0 end)"
+    at = "array_sort(__pii, (a, b) -> case when a.start < b.start then -1 when a.start > b.start then 1 when a.end > b.end then -1 when a.end < b.end then 1 else 0 end)"
     cut = (
         f"aggregate({at}, named_struct('at', 0, 'out', cast(array() as array<string>)), (s, z) -> case when z.start >= s.at"
         " then named_struct('at', z.end, 'out', concat(s.out, array(substring(`TEXT`, s.at + 1, z.start - s.at), concat('[', upper(z.kind), ']'))))"
         " else named_struct('at', greatest(s.at, z.end), 'out', s.out) end,"
         " s -> concat(array_join(s.out, ''), substring(`TEXT`, s.at + 1)))"
     ).replace("TEXT", text)
-    found = find_pii(docs, text)
-    done = found.withColumn(text, F.when(F.size("pii") > 0, F.expr(cut)).otherwise(F.col(text))).drop("pii")
+    found = find_pii(docs, text, "__pii")
+    done = found.withColumn(text, F.when(F.size("__pii") > 0, F.expr(cut)).otherwise(F.col(text))).drop("__pii")
     return done.withColumn("n_chars", F.char_length(text).cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else done
