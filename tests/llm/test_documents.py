@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import brute
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from radarframe.llm import decontaminate, pieces, pii, quality, sharding, simhash, sketch
@@ -32,6 +33,18 @@ def test_redaction_names_kinds_and_keeps_columns(docs):
     assert done[0].text is None and done[5].n_chars == len(done[5].text)
 
 
+def test_ibans_end_where_their_country_says(spark):
+    texts = ["bank DE89370400440532013000 BIC COBADEFF", "iban DE89 3704 0044 0532 0130 00 2024", "konto GB82 WEST 1234 5698 7654 32", "account DE89370400440532013001 no", "iban ZZ89370400440532013000"]
+    got = {r.doc_id: r.spans for r in pii.pii_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k].count("iban:") for k in range(5)] == [1, 1, 1, 0, 0]
+    assert "iban:5:27" in got[0] and "iban:5:32" in got[1]
+
+
+def test_redaction_keeps_a_column_named_pii(spark):
+    (r,) = pii.redact(spark.createDataFrame([(1, "a@b.co", "own")], "doc_id long, text string, pii string")).collect()
+    assert r.asDict() == {"doc_id": 1, "text": "[EMAIL]", "pii": "own"}
+
+
 def test_simhash_equals_brute_force(docs):
     rows = docs.collect()
     got = Counter((r.doc_id, r.fp & (2**64 - 1)) for r in simhash.fingerprints(docs).collect())
@@ -56,6 +69,28 @@ def test_components_equal_brute_force(spark, docs):
     assert {k: least[roots.get(fp, fp)] for k, fp in signed} == want
 
 
+def test_groups_of_copies_and_near_copies(spark):
+    """A third of the rows are copies, another chain of near copies; ids of components are the smallest reachable ones."""
+    rows = [(k, "the very same text in every one of these rows") for k in range(3000, 4500)]
+    rows += [(k, f"text number {k} about " + " ".join(f"w{k * 31 + j}" for j in range(20))) for k in range(1500)]
+    rows += [(5000 + k, " ".join(f"v{j}" for j in range(400)) + f" end {k % 40}") for k in range(600)] + [(None, "the very same text in every one of these rows")]
+    prints = {k: brute.simhash(t) for k, t in rows if k is not None}
+    want = brute.simhash_components(prints)
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want
+    assert [r.component_id for r in got if r.doc_id is None] == [3000] and len(got) == len(rows)
+
+
+def test_spread_join_equals_join(spark):
+    from radarframe.llm import common
+
+    rows = common.staged(spark.range(6000).selectExpr("case when id % 3 = 0 then 0 else id % 700 end as k", "id"), "rows")
+    keyed = spark.range(0, 700, 2).selectExpr("id as k", "id * 2 as v")
+    for how in ("inner", "left"):
+        got = Counter(tuple(r) for r in common.spread_join(rows, keyed, ["k"], how).select("k", "id", "v").collect())
+        assert got == Counter(tuple(r) for r in rows.join(keyed, ["k"], how).select("k", "id", "v").collect())
+
+
 def test_small_blocks_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 8)
     test_components_equal_brute_force(spark, None)
@@ -97,6 +132,31 @@ def test_sketch_and_next_document(docs, none):
     assert sketch.fingerprint_report(none).count() == 0
 
 
+def shingles(text):
+    w = brute.words(text)
+    parts = [" ".join(w[k : k + 5]) for k in range(len(w) - 4)] if len(w) >= 5 else [" ".join(w)] if w else []
+    return {xxhash.xxh64_intdigest(p.encode(), seed=42) & (2**63 - 1) for p in parts}
+
+
+def test_fingerprints_and_likeness_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: -r.doc_id)
+    own = {r.doc_id: shingles(r.text) for r in rows}
+    got = {r.doc_id: r for r in sketch.fingerprint_report(docs).collect()}
+    errors = []
+    for k, r in enumerate(rows):
+        kept = own[r.doc_id] if len(own[r.doc_id]) <= sketch.FEW else {h for h in own[r.doc_id] if h < 1 << (63 - sketch.FRACTION_BITS)}
+        assert got[r.doc_id].fingerprint == ",".join(f"{h:x}" for h in sorted(kept))
+        after = rows[(k + 1) % len(rows)]
+        half = len(r.text or "") // 2
+        for near, other in ((got[r.doc_id].near_next, own[after.doc_id]), (got[r.doc_id].near_edited, shingles((r.text or "")[: len(r.text or "") - half] + (after.text or "")[:half]))):
+            exact = len(own[r.doc_id] & other) / len(own[r.doc_id] | other) if own[r.doc_id] | other else 1.0
+            errors.append(abs(near - exact))
+    errors.sort()
+    print("likeness: mean error", sum(errors) / len(errors), "95th percentile", errors[len(errors) * 95 // 100], "worst", errors[-1])
+    assert sum(errors) / len(errors) < 0.02 and errors[len(errors) * 95 // 100] < 0.1
+
+
 def test_short_documents_are_contained_and_merge(spark):
     long = [f"w{k}" for k in range(900)]
     rows = [(2 * k + 1, " ".join(long[9 * k : 9 * k + 5 + k % 9])) for k in range(40)]
@@ -134,6 +194,18 @@ def test_shards_are_even_gapless_and_keep_copies(spark, copies):
     assert all(len(v) == 1 for t, v in shards.items() if t != "the same text")
 
 
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_shards_of_repeated_rows_are_even(spark, doc_id):
+    rows = [(doc_id, "one row that is there very often")] * 4000 + [(10_000 + k, f"text {k} " * 5) for k in range(1000)]
+    got = sharding.shard_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    size, slots = Counter(), defaultdict(list)
+    for r in got:
+        size[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert len(got) == 5000 and len(size) == 40 and max(size.values()) - min(size.values()) < 0.05 * sum(size.values()) / 40 + 200
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
 def test_shards_of_odd_rows(docs, none):
     assert sharding.shard_report(docs).count() == docs.count()
     assert sharding.shard_report(none).count() == 0
@@ -163,6 +235,67 @@ def test_leaks_with_few_words_in_a_row(spark):
     assert {r.doc_id for r in decontaminate.find_leaks(rows, bench).collect()} == {1}
 
 
+def edited_copies(rng, items):
+    """Copies with every 4th, 5th or 3rd word replaced, and with words replaced, dropped and put in at random."""
+    for i, item in enumerate(items):
+        for n in (3, 4, 5):
+            yield i, [f"x{i}y{k}" if k % n == n - 1 else w for k, w in enumerate(item)]
+        for rate in (0.1, 0.2, 0.3, 0.4):
+            out = []
+            for k, w in enumerate(item):
+                roll = rng.random() / rate
+                out += [w] if roll >= 1 else [f"x{i}y{k}"] if roll < 0.6 else [] if roll < 0.8 else [w, f"z{i}y{k}"]
+            yield i, out
+
+
+def test_edited_copies_against_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(400)]
+    items = [[rng.choice(vocabulary) for _ in range(n)] for n in (8, 12, 15, 20, 20, 30, 40, 60, 120, 200) for _ in range(3)]
+    copies = list(edited_copies(rng, items))
+    texts = [[rng.choice(vocabulary) for _ in range(30)] + copy + [rng.choice(vocabulary) for _ in range(30)] for _, copy in copies]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.find_leaks(docs, bench).collect()}
+    want = {}
+    for i, item in enumerate(items):
+        for k, score in enumerate(decontaminate.best_scores([item] * len(texts), texts)):
+            if decontaminate.leaked(score, decontaminate.LEAST_WORDS, len(item)):
+                want[k, i] = score / (2 * len(item))
+    found = [x for x in want if x in got]
+    print(len(found), "of", len(want), "found")
+    assert set(got) <= set(want) and len(found) >= 0.95 * len(want)
+    assert all(abs(got[x] - want[x]) < 1e-9 for x in found)
+    regular = [(k, i) for k, (i, _) in enumerate(copies) if k % 7 in (1, 2) and len(items[i]) >= 12]
+    assert all(x in got for x in regular)
+
+
+def test_scores_equal_the_alignment():
+    import random
+
+    rng = random.Random(4)
+    pairs = [([rng.choice("abcdef") for _ in range(rng.randrange(1, 30))], [rng.choice("abcdef") for _ in range(rng.randrange(0, 60))]) for _ in range(300)]
+    assert decontaminate.best_scores([a for a, _ in pairs], [b for _, b in pairs]) == [decontaminate.smith_waterman(a, b)[0] for a, b in pairs]
+
+
+def test_leaks_of_all_items_and_documents_against_brute_force(spark):
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()}
+    texts = {r.doc_id: r.words for r in docs.select("doc_id", decontaminate.tokens(F.coalesce("text", F.lit(""))).alias("words")).collect()}
+    want = set()
+    for r in bench.select("item_id", decontaminate.tokens(F.col("text")).alias("words")).collect():
+        scores = decontaminate.best_scores([r.words] * len(texts), list(texts.values()))
+        want |= {(k, r.item_id) for k, s in zip(texts, scores, strict=True) if decontaminate.leaked(s, decontaminate.LEAST_WORDS, len(r.words))}
+    assert want and got == want
+
+
+def test_blocks_of_items_lose_none(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_GRAMS", 50)
+    test_long_quotes_leak_and_single_trigrams_do_not(spark)
+
+
 def test_long_quotes_leak_and_single_trigrams_do_not(spark):
     item = [f"w{k}" for k in range(200)]
     bench = spark.createDataFrame([(1, " ".join(item)), (2, "one of the seven words in all"), (3, "only three words")], "item_id long, text string")
@@ -220,6 +353,82 @@ def test_quality_tells_labels_apart(spark, docs, none):
     assert quality.quality_report(none, labels).count() == 0
 
 
+def test_quality_of_empty_texts_and_repeated_ids(spark, monkeypatch):
+    good = [(k, f"the river {k} ran quietly through the old town while people walked home in the evening", 1) for k in range(200)]
+    bad = [(1000 + k, f"BUY!! NOW!! {k} CHEAP!! $$$ ### CLICK!! HERE!! &&& %%%", 0) for k in range(200)]
+    rows = spark.createDataFrame(good + bad, "doc_id long, text string, quality int")
+    odd = spark.createDataFrame([(5000, ""), (5001, None), (5002, " ")], "doc_id long, text string")
+    report = {r.doc_id: r for r in quality.quality_report(rows.select("doc_id", "text").unionByName(odd), rows.select("doc_id", "quality")).collect()}
+    assert all(report[k].score == 0 and report[k].predicted == 0 for k in (5000, 5001))
+    kept = {r.doc_id for r in quality.keep_good(rows.select("doc_id", "text").unionByName(odd), rows.select("doc_id", "quality")).collect()}
+    assert kept >= set(range(200)) and not kept & {5000, 5001}
+    # many rows of one labelled id: the sample stays bounded
+    monkeypatch.setattr(quality, "SAMPLE", 50)
+    many = rows.unionByName(spark.range(3000).selectExpr("1L as doc_id", "concat('more of the river and the town ', id) as text", "1 as quality"))
+    assert quality.fit(many.select("doc_id", "text"), many.select("doc_id", "quality")).good
+
+
+def test_quality_scores_equal_brute_force(spark):
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    sizes = {}
+    for name, raw in (("good", model.good), ("bad", model.bad)):
+        made = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(raw), write_checksum=False, write_content_size=False, write_dict_id=False)
+        sizes[name] = {r.doc_id: [len(made.compress(d[k : k + quality.CHUNK])) for d in [(r.text or "").encode()] for k in range(0, len(d), quality.CHUNK)] for r in docs.collect()}
+    import math
+
+    for r in quality.quality_report(docs, labels).join(docs.select("doc_id", "text"), "doc_id").collect():
+        n, g, b = len((r.text or "").encode()), sum(sizes["good"][r.doc_id]), sum(sizes["bad"][r.doc_id])
+        if not n:
+            assert r.score == 0
+            continue
+        shrunk = math.log(min(g, b) / n)
+        z = sum(w * x for w, x in zip(model.weights, (1, (b - g) / (b + g), shrunk, shrunk**2), strict=True))
+        assert abs(r.score - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9 and r.predicted == (r.score >= 0.3)
+
+
+def test_model_files_say_their_kind():
+    assert pieces.Pieces.read().kind == "bpe"
+    assert pieces.model_type(b"\x0a\x02ab\x12\x04\x18\x01\x20\x05") == 1 and pieces.model_type(b"\x12\x02\x18\x02") == 2
+
+
+def test_pipeline_of_odd_documents(spark, docs, none):
+    """Null, empty, very long, repeated and near rows, a column with a clashing name, and no rows, through every stage."""
+    import corpus_pipeline
+
+    labelled = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("score", F.lit(0.5))
+    for source in (docs.withColumn("doc_id", F.col("doc_id") + 100_000).unionByName(labelled), none):
+        kept = source
+        for name, stage in corpus_pipeline.STAGES:
+            before, kept = kept.columns, stage(spark, kept, "/root/testdata/sf0.001")
+            assert name == "sentencepiece" or kept.columns == before
+            kept = spark.createDataFrame(kept.collect(), kept.schema)
+        if source is none:
+            assert kept.count() == 0
+        else:
+            texts = [r.text for r in kept.collect()]
+            assert len(texts) == len(set(texts)) and "" not in texts and None not in texts and all("a.b@c.de" not in t for t in texts)
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    good = {r.doc_id for r in quality.quality_report(docs, spark.read.parquet(f"{sf}/labels.parquet")).where("score >= 0.3").collect()}
+    assert sorted(r.doc_id for r in stage["quality"](spark, docs, sf).collect()) == sorted(good)
+    roots = brute.simhash_components({r.doc_id: brute.simhash(r.text) for r in docs.collect()})
+    assert sorted(r.doc_id for r in stage["simhash_dedup"](spark, docs, sf).collect()) == sorted(set(roots.values()))
+    leaking = {r.doc_id for r in decontaminate.find_leaks(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
+    assert {r.doc_id for r in stage["decontamination"](spark, docs, sf).collect()} == {r.doc_id for r in docs.collect()} - leaking
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in stage["pii"](spark, docs, sf).collect():
+        assert not brute.pii_base(r.text) or r.text != texts[r.doc_id]
+
+
 def test_pipeline_over_a_whole_small_folder(spark):
     import corpus_pipeline
 
@@ -227,4 +436,5 @@ def test_pipeline_over_a_whole_small_folder(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "simhash_dedup", "decontamination", "pii", "sentencepiece"]
     assert 0 < done.count() <= docs.count() and done.where("not decodes").count() == 0
-    assert done.groupBy(F.xxhash64("text")).count().where("count > 1").count() < done.count()
+    # one of each text went on to the last stages, and what redaction may have made equal since is no more than it touched
+    assert done.count() - done.select("text").distinct().count() <= done.where("text like '%[%]%'").count()

@@ -1,8 +1,12 @@
 """Page operators against brute force, over odd, repeated, very long and empty inputs."""
 
 import hashlib
+import html
+import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from radarframe.llm import htmltext, urlfilter, warc
 
@@ -82,7 +86,8 @@ def test_text_of_odd_pages(pages):
         ("https://example.org/en/12#t", "example.org", "/en/12", "example.org/en/1", "block"), ("https://example.org/fr", "example.org", "/fr", "org/", "allow"), ("http://org", "org", "", None, "allow"),
         ("http://badexample.org/es/", "badexample.org", "/es/", "org/", "allow"), ("https://casino.example.com/fr/1", "casino.example.com", "/fr/1", "com/fr/", "allow"), ("https://casino.example.net/", "casino.example.net", "/", None, "block"),
         ("https://casinos.example.net/", "casinos.example.net", "/", None, "allow"), ("https://free-bets.example.net/", "free-bets.example.net", "/", None, "block"), ("https://free-free.example.net/", "free-free.example.net", "/", None, "allow"),
-        ("casino", "", "", None, "allow"), (None, "", "", None, "allow"), ("://?casino", "", "", None, "allow"),
+        ("casino", "", "", None, "block"), (None, "", "", None, "allow"), ("://?casino", "", "", None, "block"), ("casino.example.net/xxx", "", "", None, "block"), ("nothing here", "", "", None, "allow"),
+        ("http://a.example.net/c%61sino", "a.example.net", "/c%61sino", None, "block"), ("http://a.example.net/?q=free&r=%62ets", "a.example.net", "/", None, "block"), ("http://a.example.net/casino%C3%A9", "a.example.net", "/casino%C3%A9", None, "allow"),
     ],
 )
 def test_urls(spark, url, host, path, rule, verdict):
@@ -93,3 +98,88 @@ def test_urls(spark, url, host, path, rule, verdict):
 def test_urls_of_tables(pages):
     assert urlfilter.judge_urls(pages).count() == pages.count() and urlfilter.judge_urls(pages.where("false")).count() == 0
     assert urlfilter.keep_allowed(pages).columns == pages.columns
+
+
+def test_allowed_rows_not_ids(spark):
+    rows = [(1, "http://a.example.net/"), (1, "http://casino.example.net/"), (None, "http://xxx.example.net/"), (None, "http://b.example.net/"), (None, None)]
+    kept = urlfilter.keep_allowed(spark.createDataFrame(rows, "page_id long, url string"))
+    assert sorted(r.url or "" for r in kept.collect()) == ["", "http://a.example.net/", "http://b.example.net/"]
+
+
+def test_own_vocabulary(spark):
+    pages = spark.createDataFrame([(1, "http://a.example.net/tea-and-milk"), (2, "http://a.example.net/tea/tea"), (3, "http://a.example.net/casino")], "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.n_strict, r.n_soft) for r in urlfilter.judge_urls(pages, strict=(), soft=("tea", "milk"), rules=()).collect()}
+    assert got == {1: ("block", 0, 2), 2: ("allow", 0, 1), 3: ("allow", 0, 0)}
+
+
+ARTICLE = re.compile("<article>(.*?)</article>", re.S)
+
+
+def article_text(source):
+    """The blocks of a page made of plain paragraphs and headings in one article."""
+    (inside,) = ARTICLE.findall(source)
+    lines = re.split("</?(?:p|h1|h2|h3|ul|ol|li|pre|blockquote)>", inside.replace("<br>", " "))
+    texts = (" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in lines)
+    return "\n".join(x for x in texts if x)
+
+
+@pytest.fixture(scope="module")
+def web(spark):
+    return spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+
+
+def test_text_of_all_pages_equals_brute_force(web):
+    want = {r.page_id: article_text(r.html) for r in web.collect() if r.html and ARTICLE.search(r.html)}
+    got = {r.page_id: r.text for r in htmltext.extract_text(web).collect()}
+    assert len(want) > 200 and {k: got[k] for k in want} == want
+
+
+@pytest.mark.parametrize("names", [True, False])
+def test_counting_alone_finds_the_text(spark, web, names):
+    """Without the opinion of tags and classes, and even without their names, the counted templates leave the same text, and lose none."""
+    want = {r.page_id: r.text for r in htmltext.extract_text(web).collect()}
+    if not names:
+        plain = F.regexp_replace(F.regexp_replace("html", "<(/?)(nav|footer|article|main|header|aside)\\b", "<$1div"), ' (class|id|role)="[^"]*"', "")
+        web = web.withColumn("html", plain)
+    got = {r.page_id: r.text for r in htmltext.extract_text(web, marks=False).collect()}
+    assert all(set(want[k].split("\n")) <= set(got[k].split("\n")) for k in want)
+    assert sum(got[k] == want[k] for k in want) >= 0.9 * len(want)
+
+
+def test_menus_and_adverts_whose_words_differ(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    rows = []
+    for k in range(12):
+        menu = "".join(f"<li><a href='/{w}'>{w} {k}</a></li>" for w in words[k % 5 : k % 5 + 4])
+        body = "".join(f"<p>Paragraph {j} of page {k} tells of rivers and towns at some length.</p>" for j in range(3 + k % 4))
+        rows.append((k, f"http://t.example.org/{k}", f"<body><div><ul>{menu}</ul></div><div>Advert {words[k % 10]}</div><div><h2>Title {k}</h2>{body}</div><div><span>Imprint {k}</span></div></body>"))
+    got = {r.page_id: r.text for r in htmltext.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(12):
+        assert got[k].split("\n") == [f"Title {k}", *(f"Paragraph {j} of page {k} tells of rivers and towns at some length." for j in range(3 + k % 4))]
+
+
+def test_nesting_takes_time_in_proportion():
+    for tag in ("<div>", "<ul>", "<ul><li>", "<b>", "<p>", "<table><tr><td>", "<div></x>"):
+        began = time.perf_counter()
+        source = "<main>" + tag * (1_000_000 // len(tag)) + "deep"
+        htmltext.candidates(htmltext.hashed(htmltext.tree(source)))
+        assert time.perf_counter() - began < 30, tag
+
+
+def test_samples_are_of_rows_and_bounded(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SAMPLE", 20)
+    drawn = []
+    monkeypatch.setattr(warc, "record", lambda *a, real=warc.record: drawn.append(a) or real(*a))
+    for ids in ("cast(null as long)", "7L", "id"):
+        warc.trained(spark.range(500).selectExpr(f"{ids} as page_id", "'http://a.b/' as url", "repeat(concat('<p>', id), 50) as html"))
+    assert 20 <= len(drawn) <= 63
+
+
+def test_large_pages_share_no_file_with_many(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "CLASSES", ((1000, 2000), (4000, 2), (1 << 40, 1)))
+    pages = spark.range(30).selectExpr("id as page_id", "'http://a.b/' as url", "repeat(cast(id as string), cast(case when id < 10 then 50 when id < 20 then 1000 else 9000 end as int)) as html").coalesce(1)
+    warc.write_archives(pages, f"file://{tmp_path}/w")
+    got = warc.read_archives(spark, f"file://{tmp_path}/w").collect()
+    assert sorted(r.page_id for r in got) == list(range(30))
+    files = [p for p in (tmp_path / "w").iterdir() if p.name.startswith("part-") and p.stat().st_size]
+    assert len(files) >= 1 + 5 + 10
