@@ -2,6 +2,11 @@
 
 Quality and benchmark tables are read beside the documents; every stage but the last returns the
 documents' own columns, and the last adds the piece ids of each text.
+
+Defined cases: null and empty texts are rejected by the quality stage once a model is fitted (without labels of both classes
+every document goes on); of repeated rows one stays, of null ids too; very long texts are taken whole by every stage; documents that tie
+in a group are told apart by id, then by hashes; further columns, whatever their names, go through to the end, where ``piece_ids`` and ``decodes`` replace those of the same
+name; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -55,7 +60,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus: each stage's documents are written to the shared folder and read by the next."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = common.staged(docs, name)
+            if k:  # what is written needs its input no more
+                common.drop_staged(before)
     return docs
