@@ -10,8 +10,9 @@ links, not the pairs.
 Defined cases: a null or empty text and one of white space only have fingerprint zero and are linked
 like any other; texts of one or two words have one shingle, the whole sequence; repeated rows are rows
 of their own in one component; rows with a null doc_id keep their fingerprint, count as largest when the
-component's smallest doc_id is taken, and give null where no row of the component has one. An empty table
-gives an empty table, and other columns are ignored by :func:`fingerprints`.
+component's smallest doc_id is taken, and give null where no row of the component has one; a very long text's
+shingles are counted as they stream by, and its fingerprint is of the whole of it. An empty table gives an empty table,
+and other columns are ignored by :func:`fingerprints`, whatever their names.
 """
 
 from __future__ import annotations
@@ -158,18 +159,23 @@ def links(prints: DataFrame) -> DataFrame:
     return two.unionByName(crowded.where("a <> b")).distinct()
 
 
-def _rooted(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, ``carried``, fp and root, its component's, for each row of ``docs``."""
+def _grouped(docs: DataFrame, least: Column, carried: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The staged rows (doc_id, ``carried``, fp) of ``docs``, and fp, root and first of each distinct fingerprint: its component and the ``least`` of its rows.
+
+    Copies meet in partial sums only, so a group of any size is a row for each of its distinct fingerprints from here on.
+    """
     prints = common.staged(fingerprints(docs, carried=carried), "simhash")
-    found = common.staged(common.components(links(prints)), "simhash-roots")
-    return prints.join(found, F.col("fp") == F.col("node"), "left").select("doc_id", *carried, "fp", F.coalesce("root", "fp").alias("root"))
+    roots = common.components(links(prints)).withColumnRenamed("node", "fp")
+    each = prints.groupBy("fp").agg(F.min(least).alias("first")).join(roots, "fp", "left")
+    return prints, common.staged(each.select("fp", F.coalesce("root", "fp").alias("root"), "first"), "simhash-roots")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for each row of ``docs`` (doc_id, text): component_id is the smallest doc_id reachable."""
-    rooted = _rooted(docs).select("doc_id", "fp", "root")
-    first = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(first, "root").select("doc_id", "fp", "component_id")
+    prints, each = _grouped(docs.select("doc_id", "text"), F.col("doc_id"))
+    smallest = each.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = common.spread_join(each.select("fp", "root"), smallest, ["root"]).select("fp", "component_id")
+    return common.spread_join(prints, named, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: str = "fp") -> Column:
@@ -185,6 +191,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     keys = ("__text", "__key", "__check")
     keyed = docs.withColumns({"__text": F.xxhash64(common.text_of()), "__key": F.xxhash64(*own), "__check": F.hash(*own)})
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *keys)
-    first = _rooted(keyed, keys).groupBy("root").agg(F.min(order).alias("first"))
-    keep = first.select("first.__key", "first.__check")
+    _, each = _grouped(keyed.select("doc_id", "text", *keys), order, keys)
+    keep = each.groupBy("root").agg(F.min("first").alias("first")).select("first.__key", "first.__check")
     return keyed.join(keep, ["__key", "__check"], "left_semi").dropDuplicates(["__key", "__check"]).select(*docs.columns)
