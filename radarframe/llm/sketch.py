@@ -9,7 +9,8 @@ its containment is null, unless the other's text is at hand (:func:`contained_in
 Defined cases: a null text is empty; texts without words have the empty sketch, whose likeness is 1 to
 another empty one and else 0; fewer than five words are one shingle, the whole sequence. Rows with equal
 doc_id follow each other in an order of their texts' hashes, null doc_ids come last, and repeated rows
-stay. One document alone is its own next. An empty table gives an empty table; other columns are ignored.
+stay. One document alone is its own next. Very long texts are fingerprinted whole. An empty table gives an empty table; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ WORDS = 5
 FRACTION_BITS = 3
 #: Texts of at most so many distinct shingles keep all.
 FEW = 128
-SEGMENTS, BUCKET_ROWS, MOST_BUCKETS = 64, 2048, 65_536
+SEGMENTS, BUCKET_ROWS, MOST_BUCKETS = 64, 512, 262_144
+#: Texts of about so many bytes are dealt to a task, however many tasks the session asks for, while there are not more tasks than this.
+PART_BYTES, MOST_PARTS = 8_000_000, 100_000
 LEAST = -(2**63)
 
 
@@ -93,16 +96,19 @@ def _bucket(key: str, knots: list[int], per: int) -> Column:
     )
 
 
-def with_next(docs: DataFrame, order: str, carried: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, order: str, carried: list[str], size: Column | None = None) -> DataFrame:
     """``docs`` with next_<c> for each of ``carried``: that of the next row in descending ``order``, after the last the first's.
 
     One shuffle of the rows, by buckets of ``order``; the first row of each lower bucket is sent along as a
-    guest. Only the buckets' bounds, of bounded number, are gathered.
+    guest. Only the buckets' bounds, of bounded number, are gathered. ``size`` is a row's bytes, by which buckets are dealt to tasks.
     """
     keyed = docs.withColumn("__k", F.coalesce(order, F.lit(LEAST)))
     got = keyed.where(f"{order} is not null").agg(
-        F.count("*").alias("n"), F.percentile_approx(order, [k / SEGMENTS for k in range(SEGMENTS + 1)], 10_000).alias("q"), F.min(order).alias("lo")
+        F.count("*").alias("n"), F.percentile_approx(order, [k / SEGMENTS for k in range(SEGMENTS + 1)], 10_000).alias("q"), F.min(order).alias("lo"),
     ).first()
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if size is not None:
+        parts = min(MOST_PARTS, (docs.agg(F.sum(size)).first()[0] or 0) // PART_BYTES + 1)
     knots = sorted({*(got["q"] or [0]), got["lo"] or 0})
     knots = knots if len(knots) > 1 else [knots[0], knots[0] + 1]
     per = max(1, min(MOST_BUCKETS, got["n"] // BUCKET_ROWS + 1) // (len(knots) - 1))
@@ -121,15 +127,18 @@ def with_next(docs: DataFrame, order: str, carried: list[str]) -> DataFrame:
     sent = bucketed(keyed).join(F.broadcast(guests), "__k", "left")
     sent = sent.withColumn("__to", F.explode(F.concat(own, F.coalesce("__guests", F.expr("cast(array() as array<struct<__b:int,wrap:int,guest:boolean>>)"))))).drop("__guests", "__b")
     sent = sent.select("*", "__to.*").drop("__to")
-    w = Window.partitionBy("__b").orderBy("wrap", F.desc("__k"), F.xxhash64(*carried))
+    # neighbouring buckets share a task, about as many in each
+    buckets = per * (len(knots) - 1)
+    sent = sent.withColumn("__part", F.expr(f"cast(greatest(cast(__b as long), 0) * {parts} div {buckets} as int)")).repartitionById(parts, "__part")
+    w = Window.partitionBy("__part", "__b").orderBy("wrap", F.desc("__k"), F.xxhash64(*carried))
     led = sent.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in carried))
-    return led.where("not guest").drop("__k", "__b", "wrap", "guest")
+    return led.where("not guest").drop("__k", "__b", "__part", "wrap", "guest")
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and containments."""
     rows = sketched(docs.select("doc_id", common.text_of().alias("text")), F.col("text"), "sketch")
-    led = with_next(rows, "doc_id", ["text", "sketch"]).withColumn("n_chars", F.char_length("text").cast("long"))
+    led = with_next(rows, "doc_id", ["text", "sketch"], F.octet_length("text")).withColumn("n_chars", F.char_length("text").cast("long"))
     edited = F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), substring(next_text, 1, cast(n_chars div 2 as int)))")
     led = sketched(led.withColumn("edited", edited), F.col("edited"), "edited_sketch")
     led = contained_in_text(led, "sketch", "edited_sketch", "edited", "contained_edited")
