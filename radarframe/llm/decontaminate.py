@@ -3,7 +3,7 @@
 Seeds are three words of a test item, in a row or with the third one word further on, that the corpus holds too: so a copy
 is aligned if anywhere in it two neighbouring words and one of the next two are left, whatever its edits broke beside
 them and however often other copies hold the rest. Seeds meet the documents in a join. Of a meeting, the words around it, allowing for
-insertions, can't align better than all words of the item that stand among them; where that is enough, they are aligned with the item, once
+insertions, can't align better than all words of the item that stand among them, repeated ones each time; where that is enough, they are aligned with the item, once
 for each stretch of a document however many seeds meet there. The benchmark is taken in blocks of at most
 ``BLOCK_GRAMS`` seeds (an item longer than that is a block of its own), so what is broadcast, an item's words once and its seeds, has a
 bound and every item is still tried.
@@ -84,9 +84,9 @@ def _block_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     met = met.select(
         "doc_id", "text_hash", "key", "n", F.expr("floor(at / slack)").alias("stretch"), F.expr("greatest(0, at - slack)").alias("start"),
         F.expr("slice(words, greatest(0, at - slack) + 1, n + 3 * slack)").alias("passage"),
-    ).join(F.broadcast(items), "key")
+    ).join(F.broadcast(items.withColumn("again", F.expr("size(item) - size(array_distinct(item))"))), "key")
     enough = f"greatest(least({LONG_RUN}, {THRESHOLD} * n), least({LEAST_WORDS}, n))"
-    met = met.where(f"size(filter(item, w -> array_contains(passage, w))) >= {enough}")
+    met = met.where(f"size(array_intersect(item, passage)) + again >= {enough}")
     near = met.groupBy("doc_id", "text_hash", "item_id", "key", "stretch").agg(F.min(F.struct("start", "passage", "item")).alias("around"))
     near = near.select("doc_id", "text_hash", "item_id", "around.item", "around.start", "around.passage")
     names = ["doc_id", "text_hash", "item_id", "score", "matched", "start"]
