@@ -159,17 +159,16 @@ def tree(source: str, marks: bool = True) -> Node:
             standing[tag] += 1
 
 
-def _number(*parts: bytes) -> int:
-    import hashlib
-
-    return int.from_bytes(hashlib.blake2b(b"\x00".join(parts), digest_size=8).digest(), "little", signed=True)
-
-
 def hashed(root: Node) -> list[Node]:
     """All elements, children first, with ``digest`` of their subtree, ``slot``, ``size`` and ``links``: letters, and letters in links, and
     ``prose``: whether paragraphs or headings are in it.
 
     A slot's structure is the set of the structures of the blocks in it, so pages with more or fewer paragraphs share it."""
+    from xxhash import xxh3_64_intdigest
+
+    def number(*parts: bytes) -> int:
+        return xxh3_64_intdigest(b"\x00".join(parts)) - (1 << 63)
+
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -193,9 +192,9 @@ def hashed(root: Node) -> list[Node]:
                 parts.append(b"\x02" + words.encode("utf-8", "surrogatepass"))
                 own += len(words)
         node.size, node.links, node.prose = size + own, size + own if node.tag == "a" else links, prose
-        node.digest = _number(*parts)
+        node.digest = number(*parts)
         if node.tag in BLOCKS:
-            node.slot = _number(node.label.encode("utf-8", "surrogatepass"), *(b"%d" % k for k in sorted(shape)))
+            node.slot = number(node.label.encode("utf-8", "surrogatepass"), *(b"%d" % k for k in sorted(shape)))
             shapes[id(node)] = (node.slot,)
         else:
             node.slot = 0
@@ -203,9 +202,9 @@ def hashed(root: Node) -> list[Node]:
     paths = {id(root): b""}
     for node in order:  # parents first
         here = paths[id(node)]
-        inner = b"%d" % _number(here, node.label.encode("utf-8", "surrogatepass")) if node.tag in BLOCKS else here
+        inner = b"%d" % number(here, node.label.encode("utf-8", "surrogatepass")) if node.tag in BLOCKS else here
         if node.tag in BLOCKS:
-            node.slot = _number(here, b"%d" % node.slot)
+            node.slot = number(here, b"%d" % node.slot)
         for x in node.content:
             if isinstance(x, Node):
                 paths[id(x)] = inner
