@@ -69,14 +69,16 @@ def shadow(df: DataFrame, elevation: str, by: list[str] = ()) -> DataFrame:
     return df.withColumn("lit", F.col(elevation) >= F.max(elevation).over(w))
 
 
-def bilinear(df: DataFrame, points: DataFrame, value: str) -> DataFrame:
-    """``points`` (id, y, x) with the value interpolated in df (row, col, value): four equi-joins, as one on exploded corners."""
+def bilinear(df: DataFrame, points: DataFrame, value: str, how: str = "inner") -> DataFrame:
+    """``points`` (id, y, x) with the value interpolated in df (row, col, value): four equi-joins, as one on exploded corners.
+
+    ``corners`` counts the known ones; with ``how`` "left" points without any stay, with none."""
     corner = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1))))
     at = points.select("*", F.floor("y").alias("y0"), F.floor("x").alias("x0")).select("*", corner.alias("c"))
     fy, fx = F.col("y") - F.col("y0"), F.col("x") - F.col("x0")
     weight = F.when(F.col("c.i") == 1, fy).otherwise(1 - fy) * F.when(F.col("c.j") == 1, fx).otherwise(1 - fx)
-    met = at.select("id", "y", "x", (F.col("y0") + F.col("c.i")).alias("row"), (F.col("x0") + F.col("c.j")).alias("col"), weight.alias("w")).join(df, ["row", "col"])
-    return met.groupBy("id", "y", "x").agg(F.sum(F.col("w") * F.col(value)).alias("value"), F.count("*").alias("corners"))
+    met = at.select("id", "y", "x", (F.col("y0") + F.col("c.i")).alias("row"), (F.col("x0") + F.col("c.j")).alias("col"), weight.alias("w")).join(df, ["row", "col"], how)
+    return met.groupBy("id", "y", "x").agg(F.sum(F.col("w") * F.col(value)).alias("value"), F.count("*" if how == "inner" else value).alias("corners"))
 
 
 
@@ -106,6 +108,18 @@ def weighted(df: DataFrame, value: str, weights: list[float], by: list[str] = ()
     return df.withColumn("smooth", one("__h", along("row", "col", by))).drop("__h")
 
 
+def weighted_box(df: DataFrame, value: str, half_rows: int, half_cols: int, out: str, by: list[str] = ()) -> DataFrame:
+    """``out``: moving means in which an edge pixel stands for those beyond it, sizes differing by axis."""
+
+    def one(source: str, half: int, w: Window) -> Column:
+        ends = F.first(source).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.last(source).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+        terms = [F.coalesce(F.lag(source, -k).over(w), ends[k > 0]) if k else F.col(source) for k in range(-half, half + 1)]
+        return sum(terms[1:], terms[0]) / len(terms)
+
+    df = df.withColumn("__b", one(value, half_cols, along("col", "row", by)))
+    return df.withColumn(out, one("__b", half_rows, along("row", "col", by))).drop("__b")
+
+
 def gaussian_weights(size: int) -> list[float]:
     """Of deviation size / 3, cut at four deviations."""
     sigma = size / 3

@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from radarframe.operators import geometry, kernels, network, psi
+from radarframe.operators import images as pair_images
 from radarframe.plans.catalogue import query, table
-from radarframe.plans.pixels import RASTER, _cross, pixels
+from radarframe.plans.pixels import RASTER, pairs, pixels
 from radarframe.plans.series import _written, daily, images
 
 c = F.col
@@ -91,7 +92,7 @@ def mcf_unwrap(spark, sf_dir):
 
 @query()
 def goldstein(spark, sf_dir):
-    done = kernels.goldstein_filter(_cross(spark, sf_dir).select("row", "col", "re", "im"), 4, 3, 0.5, tile=64)
+    done = kernels.goldstein_filter(pair_images.crossed(pairs(spark, sf_dir)).select("row", "col", "re", "im"), 4, 3, 0.5, tile=64)
     return done.select("row", "col", F.round("re", 6).alias("re"), F.round("im", 6).alias("im"))
 
 

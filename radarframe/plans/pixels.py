@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radarframe.functions import phase
-from radarframe.operators import joins, raster
+from radarframe.operators import images, joins, raster
 from radarframe.plans.catalogue import query, table
 
 RASTER = "raster AS (SELECT vec_id AS row, i - 1 AS col, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i))"
@@ -62,28 +62,46 @@ _CROSS = "x AS (SELECT row, col, r1 * r2 + i1 * i2 AS re, i1 * r2 - r1 * i2 AS i
 
 @query(f"WITH {PAIR}, {_CROSS}, {_box(['re', 'im', 'p1', 'p2'], 1, 2, 'x')} SELECT row, col, round(sqrt(mean_re * mean_re + mean_im * mean_im) / (sqrt(mean_p1 * mean_p2) + 1e-10), 6) AS coherence FROM box")
 def coherence_pair(spark, sf_dir):
-    x = _cross(spark, sf_dir)
-    c = F.sqrt(F.col("mean_re") * F.col("mean_re") + F.col("mean_im") * F.col("mean_im")) / (F.sqrt(F.col("mean_p1") * F.col("mean_p2")) + 1e-10)
-    return raster.box_mean(x, ["re", "im", "p1", "p2"], 1, 2).select("row", "col", F.round(c, 6).alias("coherence"))
+    return images.coherence(pairs(spark, sf_dir), 1, 2).select("row", "col", F.round("coherence", 6).alias("coherence"))
 
 
-def _cross(spark, sf_dir):
-    c = F.col
-    return pairs(spark, sf_dir).select(
-        "row", "col", (c("r1") * c("r2") + c("i1") * c("i2")).alias("re"), (c("i1") * c("r2") - c("r1") * c("i2")).alias("im"),
-        (c("r1") * c("r1") + c("i1") * c("i1")).alias("p1"), (c("r2") * c("r2") + c("i2") * c("i2")).alias("p2"),
-    )
+def _replicated(cols: list[str], hr: int, hc: int, source: str) -> str:
+    def one(x: str, half: int, w: str) -> str:
+        ends = {k: f"{f}_value({x}) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)" for k, f in ((-1, "first"), (1, "last"))}
+        return "(" + " + ".join(f"coalesce(lag({x}, {-k}) OVER ({w}), {ends[1 if k > 0 else -1]})" if k else x for k in range(-half, half + 1)) + f") / {2 * half + 1}"
+
+    across, down = "PARTITION BY row ORDER BY col", "PARTITION BY col ORDER BY row"
+    return f"h AS (SELECT row, col, {', '.join(f'{one(k, hc, across)} AS h_{k}' for k in cols)} FROM {source}), box AS (SELECT row, col, {', '.join(f'{one(f"h_{k}", hr, down)} AS mean_{k}' for k in cols)} FROM h)"
+
+
+_COHERENCE = "sqrt(mean_re * mean_re + mean_im * mean_im) / (sqrt(mean_p1 * mean_p2) + 1e-10)"
+
+
+@query(f"WITH {PAIR}, {_CROSS}, {_replicated(['re', 'im', 'p1', 'p2'], 1, 2, 'x')} SELECT row, col, round({_COHERENCE}, 6) AS coherence FROM box")
+def coherence_replicated(spark, sf_dir):
+    """Edge pixels stand for those beyond them."""
+    return images.coherence(pairs(spark, sf_dir), 1, 2, "replicate").select("row", "col", F.round("coherence", 6).alias("coherence"))
+
+
+@query(
+    f"WITH {PAIR}, {_CROSS}, {_box(['re', 'im', 'p1', 'p2'], 1, 2, 'x')}, s AS (SELECT min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM x)"
+    f" SELECT row, col, CASE WHEN row - r0 >= 1 AND r1 - row >= 1 AND col - c0 >= 2 AND c1 - col >= 2 THEN round({_COHERENCE}, 6) END AS coherence FROM box, s"
+)
+def coherence_inner(spark, sf_dir):
+    """Only where the window is whole."""
+    done = images.coherence(pairs(spark, sf_dir), 1, 2, "nan")
+    return done.select("row", "col", F.round(F.nanvl("coherence", F.lit(None).cast("double")), 6).alias("coherence"))
 
 
 @query(f"WITH {PAIR}, {_CROSS}, {_box(['re', 'im'], 1, 4, 'x')} SELECT row, col, round(mean_re, 6) AS re, round(mean_im, 6) AS im FROM box WHERE row % 2 = 0 AND col % 8 = 0")
 def multilook_stride(spark, sf_dir):
-    done = raster.box_mean(_cross(spark, sf_dir), ["re", "im"], 1, 4).where("row % 2 = 0 and col % 8 = 0")
-    return done.select("row", "col", F.round("mean_re", 6).alias("re"), F.round("mean_im", 6).alias("im"))
+    done = images.multilooked(images.crossed(pairs(spark, sf_dir)), ["re", "im"], 1, 4, 2, 8)
+    return done.select("row", "col", F.round("re", 6).alias("re"), F.round("im", 6).alias("im"))
 
 
 @query(f"WITH {RASTER} SELECT row // 2 AS brow, col // 8 AS bcol, round(avg(v), 6) AS mean, count(*) AS n FROM raster GROUP BY 1, 2")
 def block_mean(spark, sf_dir):
-    return pixels(spark, sf_dir).groupBy((F.col("row") / 2).cast("long").alias("brow"), (F.col("col") / 8).cast("long").alias("bcol")).agg(F.round(F.avg("v"), 6).alias("mean"), F.count("*").alias("n"))
+    return images.block_means(pixels(spark, sf_dir), "v", 2, 8).select("brow", "bcol", F.round("mean", 6).alias("mean"), "n")
 
 
 def _extreme(f: str) -> str:
@@ -96,14 +114,45 @@ def local_min(spark, sf_dir):
     return raster.local_extreme(pixels(spark, sf_dir), "v", "m").where("v = m").select("row", "col", F.round("v", 6).alias("v"))
 
 
-@query(_extreme("max"))
+#: Pixels inside the image whose eight neighbours are smaller, or as large and later.
+_FIRST_MAX = f"""WITH {RASTER}, k AS (SELECT a.row, a.col, a.v FROM raster a JOIN raster b ON b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 AND (b.row <> a.row OR b.col <> a.col)
+      GROUP BY a.row, a.col, a.v HAVING count(*) = 8 AND bool_and(CASE WHEN b.row < a.row OR b.row = a.row AND b.col < a.col THEN b.v < a.v ELSE b.v <= a.v END)) SELECT row, col, round(v, 6) AS v FROM k"""
+
+
+@query(_FIRST_MAX)
 def local_max(spark, sf_dir):
-    return raster.local_extreme(pixels(spark, sf_dir), "v", "m", largest=True).where("v = m").select("row", "col", F.round("v", 6).alias("v"))
+    return images.first_maxima(pixels(spark, sf_dir), "v").select("row", "col", F.round("v", 6).alias("v"))
 
 
-@query(_extreme("max") + " QUALIFY row_number() OVER (ORDER BY v DESC, row, col) <= 20")
+@query(_FIRST_MAX + " ORDER BY k.v DESC, row, col LIMIT 20")
 def top_maxima(spark, sf_dir):
-    return local_max(spark, sf_dir).orderBy(F.desc("v"), "row", "col").limit(20)
+    return images.top(images.first_maxima(pixels(spark, sf_dir), "v"), "v", 20).select("row", "col", F.round("v", 6).alias("v"))
+
+
+_SIDES = f"""{RASTER}, w AS (SELECT row, col, CASE WHEN col < row % 5 OR row > 90 + col % 4 THEN 0 ELSE v END AS v FROM raster WHERE row < 94),
+  s AS (SELECT min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM w),
+  f AS (SELECT avg(CASE WHEN col = c0 THEN CAST(v > 0 AS INTEGER) END) < 0.5 AS fl, avg(CASE WHEN col = c1 THEN CAST(v > 0 AS INTEGER) END) < 0.5 AS fr, avg(CASE WHEN row = r0 THEN CAST(v > 0 AS INTEGER) END) < 0.5 AS ft,
+    avg(CASE WHEN row = r1 THEN CAST(v > 0 AS INTEGER) END) < 0.5 AS fb FROM w, s)"""
+
+
+def _sided(spark, sf_dir):
+    hidden = (F.col("col") < F.col("row") % 5) | (F.col("row") > 90 + F.col("col") % 4)
+    return pixels(spark, sf_dir).where("row < 94").select("row", "col", F.when(hidden, 0.0).otherwise(F.col("v")).alias("v"))
+
+
+@query(f'WITH {_SIDES} SELECT fl AS "left", fr AS "right", ft AS top, fb AS bottom FROM f')
+def edge_flags(spark, sf_dir):
+    return images.edge_flags(_sided(spark, sf_dir), "v")
+
+
+@query(
+    f"""WITH {_SIDES}, m AS (SELECT *, min(CASE WHEN v > 0 THEN col END) OVER (PARTITION BY row) AS a, max(CASE WHEN v > 0 THEN col END) OVER (PARTITION BY row) AS b,
+    min(CASE WHEN v > 0 THEN row END) OVER (PARTITION BY col) AS c, max(CASE WHEN v > 0 THEN row END) OVER (PARTITION BY col) AS d FROM w)
+    SELECT row, col, (NOT fl OR coalesce(col >= a, false)) AND (NOT fr OR coalesce(col <= b, false)) AND (NOT ft OR coalesce(row >= c, false)) AND (NOT fb OR coalesce(row <= d, false)) AS inside FROM m, f"""
+)
+def border_masks(spark, sf_dir):
+    """All four sides, where they are flagged."""
+    return images.border_masks(_sided(spark, sf_dir), "v").select("row", "col", "inside")
 
 
 @query(
@@ -148,9 +197,8 @@ def shadow_running_max(spark, sf_dir):
 )
 def percentile_stretch(spark, sf_dir):
     p = pixels(spark, sf_dir)
-    q = p.agg(F.percentile("v", [0.02, 0.98]).alias("q"))  # one row
-    level = F.least(F.greatest((F.col("v") - F.col("q")[0]) / (F.col("q")[1] - F.col("q")[0]), F.lit(0.0)), F.lit(1.0)) * 255
-    return p.crossJoin(F.broadcast(q)).select("row", "col", F.floor(level).cast("int").alias("level"))
+    low, high = images.percentiles(p, "v", [0.02, 0.98])
+    return images.stretched(p, "v", low, high).select("row", "col", "level")
 
 
 @query(

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from radarframe.functions import phase
-from radarframe.operators import raster
+from radarframe.functions import phase, roi
+from radarframe.operators import raster, series
 from radarframe.plans.catalogue import query, table
 from radarframe.plans.pixels import PAIR, POINTS, RASTER, pairs, pixels, points, sql_wrap
 
@@ -16,7 +16,7 @@ _R = F.round
 @query("SELECT c_custkey AS id, (c_custkey % 300) BETWEEN 100 AND 227 AND (c_custkey % 170) BETWEEN 50 AND 113 AS inside FROM customer")
 def roi_contains(spark, sf_dir):
     k = c("c_custkey")
-    return table(spark, sf_dir, "customer").select(k.alias("id"), ((k % 300).between(100, 227) & (k % 170).between(50, 113)).alias("inside"))
+    return table(spark, sf_dir, "customer").select(k.alias("id"), roi.contains(roi.roi(50, 100, 64, 128), k % 170, k % 300).alias("inside"))
 
 
 @query(
@@ -26,17 +26,14 @@ def roi_contains(spark, sf_dir):
 def tile_split(spark, sf_dir):
     k = c("p_partkey")
     r = table(spark, sf_dir, "part").select(k.alias("id"), (40 + k % 90).alias("w"), (20 + k % 60).alias("h"))
-    starts = lambda n, s: F.explode(F.expr(f"sequence(0L, ({n} - 1) div {s}) "))
-    r = r.withColumn("i", starts("w", 32)).withColumn("j", starts("h", 16))
-    return r.select("id", (c("i") * 32).alias("col"), (c("j") * 16).alias("row"), F.least(F.lit(32), c("w") - c("i") * 32).alias("w"), F.least(F.lit(16), c("h") - c("j") * 16).alias("h"))
+    return roi.tiles(r, "w", "h", 32, 16).select("id", "col", "row", c("tile_w").alias("w"), c("tile_h").alias("h"))
 
 
 @query(
     f"""WITH {RASTER}, d AS (SELECT row, col, v, greatest(abs(row - 100), abs(col - 32)) AS d FROM raster) SELECT row, col, CASE WHEN d <= 5 THEN 'guard' WHEN d <= 20 THEN 'ring' ELSE 'outside' END AS place FROM d WHERE v > 0"""
 )
 def ring_mask(spark, sf_dir):
-    d = F.greatest(F.abs(c("row") - 100), F.abs(c("col") - 32))
-    return pixels(spark, sf_dir).where("v > 0").select("row", "col", F.when(d <= 5, "guard").when(d <= 20, "ring").otherwise("outside").alias("place"))
+    return pixels(spark, sf_dir).where("v > 0").select("row", "col", roi.ring_place(c("row"), c("col"), (100, 32), 5, 20).alias("place"))
 
 
 _POLYGON = [(-120.0, -40.0), (100.0, -60.0), (150.0, 50.0), (10.0, 20.0), (-100.0, 70.0)]
@@ -53,7 +50,7 @@ def point_in_polygon(spark, sf_dir):
 
 @query(f"WITH {POINTS} SELECT CAST(floor(min(lat)) AS BIGINT) AS row0, CAST(ceil(max(lat)) AS BIGINT) AS row1, CAST(floor(min(lon)) AS BIGINT) AS col0, CAST(ceil(max(lon)) AS BIGINT) AS col1 FROM pt")
 def bounding_box(spark, sf_dir):
-    return points(spark, sf_dir).agg(F.floor(F.min("lat")).alias("row0"), F.ceil(F.max("lat")).alias("row1"), F.floor(F.min("lon")).alias("col0"), F.ceil(F.max("lon")).alias("col1"))
+    return roi.bounding(points(spark, sf_dir), "lon", "lat")
 
 
 @query(
@@ -73,8 +70,7 @@ def lut_bilinear(spark, sf_dir):
 )
 def noise_blocks(spark, sf_dir):
     """Rectangles of azimuth noise, each with a factor linear in the line; other pixels stay."""
-    r = c("row")
-    factor = F.when((r < 100) & (c("col") < 20), 0.5 + 0.1 * r / 100).when((r >= 100) & (c("col") < 40), 1.5 - 0.2 * (r - 100) / 400).otherwise(1.0)
+    factor = roi.block_factor(c("row"), c("col"), [(0, 100, 0, 20, 0.5, 0.6), (100, 500, 0, 40, 1.5, 1.3)])
     return pixels(spark, sf_dir).select("row", "col", _R(c("v") * factor, 6).alias("v"))
 
 
@@ -158,7 +154,8 @@ def doppler_quantities(spark, sf_dir):
 
 @query(f"WITH {RASTER} SELECT row, col, round(1000 + row / 486.486, 6) AS azt, round((0.0053 + col / 64345238.0) * 299792458.0 / 2, 4) AS rng FROM raster")
 def sensor_coordinates(spark, sf_dir):
-    return pixels(spark, sf_dir).select("row", "col", _R(1000 + c("row") / 486.486, 6).alias("azt"), _R((0.0053 + c("col") / 64345238.0) * phase.LIGHT_SPEED / 2, 4).alias("rng"))
+    azt, rng = series.sensor_time_range(c("row"), c("col"), 1000, 486.486, 0.0053, 64345238.0, phase.LIGHT_SPEED)
+    return pixels(spark, sf_dir).select("row", "col", _R(azt, 6).alias("azt"), _R(rng, 4).alias("rng"))
 
 
 _HSV = "value * (1 - greatest(0, least((({s} + h * 6) - 6 * floor(({s} + h * 6) / 6)), 4 - (({s} + h * 6) - 6 * floor(({s} + h * 6) / 6)), 1)))"
@@ -185,9 +182,7 @@ def timestamp_parse(spark, sf_dir):
 
 @query("SELECT o_custkey AS id, string_agg(CAST(o_orderkey AS VARCHAR), '-' ORDER BY o_orderkey) AS bsint, CAST(max(o_orderkey) AS VARCHAR) || '__' || string_agg(CAST(o_orderkey AS VARCHAR), '-' ORDER BY o_orderkey) AS osid FROM orders GROUP BY 1")
 def set_id_strings(spark, sf_dir):
-    keys = F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), "-")
-    g = table(spark, sf_dir, "orders").groupBy(c("o_custkey").alias("id")).agg(keys.alias("bsint"), F.max("o_orderkey").cast("string").alias("last"))
-    return g.select("id", "bsint", F.concat("last", F.lit("__"), "bsint").alias("osid"))
+    return series.set_ids(table(spark, sf_dir, "orders").select(c("o_custkey").alias("id"), "o_orderkey"), "id", "o_orderkey")
 
 
 @query("SELECT s_suppkey AS id, s_name AS name, s_nationkey AS swath, round(s_acctbal, 2) AS prf FROM supplier")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from radarframe.functions import phase
-from radarframe.operators import joins, network, psi
+from radarframe.operators import joins, network, psi, series
 from radarframe.plans.catalogue import query, table
 
 DAILY = """daily AS (SELECT user_id AS ps, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day, atan2(sum(sin(value)), sum(cos(value))) AS phi, avg(value) AS amp FROM events GROUP BY 1, 2)"""
@@ -36,20 +36,17 @@ def catalog_search(spark, sf_dir):
 
 @query(f"WITH {PRODUCT} SELECT platform, datatake, count(*) AS n, min(pid) AS first_pid, substr(min(pid), 15, 8) AS day, string_agg(pid, ',' ORDER BY pid) AS pids FROM product GROUP BY 1, 2")
 def catalog_by_datatake(spark, sf_dir):
-    return products(spark, sf_dir).groupBy("platform", "datatake").agg(
-        F.count("*").alias("n"), F.min("pid").alias("first_pid"), F.substring(F.min("pid"), 15, 8).alias("day"), F.array_join(F.array_sort(F.collect_list("pid")), ",").alias("pids")
-    )
+    return series.by_datatake(products(spark, sf_dir))
 
 
 @query(f"WITH {PRODUCT} SELECT id, split_part(pid, '_', 1) AS mission, split_part(pid, '_', 3) AS product_type, substr(split_part(pid, '_', 6), 1, 8) AS day, CAST(split_part(pid, '_', 7) AS BIGINT) AS datatake FROM product")
 def pid_parse(spark, sf_dir):
-    part = F.split("pid", "_")
-    return products(spark, sf_dir).select("id", part[0].alias("mission"), part[2].alias("product_type"), F.substring(part[5], 1, 8).alias("day"), part[6].cast("long").alias("datatake"))
+    return products(spark, sf_dir).select("id", *(v.alias(k) for k, v in series.pid_parts("pid").items()))
 
 
 @query(f"WITH {PRODUCT} SELECT platform, datatake, round(min(t0) - 90, 3) AS q_start, round(max(t1) + 90, 3) AS q_end FROM product GROUP BY 1, 2")
 def orbit_segments(spark, sf_dir):
-    return products(spark, sf_dir).groupBy("platform", "datatake").agg(F.round(F.min("t0") - 90, 3).alias("q_start"), F.round(F.max("t1") + 90, 3).alias("q_end"))
+    return series.orbit_queries(products(spark, sf_dir), 90).select("platform", "datatake", F.round("q_start", 3).alias("q_start"), F.round("q_end", 3).alias("q_end"))
 
 
 _FILES = """f AS (SELECT l_orderkey * 10 + l_linenumber AS fid, epoch(l_shipdate) / 86400 - 1 - l_linenumber % 2 AS f_start, epoch(l_shipdate) / 86400 + 1 + l_linenumber % 3 AS f_end,
@@ -75,15 +72,25 @@ def orbit_file_select(spark, sf_dir):
 
 @query(f"WITH {PRODUCT} SELECT platform, id // 4 AS block FROM product GROUP BY 1, 2 HAVING count(*) = count(DISTINCT substr(pid, 18, 15)) AND NOT bool_or(status = 'P')")
 def weird_product_filter(spark, sf_dir):
-    ok = products(spark, sf_dir).groupBy("platform", F.floor(F.col("id") / 4).alias("block")).agg(F.count("*").alias("n"), F.countDistinct(F.substring("pid", 18, 15)).alias("d"), F.bool_or(F.col("status") == "P").alias("bad"))
-    return ok.where("n = d and not bad").select("platform", "block")
+    rows = products(spark, sf_dir).withColumn("block", F.floor(F.col("id") / 4))
+    return series.consistent(rows, ["platform", "block"], F.substring("pid", 18, 15), F.col("status") == "P")
 
 
 @query("SELECT CAST(ts AS DATE) AS day FROM events GROUP BY 1 HAVING count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM events)")
 def complete_dates(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_type").distinct()
-    need = e.select("event_type").distinct().agg(F.count("*").alias("need"))
-    return e.groupBy("day").agg(F.count("*").alias("have")).crossJoin(F.broadcast(need)).where("have = need").select("day")
+    return series.complete(table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_type"), "day", "event_type")
+
+
+@query(
+    """WITH w AS (SELECT DISTINCT event_type FROM events WHERE event_id < 50), d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events)
+    SELECT day, string_agg(w.event_type, ',' ORDER BY w.event_type) AS missing FROM d, w WHERE NOT EXISTS (SELECT 1 FROM events e WHERE CAST(e.ts AS DATE) = d.day AND e.event_type = w.event_type AND e.user_id % 3 = 0) GROUP BY day
+    HAVING EXISTS (SELECT 1 FROM events e WHERE CAST(e.ts AS DATE) = d.day AND e.user_id % 3 = 0)"""
+)
+def dropped_dates(spark, sf_dir):
+    """The dates that lack parts of the primary image, and which they lack."""
+    e = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_type", "event_id", "user_id")
+    found = series.dropped(e.where("user_id % 3 = 0"), "day", "event_type", e.where("event_id < 50"))
+    return found.select("day", F.array_join("missing", ",").alias("missing"))
 
 
 @query(f"WITH {DAILY} SELECT ps, day, round(phi, 6) AS phi FROM daily")
@@ -146,7 +153,7 @@ def pair_costs(spark, sf_dir):
 @query(f"WITH {_PAIRS} SELECT id1, id2 FROM p WHERE NOT (dt <= 6 AND id1 % 3 = 0)")
 def pair_difference(spark, sf_dir):
     p = network.all_pairs(images(spark, sf_dir))
-    return p.select("id1", "id2").exceptAll(p.where("dt <= 6 and id1 % 3 = 0").select("id1", "id2"))
+    return series.without(p, p.where("dt <= 6 and id1 % 3 = 0"))
 
 
 @query(
@@ -165,7 +172,11 @@ def _written(df: DataFrame) -> DataFrame:
     import uuid
 
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.gettempdir()
     path = f"{base}/radarframe/labels-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -216,12 +227,12 @@ def stitch_last_wins(spark, sf_dir):
 
 @query(
     f"""WITH {DAILY}, x AS (SELECT ps, day, phi - lead(phi) OVER (PARTITION BY ps ORDER BY day) AS d FROM daily), b AS (SELECT ps, atan2(avg(sin(d)), avg(cos(d))) AS phi FROM x WHERE d IS NOT NULL GROUP BY ps)
-    SELECT count(*) AS n, round(avg(phi / (4500 + ps % 7 + 1e-12)), 9) AS shift FROM b"""
+    SELECT count(*) AS n, round(avg(phi / (2 * pi() * (4500 + ps % 7))), 12) AS shift FROM b"""
 )
 def esd_shift(spark, sf_dir):
     x = daily(spark, sf_dir).withColumn("d", F.col("phi") - F.lead("phi").over(Window.partitionBy("ps").orderBy("day"))).where("d is not null")
-    b = x.groupBy("ps").agg(F.atan2(F.avg(F.sin("d")), F.avg(F.cos("d"))).alias("phi"))
-    return b.agg(F.count("*").alias("n"), F.round(F.avg(F.col("phi") / (4500 + F.col("ps") % 7 + 1e-12)), 9).alias("shift"))
+    # an overlap's bursts are seen under Doppler frequencies that differ by some kilohertz
+    return series.esd_shift(x.withColumn("doppler", (4500 + F.col("ps") % 7).cast("double")), "ps", "d", "doppler").select("n", F.round("shift", 12).alias("shift"))
 
 
 @query(f"WITH {PRODUCT} SELECT id, CAST(floor((t0 % 5924) / 2.758273) + 1 AS BIGINT) AS slice, lpad(CAST(CAST(floor((t0 % 5924) / 2.758273) + 1 AS BIGINT) AS VARCHAR), 6, '0') || '_iw1' AS bsid FROM product")
@@ -233,17 +244,16 @@ def slice_ids(spark, sf_dir):
 @query("SELECT s_nationkey FROM supplier INTERSECT SELECT c_nationkey FROM customer WHERE c_acctbal > 9000")
 def osid_intersection(spark, sf_dir):
     c = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("s_nationkey"))
-    return table(spark, sf_dir, "supplier").select("s_nationkey").intersect(c)
+    return series.in_both(table(spark, sf_dir, "supplier"), c, "s_nationkey")
 
 
 @query(
     """SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS height, round(max(o_totalprice), 2) AS width, min(o_orderdate) AS t_start, max(o_orderdate) AS t_end, count(DISTINCT o_orderdate) AS n_vectors FROM orders GROUP BY 1"""
 )
 def grd_merge(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
-        F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("height"), F.round(F.max("o_totalprice"), 2).alias("width"), F.min("o_orderdate").alias("t_start"), F.max("o_orderdate").alias("t_end"),
-        F.countDistinct("o_orderdate").alias("n_vectors"),
-    )
+    vector = F.array(F.struct(F.col("o_orderdate").alias("t")))
+    s = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_totalprice").alias("height"), F.col("o_totalprice").alias("width"), F.col("o_orderdate").alias("t_start"), F.col("o_orderdate").alias("t_end"), vector.alias("vectors"))
+    return series.merged_slices(s, "o_custkey").select("o_custkey", "n", F.round("height", 2).alias("height"), F.round("width", 2).alias("width"), "t_start", "t_end", "n_vectors")
 
 
 @query(
@@ -254,6 +264,4 @@ def grd_merge(spark, sf_dir):
 def overlap_bursts(spark, sf_dir):
     t = F.unix_micros(F.col("l_shipdate").cast("timestamp")) / 1e6 / 86400
     b = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("swath"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("burst"), t.alias("t0"), (t + F.col("l_quantity")).alias("t1"))
-    w = Window.partitionBy("swath").orderBy("t0", "burst")
-    n = b.withColumn("next_burst", F.lead("burst").over(w)).withColumn("next_t0", F.lead("t0").over(w)).where("next_t0 < t1")
-    return n.select("swath", "burst", "next_burst", F.round((F.col("t1") - F.col("next_t0")) * 4).cast("int").alias("overlap"))
+    return series.overlaps(b, 4)

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from radarframe.plans import catalogue, dense, files, pixels, points, products, series, stack  # noqa: F401  the latter register queries
+from radarframe.plans import catalogue, dense, files, library, pixels, points, products, series, stack  # noqa: F401  the latter register queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages".split()
