@@ -34,6 +34,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 HEAD_WORDS, HEAD_CHARS = 300_000, 40
 MEMO_WORDS = 200_000
+#: Texts that a worker holds as words at a time.
+SLICE_BYTES = 2_000_000
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -461,6 +463,20 @@ def decoder(pieces: Pieces):
     return decode
 
 
+def slices(batch, at: int):
+    """An Arrow batch in parts of about ``SLICE_BYTES`` of the texts in its column ``at``, or of one text that is longer."""
+    import pyarrow.compute as pc
+
+    lo = size = 0
+    for k, n in enumerate(pc.binary_length(batch.column(at)).to_pylist()):
+        if k > lo and size + (n or 0) > SLICE_BYTES:
+            yield batch.slice(lo, k - lo)
+            lo, size = k, 0
+        size += n or 0
+    if lo < batch.num_rows:
+        yield batch.slice(lo)
+
+
 def head_table(docs: DataFrame, pieces: Pieces, text: str = "text") -> tuple[dict[str, bytes], frozenset[str]]:
     """The ids of the frequent words, from their lattices; and those words whose ids don't decode to them."""
     import struct
@@ -493,7 +509,7 @@ def encoded(docs: DataFrame, pieces: Pieces | None = None, text: str = "text", k
         import pyarrow as pa
 
         encoder = Encoder(*held.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             done = encoder.encode_all(batch.column(at).to_pylist())
             ids, same = [raw for raw, _ in done], [whole for _, whole in done]
             ends = np.cumsum([0, *(len(raw) // 4 for raw in ids)])
