@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 MOST_HOT, LEAST_HOT = 4096, 256
 
 
+#: Python workers get Arrow batches of so many bytes, so that batches of very long texts fit beside each other.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of an Arrow batch to ``BATCH_BYTES`` if it is higher. It bounds bytes and not rows, so batches of short rows stay as they are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Where none is set, a local one in local mode, as in tests, and else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
