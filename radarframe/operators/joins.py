@@ -40,14 +40,27 @@ def nearest_records(points: DataFrame, records: DataFrame, key: str, n: int = 1)
 def best_containing(segments: DataFrame, files: DataFrame, rank: Column, longest: float, bin_width: float) -> DataFrame:
     """seg and the smallest ``rank`` (a struct over the file's columns) of the files that strictly contain each segment of at most ``longest``.
 
-    Files that hold a whole time bin, and the longest segment beyond it, are reduced to the bin's best by partial
-    aggregates; only files that begin or end in a bin meet its segments one by one. Segments without a file are left out.
+    The time bins that a file holds whole, and the longest segment beyond them, are cut into dyadic runs: of n bins a file has at most 2 log n
+    runs, which are reduced to their best by partial aggregates, and a segment looks up one run of each length. Only files that begin or
+    end in a bin meet its segments one by one. Segments without a file are left out.
     """
     f = files.withColumn("__r", rank)
-    f = f.withColumn("__b", F.explode(F.sequence(F.floor(F.col("f_start") / bin_width), F.floor(F.col("f_end") / bin_width))))
-    holds = (F.col("f_start") < F.col("__b") * bin_width) & (F.col("f_end") > (F.col("__b") + 1) * bin_width + longest)
-    s = segments.withColumn("__b", F.floor(F.col("s_start") / bin_width))
-    whole = f.where(holds).groupBy("__b").agg(F.min("__r").alias("__r"))
-    part = f.where(~holds).select("__b", "__r", "f_start", "f_end")
-    met = s.join(whole, "__b").select("seg", "__r").unionByName(s.join(part, "__b").where("f_start < s_start and f_end > s_end").select("seg", "__r"))
+    span = f.agg(F.max(F.col("f_end") - F.col("f_start"))).first()[0] or 0.0
+    levels = max(0, int(span / bin_width)).bit_length()
+    # bins [__lo, __hi) are held whole
+    f = f.withColumns({"__lo": (F.floor(F.col("f_start") / bin_width) + 1).cast("long"), "__hi": (F.ceil((F.col("f_end") - longest) / bin_width) - 1).cast("long")})
+    # of each length p the run that begins and the run that ends the span, if it lies in the span and the one twice as long around it doesn't
+    runs = (
+        f"flatten(transform(sequence(0, {levels}), l -> transform(filter(transform(array_distinct(array(cast(ceil(__lo / shiftleft(1L, l)) as bigint), cast(floor(__hi / shiftleft(1L, l)) as bigint) - 1)),"
+        " i -> struct(l, shiftleft(1L, l) as p, i as b, shiftright(i, 1) as up)),"
+        " q -> q.b * q.p >= __lo and (q.b + 1) * q.p <= __hi and not (q.up * 2 * q.p >= __lo and (q.up + 1) * 2 * q.p <= __hi)), q -> struct(q.l as l, q.b as b))))"
+    )
+    whole = f.where("__lo < __hi").select("__r", F.explode(F.expr(runs)).alias("n")).groupBy("n.l", "n.b").agg(F.min("__r").alias("__r"))
+    # the bins at a file's ends that it doesn't hold whole
+    ends = "filter(sequence(cast(floor(f_start / {w}D) as bigint), cast(floor(f_end / {w}D) as bigint)), b -> b < __lo or b >= __hi)".format(w=bin_width)
+    ends = f"case when __lo < __hi then concat(sequence(cast(floor(f_start / {bin_width}D) as bigint), __lo - 1), sequence(__hi, cast(floor(f_end / {bin_width}D) as bigint))) else {ends} end"
+    part = f.select("__r", "f_start", "f_end", F.explode(F.expr(ends)).alias("b"))
+    s = segments.withColumn("b", F.floor(F.col("s_start") / bin_width).cast("long"))
+    probes = s.select("seg", F.explode(F.expr(f"transform(sequence(0, {levels}), l -> struct(l, shiftright(b, l) as b))")).alias("n")).select("seg", "n.l", "n.b")
+    met = probes.join(whole, ["l", "b"]).select("seg", "__r").unionByName(s.join(part, "b").where("f_start < s_start and f_end > s_end").select("seg", "__r"))
     return met.groupBy("seg").agg(F.min("__r").alias("best"))

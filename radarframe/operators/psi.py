@@ -25,19 +25,39 @@ def periodogram(series: DataFrame, features: dict[str, str], axes: DataFrame, ke
     """For each ``key`` the grid point of largest coherence of phi against sum(parameter * feature), first on ties.
 
     A key's samples are gathered into one array (its acquisitions, some hundred), so the grid is
-    folded inside the row: the shuffle is one row a key, not one a key and grid point. Null and NaN phases weigh 0
+    searched by matrix products in the worker: the shuffle is one row a key, not one a key and grid point. Null and NaN phases weigh 0
     and don't count in n; gamma is null where no other is left.
     """
     own = list(features.values())
-    gathered = series.groupBy(key).agg(F.collect_list(F.when(_valid(), F.struct("phi", *own))).alias("obs"))
-    nodes = axes.agg(F.sort_array(F.collect_list(F.struct("idx", *features))).alias("nodes"))  # the grid, of given size
-    model = " + ".join(f"g.{p} * o.{f}" for p, f in features.items())
-    gamma = (
-        f"transform(nodes, g -> named_struct('gamma', round(aggregate(obs, named_struct('c', 0.0D, 's', 0.0D), (a, o) -> named_struct('c', a.c + cos(o.phi - ({model})), 's', a.s + sin(o.phi - ({model}))),"
-        f" a -> sqrt(a.c * a.c + a.s * a.s) / nullif(size(obs), 0)), 6), 'back', -g.idx, 'node', g))"
-    )
-    best = gathered.crossJoin(F.broadcast(nodes)).withColumn("best", F.array_max(F.expr(gamma)))
-    return best.select(key, F.size("obs").cast("long").alias("n"), F.col("best.gamma").alias("gamma"), F.col("best.node.idx").alias("idx"), *(F.col(f"best.node.{p}").alias(p) for p in features))
+    gathered = series.groupBy(key).agg(F.collect_list(F.when(_valid(), F.struct(F.col("phi").cast("double").alias("phi"), *(F.col(f).cast("double").alias(f) for f in own)))).alias("obs"))
+    nodes = sorted(axes.select("idx", *features).collect())  # the grid, of given size
+    kind = dict(gathered.dtypes)[key]
+
+    def search(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        grid_of = np.array([r[1:] for r in nodes], float).reshape(len(nodes), len(features))
+        for batch in batches:
+            obs = batch.column(1)
+            ends = np.asarray(obs.offsets)
+            flat = obs.values  # the batch's samples, one behind the other
+            phi = np.asarray(flat.field("phi"))
+            at = np.stack([np.asarray(flat.field(f)) for f in own], 1) if own else np.zeros((len(phi), 0))
+            found = []
+            for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+                if hi == lo:
+                    found.append((0, None, nodes[0]))
+                    continue
+                turned = np.exp(1j * (phi[lo:hi, None] - at[lo:hi] @ grid_of.T))
+                gamma = np.round(np.abs(turned.sum(axis=0)) / (hi - lo), 6)
+                best = int(gamma.argmax())
+                found.append((int(hi - lo), float(gamma[best]), nodes[best]))
+            columns = [batch.column(0), pa.array([n for n, _, _ in found], pa.int64()), pa.array([g for _, g, _ in found], pa.float64()), pa.array([r[0] for _, _, r in found], pa.int32())]
+            columns += [pa.array([float(r[1 + k]) for _, _, r in found], pa.float64()) for k in range(len(features))]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "n", "gamma", "idx", *features])
+
+    return gathered.mapInArrow(search, f"{key} {kind}, n long, gamma double, idx int" + "".join(f", {p} double" for p in features))
 
 
 def dispersion(series: DataFrame, amplitude: str = "amp", key: str = "ps") -> DataFrame:

@@ -65,3 +65,41 @@ def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(59) if k != 30], "a long, b long")
     got = {r.id: r.component for r in network.components(v, e, lambda d: spark.createDataFrame(d.collect(), d.schema)).collect()}
     assert got == {k: 0 if k <= 30 else 31 for k in range(60)}
+
+
+def test_best_containing_against_brute_force(spark):
+    import random
+
+    from radarframe.operators import joins
+
+    rng = random.Random(1)
+    files = [(k, a := rng.uniform(-50, 50), a + rng.choice([0.01, 0.3, 1, 5, 40]) * rng.random()) for k in range(400)]
+    segments = [(k, a := rng.uniform(-50, 50), a + rng.random() * 0.2) for k in range(600)]
+    f, s = spark.createDataFrame(files, "fid long, f_start double, f_end double"), spark.createDataFrame(segments, "seg long, s_start double, s_end double")
+    got = {r.seg: r.best.fid for r in joins.best_containing(s, f, F.struct("fid"), 0.2, 0.125).collect()}
+    holding = {k: [i for i, x, y in files if x < a and y > b] for k, a, b in segments}
+    assert got == {k: min(v) for k, v in holding.items() if v}
+    assert joins.best_containing(s, f.where("false"), F.struct("fid"), 0.2, 0.125).count() == 0
+
+
+def test_percentiles_are_exact(spark):
+    import numpy as np
+
+    from radarframe.operators import images
+
+    rng = np.random.default_rng(2)
+    for values in (rng.normal(size=3000), rng.integers(0, 4, 2000).astype(float), np.array([7.0]), np.array([1.0, 2.0])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
+        got = images.percentiles(df, "v", [0.0, 0.02, 0.5, 0.98, 1.0], bins=64)
+        assert np.allclose(got, np.quantile(values, [0.0, 0.02, 0.5, 0.98, 1.0]))
+    assert images.percentiles(spark.createDataFrame([], "v double"), "v", [0.5]) == [None]
+
+
+def test_merged_slices_keep_each_vector_once(spark):
+    from radarframe.operators import series
+
+    rows = [(1, 10, 5, 0.0, 1.0, [(0.0, 7.0), (1.0, 8.0)]), (1, 20, 6, 1.0, 2.0, [(1.0, 8.0), (2.0, 9.0)]), (2, 1, 1, 0.0, 0.5, [])]
+    df = spark.createDataFrame(rows, "image long, height long, width long, t_start double, t_end double, vectors array<struct<t: double, x: double>>")
+    got = {r.image: r for r in series.merged_slices(df, "image").collect()}
+    assert (got[1].height, got[1].width, got[1].t_start, got[1].t_end, [tuple(v) for v in got[1].vectors]) == (30, 6, 0.0, 2.0, [(0.0, 7.0), (1.0, 8.0), (2.0, 9.0)])
+    assert got[2].n_vectors == 0
