@@ -21,7 +21,7 @@ _R = F.round
 
 
 @query(
-    """WITH r AS (SELECT p_partkey AS id, p_partkey % 50 - 10 AS col, p_size - 5 AS row, p_partkey % 30 + 1 AS w, p_size AS h FROM part),
+    """WITH r AS (SELECT p_partkey AS id, p_partkey % 50 - 10 AS col, CAST(p_size AS BIGINT) - 5 AS row, p_partkey % 30 + 1 AS w, CAST(p_size AS BIGINT) AS h FROM part),
     k AS (SELECT *, greatest(col, 0) AS c0, greatest(row, 0) AS r0, least(col + w, 40) - greatest(col, 0) AS cw, least(row + h, 30) - greatest(row, 0) AS rh FROM r),
     m AS (SELECT *, least(1.5 * col + 0.1 * row, 1.5 * col + 0.1 * (row + h - 1)) - 2.25 AS x0, greatest(1.5 * (col + w - 1) + 0.1 * row, 1.5 * (col + w - 1) + 0.1 * (row + h - 1)) - 2.25 AS x1,
       0.9 * row - 0.2 * (col + w - 1) + 4.5 AS y0, 0.9 * (row + h - 1) - 0.2 * col + 4.5 AS y1 FROM k)
@@ -42,7 +42,7 @@ def roi_algebra(spark, sf_dir):
 _MAP = (0.5, 0.01, 100.0, 0.02, -0.25, 50.0)
 
 
-@query("SELECT r AS row, k AS col, round(0.5 * (k + 0.5) + 0.01 * (r + 0.5) + 100, 6) AS x, round(0.02 * (k + 0.5) - 0.25 * (r + 0.5) + 50, 6) AS y FROM (SELECT unnest(range(30)) AS r), (SELECT unnest(range(40)) AS k)")
+@query("SELECT r AS row, k AS col, round(CAST(0.5 * (k + 0.5) + 0.01 * (r + 0.5) + 100 AS DOUBLE), 6) AS x, round(CAST(0.02 * (k + 0.5) - 0.25 * (r + 0.5) + 50 AS DOUBLE), 6) AS y FROM (SELECT unnest(range(30)) AS r), (SELECT unnest(range(40)) AS k)")
 def pixel_grid(spark, sf_dir):
     """Centres of a raster's pixels on the ground."""
     return roi.pixel_grid(spark, 30, 40, _MAP).select("row", "col", _R("x", 6).alias("x"), _R("y", 6).alias("y"))
@@ -113,7 +113,7 @@ def surface_fit(spark, sf_dir):
     return fits.evaluated(p, fits.surfaces(p, 2, ["g"]), 2, ["g"]).select("id", _R("fit", 5).alias("fit"))
 
 
-@query("SELECT k AS id, round(0.5 + 3.0 * k, 4) AS t FROM (SELECT unnest(range(5)) AS k)")
+@query("SELECT k AS id, round(CAST(0.5 + 3.0 * k AS DOUBLE), 4) AS t FROM (SELECT unnest(range(5)) AS k)")
 def node_crossing(spark, sf_dir):
     """When orbits rise through the equator: circles that start a little below it, each later than the last."""
     t = np.arange(-80.0, 81.0, 10.0)
@@ -142,7 +142,7 @@ def fourier_zoom_samples(spark, sf_dir):
     return wide.select("id", F.posexplode("v").alias("k", "v")).select("id", F.expr("k div 8").cast("long").alias("row"), (c("k") % 8).cast("long").alias("col"), _R("v", 5).alias("v"))
 
 
-@query("SELECT vec_id AS id, (i - 1) // 8 AS row, (i - 1) % 8 AS col, round((vec_id % 7 - 3) * 0.9 * ((i - 1) // 8) + (vec_id % 5 - 2) * 1.4 * ((i - 1) % 8), 6) AS u FROM embeddings, (SELECT unnest(range(1, 65)) AS i)")
+@query("SELECT vec_id AS id, (i - 1) // 8 AS row, (i - 1) % 8 AS col, round(CAST((vec_id % 7 - 3) * 0.9 * ((i - 1) // 8) + (vec_id % 5 - 2) * 1.4 * ((i - 1) % 8) AS DOUBLE), 6) AS u FROM embeddings, (SELECT unnest(range(1, 65)) AS i)")
 def unwrap_ramp(spark, sf_dir):
     """Ramps of phase, wrapped and unwrapped, up to their first pixel."""
 
@@ -276,7 +276,7 @@ _IMAGE = (
     f"<productFirstLineUtcTime>{_STAMP}</productFirstLineUtcTime><productLastLineUtcTime>{_STAMP}</productLastLineUtcTime><azimuthTimeInterval>0.0015</azimuthTimeInterval><rangePixelSpacing>10</rangePixelSpacing>"
     "<numberOfSamples>{k}</numberOfSamples><numberOfLines>{n}</numberOfLines></imageInformation><processingInformation><dcMethod>Data Analysis</dcMethod></processingInformation></imageAnnotation>"
 )
-_SECONDS = "1609459200 + 60 * (p_partkey % 60) + p_size % 60 + 0.5"
+_SECONDS = "CAST(1609459200.5 + 60 * (p_partkey % 60) + p_size % 60 AS DOUBLE)"
 
 
 @query(
@@ -291,17 +291,17 @@ def slc_annotation(spark, sf_dir):
     b = metadata.slc_bursts(texts)
     # the second burst's text has the first one's time; its place tells them apart
     return b.select(
-        c("path").cast("long").alias("id"), "burst", c("relative_orbit_number").alias("relative_orbit"), "slice_number", "slice_count", "anx_time", _R(c("state_vectors")[0]["position"]["x"], 2).alias("x"), c("state_vectors")[0]["velocity"]["z"].alias("vz"),
+        c("path").cast("long").alias("id"), "burst", c("relative_orbit_number").cast("long").alias("relative_orbit"), "slice_number", "slice_count", "anx_time", _R(c("state_vectors")[0]["position"]["x"], 2).alias("x"), c("state_vectors")[0]["velocity"]["z"].alias("vz"),
         (c("burst_times.start") + c("burst")).alias("start"), (c("burst_times.start_valid") + c("burst")).alias("start_valid"), "burst_roi.col", "burst_roi.row", "burst_roi.w", "burst_roi.h",
     )
 
 
-@query(f"SELECT p_partkey AS id, p_partkey AS width, p_size AS height, {_SECONDS} AS image_start, {_SECONDS} AS time, round(p_retailprice, 2) AS sr0, 1.0 AS c0, CAST(p_size AS DOUBLE) AS c1 FROM part")
+@query(f"SELECT p_partkey AS id, p_partkey AS width, p_size AS height, {_SECONDS} AS image_start, {_SECONDS} AS time, round(p_retailprice, 2) AS sr0, CAST(1 AS DOUBLE) AS c0, CAST(p_size AS DOUBLE) AS c1 FROM part")
 def grd_annotation(spark, sf_dir):
     """Ground-range products of annotation texts."""
     conversion = f"<coordinateConversion><coordinateConversionList><coordinateConversion><azimuthTime>{_STAMP}</azimuthTime><sr0>{{price}}</sr0><srgrCoefficients count=\"2\">1 {{n}}</srgrCoefficients><gr0>0</gr0><grsrCoefficients count=\"2\">3 4</grsrCoefficients></coordinateConversion></coordinateConversionList></coordinateConversion>"
     g = metadata.grd_products(_parts(spark, sf_dir, "<product>" + _HEADER + _GENERAL + _IMAGE + conversion + "</product>")).withColumn("s", c("srgr")[0])
-    return g.select(c("path").cast("long").alias("id"), "width", "height", "image_start", "s.time", _R("s.sr0", 2).alias("sr0"), c("s.srgr")[0].alias("c0"), c("s.srgr")[1].alias("c1"))
+    return g.select(c("path").cast("long").alias("id"), c("width").cast("long").alias("width"), "height", "image_start", "s.time", _R("s.sr0", 2).alias("sr0"), c("s.srgr")[0].alias("c0"), c("s.srgr")[1].alias("c1"))
 
 
 @query("SELECT p_partkey AS id, './annotation/s1a-iw' || p_size || '-vv.xml' AS href FROM part")
@@ -320,10 +320,10 @@ def calibration_nodes(spark, sf_dir):
     xml = "<calibration><calibrationVectorList count=\"1\"><calibrationVector><line>{n}</line><pixel count=\"3\">0 40 80</pixel><sigmaNought count=\"3\">{price} {one} {two}</sigmaNought></calibrationVector></calibrationVectorList></calibration>"
     text = _text(xml, n=c("p_size"), price=c("p_retailprice"), one=c("p_size") + 1, two=c("p_size") + 2)
     found = metadata.calibration_lut(table(spark, sf_dir, "part").select(c("p_partkey").cast("string").alias("path"), text.alias("text")))
-    return found.select(c("path").cast("long").alias("id"), "line", "pixel", _R("value", 2).alias("value"))
+    return found.select(c("path").cast("long").alias("id"), "line", c("pixel").cast("long").alias("pixel"), _R("value", 2).alias("value"))
 
 
-@query("SELECT p_partkey AS id, p_partkey % 100 AS pixel, CAST(p_size AS DOUBLE) AS value, p_size AS line0, p_size + 7 AS line1, 0.5 AS last FROM part")
+@query("SELECT p_partkey AS id, p_partkey % 100 AS pixel, CAST(p_size AS DOUBLE) AS value, p_size AS line0, p_size + 7 AS line1, CAST(0.5 AS DOUBLE) AS last FROM part")
 def noise_nodes(spark, sf_dir):
     """Range vectors and azimuth rectangles of noise texts, of the older form for every other product."""
     new = "<noise><noiseRangeVectorList><noiseRangeVector><line>0</line><pixel count=\"1\">{p}</pixel><noiseRangeLut count=\"1\">{n}</noiseRangeLut></noiseRangeVector></noiseRangeVectorList>"
@@ -332,10 +332,10 @@ def noise_nodes(spark, sf_dir):
     made = lambda head: _text(head + block, p=c("p_partkey") % 100, n=c("p_size"), e=c("p_size") + 7)
     texts = table(spark, sf_dir, "part").select(c("p_partkey").cast("string").alias("path"), F.when(c("p_partkey") % 2 == 0, made(new)).otherwise(made(old)).alias("text"))
     blocks = metadata.noise_azimuth_blocks(texts).select("path", "line0", "line1", c("values")[1].alias("last"))
-    return metadata.noise_lut(texts).join(blocks, "path").select(c("path").cast("long").alias("id"), "pixel", "value", "line0", "line1", "last")
+    return metadata.noise_lut(texts).join(blocks, "path").select(c("path").cast("long").alias("id"), c("pixel").cast("long").alias("pixel"), "value", "line0", "line1", "last")
 
 
-@query("SELECT p_partkey AS id, p_size AS height, p_partkey AS width, round(p_retailprice, 2) AS incidence, CAST(1609459200 AS BIGINT) * 1000000000 + CAST(p_size % 60 AS BIGINT) * 1000000000 + 123456789 AS start_ns, p_size % 60 + 0.25 AS first_line_time, 'left' AS look_direction FROM part")
+@query("SELECT p_partkey AS id, p_size AS height, p_partkey AS width, round(p_retailprice, 2) AS incidence, CAST(1609459200 AS BIGINT) * 1000000000 + CAST(p_size % 60 AS BIGINT) * 1000000000 + 123456789 AS start_ns, CAST(p_size % 60 + 0.25 AS DOUBLE) AS first_line_time, 'left' AS look_direction FROM part")
 def capella_parse(spark, sf_dir):
     """Extended metadata in JSON."""
     text = (
@@ -345,7 +345,7 @@ def capella_parse(spark, sf_dir):
     )
     t = _parts(spark, sf_dir, text).withColumn("text", F.translate("text", "<>", "{}"))
     m = metadata.capella(t)
-    return m.select(c("path").cast("long").alias("id"), "height", "width", _R("incidence", 2).alias("incidence"), "start_ns", _R("first_line_time", 6).alias("first_line_time"), "look_direction")
+    return m.select(c("path").cast("long").alias("id"), "height", c("width").cast("long").alias("width"), _R("incidence", 2).alias("incidence"), "start_ns", _R("first_line_time", 6).alias("first_line_time"), "look_direction")
 
 
 @query(f"SELECT p_partkey AS id, p_size AS height, p_partkey AS width, {_SECONDS} AS image_start, round(p_retailprice, 2) AS x, 'ascending' AS orbit_direction FROM part")
@@ -358,4 +358,4 @@ def terrasar_parse(spark, sf_dir):
         f"<platform><orbit><stateVec num=\"1\"><timeUTC>{_STAMP}</timeUTC><posX>{{price}}</posX><posY>2</posY><posZ>3</posZ><velX>4</velX><velY>5</velY><velZ>6</velZ></stateVec></orbit></platform></level1Product>"
     )
     m = metadata.terrasar(_parts(spark, sf_dir, xml))
-    return m.select(c("path").cast("long").alias("id"), "height", "width", "image_start", _R(c("state_vectors")[0]["position"]["x"], 2).alias("x"), "orbit_direction")
+    return m.select(c("path").cast("long").alias("id"), "height", c("width").cast("long").alias("width"), "image_start", _R(c("state_vectors")[0]["position"]["x"], 2).alias("x"), "orbit_direction")
