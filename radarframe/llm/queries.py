@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, htmltext, pieces, pii, quality, sharding, simhash, sketch, urlfilter, warc
+from . import decontaminate, htmltext, linededup, pieces, pii, quality, sharding, simhash, sketch, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -82,6 +86,17 @@ def _warc_sql() -> str:
       SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
 
 
+def _line_sql() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    white = " || ".join(f"chr({c})" for c in (32, 9, 10, 11, 12, 13))
+    return f"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+      l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
+      k AS (SELECT *, translate(trim(line, {white}), '{upper}', '{upper.lower()}') AS key FROM l),
+      f AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= {linededup.LEAST_CHARS} GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+      m AS (SELECT k.*, coalesce(f.first <> k.doc_id, false) AS lost FROM k LEFT JOIN f ON k.key = f.key)
+      SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256 FROM m GROUP BY doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The queries that SQL can express; tests hold the others against brute force."""
-    return {"op8_warc": _warc_sql(), "op10_url_filter": _url_sql()}
+    return {"op8_warc": _warc_sql(), "op10_url_filter": _url_sql(), "op13_line_dedup": _line_sql()}
