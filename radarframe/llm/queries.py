@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, htmltext, linededup, pieces, pii, quality, sharding, simhash, sketch, urlfilter, warc
+from . import decontaminate, hardneg, htmltext, linededup, pieces, pii, quality, sharding, simhash, sketch, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.mined(hardneg.turned(table(spark, sf_dir, "embeddings")))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_report(table(spark, sf_dir, "documents"))
 
@@ -97,6 +101,16 @@ def _line_sql() -> str:
       SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256 FROM m GROUP BY doc_id"""
 
 
+def _negative_sql() -> str:
+    return f"""WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor({hardneg.SCALE} * CAST(x AS DOUBLE))) AS q FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      s AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_inner_product(a.q, r.q) AS BIGINT) AS score FROM v a JOIN v r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
+      p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {hardneg.POSITIVES})
+      SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+      FROM p JOIN s USING (anchor_id) WHERE NOT same AND {hardneg.LOW} * positive_score <= 100 * s.score AND 100 * s.score <= {hardneg.HIGH} * positive_score
+      WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= {hardneg.NEGATIVES}"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The queries that SQL can express; tests hold the others against brute force."""
-    return {"op8_warc": _warc_sql(), "op10_url_filter": _url_sql(), "op13_line_dedup": _line_sql()}
+    return {"op8_warc": _warc_sql(), "op10_url_filter": _url_sql(), "op12_hard_negatives": _negative_sql(), "op13_line_dedup": _line_sql()}
