@@ -12,7 +12,7 @@ broadcast or gathered but the cells' bounds, and the work is anchors times rows,
 Defined cases: rows with a null label, a null vector or a null or non-finite component take no part; rows that agree in
 id, label and vector are one row; other rows of the same id are rows of their own, and ties among them don't show; rows without an id
 are no anchors and come last among ties; components that a shorter vector lacks count as zero, so an empty vector scores 0
-everywhere; a positive score below zero has no negatives, and one of zero only those of zero; labels of 0 to 9 and others alike turn
+everywhere; a block is as wide as its longest vector; a positive score below zero has no negatives, and one of zero only those of zero; labels of 0 to 9 and others alike turn
 to (label + 1) % 10 where the contract's query asks for it; scores are exact while they fit 64 bits; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -54,7 +54,7 @@ class Cells:
     def __init__(self, bounds: list[list[int]]):
         import numpy as np
 
-        b = np.array(bounds, dtype=np.int64).reshape(len(bounds), -1)
+        b = np.array(bounds, dtype=np.int64).reshape(len(bounds), len(bounds[0]) if bounds else 3)
         self.cuts = b[:, 1:-1]
         # a cell's values lie within these, both included; a missing component is 0
         self.low = np.minimum(np.concatenate([b[:, :1], np.minimum(b[:, 1:-1] + 1, b[:, -1:])], axis=1), np.iinfo(np.int64).max)
