@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from radarframe.functions import phase
-from radarframe.operators import bursts, ortho, raster, registration
+from radarframe.operators import bursts, ortho, raster, registration, resampling
 
 
 def interferograms(images: DataFrame, pairs: DataFrame, simulated: Sequence[DataFrame] = (), looks: tuple[int, int] = (2, 8)) -> DataFrame:
@@ -70,7 +70,7 @@ def time_series(pixels: DataFrame, cuts: DataFrame, maps: DataFrame, primary: st
     """A stack (date, row, col, re, im) of mosaics in a rectangle of the primary's mosaic.
 
     ``pixels`` (date, swath, burst, row, col, re, im) are bursts as read, ``cuts`` the primary's from ``bursts.cut`` (one acquisition), ``maps``
-    (date, swath, burst, matrix) take a primary burst's pixels to those of another date. A date that lacks one of the primary's bursts that the
+    (date, swath, burst, matrix, and ramp where there is one) take a primary burst's pixels to those of another date, whose ramp is off while it is interpolated. A date that lacks one of the primary's bursts that the
     rectangle needs has no mosaic, as its dates couldn't be compared everywhere.
     """
     keys = ["swath", "burst"]
@@ -81,12 +81,7 @@ def time_series(pixels: DataFrame, cuts: DataFrame, maps: DataFrame, primary: st
     kept = pixels.join(whole, "date", "left_semi")
     # each burst is resampled in the part that the mosaic reads, so no pixel is made that the cut drops
     read = maps.where(F.col("date") != primary).join(parts.select(*keys, "read"), keys).join(whole, "date", "left_semi")
-    lines = read.select("date", *keys, "matrix", "read", F.explode(F.expr("sequence(read.row, read.row + read.h - 1)")).alias("__y"))
-    cells = lines.select("date", *keys, "matrix", "__y", F.explode(F.expr("sequence(read.col, read.col + read.w - 1)")).alias("__x"))
-    m = [F.get("matrix", F.lit(k)) for k in range(6)]
-    x, y = F.col("__x"), F.col("__y")
-    at = cells.select("date", *keys, F.col("__y").alias("__i"), F.col("__x").alias("__j"), (m[3] * x + m[4] * y + m[5]).alias("y"), (m[0] * x + m[1] * y + m[2]).alias("x"))
-    moved = ortho.sampled(kept, at, ["re", "im"], ["date", *keys, "__i", "__j"], ["date", *keys]).select("date", *keys, F.col("__i").alias("row"), F.col("__j").alias("col"), "re", "im")
+    moved = resampling.warped(kept, read.withColumnRenamed("read", "rectangle"), ["date", *keys], ["re", "im"])
     own = kept.where(F.col("date") == primary).select("date", *keys, "row", "col", "re", "im")
     put = own.unionByName(moved).withColumn("acquisition", F.lit(0))
     return registration.mosaic(put, parts.withColumn("acquisition", F.lit(0)), ["date", "re", "im"]).select("date", "row", "col", "re", "im")

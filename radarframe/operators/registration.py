@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from radarframe.operators import geometry, kernels, ortho
+from radarframe.operators import geometry, kernels, resampling
 
 _AXES = ("col", "row", "to_col", "to_row")
 
@@ -49,16 +49,14 @@ def affines(matches: DataFrame, by: list[str]) -> DataFrame:
     return moments.mapInPandas(solve, f"{kept}, matrix array<double>")
 
 
-def resampled(images: DataFrame, maps: DataFrame, by: list[str], values: list[str], rectangle: tuple[int, int, int, int]) -> DataFrame:
-    """Each image pulled into the primary's rectangle (col, row, w, h) through its map: (by..., row, col from the rectangle's corner, values...). An image without a map is null throughout."""
+def resampled(images: DataFrame, maps: DataFrame, by: list[str], values: list[str], rectangle: tuple[int, int, int, int], method: str = "lanczos", tile: int = 256) -> DataFrame:
+    """Each image pulled into the primary's rectangle (col, row, w, h) through its map: (by..., row, col from the rectangle's corner, values...). An image without a map is null throughout.
+
+    ``maps`` (by..., matrix) may bring a ``ramp`` (:data:`resampling.RAMP`), which is taken off around the interpolation."""
     col, row, w, h = rectangle
-    lines = maps.select(*by, "matrix", F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("row"))
-    cells = lines.select(*by, "matrix", "row", F.explode(F.sequence(F.lit(0), F.lit(w - 1))).alias("col"))
-    m = [F.get("matrix", F.lit(k)) for k in range(6)]
-    x, y = F.col("col") + col, F.col("row") + row
-    at = cells.select(*by, F.col("row").alias("__i"), F.col("col").alias("__j"), (m[3] * x + m[4] * y + m[5]).alias("y"), (m[0] * x + m[1] * y + m[2]).alias("x"))
-    got = ortho.sampled(images, at, values, [*by, "__i", "__j"], by)
-    return got.select(*by, F.col("__i").alias("row"), F.col("__j").alias("col"), *values)
+    named = maps.withColumn("rectangle", F.struct(*(F.lit(v).cast("int").alias(k) for k, v in zip(("col", "row", "w", "h"), rectangle, strict=True))))
+    got = resampling.warped(images, named, by, values, method, tile=tile)
+    return got.select(*by, (F.col("row") - row).alias("row"), (F.col("col") - col).alias("col"), *values)
 
 
 def shifts(primary: DataFrame, secondaries: DataFrame, by: list[str], value: str = "amp", block: int = 2048) -> DataFrame:
@@ -85,7 +83,8 @@ def shifted(maps: DataFrame, moves: DataFrame, by: list[str]) -> DataFrame:
     """Maps followed by a translation in the secondary image; a map without one stays."""
     d_col, d_row = F.coalesce("d_col", F.lit(0.0)), F.coalesce("d_row", F.lit(0.0))
     added = F.transform("matrix", lambda v, k: v + F.when(k == 2, d_col).when(k == 5, d_row).otherwise(0.0))
-    return maps.join(moves, by, "left").select(*by, added.alias("matrix"))
+    kept = [c for c in maps.columns if c not in by and c != "matrix"]
+    return maps.join(moves, by, "left").select(*by, added.alias("matrix"), *kept)
 
 
 def mosaic(pixels: DataFrame, parts: DataFrame, values: list[str]) -> DataFrame:
@@ -123,7 +122,7 @@ def matches(dem: DataFrame, primary: geometry.Orbit, secondaries: dict[str, geom
 def crops(images: DataFrame, maps: DataFrame, primary_id: str, rectangle: tuple[int, int, int, int], checkpoint: Callable[[DataFrame], DataFrame] | None = None, block: int = 2048) -> DataFrame:
     """Crops (product, row, col, re, im) of a primary and its secondaries in the primary's rectangle.
 
-    ``images`` (product, row, col, re, im) are whole images; ``maps`` (product, matrix) take the primary to each secondary. With a
+    ``images`` (product, row, col, re, im) are whole images; ``maps`` (product, matrix, and ramp where there is one) take the primary to each secondary. With a
     ``checkpoint``, which keeps the first round's crops, the maps are refined by phase correlation on amplitudes, and the images are resampled again.
     """
     col, row, w, h = rectangle
