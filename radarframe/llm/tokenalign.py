@@ -18,6 +18,7 @@ encoded whole; an empty table gives an empty table; other columns are ignored (:
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from pathlib import Path
@@ -30,13 +31,15 @@ from . import common, pieces
 A_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 B_MODEL = pieces.MODEL
 #: Units that a worker remembers, twice.
-MEMO_UNITS = 80_000
+MEMO_UNITS = 150_000
 #: Pairs in a bucket and postings in a slice of it, about; entries that a task counts before it hands them on.
 BUCKET_PAIRS, SLICE_POSTINGS, COUNTED = 1_000_000, 4_000_000, 2_000_000
 #: Pairs of occurrences in a group beyond which its distinct ids are paired instead.
 LARGE_GROUP = 100_000
 #: White space but the space itself, as Unicode has it.
 WHITE = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0                　"
+#: How byte-level BPE cuts texts before it merges: a fixed value.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -53,6 +56,20 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def plain_encoder(settings: dict, spelled: list[bytes]):
+    """The same BPE with its ids as ranks, which is faster; None if ids don't ascend with merges, or texts are cut or changed otherwise than by the usual pattern."""
+    import tiktoken
+
+    model, before = settings["model"], settings["pre_tokenizer"] or {}
+    merged = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    usual = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and settings["normalizer"] is None and not model.get("ignore_merges")
+    special = {x["id"] for x in settings.get("added_tokens", [])}
+    ranks = {raw: i for i, raw in enumerate(spelled) if i not in special}
+    if not usual or merged != sorted(merged) or max(ranks.get(bytes([b]), 1 << 30) for b in range(256)) >= min(merged):
+        return None
+    return tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class Tokenizers:
     """Both tokenizers in a worker, and each id's bytes."""
 
@@ -68,36 +85,39 @@ class Tokenizers:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         letters = byte_letters()
-        vocabulary = json.loads(a_json)["model"]["vocab"]
+        settings = json.loads(a_json)
+        vocabulary = settings["model"]["vocab"]
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for entry, i in vocabulary.items():
             self.a_bytes[i] = bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode()
+        self.a_plain = plain_encoder(settings, self.a_bytes)
         ids = range(self.b.get_piece_size())
         self.b_bytes = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace(pieces.SPACE, " ").encode() for i in ids]
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in some], np.int64) for some in (self.a_bytes, self.b_bytes))
+        # ids as text, with what may follow them: another of the same side, and the end of the side in its group
+        self.said = [f"{i}{c}" for some, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for c in ends for i in range(len(some))]
 
 
 class Aligner:
     """Encodes and aligns units; remembers those seen lately.
 
-    A unit's entry: its groups as text, tokens of each side, groups, links, and the keys (first id << 32 | second id) and multiplicities of
-    its pairs as bytes; or None if the tokens don't spell it."""
+    A unit's entry: its groups as text, then as bytes of integers: tokens of each side, groups and links; the keys (first id << 32 | second id) of
+    its pairs; their multiplicities, nothing if all are 1. Or None if the tokens don't spell the unit."""
 
     def __init__(self, tokenizers: Tokenizers):
         self.t, self.young, self.old = tokenizers, {}, {}
 
     def entries(self, wanted: list[str]) -> list[tuple | None]:
         young, old, new = self.young, self.old, []
-        found = []
-        for u in wanted:
-            e = young.get(u, 0)
+        found = [young.get(u, 0) for u in wanted]
+        for k, e in enumerate(found):
             if e == 0:
+                u = wanted[k]
                 e = old.get(u, 0)
                 if e == 0:
                     new.append(u)
                 else:
-                    young[u] = e
-            found.append(e)
+                    found[k] = young[u] = e
         fresh = {}
         lo = size = 0
         for k, u in enumerate(new):  # so many units at a time that their arrays stay small
@@ -113,6 +133,33 @@ class Aligner:
         return found
 
     def aligned(self, some: list[str]) -> dict[str, tuple | None]:
+        """Units that begin and end without white space are encoded by the first tokenizer in one go, as no token crosses the space between them."""
+        plain = [u for u in some if not u[0].isspace() and not u[-1].isspace()]
+        odd = [u for u in some if u[0].isspace() or u[-1].isspace()]
+        out = self._together(plain) if plain else {}
+        return out | self._apart(odd) if odd else out
+
+    def _together(self, some: list[str]) -> dict[str, tuple | None]:
+        import numpy as np
+
+        t = self.t
+        spelled = [(" " + u).encode("utf-8", "replace") for u in some]
+        text = " " + " ".join(some)
+        a = t.a_plain(text) if t.a_plain else t.a.encode(text, add_special_tokens=False).ids
+        b = t.b.encode(some, num_threads=1)
+        whole = b"".join(spelled)
+        b_flat = [i for x in b for i in x]
+        if b"".join([t.a_bytes[i] for i in a]) != whole or b"".join([t.b_bytes[i] for i in b_flat]) != whole:
+            return self._apart(some)
+        a, b_flat = np.array(a, np.int64), np.array(b_flat, np.int64)
+        a_end, b_end = np.cumsum(t.a_sizes[a]), np.cumsum(t.b_sizes[b_flat])
+        unit_end = np.cumsum([len(x) for x in spelled])
+        at = np.searchsorted(a_end, unit_end)
+        if (a_end[at] != unit_end).any() or (b_end[np.cumsum([len(x) for x in b]) - 1] != unit_end).any():
+            return self._apart(some)
+        return dict(zip(some, self._entries(a, b_flat, a_end, b_end, unit_end), strict=True))
+
+    def _apart(self, some: list[str]) -> dict[str, tuple | None]:
         import numpy as np
 
         t, out = self.t, dict.fromkeys(some)
@@ -120,12 +167,17 @@ class Aligner:
         a_ids = [e.ids for e in t.a.encode_batch_fast([" " + u for u in some], add_special_tokens=False)]
         b_ids = t.b.encode(some, num_threads=1)
         sound = [k for k, (s, a, b) in enumerate(zip(spelled, a_ids, b_ids, strict=True)) if b"".join([t.a_bytes[i] for i in a]) == s and b"".join([t.b_bytes[i] for i in b]) == s]
-        if not sound:
-            return out
-        a_ids, b_ids = [a_ids[k] for k in sound], [b_ids[k] for k in sound]
-        a, b = (np.array([i for x in ids for i in x], np.int64) for ids in (a_ids, b_ids))
-        a_end, b_end = np.cumsum(t.a_sizes[a]), np.cumsum(t.b_sizes[b])
-        unit_end = np.cumsum([len(spelled[k]) for k in sound])
+        if sound:
+            a, b = (np.array([i for k in sound for i in ids[k]], np.int64) for ids in (a_ids, b_ids))
+            unit_end = np.cumsum([len(spelled[k]) for k in sound])
+            out.update(zip((some[k] for k in sound), self._entries(a, b, np.cumsum(t.a_sizes[a]), np.cumsum(t.b_sizes[b]), unit_end), strict=True))
+        return out
+
+    def _entries(self, a, b, a_end, b_end, unit_end) -> list[tuple]:
+        """Entries of units that follow each other, from the ids and ends of their tokens."""
+        import numpy as np
+
+        t, n = self.t, len(unit_end)
         ends = np.intersect1d(a_end, b_end)
         a_group, b_group = np.searchsorted(ends, a_end), np.searchsorted(ends, b_end)
         n_a, n_b = np.bincount(a_group, minlength=len(ends)), np.bincount(b_group, minlength=len(ends))
@@ -134,36 +186,35 @@ class Aligner:
         first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
         # pairs of small groups, occurrence by occurrence
         many = np.where(links <= LARGE_GROUP, n_b, 0)[a_group]
-        start = np.cumsum(many) - many
         left = np.repeat(np.arange(len(a)), many)
-        right = np.arange(len(left)) - np.repeat(start - first_b[a_group], many)
-        keys, mults, owner = a[left] << 32 | b[right], np.ones(len(left), np.int64), group_unit[a_group[left]]
-        for g in np.nonzero(links > LARGE_GROUP)[0].tolist():
-            (x, nx), (y, ny) = (np.unique(ids[f : f + n], return_counts=True) for ids, f, n in ((a, first_a[g], n_a[g]), (b, first_b[g], n_b[g])))
-            keys = np.concatenate([keys, (x[:, None] << 32 | y).ravel()])
-            mults = np.concatenate([mults, (nx[:, None] * ny).ravel()])
-            owner = np.concatenate([owner, np.full(len(x) * len(y), group_unit[g])])
-        if len(owner) > len(left):
+        right = np.arange(len(left)) - np.repeat(np.cumsum(many) - many - first_b[a_group], many)
+        keys, owner, mults = a[left] << 32 | b[right], group_unit[a_group[left]], None
+        if (large := np.nonzero(links > LARGE_GROUP)[0].tolist()):
+            mults = np.ones(len(keys), np.int64)
+            for g in large:
+                (x, nx), (y, ny) = (np.unique(ids[f : f + m], return_counts=True) for ids, f, m in ((a, first_a[g], n_a[g]), (b, first_b[g], n_b[g])))
+                keys = np.concatenate([keys, (x[:, None] << 32 | y).ravel()])
+                mults = np.concatenate([mults, (nx[:, None] * ny).ravel()])
+                owner = np.concatenate([owner, np.full(len(x) * len(y), group_unit[g])])
             order = np.argsort(owner, kind="stable")
-            keys, mults, owner = keys[order], mults[order], owner[order]
-        pair_at = (8 * np.searchsorted(owner, np.arange(len(sound) + 1))).tolist()
-        group_at = np.searchsorted(group_unit, np.arange(len(sound) + 1)).tolist()
-        links_at = [0, *np.cumsum(links).tolist()]
-        keys, mults = keys.astype("<i8").tobytes(), mults.astype("<i8").tobytes()
-        n_a, n_b = n_a.tolist(), n_b.tolist()
-        for j, k in enumerate(sound):
-            x, y = a_ids[j], b_ids[j]
-            lo, hi = group_at[j], group_at[j + 1]
-            if hi - lo == 1:
-                text = ",".join(map(str, x)) + "|" + ",".join(map(str, y))
-            else:
-                parts, i, m = [], 0, 0
-                for g in range(lo, hi):
-                    parts.append(",".join(map(str, x[i : i + n_a[g]])) + "|" + ",".join(map(str, y[m : m + n_b[g]])))
-                    i, m = i + n_a[g], m + n_b[g]
-                text = ";".join(parts)
-            out[some[k]] = (text, len(x), len(y), hi - lo, links_at[hi] - links_at[lo], keys[pair_at[j] : pair_at[j + 1]], mults[pair_at[j] : pair_at[j + 1]])
-        return out
+            keys, mults, owner = keys[order], mults[order].astype("<i8").tobytes(), owner[order]
+        pair_at = (8 * np.searchsorted(owner, np.arange(n + 1))).tolist()
+        group_at = np.searchsorted(group_unit, np.arange(n + 1))
+        summed = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[group_at])
+        sizes = [summed(x) for x in (n_a, n_b, np.ones(len(ends), np.int64), links)]
+        stats = np.stack(sizes, 1).astype("<i8").tobytes()
+        # ids in the order they are told in: a group's first side, then its second
+        code = np.empty(len(a) + len(b), np.int64)
+        wide_a, wide_b = len(t.a_bytes), len(t.b_bytes)
+        code[np.arange(len(a)) + first_b[a_group]] = a + wide_a * (np.arange(len(a)) == (first_a + n_a - 1)[a_group])
+        code[np.arange(len(b)) + (first_a + n_a)[b_group]] = b + 2 * wide_a + wide_b * (np.arange(len(b)) == (first_b + n_b - 1)[b_group])
+        words = list(map(t.said.__getitem__, code.tolist()))
+        word_at = [0, *np.cumsum(sizes[0] + sizes[1]).tolist()]
+        raw = keys.astype("<i8").tobytes()
+        return [
+            ("".join(words[lo:hi])[:-1], stats[32 * k : 32 * k + 32], raw[p:q], b"" if mults is None else mults[p:q])
+            for k, (lo, hi, p, q) in enumerate(zip(word_at, word_at[1:], pair_at, pair_at[1:], strict=False))
+        ]
 
 
 class _Numbered(dict):
@@ -190,13 +241,18 @@ def chunk_of(aligner: Aligner, texts: list[str | None]):
                 cut[d] = [] if whole is None else [len(entries)]
                 if whole is not None:
                     entries.append(whole)
-    entries = [e or ("", 0, 0, 0, 0, b"", b"") for e in entries]
-    stats = np.array([e[1:5] for e in entries], np.int64).reshape(-1, 4)
+    entries = [e or ("", bytes(32), b"", b"") for e in entries]
+    stats = np.frombuffer(b"".join([e[1] for e in entries]), "<i8").reshape(-1, 4)
     said = [e[0] for e in entries]
-    sizes = np.array([len(e[5]) // 8 for e in entries], np.int64)
-    keys, mults = (np.frombuffer(b"".join([e[k] for e in entries]), "<i8") for k in (5, 6))
+    sizes = np.array([len(e[2]) // 8 for e in entries], np.int64)
+    keys = np.frombuffer(b"".join([e[2] for e in entries]), "<i8")
+    mults = np.ones(len(keys), np.int64)
+    for k, e in enumerate(entries):
+        if e[3]:
+            at = int(sizes[:k].sum())
+            mults[at : at + sizes[k]] = np.frombuffer(e[3], "<i8")
     docs = []
-    flat = np.array([w for words in cut for w in words], np.int64)
+    flat = np.fromiter(itertools.chain.from_iterable(cut), np.int64)
     lengths = np.array([len(words) for words in cut], np.int64)
     at = 0
     for words in cut:
@@ -256,22 +312,27 @@ def encoded(docs: DataFrame, a_path: str = A_MODEL, b_path: str = B_MODEL, text:
     held = spark.sparkContext.broadcast((Path(a_path).read_text(encoding="utf-8"), Path(b_path).read_bytes()))
 
     def run(batches):
+        import gc
         import hashlib
 
         import pyarrow as pa
         from pyspark import TaskContext
 
+        gc.disable()  # what is remembered has no cycles, and looking for some takes a fifth of the time
         aligner, chunk = Aligner(Tokenizers(*held.value)), TaskContext.get().partitionId() << 33
         schema = pa.schema([("chunk", pa.int64()), ("at", pa.int32()), ("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), ("groups", pa.string()), ("postings", pa.binary())])
-        for batch in (part for whole in batches for part in pieces.slices(whole, 1)):
-            done, postings = chunk_of(aligner, batch.column(1).to_pylist())
-            n = len(done)
-            said = [hashlib.sha256(x[4].encode()).hexdigest() if x[4] and digest else x[4] for x in done]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([chunk] * (n + 1), pa.int64()), pa.array([*range(n), -1], pa.int32()), pa.array([*batch.column(0).to_pylist(), None], pa.int64()),
-                *(pa.array([*(x[k] for x in done), None], pa.int64()) for k in range(4)), pa.array([*said, None], pa.string()), pa.array([None] * n + [packed(*postings)], pa.binary()),
-            ], schema=schema)
-            chunk += 1
+        try:
+            for batch in (part for whole in batches for part in pieces.slices(whole, 1)):
+                done, postings = chunk_of(aligner, batch.column(1).to_pylist())
+                n = len(done)
+                said = [hashlib.sha256(x[4].encode()).hexdigest() if x[4] and digest else x[4] for x in done]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([chunk] * (n + 1), pa.int64()), pa.array([*range(n), -1], pa.int32()), pa.array([*batch.column(0).to_pylist(), None], pa.int64()),
+                    *(pa.array([*(x[k] for x in done), None], pa.int64()) for k in range(4)), pa.array([*said, None], pa.string()), pa.array([None] * n + [packed(*postings)], pa.binary()),
+                ], schema=schema)
+                chunk += 1
+        finally:
+            gc.enable()
 
     return docs.select(F.col(doc).cast("long"), F.col(text)).mapInArrow(run, ENCODED)
 
@@ -319,6 +380,8 @@ def contributions(held: DataFrame, counts: DataFrame, buckets: int, slices: list
     """chunk, at, n_best, count_sum: each bucket's shares of documents. ``slices``: into how many parts each bucket's chunks are dealt."""
 
     def dealt(batches):
+        import zlib
+
         import numpy as np
         import pyarrow as pa
 
@@ -330,7 +393,7 @@ def contributions(held: DataFrame, counts: DataFrame, buckets: int, slices: list
                 rows = []
                 for b in np.unique(to).tolist():
                     some, theirs = to == b, posted == b
-                    rows.append((b, (chunk * 2654435761 % (1 << 32)) * slices[b] >> 32, chunk, packed(keys[some], each[some], docs[theirs], mults[theirs])))
+                    rows.append((b, zlib.crc32(chunk.to_bytes(8, "little")) * slices[b] >> 32, chunk, packed(keys[some], each[some], docs[theirs], mults[theirs])))
                 if rows:
                     cols = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], names=["bucket", "slice", "chunk", "postings"])
