@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from radarframe.operators import resampling
+from radarframe.functions import phase
+from radarframe.operators import resampling, unwrapping
 from radarframe.plans.catalogue import query, table
 from radarframe.plans.dense import _sinc_weights
 from radarframe.plans.pixels import PAIR, pairs
+from radarframe.plans.series import _written
 
 c = F.col
 _R = F.round
@@ -47,3 +49,24 @@ def deramped_resample(spark, sf_dir):
     whole = F.struct(F.lit(2).alias("col"), F.lit(3).alias("row"), F.lit(30).alias("w"), (c("last") - 2).cast("int").alias("h"))
     moved = resampling.warped(images, maps.join(F.broadcast(size)).withColumn("rectangle", whole), ["id"], ["re", "im"], tile=64)
     return moved.select("id", "row", "col", *(_R(v, 5).alias(v) for v in ("re", "im")))
+
+
+_SIDE = 24
+_VORTICES = "s_suppkey * 7 % 23 AS r1, s_suppkey * 11 % 23 AS c1, (s_suppkey * 5 + 3) % 23 AS r2, (s_suppkey * 3 + 8) % 23 AS c2"
+_WAY = "least({r} + 1, 23 - {r}, {c} + 1, 23 - {c})"
+
+
+@query(
+    f"""WITH v AS (SELECT s_suppkey AS id, {_VORTICES} FROM supplier)
+    SELECT id, least(abs(r1 - r2) + abs(c1 - c2), {_WAY.format(r='r1', c='c1')} + {_WAY.format(r='r2', c='c2')}) AS cost, CAST({_SIDE * _SIDE} AS BIGINT) AS pixels, CAST(0 AS BIGINT) AS off FROM v"""
+)
+def unwrap_residues(spark, sf_dir):
+    """Images with a residue of either sign, unwrapped as whole rasters: the turns that neighbours of the surface are off by are the way between the residues, or theirs to the border."""
+    v = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", *_VORTICES.split(", "))
+    cell = v.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(_SIDE - 1)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(_SIDE - 1))))
+    turn = lambda k: F.atan2(c("row") - c(f"r{k}") - 0.5, c("col") - c(f"c{k}") - 0.5)
+    done = unwrapping.unwrapped(cell.select("id", "row", "col", phase.wrap(turn(1) - turn(2)).alias("phi")), ["id"], _written)
+    off = lambda x: F.abs(F.rint(x / (2 * F.pi())))
+    jump = lambda axis, other: F.coalesce(off(c("unwrapped") - F.lag("unwrapped").over(w := Window.partitionBy("id", other).orderBy(axis)) - phase.wrap(c("phi") - F.lag("phi").over(w))), F.lit(0.0))
+    each = done.select("id", (jump("row", "col") + jump("col", "row")).alias("n"), (F.abs(phase.wrap(c("unwrapped") - c("phi"))) > 1e-6).alias("wrong"))
+    return each.groupBy("id").agg(F.sum("n").cast("long").alias("cost"), F.count("*").alias("pixels"), F.sum(c("wrong").cast("long")).alias("off"))
