@@ -7,8 +7,11 @@ a template wherever it stands outside the main part. A slot that recurs is one t
 the pages' text: slots that hold on average ``MAIN`` of a page's own text are main parts, nothing inside the innermost of
 them is deleted for its slot, and slots with over ``MINOR`` of a page's text are never deleted.
 
-Tags, roles and class names that say that an element is a menu, a notice, an advert and the like are a second opinion: such
-elements are deleted too, and where a page marks its article or main part, the text is taken from there. Inside an article
+Tags, roles and class names that say that an element is a menu, a form, a notice, an advert and the like are a second opinion. A class
+says so if all its parts do or are neutral (``site-footer``, but not ``related-work``). Where a page marks its article or main part, the text is taken from there;
+of several such parts, from those with the fewest of these elements around them, and those elements then stay, as does the part itself whatever its own
+class says. Otherwise marked elements are deleted, as long as they leave ``MINOR`` of the text they stand in: of those that don't, the largest is
+opened, and the marked elements in it are looked at instead. So a form around the page or a class on its article deletes nothing. Inside an article
 only link lists and bare containers recur as templates: its own paragraphs and headings stay, however often they are repeated.
 ``marks=False`` leaves that opinion out.
 
@@ -21,6 +24,7 @@ Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import heapq
 import re
 
 from pyspark.sql import DataFrame
@@ -46,16 +50,20 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup"
     " hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED = frozenset(
-    "head script style noscript template iframe noframes svg math canvas object nav menu header footer aside form button select option textarea input label"
-    " dialog audio video search title xmp".split()
-)
+#: Never text, and what says of itself that it isn't the article.
+DROPPED = frozenset("head script style noscript template iframe noframes svg math canvas object button select option textarea input label audio video title xmp".split())
+ASIDE = frozenset("nav menu header footer aside form dialog search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 CLASSES = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe"
     " subscription signup sidebar aside menu nav navbar navigation breadcrumb breadcrumbs header footer masthead comment comments disqus replies related share sharing social"
     " widget login toolbar pagination pager skip recommended recommendations trending".split()
 )
+#: What a class may say beside those and still mean them.
+NEUTRAL = frozenset(
+    "area bar bottom box block bottom col column container content fixed global inline inner item items js left link links list main message outer page panel primary region right row"
+    " secondary section site slot small sticky top unit wrap wrapper zone".split()
+)
 #: What an open element's end is implied by, and the elements that it can't be ended across.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -67,20 +75,25 @@ TOUCHED = frozenset().union(*(m | c for m, c in FAMILIES.values()))
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
 #: Blocks that hold other blocks: what a slot can be deleted as, besides lists of links.
 CONTAINERS = BLOCKS - PROSE - frozenset("html body li dt dd dl tr td th tbody thead tfoot figcaption figure legend hr summary".split())
-#: Their tags alone mark these, so they are plain blocks where marks are left out.
-MARKED = frozenset("nav menu header footer aside".split())
 NO_DIGITS = str.maketrans("", "", "0123456789")
 #: The sets of hashes that a host has, and in how many parts they are gathered first.
 ROLES_OF, DEAL = ("contents", "minor", "main"), 64
 
 
 class Node:
-    __slots__ = ("tag", "label", "dropped", "content", "main", "inside", "parent", "open", "digest", "slot", "links", "size", "prose")
+    __slots__ = ("tag", "label", "dropped", "marked", "content", "main", "inside", "parent", "above", "over", "top", "hid", "open", "digest", "slot", "links", "size", "prose")
 
-    def __init__(self, tag: str, label: str, parent: Node | None, dropped: bool, main: bool):
-        self.tag, self.label, self.parent, self.dropped, self.main = tag, label, parent, dropped, main
-        self.inside = parent is not None and (parent.inside or parent.main)
+    def __init__(self, tag: str, label: str, parent: Node | None, dropped: bool, marked: bool, main: bool):
+        self.tag, self.label, self.parent, self.dropped, self.marked, self.main = tag, label, parent, dropped, marked, main
+        self.inside = False
         self.content: list[Node | str] = []
+        # marked elements at or above it, the nearest one above, the outermost main part above, and whether it is in something that is no text
+        self.above, self.over, self.top, self.hid = int(marked), None, None, False
+        if parent is not None:
+            self.above += parent.above
+            self.over = parent if parent.marked else parent.over
+            self.top = parent.top or (parent if parent.main else None)
+            self.hid = parent.hid or parent.dropped
         # the nearest open element of each family this side of its scope
         self.open: dict[str, Node] = parent.open if parent is not None else {}
         if tag in TOUCHED:
@@ -88,25 +101,84 @@ class Node:
             self.open |= {f: self for f, (members, _) in FAMILIES.items() if tag in members}
 
 
-def read_marks(tag: str, attributes: str, marks: bool = True) -> tuple[str, bool, bool]:
-    """An element's label (tag, class and id, without digits), whether it is dropped, and whether it holds the page's main part."""
-    dropped, main, label = tag in DROPPED and (marks or tag not in MARKED), marks and tag in ("article", "main"), tag
+def says_aside(token: str) -> bool:
+    """Whether a class or id says that its element isn't the article."""
+    parts = {x for x in re.split("[^a-z]+", token) if x}
+    return not CLASSES.isdisjoint(parts) and parts <= CLASSES | NEUTRAL
+
+
+def read_marks(tag: str, attributes: str, marks: bool = True) -> tuple[str, bool, bool, bool]:
+    """An element's label (tag, class and id, without digits), whether it is no text, whether it says that it isn't the article, and whether that it is the page's main part."""
+    dropped, marked, main, label = tag in DROPPED or not marks and tag in ("form", "dialog", "search"), marks and tag in ASIDE, marks and tag in ("article", "main"), tag
     if attributes and attributes.strip(" /"):
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name in ("class", "id") and tag not in ("body", "html"):
                 tokens = value.split()
                 label += "." + " ".join(sorted({t.translate(NO_DIGITS) for t in tokens}))
-                for token in tokens if marks else ():
-                    parts = re.split("[^a-z0-9]+", token)
-                    if not CLASSES.isdisjoint(parts) and CLASSES & {parts[0], parts[-1]}:
-                        dropped = True
+                marked |= marks and any(map(says_aside, tokens))
             elif name == "role" and marks:
-                dropped |= value in ROLES
+                marked |= value in ROLES
                 main |= value == "main"
             elif name == "hidden" or name == "aria-hidden" and value == "true":
                 dropped = True
-    return label, dropped, main and not dropped
+    return label, dropped, marked, main and not dropped
+
+
+def own_text(top: Node) -> dict[int, int]:
+    """Letters outside links of the elements in and under ``top``, without those of elements that are no text."""
+    order, stack, sizes = [], [top], {}
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [x for x in node.content if isinstance(x, Node)]
+    for node in reversed(order):
+        sizes[id(node)] = 0 if node.tag == "a" or node.dropped else sum([len(x.strip()) if isinstance(x, str) else sizes[id(x)] for x in node.content])
+    return sizes
+
+
+def settle(root: Node, mains: list[Node], marked: list[Node]) -> None:
+    """Decides which of a page's main parts count and which of its marked elements are deleted; see the module's text."""
+    outer = [x for x in mains if x.top is None and not x.hid]
+    fewest = min((x.above for x in outer), default=0)
+    kept = [x for x in outer if x.above == fewest]
+    for x in mains:
+        x.main = False
+    open_: set[int] = set()  # not deleted, as they are kept parts or around one
+    for x in kept:
+        x.main = True
+        node = x
+        while node is not None and id(node) not in open_:
+            open_.add(id(node))
+            node = node.parent
+    first: dict[int, list[Node]] = {}  # by region: its outermost marked elements
+    under: dict[int, list[Node]] = {}  # by marked element: the next ones in it
+    tops = {id(x): x for x in kept or [root]}
+    for x in marked:
+        if x.hid or id(x) in open_:
+            continue
+        if x.over is not None and id(x.over) not in open_:
+            under.setdefault(id(x.over), []).append(x)
+        elif kept and not (x.top is not None and x.top.main):
+            x.dropped = True  # outside the kept parts they need leave nothing
+        else:
+            first.setdefault(id(x.top if kept else root), []).append(x)
+    for key, some in first.items():
+        sizes = own_text(tops[key])
+        whole = sizes[key]
+        # the largest first; every element is opened once at most
+        heap = [(-sizes[id(x)], k, x) for k, x in enumerate(some)]
+        heapq.heapify(heap)
+        left, number = whole + sum(s for s, _, _ in heap), len(heap)
+        while heap and left < MINOR * whole:
+            size, _, x = heapq.heappop(heap)
+            left -= size
+            for y in under.get(id(x), ()):
+                number += 1
+                heapq.heappush(heap, (-sizes[id(y)], number, y))
+                left -= sizes[id(y)]
+        for _, _, x in heap:
+            x.dropped = True
 
 
 def tree(source: str, marks: bool = True) -> Node:
@@ -114,7 +186,9 @@ def tree(source: str, marks: bool = True) -> Node:
     from collections import Counter
     from html import unescape
 
-    root = here = Node("", "", None, False, False)
+    root = here = Node("", "", None, False, False, False)
+    mains: list[Node] = []
+    marked_ones: list[Node] = []
     standing: Counter[str] = Counter()  # open elements by tag, so that stray end tags needn't look for theirs
 
     def ended(node: Node) -> Node:
@@ -132,6 +206,7 @@ def tree(source: str, marks: bool = True) -> Node:
         if text:
             here.content.append(unescape(text))
         if not m:
+            settle(root, mains, marked_ones)
             return root
         at = m.end()
         if m[2] is None:
@@ -148,9 +223,13 @@ def tree(source: str, marks: bool = True) -> Node:
             here = ended(here.open["p"])
         if tag in CLOSED_BY and tag in here.open:
             here = ended(here.open[tag])
-        label, dropped, main = read_marks(tag, m[3], marks)
-        node = Node(tag, label, here, dropped, main)
+        label, dropped, marked, main = read_marks(tag, m[3], marks)
+        node = Node(tag, label, here, dropped, marked, main)
         here.content.append(node)
+        if main:
+            mains.append(node)
+        if marked:
+            marked_ones.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I).search(source, at)
             at = end.end() if end else len(source)
@@ -173,6 +252,7 @@ def hashed(root: Node) -> list[Node]:
     while stack:
         node = stack.pop()
         order.append(node)
+        node.inside = node.parent is not None and (node.parent.inside or node.parent.main)
         stack += [x for x in node.content if isinstance(x, Node)]
     shapes: dict[int, tuple[int, ...]] = {}  # by element: the shapes that it gives its block
     for node in reversed(order):

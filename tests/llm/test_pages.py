@@ -183,3 +183,27 @@ def test_large_pages_share_no_file_with_many(spark, tmp_path, monkeypatch):
     assert sorted(r.page_id for r in got) == list(range(30))
     files = [p for p in (tmp_path / "w").iterdir() if p.name.startswith("part-") and p.stat().st_size]
     assert len(files) >= 1 + 5 + 10
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<form><article><p>kept?</p></article></form>", "kept?"), ('<article class="social-science"><p>kept</p></article>', "kept"), ('<article id="menu"><p>kept</p></article>', "kept"),
+        ('<main><section class="header-story"><p>kept</p></section></main>', "kept"), ('<form id="aspnetForm"><div><p>All of the page</p></div><div class="ad">Buy</div></form>', "All of the page"),
+        ('<article><p>Text</p><section class="related-work"><p>Others did this</p></section><p class="share-price">It fell</p></article>', "Text\nOthers did this\nIt fell"),
+        ('<form><nav>Menu</nav><article><p>Own</p></article><section id="comments"><article class="comment"><p>Nice</p></article></section></form>', "Own"),
+        ('<article class="promo"><p>Buy</p></article><article><p>Own</p></article>', "Own"), ('<article class="menu"><p>One</p></article><article class="ad"><p>Two</p></article>', "One\nTwo"),
+        ('<div class="site-header">Site</div><div><p>A text that is long enough</p></div><div class="page-footer-links">End</div>', "A text that is long enough"),
+        ('<article><p>Short own text here</p><div class="comments"><p>' + "much longer reader comment " * 2 + "</p></div></article>", "Short own text here"),
+        ('<div role="main" class="ads"><p>kept</p></div>', "kept"), ('<div hidden><article>no</article></div><p>yes</p>', "yes"), ('<aside><p>All there is</p></aside>', "All there is"),
+    ],
+)
+def test_marks_lose_no_article(source, text):
+    assert htmltext.main_text(source) == text
+
+
+def test_many_marks_take_linear_time():
+    began = time.process_time()
+    assert htmltext.main_text("<div class=ad>" * 20_000 + "deep") == "deep"
+    htmltext.main_text("<div class=ad><p>x</p></div>" * 20_000)
+    assert time.process_time() - began < 20
