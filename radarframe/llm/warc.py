@@ -1,10 +1,9 @@
 """WARC archives, Zstandard-compressed record by record with a shared dictionary.
 
-Each file opens with a skippable frame that holds the dictionary, then has one frame a record. Spark's text
-sink writes the frames, so commits, retries and any Hadoop store work as for other tables: a line is a
-frame, and the line separator is an empty skippable frame, which readers of the format pass over. Records are
-archived by classes of their payload's size, and the fewer share a file the larger they may be (``CLASSES``), so a file has a
-bound in bytes, unless one record alone is larger, and a reader holds little at once.
+Each file opens with a skippable frame that holds the dictionary, then has one frame a record. Workers put records together
+to files of about ``FILE_BYTES`` of payload, or one record that is larger, and Spark's text sink writes each as a line of its
+own, so commits, retries and any Hadoop store work as for other tables: the line separator is an empty skippable
+frame, which readers of the format pass over. So a writer and a reader hold one file at a time, whatever the pages' sizes.
 
 Of records with equal payloads of at least ``LEAST_BYTES`` bytes, that with the smallest page_id is the
 response and the others are revisits. The dictionary is built from a bounded sample of whole records (``SAMPLE`` of them or
@@ -12,7 +11,7 @@ response and the others are revisits. The dictionary is built from a bounded sam
 
 Defined cases: a null html is empty; a null url gives no target; null page_ids never come first in their
 group unless all are null, in which case all are responses; repeated rows of the smallest page_id are
-all responses. A very long page is one record of a class of its own. An empty table writes an archive without records. Other
+all responses. A very long page ends its file. An empty table writes an archive without records. Other
 columns are not archived, whatever their names.
 """
 
@@ -26,8 +25,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LEAST_BYTES = 100
-#: Payload bytes below which records are of a class, and how many of that class share a file: half a gigabyte before compression.
-CLASSES = ((1 << 18, 2000), (1 << 24, 32), (1 << 40, 1))
+#: Payload in a file, before compression, beyond which another begins.
+FILE_BYTES = 16_000_000
 DICTIONARY_BYTES, SAMPLE, SAMPLE_BYTES = 65_536, 1500, 32_000_000
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
@@ -125,37 +124,32 @@ def write_archives(pages: DataFrame, path: str) -> None:
     """Archives of ``pages`` under ``path``."""
     common.small_batches(pages.sparkSession)
     raw = trained(pages)
-    typed = with_types(pages).select("page_id", "url", "html", "digest", "refers_to").withColumn("bytes", F.octet_length("html"))
-    sizes = F.octet_length(F.coalesce("html", F.lit("")))
-    kinds = [F.sum((sizes < most).cast("long")) for most, _ in CLASSES]
-    below = [n or 0 for n in pages.agg(*kinds).first()]
-    for k, (most, records) in enumerate(CLASSES):
-        least = CLASSES[k - 1][0] if k else 0
-        if k == 0 or below[k] > below[k - 1]:
-            _write_class(typed.where((F.col("bytes") >= least) & (F.col("bytes") < most)).drop("bytes"), path, raw, records)
+    typed = with_types(pages).select("page_id", "url", "html", "digest", "refers_to")
 
-
-def _write_class(typed: DataFrame, path: str, raw: bytes, records: int) -> None:
     def compress(batches):
         import pyarrow as pa
         import zstandard
 
         made = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(raw), write_content_size=True)
         opening = DICTIONARY_FRAME + len(raw).to_bytes(4, "little") + raw
-        count = 0
+        held, size = [opening], 0
+
+        def file():
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["frames"])
+
         for batch in batches:
-            out = []
             for page_id, url, html, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if count % (records + 1) == 0:  # the sink begins a file here
-                    out.append(opening)
-                    count += 1
                 payload = html.encode("utf-8", "surrogatepass")
-                out.append(made.compress(record(page_id, url, payload, digest, refers_to, refers_to is not None)))
-                count += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
-
-    lines = typed.mapInArrow(compress, "frame binary").select(F.col("frame").cast("string").alias("value"))
-    lines.write.mode("append").option("lineSep", SEPARATOR).option("maxRecordsPerFile", records + 1).option("compression", "none").text(path)
+                held.append(made.compress(record(page_id, url, payload, digest, refers_to, refers_to is not None)))
+                size += len(payload)
+                if size > FILE_BYTES:
+                    yield file()
+                    held, size = [opening], 0
+        if len(held) > 1:
+            yield file()
+
+    lines = typed.mapInArrow(compress, "frames binary").select(F.col("frames").cast("string").alias("value"))
+    lines.write.mode("append").option("lineSep", SEPARATOR).option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

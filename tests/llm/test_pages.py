@@ -176,13 +176,16 @@ def test_samples_are_of_rows_and_bounded(spark, monkeypatch):
 
 
 def test_large_pages_share_no_file_with_many(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(warc, "CLASSES", ((1000, 2000), (4000, 2), (1 << 40, 1)))
+    """No file holds more than the bound and one record, whatever sizes follow each other in a task."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 10_000)
     pages = spark.range(30).selectExpr("id as page_id", "'http://a.b/' as url", "repeat(cast(id as string), cast(case when id < 10 then 50 when id < 20 then 1000 else 9000 end as int)) as html").coalesce(1)
     warc.write_archives(pages, f"file://{tmp_path}/w")
     got = warc.read_archives(spark, f"file://{tmp_path}/w").collect()
     assert sorted(r.page_id for r in got) == list(range(30))
+    held = {r.page_id: r.payload_bytes for r in got}
     files = [p for p in (tmp_path / "w").iterdir() if p.name.startswith("part-") and p.stat().st_size]
-    assert len(files) >= 1 + 5 + 10
+    each = [[r.page_id for r in warc.read_archives(spark, f"file://{p}").collect()] for p in files]
+    assert len(files) >= 10 and all(sum(held[k] for k in ids[:-1]) <= 10_000 for ids in each)
 
 
 @pytest.mark.parametrize(
@@ -207,3 +210,15 @@ def test_many_marks_take_linear_time():
     assert htmltext.main_text("<div class=ad>" * 20_000 + "deep") == "deep"
     htmltext.main_text("<div class=ad><p>x</p></div>" * 20_000)
     assert time.process_time() - began < 20
+
+
+def test_archive_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    rows = [(k, None, f"{k} " * (500 if k != 40 else 30_000)) for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    warc.write_archives(pages, f"file://{tmp_path}/w")
+    files = [p.read_bytes() for p in (tmp_path / "w").iterdir() if p.name.startswith("part-")]
+    sizes = [sum(m == 0xFD2FB528 for m, _ in warc.frames(d)) for d in files]
+    assert sum(sizes) == 60 and max(sizes) <= 21 and len(files) >= 4
+    assert all(d.startswith(warc.DICTIONARY_FRAME) for d in files if d)
+    assert warc.read_archives(spark, f"file://{tmp_path}/w").count() == 60
