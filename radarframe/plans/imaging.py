@@ -10,7 +10,8 @@ from radarframe.operators import resampling, unwrapping
 from radarframe.plans.catalogue import query, table
 from radarframe.plans.dense import _sinc_weights
 from radarframe.plans.pixels import PAIR, pairs
-from radarframe.plans.series import _written
+from radarframe.plans.series import _written, shared_folder
+from radarframe.sources import hdf5
 
 c = F.col
 _R = F.round
@@ -70,3 +71,28 @@ def unwrap_residues(spark, sf_dir):
     jump = lambda axis, other: F.coalesce(off(c("unwrapped") - F.lag("unwrapped").over(w := Window.partitionBy("id", other).orderBy(axis)) - phase.wrap(c("phi") - F.lag("phi").over(w))), F.lit(0.0))
     each = done.select("id", (jump("row", "col") + jump("col", "row")).alias("n"), (F.abs(phase.wrap(c("unwrapped") - c("phi"))) > 1e-6).alias("wrong"))
     return each.groupBy("id").agg(F.sum("n").cast("long").alias("cost"), F.count("*").alias("pixels"), F.sum(c("wrong").cast("long")).alias("off"))
+
+
+def _hdf5_files(spark, sf_dir) -> str:
+    """The first image of each pair as complex rasters of 64 lines, a file each."""
+    images = pairs(spark, sf_dir).select((c("row") / 64).cast("long").alias("id"), (c("row") % 64).alias("row"), "col", "r1", "i1")
+    made = hdf5.files(images, "science/swaths/HH", ("r1", "i1"), ["id"], (16, 8))
+    folder = shared_folder(spark, "hdf5")
+    hdf5.save(made.select(c("id").cast("string").alias("name"), "content"), folder)
+    return folder
+
+
+def _of_files(read):
+    return read.select(F.regexp_extract("path", "([0-9]+)[.]h5$", 1).cast("long").alias("id"), "row", "col", *(_R(v, 6).alias(v) for v in ("re", "im")))
+
+
+@query(f"WITH {PAIR} SELECT row // 64 AS id, row % 64 AS row, col, round(r1, 6) AS re, round(i1, 6) AS im FROM pair")
+def hdf5_round_trip(spark, sf_dir):
+    """Complex rasters written as chunked, deflated files and read back whole."""
+    return _of_files(hdf5.pixels(spark, _hdf5_files(spark, sf_dir), "science/swaths/HH"))
+
+
+@query(f"WITH {PAIR} SELECT row // 64 AS id, row % 64 AS row, col, round(r1, 6) AS re, round(i1, 6) AS im FROM pair WHERE row % 64 BETWEEN 10 AND 49 AND col BETWEEN 5 AND 24")
+def hdf5_window(spark, sf_dir):
+    """A window of every file, of whose chunks only those that meet it are read."""
+    return _of_files(hdf5.pixels(spark, _hdf5_files(spark, sf_dir), "science/swaths/HH", (5, 10, 20, 40)))

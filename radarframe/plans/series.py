@@ -166,18 +166,22 @@ def connected_components(spark, sf_dir):
     return network.components(v, e, _written)
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again."""
+def shared_folder(spark, name: str) -> str:
+    """A new path in the folder that driver and executors share; under a local master without one, in a temporary folder."""
     import tempfile
     import uuid
 
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.gettempdir()
-    path = f"{base}/radarframe/labels-{uuid.uuid4().hex}"
+    return f"{base}/radarframe/{name}-{uuid.uuid4().hex}"
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, "labels")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
