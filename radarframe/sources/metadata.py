@@ -74,7 +74,7 @@ def orbit_states(texts: DataFrame, start: float | None = None, end: float | None
 
 
 def _states(orbits: str) -> Column:
-    return F.transform(orbits, lambda s: F.struct(seconds(s["time"]).alias("time"), s["position"].alias("position"), s["velocity"].alias("velocity")))
+    return F.transform(orbits, lambda s: F.named_struct(F.lit("time"), seconds(s["time"]), F.lit("position"), s["position"], F.lit("velocity"), s["velocity"]))
 
 
 #: Offsets of the absolute orbit number, by satellite, and the orbits of a cycle. Fixed values.
@@ -198,7 +198,7 @@ def terrasar(texts: DataFrame) -> DataFrame:
     )
     c, raster, scene, spacing = F.col, "productInfo.imageDataInfo.imageRaster", "productInfo.sceneInfo", "productSpecific.complexImageInfo"
     xyz = lambda s, kind: F.struct(*(s[f"{kind}{k}"].alias(k.lower()) for k in "XYZ"))
-    states = F.transform("platform.orbit.stateVec", lambda s: F.struct(seconds(s["timeUTC"]).alias("time"), xyz(s, "pos").alias("position"), xyz(s, "vel").alias("velocity")))
+    states = F.transform("platform.orbit.stateVec", lambda s: F.named_struct(F.lit("time"), seconds(s["timeUTC"]), F.lit("position"), xyz(s, "pos"), F.lit("velocity"), xyz(s, "vel")))
     return _xml(texts, schema).select(
         "path", c("generalHeader.mission").alias("mission_id"), c(f"{raster}.numberOfRows").alias("height"), c(f"{raster}.numberOfColumns").alias("width"), seconds(c(f"{scene}.start.timeUTC")).alias("image_start"),
         c(f"{scene}.rangeTime.firstPixel").alias("slant_range_time"), c(f"{raster}.columnSpacing._VALUE").alias("azimuth_time_interval"), c(f"{raster}.rowSpacing._VALUE").alias("range_time_interval"),
@@ -235,7 +235,7 @@ def capella(texts: DataFrame) -> DataFrame:
     start = nanoseconds(c("start_timestamp"))
     day = F.floor(start / 86_400_000_000_000) * 86_400_000_000_000
     since = lambda stamp: (nanoseconds(stamp) - day) / 1e9
-    states = F.transform("state.state_vectors", lambda s: F.struct(since(s["time"]).alias("time"), s["position"].alias("position"), s["velocity"].alias("velocity")))
+    states = F.transform("state.state_vectors", lambda s: F.named_struct(F.lit("time"), since(s["time"]), F.lit("position"), s["position"], F.lit("velocity"), s["velocity"]))
     return m.select(
         "path", "product_type", start.alias("start_ns"), nanoseconds(c("stop_timestamp")).alias("stop_ns"), c("image.rows").alias("height"), c("image.columns").alias("width"), c("image.center_pixel.incidence_angle").alias("incidence"),
         c("image.pixel_spacing_column").alias("pixel_spacing_column"), c("image.pixel_spacing_row").alias("pixel_spacing_row"), c("image.range_resolution").alias("range_resolution"), c("image.azimuth_resolution").alias("azimuth_resolution"),
