@@ -76,38 +76,53 @@ def top(df: DataFrame, value: str, n: int) -> DataFrame:
     return df.orderBy(F.desc_nulls_last(value), "row", "col").limit(n)
 
 
-def percentiles(df: DataFrame, value: str, shares: list[float], bins: int = 4096) -> list[float | None]:
+#: Values that may be sorted together in the last step of an exact percentile.
+FEW_VALUES = 100_000
+
+
+def percentiles(df: DataFrame, value: str, shares: list[float], bins: int = 10_000) -> list[float | None]:
     """Exact percentiles with linear interpolation, however many values there are.
 
-    Values are counted in sampled ranges; only the ranges that hold the wanted ranks are sorted, each by itself. What reaches the
-    driver is a row a range and two values a share.
+    Approximate percentiles on either side bound each wanted rank; what lies below is counted by plain comparisons, and bounds are narrowed among the values
+    between them until those are few, or one value repeated, and are sorted. What reaches the driver is a row a step and two values a share.
     """
     own = df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    cuts = own.agg(F.percentile_approx("v", [k / bins for k in range(1, bins)], 2 * bins)).first()[0]
-    if not cuts:
+    near = lambda p: [min(1.0, max(0.0, p + d / bins)) for d in (-2, 2)]
+    first = own.agg(F.count("*").alias("n"), F.percentile_approx("v", [x for p in shares for x in near(p)], bins).alias("q"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    total = first["n"]
+    if not total:
         return [None] * len(shares)
-    cuts = sorted(set(cuts))
-    steps = ",".join(f"{c!r}D" for c in cuts)
-    lo = f"aggregate(sequence(1, {len(cuts).bit_length()}), named_struct('l', 0, 'h', {len(cuts)}), (s, k) -> case when s.l >= s.h then s when get(array({steps}), cast((s.l + s.h) div 2 as int)) < v then named_struct('l', cast((s.l + s.h) div 2 + 1 as int), 'h', s.h) else named_struct('l', s.l, 'h', cast((s.l + s.h) div 2 as int)) end, s -> s.l)"
-    own = own.withColumn("b", F.expr(lo))
-    counts = {r["b"]: r["n"] for r in own.groupBy("b").agg(F.count("*").alias("n")).collect()}
-    total, before, at = sum(counts.values()), {}, 0
-    for b in sorted(counts):
-        before[b], at = at, at + counts[b]
-    wanted = sorted({int(k) for p in shares for k in ((total - 1) * p, min(total - 1, (total - 1) * p + 1))})
-    homes = {k: max(b for b in before if before[b] <= k) for k in wanted}
-    in_bins = own.where(F.col("b").isin(sorted(set(homes.values()))))
-    # equal values take one row, so a bin of many repeated values stays small
-    places = in_bins.groupBy("b", "v").agg(F.count("*").alias("n"))
-    run = F.sum("n").over(Window.partitionBy("b").orderBy("v"))
-    tests = [(homes[k], k - before[homes[k]], k) for k in wanted]
-    want = own.sparkSession.createDataFrame(tests, "b int, k long, rank long")
-    got = places.withColumn("upto", run).join(F.broadcast(want), "b").where("k < upto and k >= upto - n").select("rank", "v")
-    value_at = {r["rank"]: r["v"] for r in got.collect()}
+    ranks = [(int((total - 1) * p), min(total - 1, int((total - 1) * p) + 1)) for p in shares]
+    bounds = [(first["q"][2 * k], first["q"][2 * k + 1]) for k in range(len(shares))]
+    outer = [(first["lo"], first["hi"])] * len(shares)
+    inside = lambda lo, hi: (F.col("v") >= lo) & (F.col("v") <= hi)
+    settled: set[int] = set()
+    while True:
+        counts = own.agg(*(F.count(F.when(c, 1)) for lo, hi in bounds for c in (F.col("v") < lo, inside(lo, hi)))).first()
+        narrow = []
+        for k, (lo, hi) in enumerate(bounds):
+            below, within = counts[2 * k], counts[2 * k + 1]
+            if not (below <= ranks[k][0] and ranks[k][1] < below + within):  # the approximation missed the rank: sort what held it before
+                bounds[k] = outer[k]
+                settled.add(k)
+            elif k not in settled and lo < hi and within > FEW_VALUES and bounds[k] != outer[k]:
+                narrow.append(k)
+        if not narrow:
+            break
+        shares_of = {k: [min(1.0, max(0.0, (r - counts[2 * k]) / counts[2 * k + 1] + d / bins)) for r, d in zip(ranks[k], (-2, 2), strict=True)] for k in narrow}
+        found = own.agg(*(F.percentile_approx(F.when(inside(*bounds[k]), F.col("v")), shares_of[k], bins) for k in narrow)).first()
+        for k, q in zip(narrow, found, strict=True):
+            outer[k], bounds[k] = bounds[k], (q[0], q[1])
+    # equal values take one row, so windows of many repeated values stay small
+    parts = own.select("v", F.explode(F.array(*(F.when(inside(lo, hi), F.lit(k)) for k, (lo, hi) in enumerate(bounds)))).alias("b")).where("b is not null").groupBy("b", "v").agg(F.count("*").alias("n"))
+    below = own.agg(*(F.count(F.when(F.col("v") < lo, 1)) for lo, _ in bounds)).first()
+    want = own.sparkSession.createDataFrame([(k, r - below[k], r) for k, both in enumerate(ranks) for r in sorted(set(both))], "b int, k long, rank long")
+    got = parts.withColumn("upto", F.sum("n").over(Window.partitionBy("b").orderBy("v"))).join(F.broadcast(want), "b").where("k < upto and k >= upto - n").select("b", "rank", "v")
+    value_at = {(r["b"], r["rank"]): r["v"] for r in got.collect()}
     out = []
-    for p in shares:
+    for k, p in enumerate(shares):
         x = (total - 1) * p
-        a, b = value_at[int(x)], value_at[min(total - 1, int(x) + 1)]
+        a, b = (value_at[k, r] for r in ranks[k])
         out.append(a + (b - a) * (x - int(x)))
     return out
 

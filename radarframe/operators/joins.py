@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,11 +40,12 @@ def nearest_records(points: DataFrame, records: DataFrame, key: str, n: int = 1)
 def best_containing(segments: DataFrame, files: DataFrame, rank: Column, longest: float, bin_width: float) -> DataFrame:
     """seg and the smallest ``rank`` (a struct over the file's columns) of the files that strictly contain each segment of at most ``longest``.
 
-    The time bins that a file holds whole, and the longest segment beyond them, are cut into dyadic runs: of n bins a file has at most 2 log n
-    runs, which are reduced to their best by partial aggregates, and a segment looks up one run of each length. Only files that begin or
-    end in a bin meet its segments one by one. Segments without a file are left out.
+    Files of equal times are reduced to their best first. The time bins that a file holds whole, and the longest segment beyond them, are cut into dyadic runs:
+    of n bins a file has at most 2 log n runs, which are reduced to their best by partial aggregates, and a segment looks up one run of each length. In the bins
+    where files begin or end, files and segments are sorted together, and a running minimum gives each segment the best that began before it or ends behind it. Only files that
+    begin and end in one bin meet its segments one by one. Segments without a file are left out.
     """
-    f = files.withColumn("__r", rank)
+    f = files.withColumn("__r", rank).groupBy("f_start", "f_end").agg(F.min("__r").alias("__r"))
     span = f.agg(F.max(F.col("f_end") - F.col("f_start"))).first()[0] or 0.0
     levels = max(0, int(span / bin_width)).bit_length()
     # bins [__lo, __hi) are held whole
@@ -56,11 +57,21 @@ def best_containing(segments: DataFrame, files: DataFrame, rank: Column, longest
         " q -> q.b * q.p >= __lo and (q.b + 1) * q.p <= __hi and not (q.up * 2 * q.p >= __lo and (q.up + 1) * 2 * q.p <= __hi)), q -> struct(q.l as l, q.b as b))))"
     )
     whole = f.where("__lo < __hi").select("__r", F.explode(F.expr(runs)).alias("n")).groupBy("n.l", "n.b").agg(F.min("__r").alias("__r"))
-    # the bins at a file's ends that it doesn't hold whole
-    ends = "filter(sequence(cast(floor(f_start / {w}D) as bigint), cast(floor(f_end / {w}D) as bigint)), b -> b < __lo or b >= __hi)".format(w=bin_width)
-    ends = f"case when __lo < __hi then concat(sequence(cast(floor(f_start / {bin_width}D) as bigint), __lo - 1), sequence(__hi, cast(floor(f_end / {bin_width}D) as bigint))) else {ends} end"
-    part = f.select("__r", "f_start", "f_end", F.explode(F.expr(ends)).alias("b"))
+    last = F.floor(F.col("f_end") / bin_width).cast("long")
     s = segments.withColumn("b", F.floor(F.col("s_start") / bin_width).cast("long"))
+    # bins held but for their beginning, but for their end, and for neither
+    begins = f.where("__lo - 1 < __hi").select((F.col("__lo") - 1).alias("b"), F.col("f_start").alias("t"), "__r")
+    ends = f.select(F.explode(F.when(last >= F.greatest("__lo", "__hi"), F.sequence(F.greatest("__lo", "__hi"), last)).otherwise(F.array().cast("array<bigint>"))).alias("b"), F.col("f_end").alias("t"), "__r")
+    inner = f.where("__lo - 1 >= __hi").select((F.col("__lo") - 1).alias("b"), "f_start", "f_end", "__r")
+
+    def running(some: DataFrame, time: str, order: list[Column]) -> DataFrame:
+        both = s.select("b", F.col(time).alias("t"), "seg", F.lit(0).alias("k"), F.lit(None).cast(some.schema["__r"].dataType).alias("__r"))
+        both = both.unionByName(some.select("b", "t", F.lit(None).cast(segments.schema["seg"].dataType).alias("seg"), F.lit(1).alias("k"), "__r"))
+        w = Window.partitionBy("b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return both.withColumn("__r", F.min("__r").over(w)).where("k = 0 and __r is not null").select("seg", "__r")
+
+    part = running(begins, "s_start", [F.col("t"), F.col("k")]).unionByName(running(ends, "s_end", [F.desc("t"), F.col("k")]))
+    part = part.unionByName(s.join(inner, "b").where("f_start < s_start and f_end > s_end").select("seg", "__r"))
     probes = s.select("seg", F.explode(F.expr(f"transform(sequence(0, {levels}), l -> struct(l, shiftright(b, l) as b))")).alias("n")).select("seg", "n.l", "n.b")
-    met = probes.join(whole, ["l", "b"]).select("seg", "__r").unionByName(s.join(part, "b").where("f_start < s_start and f_end > s_end").select("seg", "__r"))
+    met = probes.join(whole, ["l", "b"]).select("seg", "__r").unionByName(part)
     return met.groupBy("seg").agg(F.min("__r").alias("best"))

@@ -95,6 +95,17 @@ def test_percentiles_are_exact(spark):
     assert images.percentiles(spark.createDataFrame([], "v double"), "v", [0.5]) == [None]
 
 
+def test_percentiles_are_narrowed_until_few_values_are_left(spark, monkeypatch):
+    import numpy as np
+
+    from radarframe.operators import images
+
+    monkeypatch.setattr(images, "FEW_VALUES", 20)
+    values = np.concatenate([np.random.default_rng(5).normal(size=4000), np.full(3000, 0.25)])
+    got = images.percentiles(spark.createDataFrame([(float(v),) for v in values], "v double"), "v", [0.1, 0.5, 0.6, 0.999], bins=50)
+    assert np.allclose(got, np.quantile(values, [0.1, 0.5, 0.6, 0.999]))
+
+
 def test_merged_slices_keep_each_vector_once(spark):
     from radarframe.operators import series
 
