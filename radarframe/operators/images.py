@@ -80,7 +80,7 @@ def top(df: DataFrame, value: str, n: int) -> DataFrame:
 FEW_VALUES = 100_000
 
 
-def percentiles(df: DataFrame, value: str, shares: list[float], bins: int = 10_000) -> list[float | None]:
+def percentiles(df: DataFrame, value: str, shares: list[float], bins: int = 2000) -> list[float | None]:
     """Exact percentiles with linear interpolation, however many values there are.
 
     Approximate percentiles on either side bound each wanted rank; what lies below is counted by plain comparisons, and bounds are narrowed among the values
@@ -99,14 +99,16 @@ def percentiles(df: DataFrame, value: str, shares: list[float], bins: int = 10_0
     settled: set[int] = set()
     while True:
         counts = own.agg(*(F.count(F.when(c, 1)) for lo, hi in bounds for c in (F.col("v") < lo, inside(lo, hi)))).first()
-        narrow = []
+        narrow, missed = [], False
         for k, (lo, hi) in enumerate(bounds):
             below, within = counts[2 * k], counts[2 * k + 1]
             if not (below <= ranks[k][0] and ranks[k][1] < below + within):  # the approximation missed the rank: sort what held it before
-                bounds[k] = outer[k]
+                bounds[k], missed = outer[k], True
                 settled.add(k)
             elif k not in settled and lo < hi and within > FEW_VALUES and bounds[k] != outer[k]:
                 narrow.append(k)
+        if missed:
+            continue
         if not narrow:
             break
         shares_of = {k: [min(1.0, max(0.0, (r - counts[2 * k]) / counts[2 * k + 1] + d / bins)) for r, d in zip(ranks[k], (-2, 2), strict=True)] for k in narrow}
@@ -115,8 +117,7 @@ def percentiles(df: DataFrame, value: str, shares: list[float], bins: int = 10_0
             outer[k], bounds[k] = bounds[k], (q[0], q[1])
     # equal values take one row, so windows of many repeated values stay small
     parts = own.select("v", F.explode(F.array(*(F.when(inside(lo, hi), F.lit(k)) for k, (lo, hi) in enumerate(bounds)))).alias("b")).where("b is not null").groupBy("b", "v").agg(F.count("*").alias("n"))
-    below = own.agg(*(F.count(F.when(F.col("v") < lo, 1)) for lo, _ in bounds)).first()
-    want = own.sparkSession.createDataFrame([(k, r - below[k], r) for k, both in enumerate(ranks) for r in sorted(set(both))], "b int, k long, rank long")
+    want = own.sparkSession.createDataFrame([(k, r - counts[2 * k], r) for k, both in enumerate(ranks) for r in sorted(set(both))], "b int, k long, rank long")
     got = parts.withColumn("upto", F.sum("n").over(Window.partitionBy("b").orderBy("v"))).join(F.broadcast(want), "b").where("k < upto and k >= upto - n").select("b", "rank", "v")
     value_at = {(r["b"], r["rank"]): r["v"] for r in got.collect()}
     out = []
