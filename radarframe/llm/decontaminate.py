@@ -1,12 +1,15 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Seeds are three words of a test item, in a row or with the third one word further on, that the corpus holds too: so a copy
-is aligned if anywhere in it two neighbouring words and one of the next two are left, whatever its edits broke beside
-them and however often other copies hold the rest. Seeds meet the documents in a join. Of a meeting, the words around it, allowing for
-insertions, can't align better than all words of the item that stand among them, repeated ones each time; where that is enough, they are aligned with the item, once
-for each stretch of a document however many seeds meet there. The benchmark is taken in blocks of at most
-``BLOCK_GRAMS`` seeds (an item longer than that is a block of its own), so what is broadcast, an item's words once and its seeds, has a
-bound and every item is still tried.
+Seeds are three words of a test item, in a row or with the third one word further on. In how many documents each is found is counted over the
+whole corpus first. A rare one, in at most ``RARE_LEAST`` documents or ``RARE_SHARE`` of all, proposes a passage wherever it is found: so an edited copy
+is aligned if anywhere in it two neighbouring words and one of the next two are left, whatever its edits broke beside them. A common one, such as
+a turn of phrase, proposes one only beside another seed of the item, of other words, about as far from its place in the item. Of a passage, the words
+can't align better than all words of the item that stand among them, repeated ones each time; where that is enough, they are aligned with the item, once
+for each stretch of a document however many seeds are found there.
+
+Workers look seeds up and align passages where the documents lie, so no text is shuffled, and documents that hold the same
+passage weigh on no one task. The benchmark is taken in blocks of at most ``BLOCK_GRAMS`` seeds (an item longer than that is a block of its own), so what is
+broadcast, the items' words, their seeds and counts, has a bound and every item is still tried.
 
 A document leaks an item if the alignment scores ``THRESHOLD`` of an exact copy with at least ``LEAST_WORDS`` words
 (or all of a shorter item), or if it scores as ``LONG_RUN`` words in a row do, however long the item.
@@ -28,6 +31,8 @@ from . import common
 #: Where the words of a seed stand.
 SEEDS = ((0, 1, 2), (0, 1, 3))
 BLOCK_GRAMS = 1_000_000
+#: A seed is rare that is in at most so many documents, or this share of all.
+RARE_LEAST, RARE_SHARE = 50, 1e-4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Of the score of an exact copy.
 THRESHOLD = 0.4
@@ -41,24 +46,59 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-# Rows are exploded with explode_outer: for explode, the optimizer would push a size filter below the
-# projections and so split the text again for every gram.
-def _grams(words: str) -> Column:
-    """The hashes of a text's seeds, those of the first kind first."""
-    kinds = []
-    for k, places in enumerate(SEEDS):
-        rest = ", ".join(f"get({words}, i + {j})" for j in places[1:])
-        kinds.append(f"case when size({words}) > {places[-1]} then transform(slice({words}, 1, size({words}) - {places[-1]}), (x, i) -> xxhash64({k}, x, {rest})) else cast(array() as array<bigint>) end")
-    return F.expr(f"concat({', '.join(kinds)})")
+class Seeds:
+    """A block's items and their seeds, by number: what a worker looks up."""
+
+    def __init__(self, items: list):
+        import numpy as np
+
+        self.ids, self.words = [r["item_id"] for r in items], [list(r["item"]) for r in items]
+        self.hashes = [np.array(r["hashes"], np.int64) for r in items]
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.slack = np.maximum(8, self.sizes // 2)
+        self.again = np.array([len(w) - len(set(w)) for w in self.words], np.int64)
+        self.enough = np.maximum(np.minimum(LONG_RUN, THRESHOLD * self.sizes), np.minimum(LEAST_WORDS, self.sizes))
+        starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        gram, where = grams(np.concatenate(self.hashes), np.diff(starts))
+        owner = np.searchsorted(starts, where, "right") - 1
+        order = np.argsort(gram, kind="stable")
+        self.grams, first = np.unique(gram[order], return_index=True)
+        # of each seed: the items that have it, and at which word
+        self.first = np.concatenate([first, [len(gram)]])
+        self.item, self.place = owner[order], (where - starts[owner])[order]
+        self.bits = np.zeros(1 << 20, bool)  # most words of a corpus start no seed, which their first bits tell
+        self.bits[self.grams >> 44] = True
+        self.rare = np.ones(len(self.grams), bool)
 
+    def found(self, hashes, sizes) -> tuple:
+        """Numbers of the seeds in documents that follow each other, and the words they begin at."""
+        import numpy as np
 
-def _place(words: str, at: str) -> Column:
-    """The word at which the ``at``-th of a text's seeds begins."""
-    place, before = at, []
-    for places in SEEDS[:-1]:
-        before.append(f"greatest(size({words}) - {places[-1]}, 0)")
-        place = f"if({at} >= {' + '.join(before)}, {at} - ({' + '.join(before)}), {place})"
-    return F.expr(place)
+        gram, where = grams(hashes, sizes)
+        some = np.nonzero(self.bits[gram >> 44])[0]
+        at = np.searchsorted(self.grams, gram[some])
+        at[at == len(self.grams)] = 0
+        same = self.grams[at] == gram[some] if len(self.grams) else np.zeros(len(at), bool)
+        return at[same], where[some[same]]
+
+
+def grams(hashes, sizes) -> tuple:
+    """Hashes of the seeds of texts that follow each other, given their words' hashes, and the words they begin at."""
+    import numpy as np
+
+    end = np.repeat(np.cumsum(sizes), sizes)
+    out, where = [], []
+    words = hashes.view(np.uint64)
+    for k, places in enumerate(SEEDS):
+        at = np.nonzero(np.arange(len(hashes)) + places[-1] < end)[0]
+        with np.errstate(over="ignore"):
+            value = np.full(len(at), k + 1, np.uint64)
+            for j in places:
+                value = (value ^ words[at + j]) * np.uint64(0x9E3779B97F4A7C15)
+                value ^= value >> np.uint64(29)
+        out.append(value >> np.uint64(1))
+        where.append(at)
+    return np.concatenate(out).astype(np.int64), np.concatenate(where)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -67,48 +107,129 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select("item_id", tokens(common.text_of()).alias("item")).where(f"size(item) >= {SEEDS[0][-1] + 1}").distinct().withColumn("key", F.xxhash64("item_id", "item"))
     n = items.agg(F.sum(F.size("item"))).first()[0] or 0
     blocks = max(1, -(-n * len(SEEDS) // BLOCK_GRAMS))
+    rows = docs.select("doc_id", F.xxhash64(common.text_of()).alias("text_hash"), tokens(common.text_of()).alias("words")).withColumn("hashes", hashed("words"))
     best = None
     for k in range(blocks):
-        part = _block_leaks(docs, items if blocks == 1 else items.where(F.expr(f"pmod(xxhash64(key), {blocks}) = {k}")))
+        part = _block_leaks(rows, items if blocks == 1 else items.where(F.expr(f"pmod(xxhash64(key), {blocks}) = {k}")), dict(benchmark.dtypes)["item_id"])
         best = part if best is None else best.unionByName(part)
     best = best.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("score", "matched", (-F.col("start")).alias("back"))).alias("b"))
     return best.select("doc_id", "text_hash", "item_id", "b.score", "b.matched", (-F.col("b.back")).alias("start"))
 
 
-def _block_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    rows = docs.select("doc_id", F.xxhash64(common.text_of()).alias("text_hash"), tokens(common.text_of()).alias("words")).withColumn("grams", _grams("words"))
-    seeds = items.select("key", "item", F.size("item").alias("n"), F.posexplode(_grams("item")).alias("k", "gram")).select("key", "n", _place("item", "k").alias("q"), "gram")
+def hashed(words: str) -> Column:
+    return F.expr(f"transform({words}, w -> xxhash64(w))")
+
+
+def _documents(batch, at: int):
+    """Of a column of lists: their values one after the other, and the lists' sizes."""
+    import numpy as np
+
+    column = batch.column(at)
+    return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+
+
+def document_counts(rows: DataFrame, seeds: Seeds) -> tuple[dict[int, int], int]:
+    """In how many documents each of a block's seeds is found, and how many there are. Tasks add theirs up; the seeds of a block are of bounded number."""
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        seen, n = np.zeros(len(seeds.grams), np.int64), 0
+        for batch in batches:
+            hashes, sizes = _documents(batch, 0)
+            at, where = seeds.found(hashes, sizes)
+            doc = np.searchsorted(np.cumsum(sizes), where, "right")
+            seen += np.bincount(np.unique(doc * max(1, len(seen)) + at) % max(1, len(seen)), minlength=len(seen))[: len(seen)]
+            n += batch.num_rows
+        some = np.nonzero(seen)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(seen[some], n))], names=["seed", "n"])
+
+    found = dict(rows.select("hashes").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n")).collect())
+    return found, found.pop(-1, 0)
 
-    # the words around a meeting are cut out right behind the joins, before anything is shuffled
-    met = rows.select("doc_id", "text_hash", "words", F.posexplode_outer("grams").alias("k", "gram")).join(F.broadcast(seeds), "gram")
-    met = met.withColumn("at", _place("words", "k") - F.col("q")).withColumn("slack", F.expr("greatest(8, n div 2)"))
-    met = met.select(
-        "doc_id", "text_hash", "key", "n", F.expr("floor(at / slack)").alias("stretch"), F.expr("greatest(0, at - slack)").alias("start"),
-        F.expr("slice(words, greatest(0, at - slack) + 1, n + 3 * slack)").alias("passage"),
-    ).join(F.broadcast(items.withColumn("again", F.expr("size(item) - size(array_distinct(item))"))), "key")
-    enough = f"greatest(least({LONG_RUN}, {THRESHOLD} * n), least({LEAST_WORDS}, n))"
-    met = met.where(f"size(array_intersect(item, passage)) + again >= {enough}")
-    near = met.groupBy("doc_id", "text_hash", "item_id", "key", "stretch").agg(F.min(F.struct("start", "passage", "item")).alias("around"))
-    near = near.select("doc_id", "text_hash", "item_id", "around.item", "around.start", "around.passage")
-    names = ["doc_id", "text_hash", "item_id", "score", "matched", "start"]
+
+def proposed(seeds: Seeds, hashes, sizes) -> tuple:
+    """Documents, items and first words of the stretches that a rare seed, or two seeds of other words, propose: each once."""
+    import numpy as np
+
+    at, where = seeds.found(hashes, sizes)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    doc = np.searchsorted(starts[1:], where, "right")
+    many = seeds.first[at + 1] - seeds.first[at]
+    hit = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - seeds.first[at], many)
+    item, place, rare = seeds.item[hit], seeds.place[hit], np.repeat(seeds.rare[at], many)
+    doc = np.repeat(doc, many)
+    begin = np.repeat(where, many) - starts[doc] - place  # where the item's first word would stand
+    slack = seeds.slack[item]
+    good = rare.copy()
+    if not rare.all():
+        apart = max(p[-1] for p in SEEDS) + 1
+        for shift in (0, slack // 2):
+            order = np.lexsort((place, (begin + shift) // slack, item, doc))
+            d, i, c, q = doc[order], item[order], ((begin + shift) // slack)[order], place[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (c[1:] != c[:-1])
+            first = np.nonzero(new)[0]
+            last = np.append(first[1:], len(order)) - 1
+            wide = q[last] - q[first] >= apart if len(order) else np.zeros(0, bool)
+            good[order] |= np.repeat(wide, last - first + 1)
+    doc, item, begin, slack = doc[good], item[good], begin[good], slack[good]
+    order = np.lexsort((begin, begin // slack, item, doc))
+    doc, item, begin, cell = doc[order], item[order], begin[order], (begin // slack)[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (cell[1:] != cell[:-1])
+    return doc[new], item[new], begin[new], starts
+
+
+def _block_leaks(rows: DataFrame, items: DataFrame, item_kind: str) -> DataFrame:
+    spark = rows.sparkSession
+    kind = dict(rows.dtypes)["doc_id"]
+    schema = f"doc_id {kind}, text_hash long, item_id {item_kind}, score double, matched int, start int"
+    block = items.withColumn("hashes", hashed("item")).select("item_id", "item", "hashes").collect()  # bounded by BLOCK_GRAMS
+    if not block:
+        return spark.createDataFrame([], schema)
+    seeds = Seeds(block)
+    counts, documents = document_counts(rows, seeds)
+    most = max(RARE_LEAST, int(RARE_SHARE * documents))
+    for k, n in counts.items():
+        seeds.rare[k] = n <= most
+    held = spark.sparkContext.broadcast(seeds)
+    item_type = items.select("item_id").schema[0].dataType
 
     def align(batches):
+        import numpy as np
         import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
 
+        seeds = held.value
         for batch in batches:
-            item, start, passage = (batch.column(k).to_pylist() for k in (3, 4, 5))
-            hopeful = [k for k, s in enumerate(best_scores(item, passage)) if leaked(s, LEAST_WORDS, len(item[k]))]
-            out = [(k, *smith_waterman(item[k], passage[k])) for k in hopeful]
-            out = [x for x in out if leaked(x[1], x[2], len(item[x[0]]))]
-            own = batch.select([0, 1, 2]).take(pa.array([x[0] for x in out], pa.int64()))
-            columns = [
-                *own.columns, pa.array([s / (MATCH * len(item[k])) for k, s, _, _ in out], pa.float64()),
-                pa.array([m for _, _, m, _ in out], pa.int32()), pa.array([start[k] + b for k, _, _, b in out], pa.int32()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    kinds = dict(near.dtypes)
-    return near.mapInArrow(align, f"doc_id {kinds['doc_id']}, text_hash long, item_id {kinds['item_id']}, score double, matched int, start int")
+            hashes, sizes = _documents(batch, 3)
+            docs, which, begin, starts = proposed(seeds, hashes, sizes)
+            words = batch.column(2).flatten()
+            rows, items_, passages, firsts, numbers = [], [], [], [], []
+            for d, i, b in zip(docs.tolist(), which.tolist(), begin.tolist(), strict=True):
+                slack, n = int(seeds.slack[i]), int(seeds.sizes[i])
+                lo = max(0, b - slack)
+                hi = min(int(sizes[d]), lo + n + 3 * slack)
+                a = int(starts[d])
+                if np.isin(np.unique(seeds.hashes[i]), hashes[a + lo : a + hi]).sum() + seeds.again[i] < seeds.enough[i]:
+                    continue
+                rows.append(d)
+                numbers.append(i)
+                items_.append(seeds.words[i])
+                firsts.append(lo)
+                passages.append(words.slice(a + lo, hi - lo).to_pylist())
+            hopeful = [k for k, s in enumerate(best_scores(items_, passages)) if leaked(s, LEAST_WORDS, len(items_[k]))]
+            out = [(k, *smith_waterman(items_[k], passages[k])) for k in hopeful]
+            out = [x for x in out if leaked(x[1], x[2], len(items_[x[0]]))]
+            own = batch.select([0, 1]).take(pa.array([rows[x[0]] for x in out], pa.int64()))
+            yield pa.RecordBatch.from_arrays([
+                *own.columns, pa.array([seeds.ids[numbers[k]] for k, *_ in out], to_arrow_type(item_type)), pa.array([s / (MATCH * len(items_[k])) for k, s, _, _ in out], pa.float64()),
+                pa.array([m for _, _, m, _ in out], pa.int32()), pa.array([firsts[k] + b for k, _, _, b in out], pa.int32()),
+            ], names=["doc_id", "text_hash", "item_id", "score", "matched", "start"])
+
+    return rows.select("doc_id", "text_hash", "words", "hashes").mapInArrow(align, schema)
 
 
 def leaked(score: int, matched: int, words: int) -> bool:

@@ -438,3 +438,40 @@ def test_pipeline_over_a_whole_small_folder(spark):
     assert 0 < done.count() <= docs.count() and done.where("not decodes").count() == 0
     # one of each text went on to the last stages, and what redaction may have made equal since is no more than it touched
     assert done.count() - done.select("text").distinct().count() <= done.where("text like '%[%]%'").count()
+
+
+def test_common_phrases_propose_nothing_alone(spark, monkeypatch):
+    """A phrase of every document, which an item holds too, costs no alignments; copies of the item are found wherever they are, edited ones as well."""
+    import random
+
+    rng = random.Random(21)
+    item = [f"w{k}" for k in range(100)] + ["at", "the", "end", "of"] + [f"w{k}" for k in range(100, 212)]
+    filler = lambda n: [f"f{rng.randrange(5000)}" for _ in range(n)]
+    docs = [(k, " ".join(sum((filler(9) + ["at", "the", "end", "of"] for _ in range(60)), []))) for k in range(400)]
+    short = "one two three four five six seven eight"
+    edited = [w if k % 4 else "changed" for k, w in enumerate(item)]
+    docs += [(1000, " ".join(filler(50) + edited + filler(50))), (1001, " ".join(item)), (1002, f"as said {short} and so on")]
+    docs += [(2000 + k, f"{' '.join(filler(5))} {short} again") for k in range(120)]  # an item that many documents hold
+    aligned = []
+    monkeypatch.setattr(decontaminate, "best_scores", lambda a, b, real=decontaminate.best_scores: aligned.append(len(a)) or real(a, b))
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, short)], "item_id long, text string")
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(rows, bench).collect()}
+    assert got == {(1000, 1), (1001, 1), (1002, 2)} | {(2000 + k, 2) for k in range(120)}
+    seeds = decontaminate.Seeds(bench.select("item_id", decontaminate.tokens(F.col("text")).alias("item")).withColumn("hashes", decontaminate.hashed("item")).collect())
+    hashed = rows.select(decontaminate.tokens(F.col("text")).alias("words")).withColumn("hashes", decontaminate.hashed("words"))
+    counts, documents = decontaminate.document_counts(hashed, seeds)
+    assert documents == len(docs) and sum(n >= 400 for n in counts.values()) == 3
+    seeds.rare[[k for k, n in counts.items() if n > 50]] = False
+    import numpy as np
+
+    some = [r.hashes for r in hashed.collect()]
+    doc, which, _, _ = decontaminate.proposed(seeds, np.concatenate([np.array(h, np.int64) for h in some]), np.array([len(h) for h in some]))
+    assert len(set(doc.tolist())) == 123
+
+
+def test_very_long_items_and_documents_are_aligned(spark):
+    item = " ".join(f"i{k}" for k in range(6000))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = spark.createDataFrame([(1, "x " * 30_000 + " ".join(f"i{k}" for k in range(3000, 3040)) + " y" * 30_000), (2, "x y " * 1000)], "doc_id long, text string")
+    assert [(r.doc_id, r.matched) for r in decontaminate.find_leaks(rows, bench).collect()] == [(1, 40)]
