@@ -105,6 +105,14 @@ def pixel_grid(spark: SparkSession, rows: int, cols: int, transform: tuple[float
     return g.select("row", "col", x.alias("x"), y.alias("y"))
 
 
+def pixel_grids(rasters: DataFrame, by: list[str], area: bool = True) -> DataFrame:
+    """by..., row, col, x, y of the centres of each raster's pixels; ``rasters`` (by..., h, w, transform) have a row each, whose lines are dealt to tasks."""
+    lines = rasters.where("h > 0 and w > 0").select(*by, "w", "transform", F.explode(F.expr("sequence(0L, cast(h as bigint) - 1)")).alias("row"))
+    cells = lines.select(*by, "transform", "row", F.explode(F.expr("sequence(0L, cast(w as bigint) - 1)")).alias("col"))
+    x, y = on_ground(F.col("col"), F.col("row"), tuple(F.get("transform", F.lit(k)) for k in range(6)), area)
+    return cells.select(*by, "row", "col", x.alias("x"), y.alias("y"))
+
+
 def tiles(rects: DataFrame, w: str, h: str, tile_w: int, tile_h: int) -> DataFrame:
     """``rects`` with col, row, tile_w, tile_h of each tile, line by line, cut at the far sides."""
     starts = lambda n, s: F.explode(F.expr(f"sequence(0L, cast(({n} - 1) div {s} as long))"))
@@ -137,7 +145,7 @@ def block_factor(row: Column, col: Column, blocks: list[tuple[int, int, int, int
 # 3 x 3 maps of (row, col, 1), on the driver
 
 
-def _times(a: list[list[float]], b: list[list[float]]) -> list[list[float]]:
+def times(a: list[list[float]], b: list[list[float]]) -> list[list[float]]:
     return [[sum(a[i][k] * b[k][j] for k in range(3)) for j in range(3)] for i in range(3)]
 
 
@@ -147,7 +155,7 @@ def translation(rows: float, cols: float) -> list[list[float]]:
 
 def moved_origins(matrix: list[list[float]], row_dst: float, col_dst: float, row_src: float, col_src: float) -> list[list[float]]:
     """A map from destination to source pixels, for pixels counted from new origins in either image."""
-    return _times(translation(-row_src, -col_src), _times(matrix, translation(row_dst, col_dst)))
+    return times(translation(-row_src, -col_src), times(matrix, translation(row_dst, col_dst)))
 
 
 def zoomed(rows: float, cols: float) -> list[list[float]]:

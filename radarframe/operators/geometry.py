@@ -226,3 +226,16 @@ def fit_orbits(states: DataFrame, degree: int = DEGREE) -> DataFrame:
         return pd.DataFrame({"key": [pdf["key"].iloc[0]], "t0": [o.start], "t1": [o.end], "coefficients": [o.coefficients.T.tolist()]})
 
     return states.groupBy("key").applyInPandas(one, f"key {kind}, t0 double, t1 double, coefficients array<array<double>>")
+
+
+def node_crossings(states: DataFrame) -> DataFrame:
+    """key, t: when each orbit of state vectors (key, t, x, y, z, vx, vy, vz) first rises through the equator; null if it doesn't within them."""
+    kind = dict(states.dtypes)["key"]
+
+    def one(pdf):
+        import pandas as pd
+
+        o = Orbit.fit(pdf["t"], pdf[["x", "y", "z"]], pdf[["vx", "vy", "vz"]])
+        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "t": [o.ascending_node()]}).astype({"t": "float64"})
+
+    return states.groupBy("key").applyInPandas(one, f"key {kind}, t double")

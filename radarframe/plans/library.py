@@ -42,10 +42,15 @@ def roi_algebra(spark, sf_dir):
 _MAP = (0.5, 0.01, 100.0, 0.02, -0.25, 50.0)
 
 
-@query("SELECT r AS row, k AS col, round(CAST(0.5 * (k + 0.5) + 0.01 * (r + 0.5) + 100 AS DOUBLE), 6) AS x, round(CAST(0.02 * (k + 0.5) - 0.25 * (r + 0.5) + 50 AS DOUBLE), 6) AS y FROM (SELECT unnest(range(30)) AS r), (SELECT unnest(range(40)) AS k)")
+@query(
+    """WITH g AS (SELECT n_nationkey AS id, unnest(range(10 + n_nationkey)) AS r, 12 + n_nationkey % 5 AS w FROM nation), p AS (SELECT id, r, unnest(range(w)) AS k FROM g)
+    SELECT id, r AS row, k AS col, round(CAST(0.5 * (k + 0.5) + 0.01 * (r + 0.5) + 100 + id AS DOUBLE), 6) AS x, round(CAST(0.02 * (k + 0.5) - 0.25 * (r + 0.5) + 50 AS DOUBLE), 6) AS y FROM p"""
+)
 def pixel_grid(spark, sf_dir):
-    """Centres of a raster's pixels on the ground."""
-    return roi.pixel_grid(spark, 30, 40, _MAP).select("row", "col", _R("x", 6).alias("x"), _R("y", 6).alias("y"))
+    """Centres on the ground of the pixels of rasters of several sizes and places."""
+    k = c("n_nationkey")
+    rasters = table(spark, sf_dir, "nation").select(k.cast("int").alias("id"), (10 + k).alias("h"), (12 + k % 5).alias("w"), F.array(*(F.lit(v) for v in _MAP[:2]), (100.0 + k).cast("double"), *(F.lit(v) for v in _MAP[3:])).alias("transform"))
+    return roi.pixel_grids(rasters, ["id"]).select("id", "row", "col", _R("x", 6).alias("x"), _R("y", 6).alias("y"))
 
 
 @query(
@@ -97,7 +102,7 @@ def weighted_coherence(spark, sf_dir):
 def matrix_origins(spark, sf_dir):
     """Pixels through an affine map whose images are counted from other origins, the columns of one enlarged four times."""
     m = roi.moved_origins([[0.9, 0.1, 2.5], [-0.2, 1.1, -1.5], [0.0, 0.0, 1.0]], 7, 3, 5, 6)
-    m = roi._times(m, roi.zoomed(1, 4))
+    m = roi.times(m, roi.zoomed(1, 4))
     k = c("c_custkey")
     p = table(spark, sf_dir, "customer").select(k.alias("id"), (k % 40).alias("r"), (k % 30).alias("q"))
     return p.select("id", *(_R(m[i][0] * c("r") + m[i][1] * c("q") + m[i][2], 6).alias(n) for i, n in enumerate(("row", "col"))))
@@ -113,26 +118,14 @@ def surface_fit(spark, sf_dir):
     return fits.evaluated(p, fits.surfaces(p, 2, ["g"]), 2, ["g"]).select("id", _R("fit", 5).alias("fit"))
 
 
-@query("SELECT k AS id, round(CAST(0.5 + 3.0 * k AS DOUBLE), 4) AS t FROM (SELECT unnest(range(5)) AS k)")
+@query("SELECT s_suppkey AS id, round(CAST(0.5 + s_suppkey % 60 AS DOUBLE), 4) AS t FROM supplier")
 def node_crossing(spark, sf_dir):
-    """When orbits rise through the equator: circles that start a little below it, each later than the last."""
-    t = np.arange(-80.0, 81.0, 10.0)
-    rows = []
-    for k in range(5):
-        u = _RATE * (t - 0.5 - 3.0 * k)
-        p = _A * np.stack([np.cos(u), np.sin(u) * np.cos(_TILT), np.sin(u) * np.sin(_TILT)], 1)
-        v = _A * _RATE * np.stack([-np.sin(u), np.cos(u) * np.cos(_TILT), np.cos(u) * np.sin(_TILT)], 1)
-        rows += [(k, float(a), *map(float, q), *map(float, w)) for a, q, w in zip(t, p, v, strict=True)]
-
-    def node(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("t")
-        orbit = geometry.Orbit.fit(pdf["t"].to_numpy(), pdf[["x", "y", "z"]].to_numpy(), pdf[["vx", "vy", "vz"]].to_numpy())
-        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "t": [orbit.ascending_node()]})
-
-    states = spark.createDataFrame(rows, "id long, t double, x double, y double, z double, vx double, vy double, vz double")
-    return states.groupBy("id").applyInPandas(node, "id long, t double").select("id", _R("t", 4).alias("t"))
+    """When orbits rise through the equator: a circle each, of state vectors every ten seconds, some minutes apart."""
+    s = table(spark, sf_dir, "supplier").select(c("s_suppkey").alias("key"), F.explode(F.array(*(F.lit(float(t)) for t in range(-80, 81, 10)))).alias("t"))
+    u = _RATE * (c("t") - 0.5 - c("key") % 60)
+    tilted = (("x", F.cos(u), -F.sin(u)), ("y", F.sin(u) * float(np.cos(_TILT)), F.cos(u) * float(np.cos(_TILT))), ("z", F.sin(u) * float(np.sin(_TILT)), F.cos(u) * float(np.sin(_TILT))))
+    states = s.select("key", "t", *((_A * p).alias(n) for n, p, _ in tilted), *((_A * _RATE * v).alias(f"v{n}") for n, _, v in tilted))
+    return geometry.node_crossings(states).select(c("key").alias("id"), _R("t", 4).alias("t"))
 
 
 @query("SELECT vec_id AS id, (i - 1) // 8 AS row, (i - 1) % 8 AS col, round(CAST(embedding[i] AS DOUBLE), 5) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i)")
@@ -198,11 +191,13 @@ def localize_on_table(spark, sf_dir):
     return flat.select("id", (off < 0.01).alias("on_surface"), ((F.abs(c("azt_back") - c("azt")) < 1e-6) & (F.abs(c("rng_back") - c("rng")) < 0.01)).alias("on_range"))
 
 
-@query("SELECT k AS id, true AS on_surface FROM (SELECT unnest(range(100)) AS k)")
+@query("SELECT n_nationkey AS area, CAST(k AS INTEGER) AS k, true AS on_surface FROM nation, (SELECT unnest(range(100)) AS k)")
 def control_points(spark, sf_dir):
-    """A grid of ground control points on a table of heights."""
-    g = dem.control_points(spark, circular_orbit(), _hills(spark), _FINE, (-30.0, 30.0), (820_000.0, 880_000.0))
-    return g.select("id", (F.abs(400 + 2 * c("lon") + 3 * c("lat") - c("alt")) < 0.01).alias("on_surface"))
+    """Grids of ground control points, one an area, on a table of heights."""
+    n = c("n_nationkey")
+    areas = table(spark, sf_dir, "nation").select(n.alias("id"), (n - 40.0).alias("azt0"), (n + 20.0).alias("azt1"), (820_000.0 + n * 500).alias("rng0"), (870_000.0 + n * 800).alias("rng1"))
+    g = dem.control_points(areas, circular_orbit(), _hills(spark), _FINE)
+    return g.select(c("id.id").alias("area"), "id.k", (F.abs(400 + 2 * c("lon") + 3 * c("lat") - c("alt")) < 0.01).alias("on_surface"))
 
 
 _ITEMS = """item AS (SELECT o_orderkey AS id, 'S1_' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS name, CASE o_orderkey % 3 WHEN 0 THEN 'SLC' WHEN 1 THEN 'GRD' ELSE 'COG' END AS product_type, epoch(o_orderdate) AS start, epoch(o_orderdate) + 27 AS stop,

@@ -79,8 +79,9 @@ def localized(points: DataFrame, orbit: geometry.Orbit, nodes: DataFrame, grid:
     return at
 
 
-def control_points(spark, orbit: geometry.Orbit, nodes: DataFrame, grid: Grid, azt: tuple[float, float], rng: tuple[float, float], n: int = 10, **how) -> DataFrame:
-    """An n x n grid of image points over a rectangle of azimuth times and ranges, on the model."""
-    g = spark.range(n * n).select(F.col("id"), F.expr(f"id div {n}").alias("i"), (F.col("id") % n).alias("j"))
-    share = lambda k, ends: ends[0] + F.col(k) * ((ends[1] - ends[0]) / max(1, n - 1))
-    return localized(g.select("id", share("i", azt).alias("azt"), share("j", rng).alias("rng")), orbit, nodes, grid, **how)
+def control_points(rectangles: DataFrame, orbit: geometry.Orbit, nodes: DataFrame, grid: Grid, n: int = 10, **how) -> DataFrame:
+    """An n x n grid of image points over each rectangle (id, azt0, azt1, rng0, rng1) of azimuth times and ranges, on the model: id is a struct of the rectangle's and k, line by line."""
+    g = rectangles.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))))
+    share = lambda k, a, b: F.col(a) + k * ((F.col(b) - F.col(a)) / max(1, n - 1))
+    at = g.select(F.struct("id", "k").alias("id"), share(F.expr(f"k div {n}"), "azt0", "azt1").alias("azt"), share(F.col("k") % n, "rng0", "rng1").alias("rng"))
+    return localized(at, orbit, nodes, grid, **how)
