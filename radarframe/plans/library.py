@@ -54,7 +54,7 @@ def pixel_grid(spark, sf_dir):
 
 
 @query(
-    f"""WITH {POINTS}, g AS (SELECT id % 25 AS area, (-0.25 * (lon - 100) - 0.01 * (lat - 50)) / (0.5 * -0.25 - 0.01 * 0.02) - 0.5 AS x, (0.5 * (lat - 50) - 0.02 * (lon - 100)) / (0.5 * -0.25 - 0.01 * 0.02) - 0.5 AS y FROM pt WHERE lon > 20 AND lat > 0),
+    f"""WITH {POINTS}, g AS (SELECT id % 25 AS area, (-0.25 * (lon - 100) - 0.01 * (lat - 50)) / (0.5 * -0.25 - 0.01 * 0.02) - 0.5 AS x, (0.5 * (lat - 50) - 0.02 * (lon - 100)) / (0.5 * -0.25 - 0.01 * 0.02) - 0.5 AS y FROM pt),
     b AS (SELECT area, floor(min(x)) AS c0, ceil(max(x)) AS c1, floor(min(y)) AS r0, ceil(max(y)) AS r1 FROM g GROUP BY 1),
     v AS (SELECT area, greatest(c0, 0) AS c0, greatest(r0, 0) AS r0, least(c1 + 1, 120) - greatest(c0, 0) AS w, least(r1 + 1, 300) - greatest(r0, 0) AS h FROM b)
     SELECT area, CAST(CASE WHEN w > 0 AND h > 0 THEN c0 ELSE 0 END AS BIGINT) AS col, CAST(CASE WHEN w > 0 AND h > 0 THEN r0 ELSE 0 END AS BIGINT) AS row,
@@ -62,18 +62,18 @@ def pixel_grid(spark, sf_dir):
 )
 def geometry_roi(spark, sf_dir):
     """The part of a raster that holds the points of each area."""
-    p = points(spark, sf_dir).where("lon > 20 and lat > 0").select((c("id") % 25).alias("area"), c("lon").alias("x"), c("lat").alias("y"))
+    p = points(spark, sf_dir).select((c("id") % 25).alias("area"), c("lon").alias("x"), c("lat").alias("y"))
     return roi.raster_roi(p, ["area"], _MAP, 120, 300).select("area", "roi.*")
 
 
 @query(
-    f"""WITH {POINTS}, b AS (SELECT id % 25 AS area, floor(min(lon * 10)) AS c0, ceil(max(lon * 10)) AS c1, floor(min(lat * 10)) AS r0, ceil(max(lat * 10)) AS r1 FROM pt WHERE id % 4 = 0 GROUP BY 1),
+    f"""WITH {POINTS}, b AS (SELECT id % 25 AS area, floor(min(lon * 10)) AS c0, ceil(max(lon * 10)) AS c1, floor(min(lat * 10)) AS r0, ceil(max(lat * 10)) AS r1 FROM pt GROUP BY 1),
     e AS (SELECT area, c0, r0, c1 - c0 + 1 AS w, r1 - r0 + 1 AS h, greatest(c1 - c0 + 1, 1024) AS bw, greatest(r1 - r0 + 1, 512) AS bh FROM b)
     SELECT area, CAST(trunc(c0 + w / 2 - bw / 2) AS BIGINT) AS col, CAST(trunc(r0 + h / 2 - bh / 2) AS BIGINT) AS row, CAST(bw AS BIGINT) AS w, CAST(bh AS BIGINT) AS h FROM e"""
 )
 def roi_provider(spark, sf_dir):
     """Rectangles around projected areas, of a least size about their centres."""
-    p = points(spark, sf_dir).where("id % 4 = 0").select((c("id") % 25).alias("area"), (c("lon") * 10).alias("x"), (c("lat") * 10).alias("y"))
+    p = points(spark, sf_dir).select((c("id") % 25).alias("area"), (c("lon") * 10).alias("x"), (c("lat") * 10).alias("y"))
     return roi.of_geometry(p, ["area"]).select("area", "roi.*")
 
 
