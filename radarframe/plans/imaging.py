@@ -96,3 +96,26 @@ def hdf5_round_trip(spark, sf_dir):
 def hdf5_window(spark, sf_dir):
     """A window of every file, of whose chunks only those that meet it are read."""
     return _of_files(hdf5.pixels(spark, _hdf5_files(spark, sf_dir), "science/swaths/HH", (5, 10, 20, 40)))
+
+
+_SERIES = [[0.5, -1.25, 2.0], [0.75, 0.125, -0.5], [-1.5, 0.25, 1.0]]
+_T = {"chebyshev": ("1", "{v}", "(2 * {v} * {v} - 1)"), "legendre": ("1", "{v}", "((3 * {v} * {v} - 1) / 2)")}
+_D = {"chebyshev": ("0", "1", "(4 * {v})"), "legendre": ("0", "1", "(3 * {v})")}
+
+
+def _surface_sql(kind: str, over_x: dict, over_y: dict) -> str:
+    return " + ".join(f"({_SERIES[i][j]}) * {over_x[kind][i].format(v='x')} * {over_y[kind][j].format(v='y')}" for i in range(3) for j in range(3))
+
+
+@query(
+    f"""WITH raster AS (SELECT vec_id AS row, i - 1 AS col, CAST(embedding[i] AS DOUBLE) AS x, (2.0 * (i - 1) - 63) / 63 AS y FROM embeddings, (SELECT unnest(range(1, 65)) AS i))
+    SELECT row, col, {', '.join(f"round({_surface_sql(k, a, b)}, 6) AS {k}_{n}" for k in _T for n, a, b in (('value', _T, _T), ('dx', _D, _T), ('dy', _T, _D)))} FROM raster"""
+)
+def polynomial_surfaces(spark, sf_dir):
+    """Chebyshev and Legendre series of two variables with both derivatives."""
+    from radarframe.functions import polynomials
+    from radarframe.plans.pixels import pixels
+
+    p = pixels(spark, sf_dir).select("row", "col", c("v").alias("x"), polynomials.scaled(c("col").cast("double"), 0.0, 63.0).alias("y"), F.array(*(F.array(*map(F.lit, r)) for r in _SERIES)).alias("c"))
+    done = p.select("row", "col", *(polynomials.surface(k, c("c"), c("x"), c("y")).alias(k) for k in _T))
+    return done.select("row", "col", *(_R(f"{k}.{n}", 6).alias(f"{k}_{n}") for k in _T for n in ("value", "dx", "dy")))
