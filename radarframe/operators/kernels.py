@@ -146,12 +146,15 @@ def goldstein_filter(df: DataFrame, step: int = 8, window: int = 5, alpha: float
     return tiled(df, ["re", "im"], size, 4 * step, kernel, ["re", "im"], by)
 
 
-def correlation_shift(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
-    """Rows and columns by which ``b`` is moved against ``a`` (cyclically), to sub-pixels by the sinc law, and the peak's height."""
+def _correlated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Phase correlation: high where ``b`` is ``a`` moved by so many rows and columns, cyclically."""
     cross = np.fft.fft2(b) * np.conj(np.fft.fft2(a))
     size = np.abs(cross)
-    c = np.fft.ifft2(np.where(size > 1e-12 * size.max(initial=0), cross / np.where(size == 0, 1, size), 0)).real
-    at = np.unravel_index(int(c.argmax()), c.shape)
+    return np.fft.ifft2(np.where(size > 1e-12 * size.max(initial=0), cross / np.where(size == 0, 1, size), 0)).real
+
+
+def _fine_shift(c: np.ndarray, at: tuple[int, int]) -> tuple[float, float]:
+    """A peak's place to sub-pixels by the sinc law, as a shift either way."""
 
     def fine(axis: int) -> float:
         n = c.shape[axis]
@@ -161,7 +164,37 @@ def correlation_shift(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float
         whole = at[axis] + part
         return float(whole - n if whole > n / 2 else whole)
 
-    return fine(0), fine(1), float(c[at])
+    return fine(0), fine(1)
+
+
+def correlation_shift(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
+    """Rows and columns by which ``b`` is moved against ``a`` (cyclically), to sub-pixels by the sinc law, and the peak's height."""
+    c = _correlated(a, b)
+    at = np.unravel_index(int(c.argmax()), c.shape)
+    return *_fine_shift(c, at), float(c[at])
+
+
+def guarded_shift(a: np.ndarray, b: np.ndarray, least: float = 0.0, most_second: float | None = None, max_shift: float | None = None) -> tuple[float, float, float]:
+    """What :func:`correlation_shift` gives, or NaNs where the peak can't be trusted.
+
+    Only local maxima (of 3 x 3 places, cyclically) that are moved by less than ``max_shift`` count. The highest has to reach ``least``, and the
+    second highest ``most_second`` of it at most: two that are about as high leave it open which one is the shift.
+    """
+    c = _correlated(a, b)
+    around = np.max([np.roll(c, (i, j), (0, 1)) for i in (-1, 0, 1) for j in (-1, 0, 1)], axis=0)
+    spots = np.argwhere(c == around)
+    moved = np.where(spots > np.array(c.shape) / 2, spots - np.array(c.shape), spots)
+    if max_shift is not None:
+        spots = spots[np.hypot(moved[:, 0], moved[:, 1]) < max_shift]
+    nothing = (float("nan"),) * 3
+    if not len(spots):
+        return nothing
+    heights = c[spots[:, 0], spots[:, 1]]
+    order = np.argsort(-heights, kind="stable")
+    top = float(heights[order[0]])
+    if top < least or most_second is not None and len(order) > 1 and heights[order[1]] > most_second * top:
+        return nothing
+    return *_fine_shift(c, tuple(int(v) for v in spots[order[0]])), top
 
 
 def lanczos(image: np.ndarray, rows: np.ndarray, cols: np.ndarray, lobes: int = 4) -> np.ndarray:

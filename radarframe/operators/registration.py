@@ -59,10 +59,11 @@ def resampled(images: DataFrame, maps: DataFrame, by: list[str], values: list[st
     return got.select(*by, (F.col("row") - row).alias("row"), (F.col("col") - col).alias("col"), *values)
 
 
-def shifts(primary: DataFrame, secondaries: DataFrame, by: list[str], value: str = "amp", block: int = 2048) -> DataFrame:
+def shifts(primary: DataFrame, secondaries: DataFrame, by: list[str], value: str = "amp", block: int = 2048, least: float = 0.0, most_second: float | None = None, max_shift: float | None = None) -> DataFrame:
     """(by..., d_col, d_row, peak) of each secondary against the primary by phase correlation, of the block whose peak is highest.
 
-    A crop within one block is correlated as a whole; a task holds one block of one pair, whatever the image's size.
+    A crop within one block is correlated as a whole; a task holds one block of one pair, whatever the image's size. Blocks whose peak is below ``least``, whose second peak
+    is above ``most_second`` of it, or that are moved by ``max_shift`` or more don't count (:func:`kernels.guarded_shift`); a pair without any has nulls.
     """
     tile = [F.floor(F.col("row") / block).alias("__r"), F.floor(F.col("col") / block).alias("__c")]
     both = secondaries.select(*by, "row", "col", *tile, F.col(value).alias("b")).join(primary.select("row", "col", F.col(value).alias("a")), ["row", "col"])
@@ -71,12 +72,13 @@ def shifts(primary: DataFrame, secondaries: DataFrame, by: list[str], value: str
         r, c = pdf["row"].to_numpy() - pdf["row"].min(), pdf["col"].to_numpy() - pdf["col"].min()
         a, b = (np.zeros((r.max() + 1, c.max() + 1)) for _ in range(2))
         a[r, c], b[r, c] = np.nan_to_num(pdf["a"].to_numpy(float)), np.nan_to_num(pdf["b"].to_numpy(float))
-        d_row, d_col, peak = kernels.correlation_shift(a, b)
+        d_row, d_col, peak = kernels.guarded_shift(a, b, least, most_second, max_shift)
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in by}, "d_col": [float(d_col)], "d_row": [float(d_row)], "peak": [float(peak)]})
 
     kept = ", ".join(f"{k} {secondaries.schema[k].dataType.simpleString()}" for k in by)
     found = both.groupBy(*by, "__r", "__c").applyInPandas(one, f"{kept}, d_col double, d_row double, peak double")
-    return found.groupBy(*by).agg(F.max(F.struct("peak", "d_col", "d_row")).alias("b")).select(*by, "b.d_col", "b.d_row", "b.peak")
+    sure = F.when(~F.isnan("peak"), F.struct("peak", "d_col", "d_row"))
+    return found.groupBy(*by).agg(F.max(sure).alias("b")).select(*by, "b.d_col", "b.d_row", "b.peak")
 
 
 def shifted(maps: DataFrame, moves: DataFrame, by: list[str]) -> DataFrame:

@@ -119,3 +119,29 @@ def polynomial_surfaces(spark, sf_dir):
     p = pixels(spark, sf_dir).select("row", "col", c("v").alias("x"), polynomials.scaled(c("col").cast("double"), 0.0, 63.0).alias("y"), F.array(*(F.array(*map(F.lit, r)) for r in _SERIES)).alias("c"))
     done = p.select("row", "col", *(polynomials.surface(k, c("c"), c("x"), c("y")).alias(k) for k in _T))
     return done.select("row", "col", *(_R(f"{k}.{n}", 6).alias(f"{k}_{n}") for k in _T for n in ("value", "dx", "dy")))
+
+
+@query(
+    f"""WITH {PAIR}, d AS (SELECT 'd' || (row // 100) AS date, row, row % 100 // 2 AS r, col // 8 AS k, r1 * r1 + i1 * i1 AS p FROM pair), w AS (SELECT date FROM d GROUP BY 1 HAVING count(DISTINCT row) = 100)
+    SELECT date, r AS row, k AS col, round(avg(p), 6) AS power FROM d JOIN w USING (date) GROUP BY 1, 2, 3"""
+)
+def resumable_stack(spark, sf_dir):
+    """A stack of images by date, made in two runs of a driver: the second goes on behind the first one's stage. Dates that lack lines are logged and left out."""
+    from radarframe.operators import driver
+
+    images = pairs(spark, sf_dir).select(F.concat(F.lit("d"), (c("row") / 100).cast("long").cast("string")).alias("date"), (c("row") % 100).alias("row"), "col", (c("r1") * c("r1") + c("i1") * c("i1")).alias("p"))
+    dates = [r["date"] for r in images.select("date").distinct().orderBy("date").collect()]  # acquisitions
+
+    def power(_, some):
+        own = images.where(c("date").isin(some))
+        lines = own.groupBy("date").agg(F.countDistinct("row").alias("lines"))
+        return own.join(lines, "date").select("date", "row", "col", "p", F.when(c("lines") < 100, "lines are missing").alias("problem"))
+
+    def cells(tables, _):
+        return tables["power"].groupBy("date", F.floor(c("row") / 2).alias("row"), F.floor(c("col") / 8).alias("col")).agg(F.avg("p").alias("power"))
+
+    folder, stages = shared_folder(spark, "stack"), [driver.Stage("power", power), driver.Stage("cells", cells, ("power",))]
+    driver.Run(spark, folder, stages).run(dates, until="power")
+    run = driver.Run(spark, folder, stages)
+    run.run(dates)
+    return run.table("cells").select("date", "row", "col", _R("power", 6).alias("power"))

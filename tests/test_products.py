@@ -38,6 +38,21 @@ def test_resampling_and_refinement_find_the_shift(spark):
     assert len(got) == 300 and np.allclose(got["amp"], image[got["row"] + 12, got["col"] + 10], atol=1e-3)
 
 
+def test_peaks_that_cant_be_trusted_are_refused(spark):
+    rng = np.random.default_rng(9)
+    a = rng.normal(size=(48, 40))
+    moved, twice, noise = np.roll(a, (5, -3), (0, 1)), np.roll(a, (5, -3), (0, 1)) + np.roll(a, (-9, 6), (0, 1)), rng.normal(size=a.shape)
+    assert np.allclose(kernels.guarded_shift(a, moved, 0.5, 0.7, 10)[:2], (5, -3), atol=0.02)
+    assert kernels.guarded_shift(a, moved) == kernels.correlation_shift(a, moved)
+    assert np.isnan(kernels.guarded_shift(a, twice, most_second=0.7)).all() and not np.isnan(kernels.guarded_shift(a, twice)).any()
+    assert np.isnan(kernels.guarded_shift(a, noise, least=0.5)).all() and np.isnan(kernels.guarded_shift(a, moved, least=0.5, max_shift=4)).all()
+    r, k = np.mgrid[0:48, 0:40].reshape(2, -1)
+    frame = lambda z, **m: pd.DataFrame({**m, "row": r, "col": k, "amp": z.ravel()})
+    both = spark.createDataFrame(pd.concat([frame(z, id=i) for i, z in enumerate((moved, twice, noise))]))
+    got = {x.id: x for x in registration.shifts(spark.createDataFrame(frame(a)), both, ["id"], least=0.3, most_second=0.7).collect()}
+    assert round(got[0].d_row) == 5 and round(got[0].d_col) == -3 and got[1].d_row is None and got[2].peak is None
+
+
 def test_an_image_without_a_map_is_null(spark):
     maps = spark.createDataFrame([(1, None)], "id int, matrix array<double>")
     image = spark.createDataFrame([(1, 0, 0, 1.0)], "id int, row int, col int, amp double")
