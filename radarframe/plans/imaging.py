@@ -145,3 +145,19 @@ def resumable_stack(spark, sf_dir):
     run = driver.Run(spark, folder, stages)
     run.run(dates)
     return run.table("cells").select("date", "row", "col", _R("power", 6).alias("power"))
+
+
+@query(
+    """WITH raster AS (SELECT vec_id AS row, i - 1 AS col, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i)),
+    k AS (SELECT *, row_number() OVER (ORDER BY row, col) - 1 AS rank FROM raster WHERE v > 0), l AS (SELECT DISTINCT row FROM k)
+    SELECT raster.row, raster.col, k.rank, round(k.v, 6) AS v FROM raster JOIN l USING (row) LEFT JOIN k ON k.row = raster.row AND k.col = raster.col"""
+)
+def mask_ranks(spark, sf_dir):
+    """A raster's positive pixels as a sparse series and back, with their ranks."""
+    from radarframe.operators import masks
+    from radarframe.plans.pixels import pixels
+
+    p = pixels(spark, sf_dir)
+    mask = _written(masks.encoded(p, c("v") > 0))
+    series = masks.sparse(p, mask, ["v"])
+    return masks.ranked(masks.dense(series, mask, "v", 64), mask).select("row", "col", "rank", _R("v", 6).alias("v"))
