@@ -151,7 +151,40 @@ def test_tiff_round_trip(kind):
     t = tiff.tags_of(data)
     assert t[tiff.TIE_POINT][3:5] == [5e5, 4e6] and t[tiff.GEO_KEYS][-1] == 32631
     with pytest.raises(ValueError):
-        tiff.window(b"MM\0*" + data[4:])
+        tiff.window(b"XX\0*" + data[4:])
+
+
+@pytest.mark.parametrize("order", "<>")
+@pytest.mark.parametrize("big", [False, True])
+@pytest.mark.parametrize(("kind", "compression", "predictor", "planar", "tile"), [
+    ("uint8", "lzw", 1, False, 64), ("uint16", "lzw", 2, False, None), ("int32", "deflate", 2, True, 48), ("float32", "lzw", 3, True, None), ("float64", "deflate", 3, False, 32), ("int16", "none", 2, False, 32), ("complex64", "none", 1, True, None),
+])
+def test_tiff_of_several_bands(kind, compression, predictor, planar, tile, order, big):
+    rng = np.random.default_rng(4)
+    z = (rng.normal(size=(101, 77, 3)).cumsum(1) * 50).astype(kind) if kind != "complex64" else (rng.normal(size=(101, 77, 3)) + 1j).astype(kind)
+    data = tiff.encoded(z, tile, compression=compression, predictor=predictor, planar=planar, order=order, big=big, rows_per_strip=16)
+    assert tiff.tags_of(data)[tiff.ORDER] == order and (tiff.window(data) == z).all()
+    assert (tiff.window(data, 30, 40, 25, 50) == z[40:90, 30:55]).all() and (tiff.window(data, 30, 40, 25, 50, band=2) == z[40:90, 30:55, 2]).all()
+    assert tiff.window(data, 70, 95, 50, 50, band=1).shape == (6, 7)
+
+
+def test_lzw_codes_grow_and_start_again():
+    rng = np.random.default_rng(1)
+    for raw in (b"", b"a", b"a" * 5000, rng.integers(0, 256, 40_000).astype("u1").tobytes(), rng.integers(0, 4, 60_000).astype("u1").tobytes()):
+        assert tiff.lzw_unpacked(tiff.lzw_packed(raw)) == raw
+    # the first codes of the format's own example: clear, 7, 258, 8, 8, 258, 6, 6, end, of nine bits each
+    packed = "".join(f"{b:08b}" for b in tiff.lzw_packed(bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])))
+    assert [int(packed[k : k + 9], 2) for k in range(0, 81, 9)] == [256, 7, 258, 8, 8, 258, 6, 6, 257]
+
+
+def test_a_window_of_a_planar_file_reads_its_blocks_only():
+    z = np.arange(200 * 200 * 2, dtype="f4").reshape(200, 200, 2)
+    data = bytearray(tiff.encoded(z, 50, planar=True, compression="none"))
+    t = tiff.tags_of(bytes(data))
+    for k, at in enumerate(t[tiff.TILES]):
+        if k not in (16 + 5, 16 + 6):  # the second band's blocks of the window
+            data[at : at + 8] = b"\xff" * 8
+    assert (tiff.window(bytes(data), 60, 60, 80, 30, band=1) == z[60:90, 60:140, 1]).all()
 
 
 def test_tiff_files_on_disk(spark, tmp_path):
