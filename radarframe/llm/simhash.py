@@ -8,7 +8,7 @@ copies cost nothing; crowded keys are cut into blocks, and a block returns a spa
 links, not the pairs.
 
 Defined cases: a null or empty text and one of white space only have fingerprint zero and are linked
-like any other; texts of one or two words have one shingle, the whole sequence; repeated rows are rows
+like any other; a bit that exactly half of the hashes have is 0; texts of one or two words have one shingle, the whole sequence; repeated rows are rows
 of their own in one component; rows with a null doc_id keep their fingerprint, count as largest when the
 component's smallest doc_id is taken, and give null where no row of the component has one; a very long text's
 shingles are counted as they stream by, and its fingerprint is of the whole of it. An empty table gives an empty table,
