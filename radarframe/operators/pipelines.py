@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from radarframe.functions import phase
-from radarframe.operators import bursts, ortho, raster, registration, resampling
+from radarframe.operators import bursts, kernels, ortho, raster, registration, resampling
 
 
-def interferograms(images: DataFrame, pairs: DataFrame, simulated: Sequence[DataFrame] = (), looks: tuple[int, int] = (2, 8)) -> DataFrame:
+def interferograms(images: DataFrame, pairs: DataFrame, simulated: Sequence[DataFrame] = (), looks: tuple[int, int] = (2, 8), goldstein: tuple[int, int, float] | None = None) -> DataFrame:
     """Pairs (date1, date2) of images (date, row, col, re, im), multilooked: (date1, date2, row, col, re, im, coherence).
 
     Each simulated phase (date, row, col, phi) is added to its image first, so the difference of both dates' phases turns the
-    interferogram; a date without one is turned by nothing. Looks are sums in cells, so they combine before the shuffle.
+    interferogram; a date without one is turned by nothing. Looks are sums in cells, so they combine before the shuffle. ``goldstein`` (step, window, alpha)
+    filters each multilooked interferogram; the coherence stays that of the looks.
     """
     z = images
     for k, s in enumerate(simulated):
@@ -27,7 +28,12 @@ def interferograms(images: DataFrame, pairs: DataFrame, simulated: Sequence[Data
     cell = both.select("date1", "date2", F.floor(F.col("row") / looks[0]).alias("row"), F.floor(F.col("col") / looks[1]).alias("col"), phase.times_conj(F.col("a"), F.col("b")).alias("z"), phase.power(F.col("a")).alias("p"), phase.power(F.col("b")).alias("q"))
     mean = cell.groupBy("date1", "date2", "row", "col").agg(F.avg("z.re").alias("re"), F.avg("z.im").alias("im"), F.avg("p").alias("p"), F.avg("q").alias("q"))
     coherence = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (F.sqrt(F.col("p") * F.col("q")) + 1e-10)
-    return mean.select("date1", "date2", "row", "col", "re", "im", coherence.alias("coherence"))
+    done = mean.select("date1", "date2", "row", "col", "re", "im", coherence.alias("coherence"))
+    if goldstein is None:
+        return done
+    step, window, alpha = goldstein
+    smooth = kernels.goldstein_filter(done, step, window, alpha, by=["date1", "date2"])
+    return smooth.join(done.drop("re", "im"), ["date1", "date2", "row", "col"])
 
 
 def slices_between(first: Column, last: Column, anx: Column, seconds: float) -> Column:

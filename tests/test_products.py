@@ -38,6 +38,24 @@ def test_resampling_and_refinement_find_the_shift(spark):
     assert len(got) == 300 and np.allclose(got["amp"], image[got["row"] + 12, got["col"] + 10], atol=1e-3)
 
 
+def test_interferograms_are_filtered_after_their_looks(spark):
+    rng = np.random.default_rng(10)
+    z = {d: rng.normal(size=(64, 96)) + 1j * rng.normal(size=(64, 96)) for d in "abc"}
+    r, k = np.mgrid[0:64, 0:96].reshape(2, -1)
+    images = spark.createDataFrame(pd.concat([pd.DataFrame({"date": d, "row": r, "col": k, "re": v.real.ravel(), "im": v.imag.ravel()}) for d, v in z.items()]))
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c")], "date1 string, date2 string")
+    got = pipelines.interferograms(images, pairs, looks=(2, 4), goldstein=(4, 3, 0.6)).toPandas()
+    plain = pipelines.interferograms(images, pairs, looks=(2, 4)).toPandas()
+    assert len(got) == len(plain) == 2 * 32 * 24
+    for d in "bc":
+        mean = (z["a"] * z[d].conj()).reshape(32, 2, 24, 4).mean((1, 3))
+        want = kernels.goldstein(mean, 4, 3, 0.6)
+        one = got[got["date2"] == d]
+        assert np.allclose(one["re"] + 1j * one["im"], want[one["row"], one["col"]], atol=1e-9)
+    both = got.merge(plain, on=["date1", "date2", "row", "col"])
+    assert (both["coherence_x"] == both["coherence_y"]).all()
+
+
 def test_peaks_that_cant_be_trusted_are_refused(spark):
     rng = np.random.default_rng(9)
     a = rng.normal(size=(48, 40))
