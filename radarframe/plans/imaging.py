@@ -161,3 +161,24 @@ def mask_ranks(spark, sf_dir):
     mask = _written(masks.encoded(p, c("v") > 0))
     series = masks.sparse(p, mask, ["v"])
     return masks.ranked(masks.dense(series, mask, "v", 64), mask).select("row", "col", "rank", _R("v", 6).alias("v"))
+
+
+@query(f"WITH {PAIR} SELECT row, col, round(r1 * r2 + i1 * i2, 6) AS re, round(i1 * r2 - r1 * i2, 6) AS im FROM pair")
+def goldstein_unfiltered(spark, sf_dir):
+    """The Goldstein filter with an exponent of zero: patches over all tiles blend to the interferogram that they were cut from."""
+    from radarframe.operators import images, kernels
+
+    done = kernels.goldstein_filter(images.crossed(pairs(spark, sf_dir)).select("row", "col", "re", "im"), 4, 3, 0.0, tile=64)
+    return done.select("row", "col", _R("re", 6).alias("re"), _R("im", 6).alias("im"))
+
+
+@query(f"WITH {PAIR} SELECT row // 64 AS id, CAST(least(64, max(row) - row // 64 * 64 + 1) AS BIGINT) AS lines, CAST(32 AS BIGINT) AS samples, count(*) * 2 AS values, round(sum(r1), 3) AS re, round(sum(i1), 3) AS im FROM pair GROUP BY 1")
+def hdf5_datasets(spark, sf_dir):
+    """The structure of files: each dataset's size, and sums over what it holds."""
+    from radarframe.sources import hdf5 as h
+
+    folder = _hdf5_files(spark, sf_dir)
+    listed = h.datasets(spark, folder).select(F.regexp_extract("path", "([0-9]+)[.]h5$", 1).cast("long").alias("id"), c("shape")[0].alias("lines"), c("shape")[1].alias("samples"))
+    whole = h.pixels(spark, folder, "science/swaths/HH").withColumn("id", F.regexp_extract("path", "([0-9]+)[.]h5$", 1).cast("long"))
+    sums = whole.groupBy("id").agg((F.count("*") * 2).alias("values"), _R(F.sum("re"), 3).alias("re"), _R(F.sum("im"), 3).alias("im"))
+    return listed.join(sums, "id")
