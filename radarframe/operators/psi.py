@@ -21,15 +21,17 @@ def _valid() -> Column:
     return F.col("phi").isNotNull() & ~F.isnan("phi")
 
 
-def periodogram(series: DataFrame, features: dict[str, str], axes: DataFrame, key: str = "ps") -> DataFrame:
-    """For each ``key`` the grid point of largest coherence of phi against sum(parameter * feature), first on ties.
+def periodogram(series: DataFrame, features: dict[str, str], axes: DataFrame, key: str = "ps", weight: str | None = None) -> DataFrame:
+    """For each ``key`` the grid point of largest coherence of phi against sum(parameter * feature), first on ties; with ``weight``, a column, of the coherence weighted by it.
 
     A key's samples are gathered into one array (its acquisitions, some hundred), so the grid is
     searched by matrix products in the worker: the shuffle is one row a key, not one a key and grid point. Null and NaN phases weigh 0
-    and don't count in n; gamma is null where no other is left.
+    and don't count in n, nor do samples without a weight above 0; gamma is null where no other is left.
     """
     own = list(features.values())
-    gathered = series.groupBy(key).agg(F.collect_list(F.when(_valid(), F.struct(F.col("phi").cast("double").alias("phi"), *(F.col(f).cast("double").alias(f) for f in own)))).alias("obs"))
+    heavy = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    sample = F.struct(F.col("phi").cast("double").alias("phi"), heavy.alias("__w"), *(F.col(f).cast("double").alias(f) for f in own))
+    gathered = series.groupBy(key).agg(F.collect_list(F.when(_valid() & (heavy > 0), sample)).alias("obs"))
     nodes = sorted(axes.select("idx", *features).collect())  # the grid, of given size
     kind = dict(gathered.dtypes)[key]
 
@@ -42,7 +44,7 @@ def periodogram(series: DataFrame, features: dict[str, str], axes: DataFrame, ke
             obs = batch.column(1)
             ends = np.asarray(obs.offsets)
             flat = obs.values  # the batch's samples, one behind the other
-            phi = np.asarray(flat.field("phi"))
+            phi, heavy = np.asarray(flat.field("phi")), np.asarray(flat.field("__w"))
             at = np.stack([np.asarray(flat.field(f)) for f in own], 1) if own else np.zeros((len(phi), 0))
             found = []
             for lo, hi in zip(ends[:-1], ends[1:], strict=True):
@@ -50,7 +52,7 @@ def periodogram(series: DataFrame, features: dict[str, str], axes: DataFrame, ke
                     found.append((0, None, nodes[0]))
                     continue
                 turned = np.exp(1j * (phi[lo:hi, None] - at[lo:hi] @ grid_of.T))
-                gamma = np.round(np.abs(turned.sum(axis=0)) / (hi - lo), 6)
+                gamma = np.round(np.abs(turned.sum(axis=0) if weight is None else heavy[lo:hi] @ turned) / (hi - lo if weight is None else heavy[lo:hi].sum()), 6)
                 best = int(gamma.argmax())
                 found.append((int(hi - lo), float(gamma[best]), nodes[best]))
             columns = [batch.column(0), pa.array([n for n, _, _ in found], pa.int64()), pa.array([g for _, g, _ in found], pa.float64()), pa.array([r[0] for _, _, r in found], pa.int32())]

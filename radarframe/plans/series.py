@@ -118,6 +118,19 @@ def periodogram_grid(spark, sf_dir):
     return psi.periodogram(o, {"v": "day", "q": "b"}, psi.grid(spark, {"v": _AXIS, "q": _AXIS}))
 
 
+@query(
+    f"""WITH {DAILY}, g AS (SELECT i + 19 * j AS idx, round(-0.45 + 0.05 * i, 2) AS v, round(-0.45 + 0.05 * j, 2) AS q FROM (SELECT unnest(range(19)) AS i), (SELECT unnest(range(19)) AS j)),
+    o AS (SELECT ps, phi, day % 4 * 0.5 AS w, CAST(day AS DOUBLE) AS day, CAST((day * 7) % 5 AS DOUBLE) AS b FROM daily WHERE day % 4 > 0),
+    c AS (SELECT ps, idx, v, q, count(*) AS n, round(sqrt(power(sum(w * cos(phi - (v * day + q * b))), 2) + power(sum(w * sin(phi - (v * day + q * b))), 2)) / sum(w), 6) AS gamma FROM o, g GROUP BY 1, 2, 3, 4)
+    SELECT ps, n, gamma, CAST(idx AS INTEGER) AS idx, v, q FROM (SELECT *, row_number() OVER (PARTITION BY ps ORDER BY gamma DESC, idx) AS k FROM c) WHERE k = 1"""
+)
+def periodogram_weighted(spark, sf_dir):
+    """The grid search with a weight for each date, some of which weigh nothing."""
+    day = F.col("day")
+    o = daily(spark, sf_dir).select("ps", "phi", (day % 4 * 0.5).alias("w"), day.cast("double").alias("day"), (day * 7 % 5).cast("double").alias("b"))
+    return psi.periodogram(o, {"v": "day", "q": "b"}, psi.grid(spark, {"v": _AXIS, "q": _AXIS}), weight="w")
+
+
 @query(
     f"""WITH {DAILY}, m AS (SELECT ps, atan2(sum(sin(phi)), sum(cos(phi))) AS ref FROM daily GROUP BY ps)
     SELECT ps, day, round({'((phi - ref + pi()) - (2 * pi()) * floor((phi - ref + pi()) / (2 * pi())) - pi())'}, 5) AS residual FROM daily JOIN m USING (ps)"""
