@@ -37,9 +37,10 @@ def coherence(pair: DataFrame, half_rows: int, half_cols: int, edges: str = "ins
     c = F.col
     value = F.sqrt(c("mean_re") * c("mean_re") + c("mean_im") * c("mean_im")) / (F.sqrt(c("mean_p1") * c("mean_p2")) + 1e-10)
     if edges == "nan":
-        spot = Window.partitionBy(*by, "__whole")
-        done = done.withColumn("__whole", F.lit(0))
-        near = (c("row") - F.min("row").over(spot) >= half_rows) & (F.max("row").over(spot) - c("row") >= half_rows) & (c("col") - F.min("col").over(spot) >= half_cols) & (F.max("col").over(spot) - c("col") >= half_cols)
+        # the image's bounds: a row an image
+        spot = x.where("re is not null").groupBy(*by).agg(F.min("row").alias("__r0"), F.max("row").alias("__r1"), F.min("col").alias("__c0"), F.max("col").alias("__c1"))
+        done = done.join(spot, list(by)) if by else done.crossJoin(F.broadcast(spot))
+        near = (c("row") - c("__r0") >= half_rows) & (c("__r1") - c("row") >= half_rows) & (c("col") - c("__c0") >= half_cols) & (c("__c1") - c("col") >= half_cols)
         value = F.when(near, value).otherwise(F.lit(float("nan")))
     return done.select(*by, "row", "col", value.alias("coherence"))
 
