@@ -92,6 +92,16 @@ def of_cosmo(df: DataFrame) -> DataFrame:
     return df.select(c("path").alias("product"), model.alias("model"))
 
 
+def of_snap(df: DataFrame) -> DataFrame:
+    """product, model of the products of DIMAP texts as ``metadata.snap_products`` reads them."""
+    c = F.col
+    model = _struct(
+        "snap", _states(c("state_vectors")), first_azt=c("image_start"), line_time=1 / c("azimuth_frequency"), first_rng=c("slant_range_time") * LIGHT_SPEED / 2, range_step=c("range_pixel_spacing"), width=c("width"),
+        height=c("height"), right=c("look_side") == "right", wavelength=c("wavelength"),
+    )
+    return df.select(F.concat_ws("#", "path", c("product").cast("string")).alias("product"), model.alias("model"))
+
+
 class Bound:
     """A model in a task: its fitted orbit and the image's coordinates."""
 

@@ -219,6 +219,57 @@ def snap_attributes(texts: DataFrame) -> DataFrame:
     return listed.select("path", "z.name", F.nullif("z.value", F.lit("")).alias("value"))
 
 
+def _element(depth: int) -> str:
+    """Schema of a DIMAP element with elements nested so deep in it."""
+    inner = f", MDElem: array<{_element(depth - 1)}>" if depth else ""
+    return f"struct<_name: string, MDATTR: array<struct<_name: string, _VALUE: string>>{inner}>"
+
+
+def snap_products(texts: DataFrame) -> DataFrame:
+    """One row a product of DIMAP texts, the first of which is the primary: numbers, corners, state vectors, and the files of its real and imaginary band.
+
+    What contradicts an unprojected, single-look complex product is listed in ``problems``; the row stays."""
+    schema = (
+        "Image_Interpretation struct<Spectral_Band_Info: array<struct<BAND_INDEX: int, BAND_NAME: string>>>, Data_Access struct<Data_File: array<struct<BAND_INDEX: int, DATA_FILE_PATH: struct<_href: string>>>>,"
+        f" Dataset_Sources struct<MDElem: struct<MDElem: array<{_element(3)}>>>"
+    )
+    c = F.col
+    named = lambda elements, name: F.filter(elements, lambda e: e["_name"] == name)
+    product = lambda e: F.named_struct(F.lit("attrs"), e["MDATTR"], F.lit("vectors"), F.transform(F.flatten(F.transform(named(e["MDElem"], "Orbit_State_Vectors"), lambda o: o["MDElem"])), lambda v: v["MDATTR"]))
+    top = c("Dataset_Sources.MDElem.MDElem")
+    others = F.coalesce(F.flatten(F.transform(named(top, "Slave_Metadata"), lambda s: s["MDElem"])), F.array().cast(f"array<{_element(2)}>"))
+    every = F.concat(F.transform(named(top, "Abstracted_Metadata"), product), F.transform(others, product))
+    m = _xml(texts, schema).select("path", "Image_Interpretation", "Data_Access", F.posexplode(every).alias("product", "p"))
+    of = lambda attrs, name: F.get(F.filter(attrs, lambda a: a["_name"] == name), F.lit(0))["_VALUE"]
+    text = lambda name: of(c("p.attrs"), name)
+    number = lambda name: text(name).try_cast("double")
+    when = lambda v: F.unix_micros(F.coalesce(F.try_to_timestamp(v, F.lit("dd-MMM-yyyy HH:mm:ss[.SSSSSS]")), F.try_to_timestamp(v))) / 1e6
+    xyz = lambda v, kind: F.named_struct(*(x for k in "xyz" for x in (F.lit(k), of(v, f"{k}_{kind}").try_cast("double"))))
+    states = F.transform("p.vectors", lambda v: F.named_struct(F.lit("time"), when(of(v, "time")), F.lit("position"), xyz(v, "pos"), F.lit("velocity"), xyz(v, "vel")))
+    corner = lambda where: F.struct(number(f"{where}_long").alias("lon"), number(f"{where}_lat").alias("lat"))
+    bands = F.split(F.coalesce(text("Slave_bands"), F.lit("")), " ")
+    index = lambda k: F.get(F.filter("Image_Interpretation.Spectral_Band_Info", lambda b: F.array_contains(bands, b["BAND_NAME"]) & b["BAND_NAME"].startswith(k)), F.lit(0))["BAND_INDEX"]
+    file = lambda k: F.regexp_replace(F.get(F.filter("Data_Access.Data_File", lambda d: d["BAND_INDEX"] == index(k)), F.lit(0))["DATA_FILE_PATH"]["_href"], "[.]hdr$", ".img")
+    checks = {
+        "look side": text("antenna_pointing").isin("right", "left"), "orbit direction": text("PASS").isin("ASCENDING", "DESCENDING"), "sample type": text("SAMPLE_TYPE") == "COMPLEX",
+        "looks": (number("azimuth_looks") == 1) & (number("range_looks") == 1), "terrain": number("is_terrain_corrected") == 0, "bands": file("i_").isNotNull() & file("q_").isNotNull(),
+    }
+    problems = F.filter(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items())), lambda p: p.isNotNull())
+    return m.select(
+        "path", "product", text("PRODUCT").alias("product_id"), F.lower(text("PASS")).alias("orbit_direction"), text("antenna_pointing").alias("look_side"), number("num_samples_per_line").cast("int").alias("width"),
+        number("num_output_lines").cast("int").alias("height"), when(text("first_line_time")).alias("image_start"), when(text("last_line_time")).alias("image_stop"), (1 / number("line_time_interval")).alias("azimuth_frequency"),
+        (2 * number("slant_range_to_first_pixel") / LIGHT_SPEED).alias("slant_range_time"), number("range_spacing").alias("range_pixel_spacing"), number("azimuth_spacing").alias("azimuth_pixel_spacing"),
+        number("range_sampling_rate").alias("range_sampling_rate"), (LIGHT_SPEED / (number("radar_frequency") * 1e6)).alias("wavelength"), F.array(*map(corner, ("first_near", "first_far", "last_far", "last_near"))).alias("approx_geom"),
+        states.alias("state_vectors"), file("i_").alias("real_file"), file("q_").alias("imaginary_file"), problems.alias("problems"),
+    )
+
+
+def complex_of_bands(real: DataFrame, imaginary: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """keep..., row, col, re, im of the pixels (keep..., row, col, value) that both bands have."""
+    on = [*keep, "row", "col"]
+    return real.select(*on, F.col("value").alias("re")).join(imaginary.select(*on, F.col("value").alias("im")), on)
+
+
 def capella(texts: DataFrame) -> DataFrame:
     """One row a Capella JSON text; times are nanoseconds and, within the day of the start, seconds."""
     vector = "array<double>"

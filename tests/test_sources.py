@@ -130,3 +130,31 @@ def test_catalogue_search(spark):
     assert find(area=[(4.5, 0.5), (5.5, 0.2), (5.5, 0.8)]) == ["n4", "n5"]
     assert find(area=[(-9.0, -9.0), (5.2, -9.0), (5.2, 9.0), (-9.0, 9.0)]) == ["n1", "n2", "n4", "n5"]
     assert catalog.lookup(items, "n3").count() == 1
+
+
+def _dimap(name, second="", **change):
+    given = dict(
+        PRODUCT=name, antenna_pointing="right", PASS="ASCENDING", SAMPLE_TYPE="COMPLEX", azimuth_looks="1.0", range_looks="1.0", range_spacing="2.5", azimuth_spacing="3", radar_frequency="5405.0", line_time_interval="0.002",
+        num_output_lines="200", num_samples_per_line="100", is_terrain_corrected="0", slant_range_to_first_pixel="800000", range_sampling_rate="64", first_line_time="14-FEB-2020 05:26:38.250000", last_line_time="14-FEB-2020 05:26:39.000000",
+        Slave_bands=f"i_{name} q_{name}", **{f"{a}_{b}_{c}": f"{k}" for k, (a, b, c) in enumerate((a, b, c) for a in ("first", "last") for b in ("near", "far") for c in ("lat", "long"))},
+    ) | change
+    vectors = "".join(f'<MDElem name="orbit_vector{k}"><MDATTR name="time">14-FEB-2020 05:26:{30 + 10 * k}.000000</MDATTR>' + "".join(f'<MDATTR name="{a}_{b}">{k}.5</MDATTR>' for a in "xyz" for b in ("pos", "vel")) + "</MDElem>" for k in range(2))
+    return "".join(f'<MDATTR name="{k}" type="ascii">{v}</MDATTR>' for k, v in given.items()) + f'<MDElem name="Orbit_State_Vectors">{vectors}</MDElem>{second}'
+
+
+def test_dimap_products_and_their_bands(spark):
+    bands = "".join(f"<Spectral_Band_Info><BAND_INDEX>{k}</BAND_INDEX><BAND_NAME>{n}</BAND_NAME></Spectral_Band_Info>" for k, n in enumerate(("i_a", "q_a", "i_b", "q_b")))
+    files = "".join(f'<Data_File><DATA_FILE_PATH href="x.data/{n}.hdr"/><BAND_INDEX>{k}</BAND_INDEX></Data_File>' for k, n in enumerate(("i_a", "q_a", "i_b", "q_b")))
+    sources = f'<MDElem name="metadata"><MDElem name="Abstracted_Metadata">{_dimap("a")}</MDElem><MDElem name="Slave_Metadata"><MDElem name="b_1">{_dimap("b", look="x", antenna_pointing="up", azimuth_looks="4")}</MDElem></MDElem></MDElem>'
+    text = f"<Dimap_Document><Image_Interpretation>{bands}</Image_Interpretation><Data_Access>{files}</Data_Access><Dataset_Sources>{sources}</Dataset_Sources></Dimap_Document>"
+    a, b = md.snap_products(texts(spark, text, "no xml", None)).orderBy("product").collect()
+    assert (a.product_id, a.width, a.height, a.azimuth_frequency, a.orbit_direction, a.problems) == ("a", 100, 200, 500.0, "ascending", [])
+    assert a.image_start == 1581657998.25 and (a.real_file, a.imaginary_file) == ("x.data/i_a.img", "x.data/q_a.img") and (b.real_file, b.imaginary_file) == ("x.data/i_b.img", "x.data/q_b.img")
+    assert [s.time - 1581657990 for s in a.state_vectors] == [0, 10] and a.state_vectors[1].position.z == 1.5 and b.state_vectors[0].velocity.x == 0.5
+    assert tuple(a.approx_geom[0]) == (1.0, 0.0) and a.slant_range_time == pytest.approx(2 * 8e5 / 299792458) and sorted(b.problems) == ["look side", "looks"]
+    from radarframe.operators import models
+
+    m = models.of_snap(md.snap_products(texts(spark, text))).orderBy("product").first()
+    assert m.product == "p0#0" and m.model.range_step == 2.5 and m.model.right and m.model.first_rng == pytest.approx(8e5)
+    i = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0)], "row int, col int, value double")
+    assert [tuple(r) for r in md.complex_of_bands(i, i.where("col = 1").withColumn("value", F.lit(5.0))).collect()] == [(0, 1, 2.0, 5.0)]
