@@ -112,6 +112,29 @@ def test_own_vocabulary(spark):
     assert got == {1: ("block", 0, 2), 2: ("allow", 0, 1), 3: ("allow", 0, 0)}
 
 
+def test_a_vocabulary_is_a_table_of_terms_and_weights(spark, monkeypatch):
+    """A hundred thousand terms, and urls judged by plain Python."""
+    import random
+
+    rng = random.Random(3)
+    terms = {f"t{k}x{rng.randrange(1000)}": (k % 10 == 0, 0.5 + k % 3 * 0.5) for k in range(100_000)}
+    listed = list(terms)
+    rows = [(t, s, w) for t, (s, w) in terms.items()] + [(None, True, 1.0), ("", True, 1.0), ("unweighted", False, None), ("ZERO", False, 0.0), ("TWICE", False, 0.2), ("twice", False, 5.0)]
+    words = urlfilter.vocabulary_of(spark.createDataFrame(rows, "term string, strict boolean, weight double"))
+    assert len(words.strict) == 10_000 and len(words.soft) == 90_001 and words.soft["twice"] == 5.0
+    urls = ["http://a.b/" + "-".join(rng.choice(listed) if rng.random() < 0.4 else f"plain{rng.randrange(99)}" for _ in range(rng.randrange(5))) for _ in range(300)] + ["http://a.b/Twice", "http://a.b/unweighted/zero", None]
+    urls.append("http://a.b/" + "y" * 50_000 + "/" + listed[10])
+    got = urlfilter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=(), vocabulary=words).collect()
+    for r in got:
+        parts = set(re.split("[^a-z0-9]+", (urls[r.page_id] or "").lower()))
+        strict, soft = parts & words.strict, [words.soft[t] for t in parts if t in words.soft]
+        assert (r.n_strict, r.n_soft, r.verdict) == (len(strict), len(soft), "block" if strict or sum(soft) >= 2 else "allow"), urls[r.page_id]
+    assert {r.verdict for r in got} == {"allow", "block"}
+    monkeypatch.setattr(urlfilter, "MOST_TERMS", 5)
+    with pytest.raises(ValueError):
+        urlfilter.vocabulary_of(spark.createDataFrame(rows, "term string, strict boolean, weight double"))
+
+
 ARTICLE = re.compile("<article>(.*?)</article>", re.S)
 
 
