@@ -66,6 +66,29 @@ class Orbit:
         return float(now)
 
 
+@dataclass(frozen=True)
+class Orbits:
+    """Orbits of many products side by side: point i is met by the i-th of start, end and coefficients (n, degree + 1, 3)."""
+
+    start: np.ndarray
+    end: np.ndarray
+    coefficients: np.ndarray
+
+    @staticmethod
+    def of(orbits: list[Orbit], which: np.ndarray) -> Orbits:
+        """``which`` says each point's orbit; lower degrees are filled up with zeros."""
+        c = np.zeros((len(orbits), max(len(o.coefficients) for o in orbits), 3))
+        for k, o in enumerate(orbits):
+            c[k, : len(o.coefficients)] = o.coefficients
+        return Orbits(np.array([o.start for o in orbits])[which], np.array([o.end for o in orbits])[which], c[which])
+
+    def at(self, t, order: int = 0) -> np.ndarray:
+        half = (self.end - self.start) / 2
+        c = np.polynomial.chebyshev.chebder(self.coefficients, order, axis=1) if order else self.coefficients
+        basis = np.polynomial.chebyshev.chebvander((np.asarray(t, float) - self.start) / half - 1, c.shape[1] - 1)
+        return np.einsum("nk,nkd->nd", basis, c) / half[:, None] ** order
+
+
 def closest_approach(orbit: Orbit, points: np.ndarray, half_wave_doppler: np.ndarray | float = 0.0):
     """Azimuth time, range, incidence in degrees, convergence of ground points (n, 3)."""
     t = np.full(len(points), (orbit.start + orbit.end) / 2)

@@ -84,29 +84,44 @@ def coarse_footprints(products: DataFrame, margin: int = 1000, alt_min: float =
     """Corners (lon, lat) of each product's rectangle, widened by ``margin`` pixels and seen at the lowest height in near range and the highest in far range.
 
     ``products``: id, states array of (t, x, y, z, vx, vy, vz), first_azt, azimuth_frequency, first_rng, range_step, w, h. One row a product
-    travels through the worker, so products may be many; null states or sizes give a null footprint.
+    travels through the worker, so products may be many; a batch's corners are solved together, and equal states are fitted once in it.
+    States or sizes that are null, or hold one, give a null footprint.
     """
     schema = f"id {products.schema['id'].dataType.simpleString()}, footprint array<struct<lon: double, lat: double>>"
     names = "first_azt azimuth_frequency first_rng range_step w h".split()
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for one in pdf.itertuples():
-                fixed = [getattr(one, n) for n in names]
-                if one.states is None or len(one.states) < 2 or any(v is None or v != v for v in fixed):
-                    out.append(None)
-                    continue
-                states = np.array([[s[k] for k in ("t", "x", "y", "z", "vx", "vy", "vz")] for s in one.states], float)
-                timing = Timing(*fixed)
-                rows = np.array([-margin, -margin, timing.h + margin, timing.h + margin], float)
-                cols = np.array([-margin, timing.w + margin, timing.w + margin, -margin], float)
-                azt, rng = timing.at(rows, cols)
-                ground, _ = geometry.on_ellipsoid(geometry.Orbit.fit(states[:, 0], states[:, 1:4], states[:, 4:]), azt, rng, np.array([alt_min, alt_max, alt_max, alt_min]), right)
-                out.append([{"lon": float(p[0]), "lat": float(p[1])} for p in np.asarray(geometry.to_geodetic(ground)).reshape(len(rows), -1)])
-            yield pdf[["id"]].assign(footprint=out)
-
-    return products.select("id", "states", *(F.col(n).cast("double").alias(n) for n in names)).mapInPandas(run, schema)
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            column = dict(zip(batch.schema.names, batch.columns, strict=True))
+            fixed = np.stack([np.asarray(column[n].to_numpy(zero_copy_only=False), float) for n in names], 1)
+            flat = column["states"].flatten()
+            states = np.stack([np.asarray(flat.field(k).to_numpy(zero_copy_only=False), float) for k in ("t", "x", "y", "z", "vx", "vy", "vz")], 1)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(column["states"]), 0).to_numpy(zero_copy_only=False))
+            own = [states[a:b] for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)]
+            good = [k for k in range(len(own)) if len(own[k]) > 1 and np.isfinite(own[k]).all() and np.isfinite(fixed[k]).all()]
+            out = [None] * len(own)
+            if good:
+                fits, which = {}, []
+                for k in good:
+                    key = own[k].tobytes()
+                    if key not in fits:
+                        fits[key] = len(fits), geometry.Orbit.fit(own[k][:, 0], own[k][:, 1:4], own[k][:, 4:])
+                    which.append(fits[key][0])
+                orbits = geometry.Orbits.of([o for _, o in fits.values()], np.repeat(which, 4))
+                azt0, frequency, rng0, step, w, h = fixed[good].T[:, :, None]
+                zero = np.zeros_like(w)
+                azt = azt0 + np.concatenate([zero - margin, zero - margin, h + margin, h + margin], 1) / frequency
+                rng = rng0 + np.concatenate([zero - margin, w + margin, w + margin, zero - margin], 1) * step
+                ground, _ = geometry.on_ellipsoid(orbits, azt.ravel(), rng.ravel(), np.tile([alt_min, alt_max, alt_max, alt_min], len(good)), right)
+                for k, four in zip(good, geometry.to_geodetic(ground).reshape(-1, 4, 3).tolist(), strict=True):
+                    out[k] = [{"lon": p[0], "lat": p[1]} for p in four]
+            kind = pa.list_(pa.struct([("lon", pa.float64()), ("lat", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([column["id"], pa.array(out, kind)], names=["id", "footprint"])
+
+    return products.select("id", "states", *(F.col(n).cast("double").alias(n) for n in names)).mapInArrow(run, schema)
 
 
 def bounds(footprints: DataFrame) -> DataFrame:

@@ -212,7 +212,8 @@ def coarse_footprint(spark, sf_dir):
     states = [tuple(map(float, (s, *orbit.at([s])[0], *orbit.at([s], 1)[0]))) for s in t]
     one = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("t", "x", "y", "z", "vx", "vy", "vz"), s, strict=True))) for s in states))
     k = c("p_partkey")
-    products = table(spark, sf_dir, "part").select(k.alias("id"), one.alias("states"), (k % 90 - 45).alias("first_azt"), F.lit(400.0).alias("azimuth_frequency"), (830_000 + k % 50 * 400).alias("first_rng"), F.lit(2.5).alias("range_step"), F.lit(9000).alias("w"), F.lit(3000).alias("h"))
+    # dealt to tasks while rows are short
+    products = table(spark, sf_dir, "part").select("p_partkey").repartition(k).select(k.alias("id"), one.alias("states"), (k % 90 - 45).alias("first_azt"), F.lit(400.0).alias("azimuth_frequency"), (830_000 + k % 50 * 400).alias("first_rng"), F.lit(2.5).alias("range_step"), F.lit(9000).alias("w"), F.lit(3000).alias("h"))
     return predict.bounds(predict.coarse_footprints(products)).select("id", *(_R(v, 5).alias(v) for v in ("lon_min", "lon_max", "lat_min", "lat_max")))
 
 
