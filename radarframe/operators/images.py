@@ -28,10 +28,8 @@ def coherence(pair: DataFrame, half_rows: int, half_cols: int, edges: str = "ins
     x = crossed(pair)
     names = ["re", "im", "p1", "p2"]
     if edges == "replicate":
-        done = x
-        for k in names:
-            done = raster.weighted_box(done.withColumn(k, F.coalesce(k, F.lit(0.0))), k, half_rows, half_cols, f"mean_{k}", by)
-        done = done.join(x.where("re is not null").select(*by, "row", "col"), [*by, "row", "col"], "left_semi")
+        filled = x.select(*by, "row", "col", F.col("re").isNotNull().alias("__known"), *(F.coalesce(k, F.lit(0.0)).alias(k) for k in names))
+        done = raster.weighted_box(filled, names, half_rows, half_cols, by).where("__known")
     else:
         done = raster.box_mean(x, names, half_rows, half_cols, by).where("re is not null")
     c = F.col

@@ -95,12 +95,18 @@ def interpolated(table: DataFrame, points: DataFrame) -> DataFrame:
     return met.select("id", "t", value.alias("value"))
 
 
+def _ends(source: str, w: Window) -> tuple[Column, Column]:
+    """First and last value of a line or column. Both are of the whole of it, so they are told once: a frame that ends later than its row but begins with it is summed anew for each row."""
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return F.first(source).over(whole), F.last(source).over(whole)
+
+
 def weighted(df: DataFrame, value: str, weights: list[float], by: list[str] = ()) -> DataFrame:
     """``smooth``: a separable filter of odd length along both axes; an edge pixel stands for those beyond it."""
     half = len(weights) // 2
 
     def one(source: str, w: Window) -> Column:
-        ends = F.first(source).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.last(source).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+        ends = _ends(source, w)
         terms = [F.coalesce(F.lag(source, -k).over(w), ends[k > 0]) if k else F.col(source) for k in range(-half, half + 1)]
         return sum((x * t for x, t in zip(weights, terms, strict=True)), F.lit(0.0))
 
@@ -108,16 +114,17 @@ def weighted(df: DataFrame, value: str, weights: list[float], by: list[str] = ()
     return df.withColumn("smooth", one("__h", along("row", "col", by))).drop("__h")
 
 
-def weighted_box(df: DataFrame, value: str, half_rows: int, half_cols: int, out: str, by: list[str] = ()) -> DataFrame:
-    """``out``: moving means in which an edge pixel stands for those beyond it, sizes differing by axis."""
+def weighted_box(df: DataFrame, values: list[str], half_rows: int, half_cols: int, by: list[str] = ()) -> DataFrame:
+    """``mean_...`` of each value: moving means in which an edge pixel stands for those beyond it, sizes differing by axis. All values go through the two windows together."""
 
     def one(source: str, half: int, w: Window) -> Column:
-        ends = F.first(source).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.last(source).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+        ends = _ends(source, w)
         terms = [F.coalesce(F.lag(source, -k).over(w), ends[k > 0]) if k else F.col(source) for k in range(-half, half + 1)]
         return sum(terms[1:], terms[0]) / len(terms)
 
-    df = df.withColumn("__b", one(value, half_cols, along("col", "row", by)))
-    return df.withColumn(out, one("__b", half_rows, along("row", "col", by))).drop("__b")
+    df = df.select("*", *(one(v, half_cols, along("col", "row", by)).alias(f"__b_{v}") for v in values))
+    df = df.select("*", *(one(f"__b_{v}", half_rows, along("row", "col", by)).alias(f"mean_{v}") for v in values))
+    return df.drop(*(f"__b_{v}" for v in values))
 
 
 def gaussian_weights(size: int) -> list[float]:

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from radarframe.operators import geometry, predict
+from radarframe.operators import geometry, images, predict, raster
 from radarframe.plans.dense import circular_orbit
 
 c = F.col
@@ -31,3 +31,26 @@ def test_footprints_of_many_orbits_are_solved_together(spark):
         m, done = geometry.on_ellipsoid(geometry.Orbit.fit(s[:, 0], s[:, 1:4], s[:, 4:]), azt, rng, np.array([-1000.0, 9000, 9000, -1000]))
         assert done.all()
         assert np.abs(np.array([(p["lon"], p["lat"]) for p in got[i]]) - geometry.to_geodetic(m)[:, :2]).max() < 1e-9
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_replicated_edges_are_told_once_a_line(spark):
+    """No frame that runs from each row to the far end, which takes the square of a column's length; and two windows for all four sums."""
+    p = spark.range(60).selectExpr("id div 6 as row", "id % 6 as col", "cast(id * id % 7 as double) as v")
+    mean = raster.weighted(p, "v", [0.25, 0.25, 0.25, 0.25, 0.0])
+    pair = p.selectExpr("row", "col", "v as r1", "v + 1 as i1", "if(row = 3 and col = 2, null, 2 - v) as r2", "v * v as i2")
+    both = images.coherence(pair, 1, 2, "replicate")
+    for df in (mean, both):
+        assert "currentrow$(), unboundedfollowing" not in _plan(df)
+    assert _plan(both).count("window [") == 2 and "join" not in _plan(both)
+    a = pair.toPandas().pivot(index="row", columns="col")
+    z = {k: a[k].to_numpy(float) for k in ("r1", "i1", "r2", "i2")}
+    known = ~np.isnan(z["r2"])
+    first, second = z["r1"] + 1j * z["i1"], np.where(known, z["r2"], 0) + 1j * z["i2"]
+    box = lambda x: sum(np.pad(np.where(known, x, 0), ((1, 1), (2, 2)), "edge")[i : i + 10, j : j + 6] for i in range(3) for j in range(5)) / 15
+    want = np.abs(box(first * second.conj())) / (np.sqrt(box(np.abs(first) ** 2) * box(np.abs(second) ** 2)) + 1e-10)
+    got = both.collect()
+    assert len(got) == 59 and all(abs(r.coherence - want[r.row, r.col]) < 1e-9 for r in got)
