@@ -93,17 +93,20 @@ def closest_approach(orbit: Orbit, points: np.ndarray, half_wave_doppler: np.nda
     """Azimuth time, range, incidence in degrees, convergence of ground points (n, 3)."""
     t = np.full(len(points), (orbit.start + orbit.end) / 2)
     done = np.zeros(len(points), bool)
+    doppler = np.broadcast_to(half_wave_doppler, t.shape)
     for _ in range(ROUNDS):
-        d, v, a = points - orbit.at(t), orbit.at(t, 1), orbit.at(t, 2)
+        left = np.nonzero(~done)[0]  # points that stand still take no further part
+        if not len(left):
+            break
+        at, h = t[left], doppler[left]
+        d, v, a = points[left] - orbit.at(at), orbit.at(at, 1), orbit.at(at, 2)
         r = np.linalg.norm(d, axis=1)
         along = (v * d).sum(1)
-        f = along - half_wave_doppler * r
-        slope = (a * d).sum(1) - (v * v).sum(1) + half_wave_doppler * along / r
-        step = np.where(done, 0.0, f / slope)
-        t = np.clip(t - step, orbit.start - (orbit.end - orbit.start) / 4, orbit.end + (orbit.end - orbit.start) / 4)
-        done |= np.abs(step) < AZIMUTH_TOL
-        if done.all():
-            break
+        f = along - h * r
+        slope = (a * d).sum(1) - (v * v).sum(1) + h * along / r
+        step = f / slope
+        t[left] = np.clip(at - step, orbit.start - (orbit.end - orbit.start) / 4, orbit.end + (orbit.end - orbit.start) / 4)
+        done[left] = np.abs(step) < AZIMUTH_TOL
     d = points - orbit.at(t)
     r = np.linalg.norm(d, axis=1)
     cosine = -(d * points).sum(1) / (r * np.linalg.norm(points, axis=1))

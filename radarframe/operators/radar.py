@@ -18,9 +18,9 @@ from radarframe.operators import geometry, raster
 
 def image_nodes(dem: DataFrame, orbit: geometry.Orbit, first_azt: float, azimuth_frequency: float, first_rng: float, range_step: float) -> DataFrame:
     """dem with line and sample (both real), incidence, unit look vector and angle off nadir of each node."""
-    keyed = dem.withColumn("id", F.struct("row", "col"))
-    seen = geometry.project_with_look(keyed, orbit).where("converged").select(F.col("id.row").alias("row"), F.col("id.col").alias("col"), ((F.col("azt") - first_azt) * azimuth_frequency).alias("line"), ((F.col("rng") - first_rng) / range_step).alias("sample"), "incidence", "lx", "ly", "lz", "off")
-    return dem.join(seen, ["row", "col"])
+    keyed = dem.select(F.struct(*dem.columns).alias("id"), "x", "y", "z")  # a node's columns go with it, so that none is joined back
+    seen = geometry.project_with_look(keyed, orbit).where("converged")
+    return seen.select(*(F.col("id")[k].alias(k) for k in dem.columns), ((F.col("azt") - first_azt) * azimuth_frequency).alias("line"), ((F.col("rng") - first_rng) / range_step).alias("sample"), "incidence", "lx", "ly", "lz", "off")
 
 
 def cells(nodes: DataFrame, values: list[str]) -> DataFrame:
@@ -37,8 +37,8 @@ def triangles(nodes: DataFrame, values: list[str]) -> DataFrame:
     return cells(nodes, values).select("row", "col", halves.alias("t")).select("row", "col", "t.*")
 
 
-def radarcoded(nodes: DataFrame, value: str, width: int, height: int) -> DataFrame:
-    """line, sample, value on whole pixels of a width x height image: linear within the triangle over a pixel, the mean where several lie over it.
+def radarcoded(nodes: DataFrame, value: str, width: int | None = None, height: int | None = None) -> DataFrame:
+    """line, sample, value on whole pixels of a width x height image: linear within the triangle over a pixel, the mean where several lie over it. Without a size the image reaches as far as the nodes.
 
     ``nodes`` has line, sample and the value. A triangle is exploded to the pixels of its bounding box, so a
     grid about as fine as the image gives few pixels each.
@@ -46,8 +46,9 @@ def radarcoded(nodes: DataFrame, value: str, width: int, height: int) -> DataFra
     t = triangles(nodes, ["line", "sample", value])
     lines, samples = ([F.col(f"{k}.{axis}") for k in "abc"] for axis in ("line", "sample"))
 
-    def span(v: list[Column], top: int) -> Column:
-        low, high = F.greatest(F.ceil(F.least(*v)), F.lit(0)).cast("long"), F.least(F.floor(F.greatest(*v)), F.lit(top - 1)).cast("long")
+    def span(v: list[Column], top: int | None) -> Column:
+        low, high = F.greatest(F.ceil(F.least(*v)), F.lit(0)).cast("long"), F.floor(F.greatest(*v)).cast("long")
+        high = high if top is None else F.least(high, F.lit(top - 1).cast("long"))
         return F.explode(F.when(low <= high, F.sequence(low, high)))
 
     t = t.withColumn("line", span(lines, height)).withColumn("sample", span(samples, width))

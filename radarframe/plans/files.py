@@ -45,14 +45,14 @@ def terrain(spark, sf_dir):
     """A height model on a grid regular in time and range, with the raster as heights."""
     r = pixels(spark, sf_dir)
     at = r.select(F.struct("row", "col", "v").alias("id"), (_AZT + c("row") * 1.1 / _FREQUENCY).alias("azt"), (_RNG + c("col") * _STEP * 1.2).alias("rng"), (c("v") * 20).alias("alt"))
-    return geometry.localize(at, circular_orbit()).select("id.row", "id.col", "id.v", "x", "y", "z")
+    # lines far behind the orbit's state vectors have no place on the ground
+    return geometry.localize(at, circular_orbit()).where("converged").select("id.row", "id.col", "id.v", "x", "y", "z")
 
 
 @query()
 def dem_radarcode(spark, sf_dir):
     nodes = radar.image_nodes(terrain(spark, sf_dir), circular_orbit(), _AZT, _FREQUENCY, _RNG, _STEP)
-    top = nodes.agg(F.max("line"), F.max("sample")).first()
-    done = radar.radarcoded(nodes, "v", int(top[1]) + 1, int(top[0]) + 1)
+    done = radar.radarcoded(nodes, "v")
     return done.select("line", "sample", F.round("v", 4).alias("v"))
 
 

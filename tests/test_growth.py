@@ -5,8 +5,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from radarframe.operators import geometry, images, predict, raster
+from radarframe.functions import roi
+from radarframe.operators import geometry, images, joins, predict, radar, raster
 from radarframe.plans.dense import circular_orbit
+from radarframe.sources import catalog
 
 c = F.col
 
@@ -54,3 +56,14 @@ def test_replicated_edges_are_told_once_a_line(spark):
     want = np.abs(box(first * second.conj())) / (np.sqrt(box(np.abs(first) ** 2) * box(np.abs(second) ** 2)) + 1e-10)
     got = both.collect()
     assert len(got) == 59 and all(abs(r.coherence - want[r.row, r.col]) < 1e-9 for r in got)
+
+
+def test_nodes_of_a_height_model_are_not_joined_back(spark):
+    """A node's columns go through the projection with it; an image without a size reaches as far as its nodes."""
+    dem = spark.createDataFrame([(r, k, float(r * k)) for r in range(3) for k in range(4)], "row long, col long, v double")
+    at = dem.select(F.struct("row", "col", "v").alias("id"), (c("row") / 40.0).alias("azt"), (850_000 + 60.0 * c("col")).alias("rng"), F.lit(0.0).alias("alt"))
+    dem = geometry.localize(at, circular_orbit()).select("id.row", "id.col", "id.v", "x", "y", "z")
+    nodes = radar.image_nodes(dem, circular_orbit(), 0.0, 40.0, 850_000.0, 60.0)
+    assert "join" not in _plan(nodes)
+    got = {(r.line, r.sample): r.v for r in radar.radarcoded(nodes.withColumns({"line": F.round("line", 6), "sample": F.round("sample", 6)}), "v").collect()}
+    assert len(got) == 12 and all(abs(v - line * sample) < 1e-9 for (line, sample), v in got.items())
