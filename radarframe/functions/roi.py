@@ -134,11 +134,16 @@ def gathered(array: Column, ids: Column) -> Column:
     return F.transform(ids, lambda i: F.get(array, i))
 
 
-def block_factor(row: Column, col: Column, blocks: list[tuple[int, int, int, int, float, float]]) -> Column:
-    """1, or in the first of the blocks (row0, row1, col0, col1, first, last) that hold the pixel a factor linear in the line."""
+def block_factor(row: Column, col: Column, blocks: list[tuple]) -> Column:
+    """1, or in the first of the blocks (row0, row1, col0, col1, first, last) that hold the pixel a factor linear in the line.
+
+    The factor is ``first`` at row0 and ``last`` at row1. A block ends before row1, or where a seventh element says, which is None for a block without an end: there the factor goes on in line.
+    """
     out = F.lit(1.0)
-    for r0, r1, c0, c1, first, last in reversed(blocks):
-        out = F.when(row.between(r0, r1 - 1) & col.between(c0, c1 - 1), first + (last - first) * (row - r0) / (r1 - r0)).otherwise(out)
+    for r0, r1, c0, c1, first, last, *end in reversed(blocks):
+        end = end[0] if end else r1
+        lines = row >= r0 if end is None else row.between(r0, end - 1)
+        out = F.when(lines & col.between(c0, c1 - 1), first + (last - first) * (row - r0) / (r1 - r0)).otherwise(out)
     return out
 
 

@@ -82,3 +82,9 @@ def test_polygons_that_only_touch_do_not_meet(spark):
     notch = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (5.0, 2.0), (0.0, 10.0)]  # a box in its notch touches two slanted sides
     inside = spark.createDataFrame([("out", [(5.0, 2.0), (10.0, 10.0), (0.0, 10.0)]), ("meets", [(5.0, 1.0), (10.0, 10.0), (0.0, 10.0)])], df.schema)
     assert [r.name for r in inside.where(catalog.meets("f", notch)).collect()] == ["meets"]
+
+
+def test_a_block_without_an_end_goes_on(spark):
+    df = spark.createDataFrame([(k,) for k in (99, 100, 499, 500, 900)], "row long")
+    factor = lambda *end: [r[0] for r in df.orderBy("row").select(roi.block_factor(c("row"), F.lit(0), [(100, 500, 0, 4, 1.5, 1.3, *end)])).collect()]
+    assert factor() == pytest.approx([1, 1.5, 1.3005, 1, 1]) and factor(None) == pytest.approx([1, 1.5, 1.3005, 1.3, 1.1]) and factor(501) == pytest.approx([1, 1.5, 1.3005, 1.3, 1])
