@@ -27,14 +27,33 @@ def within_distance(points: DataFrame, radius: float) -> DataFrame:
 
 
 def nearest_records(points: DataFrame, records: DataFrame, key: str, n: int = 1) -> DataFrame:
-    """For each point (id, key, t) the ``n`` nearest records (key, idx, rt, ...), the first on ties.
+    """For each point (id, key, t) ``near``: the ``n`` nearest records (key, idx, rt, ...) of its key as (d, i, r), the first by idx on ties.
 
-    The records of a key are few (some a burst), so they are gathered by key once and ranked inside the row.
+    Of records at one time only the n first can be among them. Points and records of a key are sorted together, and the last n records before a point and the first n
+    behind it come by running windows, so a point meets 2 n records however many there are. Records without a time come after all others; a point without one has the first by idx.
     """
-    own = [c for c in records.columns if c != key]
-    lists = records.groupBy(key).agg(F.collect_list(F.struct(*own)).alias("recs"))
-    ranked = F.expr(f"slice(array_sort(transform(recs, r -> named_struct('d', abs(r.rt - t), 'i', r.idx, 'r', r))), 1, {n})")
-    return points.join(lists, key).withColumn("near", ranked).drop("recs")
+    own = [x for x in records.columns if x != key]
+    others = [x for x in points.columns if x != key]
+    some = lambda x: F.col(x).isNotNull() & ~F.isnan(x)
+    r = records.select(key, F.col("rt").cast("double").alias("__t"), F.struct(F.col("idx").alias("i"), F.struct(*own).alias("r")).alias("__s"))
+    first = lambda df, by: df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy("__s"))).where(F.col("__n") <= n).drop("__n")
+    few = lambda df, out: first(df, [key]).groupBy(key).agg(F.array_sort(F.collect_list("__s")).alias(out))  # noqa: E731  n a key
+    timed = first(r.where(some("__t")), [key, "__t"])
+    up, down = Window.partitionBy(key).orderBy("__t", F.desc("__s")), Window.partitionBy(key).orderBy(F.desc("__t"), F.desc("__s"))
+    run = lambda w: F.array("__s", *(F.lag("__s", k).over(w) for k in range(1, n)))  # noqa: E731  a record and those before it
+    timed = timed.select(key, "__t", run(up).alias("__low"), run(down).alias("__high"))
+    at = points.join(few(r, "__all"), key).join(few(r.where(~F.coalesce(some("__t"), F.lit(False))), "__rest"), key, "left")
+    at = at.select(key, F.col("t").cast("double").alias("__t"), F.struct(*others, "__all", "__rest").alias("__p"))
+    both = timed.withColumn("__k", F.lit(0)).unionByName(at.withColumn("__k", F.lit(1)), allowMissingColumns=True)
+    # records of a point's own time count as before it
+    before = Window.partitionBy(key).orderBy("__t", "__k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    behind = Window.partitionBy(key).orderBy(F.desc("__t"), F.desc("__k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumns({"__low": F.last("__low", ignorenulls=True).over(before), "__high": F.last("__high", ignorenulls=True).over(behind)}).where("__k = 1")
+    both = both.select(key, "__p.*", "__low", "__high")
+    ranked = "array_sort(transform(filter(concat(coalesce(__low, array()), coalesce(__high, array())), s -> s is not null), s -> named_struct('d', abs(s.r.rt - t), 'i', s.i, 'r', s.r)))"
+    plain = lambda x: f"transform({x}, s -> named_struct('d', abs(s.r.rt - t), 'i', s.i, 'r', s.r))"
+    near = F.expr(f"slice(if(t is null or isnan(t), {plain('__all')}, concat({ranked}, coalesce({plain('__rest')}, array()))), 1, {n})")
+    return both.select(key, *others, near.alias("near"))
 
 
 def best_containing(segments: DataFrame, files: DataFrame, rank: Column, longest: float, bin_width: float) -> DataFrame:

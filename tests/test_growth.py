@@ -88,3 +88,18 @@ def test_a_block_without_an_end_goes_on(spark):
     df = spark.createDataFrame([(k,) for k in (99, 100, 499, 500, 900)], "row long")
     factor = lambda *end: [r[0] for r in df.orderBy("row").select(roi.block_factor(c("row"), F.lit(0), [(100, 500, 0, 4, 1.5, 1.3, *end)])).collect()]
     assert factor() == pytest.approx([1, 1.5, 1.3005, 1, 1]) and factor(None) == pytest.approx([1, 1.5, 1.3005, 1.3, 1.1]) and factor(501) == pytest.approx([1, 1.5, 1.3005, 1.3, 1])
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_nearest_records_equal_brute_force(spark, n):
+    """Ties, equal times, keys with few records, and points and records without a time; no list of a key's records."""
+    rng = np.random.default_rng(n)
+    some = [None, float("nan"), *map(float, range(12))]
+    records = [(int(k), i, some[int(t)], float(i) / 2) for i, (k, t) in enumerate(zip(rng.integers(0, 4, 90), rng.integers(0, 14, 90), strict=True))] + [(7, 500, 3.0, 1.0), (8, 501, None, 2.0)]
+    points = [(i, int(k), some[int(t)] if t < 2 else some[int(t)] + 0.5 * (i % 2)) for i, (k, t) in enumerate(zip(rng.choice([0, 1, 2, 3, 7, 8, 9], 120), rng.integers(0, 14, 120), strict=True))]
+    got = joins.nearest_records(spark.createDataFrame(points, "id int, key int, t double"), spark.createDataFrame(records, "key int, idx int, rt double, c0 double").repartition(3), "key", n)
+    assert "collect_list" not in _plan(got) or "row_number" in _plan(got)
+    found = {r.id: [x.r.idx for x in r.near] for r in got.collect()}
+    last = lambda a, b: (1, 0.0) if a is None or b is None or np.isnan(a) or np.isnan(b) else (0, abs(a - b))
+    want = {i: [r[1] for r in sorted((r for r in records if r[0] == k), key=lambda r: (*last(r[2], t), r[1]))[:n]] for i, k, t in points}
+    assert found == {i: v for i, v in want.items() if v}
