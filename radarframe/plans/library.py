@@ -258,7 +258,9 @@ _STAMP = "2021-01-01T00:{m}:{s}.500000"
 def _parts(spark, sf_dir, template: str):
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
     text = _text(template, k=c("p_partkey"), n=c("p_size"), m=two(c("p_partkey") % 60), s=two(c("p_size") % 60), price=c("p_retailprice"), orbit=c("p_partkey") % 50 + 100)
-    return table(spark, sf_dir, "part").select(c("p_partkey").cast("string").alias("path"), text.alias("text"))
+    # rows are dealt to tasks before they become long texts: a table of short rows is one piece of a file
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice").repartition("p_partkey")
+    return rows.select(c("p_partkey").cast("string").alias("path"), text.alias("text"))
 
 
 _HEADER = "<adsHeader><missionId>S1A</missionId><absoluteOrbitNumber>{orbit}</absoluteOrbitNumber><swath>IW2</swath></adsHeader>"

@@ -111,8 +111,8 @@ def slc_bursts(texts: DataFrame) -> DataFrame:
         F.transform("dopplerCentroid.dcEstimateList.dcEstimate", lambda d: seconds(d["azimuthTime"])).alias("dc_estimate_time"),
         F.transform("dopplerCentroid.dcEstimateList.dcEstimate", lambda d: d["t0"]).alias("dc_estimate_t0"),
         F.transform("dopplerCentroid.dcEstimateList.dcEstimate", lambda d: numbers(F.when(data, d["dataDcPolynomial"]["_VALUE"]).otherwise(d["geometryDcPolynomial"]["_VALUE"]))).alias("dc_estimate_poly"),
-        c("geolocationGrid.geolocationGridPointList.geolocationGridPoint").alias("gcp"), F.posexplode("swathTiming.burstList.burst").alias("burst", "b"),
-    )
+        c("geolocationGrid.geolocationGridPointList.geolocationGridPoint").alias("gcp"), F.posexplode_outer("swathTiming.burstList.burst").alias("burst", "b"),
+    ).where("burst is not null")  # products without bursts go here: asked for before, each text would be parsed again to count them
     left = F.expr("filter(transform(split(trim(b.firstValidSample._VALUE), '\\\\s+'), (v, j) -> struct(cast(v as int) as v, j as j)), p -> p.v >= 0)")
     right = F.expr("filter(transform(split(trim(b.lastValidSample._VALUE), '\\\\s+'), v -> cast(v as int)), v -> v >= 0)")
     m = m.withColumn("__l", left).withColumn("__r", right)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from radarframe.functions import roi
 from radarframe.operators import geometry, images, joins, predict, radar, raster
 from radarframe.plans.dense import circular_orbit
-from radarframe.sources import catalog
+from radarframe.sources import catalog, metadata
 
 c = F.col
 
@@ -103,3 +103,13 @@ def test_nearest_records_equal_brute_force(spark, n):
     last = lambda a, b: (1, 0.0) if a is None or b is None or np.isnan(a) or np.isnan(b) else (0, abs(a - b))
     want = {i: [r[1] for r in sorted((r for r in records if r[0] == k), key=lambda r: (*last(r[2], t), r[1]))[:n]] for i, k, t in points}
     assert found == {i: v for i, v in want.items() if v}
+
+
+def test_annotation_texts_are_parsed_once(spark):
+    """Texts without bursts and broken ones give no row, and are not parsed a second time to find out."""
+    burst = "<burst><azimuthTime>2021-01-01T00:00:00.5</azimuthTime><firstValidSample>-1 3</firstValidSample><lastValidSample>-1 9</lastValidSample></burst>"
+    text = "<product><adsHeader><missionId>S1A</missionId></adsHeader><swathTiming><linesPerBurst>2</linesPerBurst><burstList>{}</burstList></swathTiming></product>"
+    df = spark.createDataFrame([("two", text.format(burst * 2)), ("none", text.format("")), ("broken", "<product><swath"), ("null", None)], "path string, text string")
+    b = metadata.slc_bursts(df)
+    assert _plan(b).count("from_xml") == 1
+    assert sorted((r.path, r.burst, r.burst_roi.col, r.burst_roi.row) for r in b.collect()) == [("two", 0, 3, 1), ("two", 1, 3, 3)]
