@@ -222,8 +222,8 @@ _SURFACE = "0.11 * row + 0.0007 * row * col - 0.4 * col + 3 * sin(row / 40.0)"
 
 @query(f"WITH {RASTER}, f AS (SELECT row, col, {_SURFACE} AS f FROM raster), o AS (SELECT f AS f0 FROM f WHERE row = 0 AND col = 0) SELECT row, col, round(f - f0, 4) AS u FROM f, o")
 def unwrap_tiles(spark, sf_dir):
-    """A surface found again from its wrapped phase, tile by tile, up to its first value."""
+    """A surface found again from its wrapped phase, tile by tile after the slopes of its lines, which pass half a turn a pixel further down; up to its first value."""
     f = 0.11 * c("row") + 0.0007 * c("row") * c("col") - 0.4 * c("col") + 3 * F.sin(c("row") / 40.0)
-    done = kernels.unwrapped_raster(pixels(spark, sf_dir).select("row", "col", phase.wrap(f).alias("phi")), _written, 32)
+    done = kernels.unwrapped_steep(pixels(spark, sf_dir).select("row", "col", phase.wrap(f).alias("phi")), _written, 32)
     first = done.where("row = 0 and col = 0").select(c("unwrapped").alias("u0"))
     return done.join(F.broadcast(first), c("u0").isNotNull()).select("row", "col", _R(c("unwrapped") - c("u0"), 4).alias("u"))

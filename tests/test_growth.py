@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from radarframe.functions import roi
-from radarframe.operators import geometry, images, joins, predict, radar, raster
+from radarframe.operators import geometry, images, joins, kernels, predict, radar, raster
 from radarframe.plans.dense import circular_orbit
 from radarframe.sources import catalog, metadata
 
@@ -113,3 +113,20 @@ def test_annotation_texts_are_parsed_once(spark):
     b = metadata.slc_bursts(df)
     assert _plan(b).count("from_xml") == 1
     assert sorted((r.path, r.burst, r.burst_roi.col, r.burst_roi.row) for r in b.collect()) == [("two", 0, 3, 1), ("two", 1, 3, 3)]
+
+
+def test_lines_steeper_than_half_a_turn_are_unwrapped(spark, tmp_path):
+    """A surface whose lines turn by more than pi a pixel further down, which no least-cost flow gives back."""
+    r, k = np.mgrid[0:48, 0:12].reshape(2, -1)
+    f = 0.1 * r + 0.12 * r * k - 0.4 * k
+    df = spark.createDataFrame(pd.DataFrame({"row": r, "col": k, "phi": (f + np.pi) % (2 * np.pi) - np.pi}))
+    names = iter(range(9))
+
+    def kept(x):
+        path = str(tmp_path / f"p{next(names)}")
+        x.write.parquet(path)
+        return spark.read.parquet(path)
+
+    got = kernels.unwrapped_steep(df, kept, 8).toPandas().sort_values(["row", "col"])
+    u = got["unwrapped"].to_numpy()
+    assert len(u) == len(f) and np.abs(u - u[0] - (f - f[0])).max() < 1e-9
