@@ -19,11 +19,14 @@ c = F.col
 def orbit_xml_parse(spark, sf_dir):
     """State vectors written as orbit files, one an order, and parsed back."""
     tag = lambda k, v: F.concat(F.lit(f'<{k} unit="m">'), v.cast("string"), F.lit(f"</{k}>"))
-    stamp = F.date_format(F.timestamp_seconds(F.unix_timestamp(c("l_shipdate").cast("timestamp")) + c("l_linenumber")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    stamp = F.date_format(F.timestamp_micros(F.unix_micros(c("l_shipdate").cast("timestamp")) + c("l_linenumber") * F.lit(1_000_000).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     axes = {"X": c("l_extendedprice"), "Y": c("l_discount"), "Z": c("l_tax"), "VX": c("l_quantity"), "VY": c("l_partkey"), "VZ": c("l_suppkey")}
-    osv = F.concat(F.lit("<OSV><UTC>UTC="), stamp, F.lit("</UTC>"), *(tag(k, v) for k, v in axes.items()), F.lit("</OSV>"))
-    files = table(spark, sf_dir, "lineitem").groupBy(c("l_orderkey").cast("string").alias("path")).agg(F.concat_ws("", F.collect_list(osv)).alias("s"))
-    files = files.select("path", F.concat(F.lit("<F><Data_Block><List_of_OSVs>"), "s", F.lit("</List_of_OSVs></Data_Block></F>")).alias("text"))
+    # what is null has no element
+    osv = F.concat_ws("", F.lit("<OSV>"), F.concat(F.lit("<UTC>UTC="), stamp, F.lit("</UTC>")), *(tag(k, v) for k, v in axes.items()), F.lit("</OSV>"))
+    # an order's lines lie apart: dealt first, they are neither sorted nor collected before the shuffle, and their texts are made in generated code
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", osv.alias("osv")).repartition("l_orderkey")
+    files = lines.groupBy("l_orderkey").agg(F.concat_ws("", F.collect_list("osv")).alias("s"))
+    files = files.select(c("l_orderkey").cast("string").alias("path"), F.concat(F.lit("<F><Data_Block><List_of_OSVs>"), "s", F.lit("</List_of_OSVs></Data_Block></F>")).alias("text"))
     s = metadata.orbit_states(files)
     return s.select(c("path").cast("long").alias("id"), F.round("t", 3).alias("t"), *(F.round(k, 2).alias(k) for k in "xyz"), "vx", "vy", "vz")
 

@@ -23,8 +23,8 @@ def read_texts(spark: SparkSession, *paths: str) -> DataFrame:
 
 def seconds(stamp: Column) -> Column:
     """An ISO time, with or without zone letter, as seconds UTC."""
-    plain = F.regexp_replace(stamp, "Z$", "")
-    return F.unix_micros(F.to_timestamp(F.concat(plain, F.lit("Z")))) / 1e6
+    zoned = F.when(stamp.endswith("Z"), stamp).otherwise(F.concat(stamp, F.lit("Z")))
+    return F.unix_micros(F.to_timestamp(zoned)) / 1e6
 
 
 def nanoseconds(stamp: Column) -> Column:
@@ -43,7 +43,7 @@ def _xml(texts: DataFrame, schema: str) -> DataFrame:
 
 
 # Element names of the products' formats.
-_ORBIT = "Data_Block struct<List_of_OSVs: struct<OSV: array<struct<UTC: string, X: {v}, Y: {v}, Z: {v}, VX: {v}, VY: {v}, VZ: {v}>>>>".format(v="struct<_VALUE: double>")
+_ORBIT = "Data_Block struct<List_of_OSVs: struct<OSV: array<struct<UTC: string, X: string, Y: string, Z: string, VX: string, VY: string, VZ: string>>>>"
 _HEADER = "adsHeader struct<missionId: string, absoluteOrbitNumber: int, swath: string>"
 _GENERAL = (
     "generalAnnotation struct<productInformation: struct<pass: string, rangeSamplingRate: double, radarFrequency: double, azimuthSteeringRate: double>,"
@@ -67,7 +67,10 @@ _CONVERSION = f"coordinateConversion struct<coordinateConversionList: struct<coo
 def orbit_states(texts: DataFrame, start: float | None = None, end: float | None = None) -> DataFrame:
     """path, t, x, y, z, vx, vy, vz of orbit files, both ends of the time span included."""
     osv = _xml(texts, _ORBIT).select("path", F.explode("Data_Block.List_of_OSVs.OSV").alias("s"))
-    done = osv.select("path", seconds(F.regexp_replace("s.UTC", "^UTC=", "")).alias("t"), *(F.col(f"s.{k}._VALUE").alias(k.lower()) for k in ("X", "Y", "Z", "VX", "VY", "VZ")))
+    stamp = F.col("s.UTC")
+    stamp = F.when(stamp.startswith("UTC="), F.substr(stamp, F.lit(5))).otherwise(stamp)
+    # numbers are read as texts: an element read with its attributes (units, which nobody asks for) is an object of its own to the parser, six a state vector
+    done = osv.select("path", seconds(stamp).alias("t"), *(F.col(f"s.{k}").try_cast("double").alias(k.lower()) for k in ("X", "Y", "Z", "VX", "VY", "VZ")))
     for bound, keep in ((start, lambda b: F.col("t") >= b), (end, lambda b: F.col("t") <= b)):
         done = done if bound is None else done.where(keep(bound))
     return done

@@ -1,5 +1,7 @@
 """Steps whose work must grow no faster than their input, and what they give at its edges."""
 
+import datetime
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from radarframe.functions import roi
 from radarframe.operators import geometry, images, joins, kernels, predict, radar, raster
+from radarframe.plans import files
 from radarframe.plans.dense import circular_orbit
 from radarframe.sources import catalog, metadata
 
@@ -115,6 +118,21 @@ def test_annotation_texts_are_parsed_once(spark):
     assert sorted((r.path, r.burst, r.burst_roi.col, r.burst_roi.row) for r in b.collect()) == [("two", 0, 3, 1), ("two", 1, 3, 3)]
 
 
+def test_orbit_files_cost_what_their_numbers_do(spark, tmp_path):
+    """No object a number, nothing sorted or collected before the shuffle; and lines with nulls, without an order, twice, or between seconds stay."""
+    at = datetime.datetime(2000, 1, 1, 0, 0, 0, 250_000)
+    rows = [(1, 2, 3, 1, 5.0, 10.5, 0.1, 0.2, at), (1, 2, 3, 2, None, 10.5, 0.1, None, at), (None, 2, 3, 1, 5.0, 10.5, 0.1, 0.2, at), (2, *[None] * 8), (3, 2, 3, 1, 5.0, float("inf"), 0.1, -1e30, None), (1, 2, 3, 1, 5.0, 10.5, 0.1, 0.2, at)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_shipdate timestamp_ntz"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = files.orbit_xml_parse(spark, str(tmp_path))
+    assert _plan(df).count("from_xml") == 1 and "_value" not in _plan(df)
+    before = df._jdf.queryExecution().executedPlan().toString().split("Exchange")[-1]
+    assert "Aggregate" not in before and "Sort" not in before
+    key = lambda r: [(x is not None, x) for x in r]
+    want = [(k, None if n is None or t is None else (t - datetime.datetime(1970, 1, 1)).total_seconds() + n, x, y, z, vx, None if vy is None else float(vy), None if vz is None else float(vz)) for k, vy, vz, n, vx, x, y, z, t in rows]
+    assert sorted(map(tuple, df.collect()), key=key) == sorted(want, key=key)
+
+
 def test_lines_steeper_than_half_a_turn_are_unwrapped(spark, tmp_path):
     """A surface whose lines turn by more than pi a pixel further down, which no least-cost flow gives back."""
     r, k = np.mgrid[0:48, 0:12].reshape(2, -1)

@@ -43,6 +43,14 @@ def test_orbit_span_includes_both_ends(spark):
     assert [(r.path, r.t, r.x, r.vz) for r in got] == [("p0", T0 + 0.5, 0.25, 0.0), ("p0", T0 + 10.5, 10.25, -10.0)]
 
 
+def test_numbers_of_orbit_files(spark):
+    """Comments, blanks and references inside a number, and elements that hold none; the others of the file stay."""
+    cases = {'<X unit="m">1<!-- c -->25.5</X>': 125.5, "<X> 1.25\n</X>": 1.25, '<X unit="m">1&#46;5</X>': 1.5, "<X><![CDATA[-2e3]]></X>": -2000.0, '<X unit="m">1<q>7</q></X>': None, '<X unit="m">abc</X>': None, '<X unit="m"/>': None, "": None}
+    osv = "".join(f"<OSV><UTC>UTC=2021-01-01T00:00:{k:02d}.5</UTC>{x}<VZ>{k}</VZ></OSV>" for k, x in enumerate(cases))
+    got = md.orbit_states(texts(spark, f"<F><Data_Block><List_of_OSVs>{osv}</List_of_OSVs></Data_Block></F>")).orderBy("t").collect()
+    assert [(r.t, r.x, r.y, r.vz) for r in got] == [(T0 + k + 0.5, x, None, float(k)) for k, x in enumerate(cases.values())]
+
+
 def test_bursts(spark):
     a, b = md.slc_bursts(texts(spark, SLC)).orderBy("burst").collect()
     assert (a.mission_id, a.relative_orbit_number, a.swath, a.slice_number, a.slice_count, a.lines_per_burst) == ("S1B", 4, "IW2", 4, 9, 5)
